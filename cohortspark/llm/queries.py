@@ -10,6 +10,7 @@ from .bpe import encode_digests
 from .decontaminate import find_leaks
 from .license import scan_licenses
 from .runtime import table
+from .simhash import near_fingerprints
 
 
 def word_bpe() -> str:
@@ -27,6 +28,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op6_decontaminate": op6_decontaminate,
+    "op7_simhash_components": op7_simhash_components,
     "op10_license_scan": op10_license_scan,
 }
 
