@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_digests
 from .decontaminate import find_leaks
 from .license import scan_licenses
-from .runtime import table
+from .runtime import shared_dir, table
 from .simhash import near_fingerprints
+from .warc import round_trip
 
 
 def word_bpe() -> str:
@@ -24,6 +25,11 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return round_trip(pages, shared_dir(spark)).drop("url")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,9 +44,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_components": op7_simhash_components,
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, h, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS hex,
+         max(page_id) OVER (PARTITION BY h) AS top
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string([
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((CAST('0x' || substr(hex, 1 + 5 * (c // 4), 5) AS BIGINT) >> CAST(15 - 5 * (c % 4) AS INT)) & 31), 1)
+         FOR c IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_warc_round_trip": OP5_SQL}
