@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
 from .bpe import encode_digests
 from .decontaminate import find_leaks
 from .license import scan_licenses
@@ -21,6 +22,11 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -38,15 +44,22 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_components": op7_simhash_components,
+    "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
 }
 
