@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import hmm, quality, toxicity
 from .bpe import encode_digests
 from .decontaminate import find_leaks
 from .license import scan_licenses
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -55,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_decontaminate": op6_decontaminate,
