@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import hmm, quality, toxicity
 from .bpe import encode_digests
 from .decontaminate import find_leaks
+from .html_extract import main_texts
 from .license import scan_licenses
 from .runtime import shared_dir, table
 from .simhash import near_fingerprints
@@ -35,6 +36,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op4_site_style_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return round_trip(pages, shared_dir(spark)).drop("url")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_site_style_text": op4_site_style_text,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_components": op7_simhash_components,
