@@ -10,6 +10,7 @@ from . import hmm, quality, toxicity
 from .bpe import encode_digests
 from .decontaminate import find_leaks
 from .html_extract import main_texts
+from .knn import top_k
 from .license import scan_licenses
 from .runtime import shared_dir, table
 from .simhash import near_fingerprints
@@ -53,6 +54,10 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash_components": op7_simhash_components,
+    "op8_voronoi_top_k": op8_voronoi_top_k,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
 }
@@ -92,4 +98,21 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_round_trip": OP5_SQL}
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+         CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(d.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_voronoi_top_k": OP8_SQL, "op5_warc_round_trip": OP5_SQL}
