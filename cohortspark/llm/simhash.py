@@ -247,3 +247,176 @@ def near_fingerprints(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col
     return each.join(of_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# Near duplicates by similarity of shingle sets.
+
+SIGNATURE_WORDS = 4  # 64-bit words of a signature
+TABLES = 16  # bit orders: each starts the trie at other bits of the signature
+TABLE_LEAVES = 256  # texts in a node where a table's trie is cut, on average
+BLOCK = 1_024  # texts that are compared in one task; larger nodes and groups are cut into pairs of blocks
+SIGNATURE_BUDGET = 44  # differing bits of candidates: similar sets differ in 25 of 256 on average, others in 128
+CANDIDATE_SHINGLE = 2
+BROADCAST_ROWS = 1_000_000
+
+
+def spread_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Each 64-bit hash as a row of independent 64-bit words."""
+    out = np.empty((len(hashes), SIGNATURE_WORDS), np.uint64)
+    for k in range(SIGNATURE_WORDS):
+        z = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = z ^ (z >> np.uint64(31))
+    return out
+
+
+def signature(words: list[bytes]) -> np.ndarray:
+    """SimHash of SIGNATURE_WORDS words over the distinct shingles that find candidates."""
+    hashes = np.unique(shingle_hashes(words, CANDIDATE_SHINGLE))
+    return majority(spread_hashes(hashes)) if len(hashes) else np.zeros(SIGNATURE_WORDS, np.uint64)
+
+
+def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f"s{k}" for k in range(SIGNATURE_WORDS)]
+    for batch in batches:
+        keys, out = [], []
+        for text in texts(batch, "text"):
+            words = space_words(text)
+            keys.append(xxhash.xxh128_digest(b" ".join(words)))
+            out.append(signature(words))
+        bits = np.array(out, np.uint64).reshape(-1, SIGNATURE_WORDS).view(np.int64)
+        columns = [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SIGNATURE_WORDS))], names=["row", "doc_id", "key", *names])
+
+
+def close_signatures(group: pa.Table) -> pa.Table:
+    """Links of the rows of one node (or of two blocks of it) whose signatures are close, to their component's first row."""
+    row = group.column("row").to_numpy()
+    order = np.argsort(row)
+    row, part = row[order], group.column("part").to_numpy()[order]
+    bits = np.column_stack([group.column(f"s{k}").to_numpy() for k in range(SIGNATURE_WORDS)])[order].view(np.uint64)
+    label = np.arange(len(row))
+    a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    for at in range(0, len(a), 128):
+        mine = a[at : at + 128]
+        far = sum(np.bitwise_count(bits[mine, None, k] ^ bits[None, b, k]).astype(np.int16) for k in range(SIGNATURE_WORDS))
+        i, j = np.nonzero(far <= SIGNATURE_BUDGET)
+        unite(label, mine[i], b[j])
+    linked = np.flatnonzero(label != np.arange(len(row)))
+    return pa.table({"u": row[linked], "v": row[label[linked]]})
+
+
+def similar_sets(group: pa.Table, similarity: float) -> pa.Table:
+    """Links of the rows of one candidate group (or of two blocks of it) whose shingle sets are similar enough."""
+    row = group.column("row").to_numpy()
+    order = np.argsort(row)
+    row, part = row[order], group.column("part").to_numpy()[order]
+    packed = group.column("shingles").to_pylist()
+    sets = [np.frombuffer(packed[k], np.uint64) for k in order]
+    sizes = np.array([len(s) for s in sets])
+    bits = np.column_stack([group.column(f"s{k}").to_numpy() for k in range(SIGNATURE_WORDS)])[order].view(np.uint64)
+    a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    i, j = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
+    ok = (i < j) if part.min() == part.max() else np.ones(len(i), bool)
+    ok &= np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+    i, j = i[ok], j[ok]
+    far = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int16) for k in range(SIGNATURE_WORDS)) if len(i) else np.empty(0)
+    order = np.argsort(far, kind="stable")  # the likeliest links first: others inside a component need no look
+    label = np.arange(len(row))
+
+    def find(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = int(label[x])
+        return x
+
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p == q:
+            continue
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if both >= similarity * (sizes[x] + sizes[y] - both):
+            label[max(p, q)] = min(p, q)
+    root = np.array([find(k) for k in range(len(row))])
+    linked = np.flatnonzero(root != np.arange(len(row)))
+    return pa.table({"u": row[linked], "v": row[root[linked]]})
+
+
+def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with columns one, two and part: a group of over BLOCK rows becomes pairs of blocks that meet once each."""
+    large = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    large = save(large.select(*(F.col(k).alias(f"large_{k}") for k in keys), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    if not large.head(1):
+        zero = F.lit(0)
+        return rows.select("*", zero.alias("one"), zero.alias("two"), zero.alias("part"))
+    same = [F.col(k) == F.col(f"large_{k}") for k in keys]
+    cut = rows.join(large, same, "left").select(*rows.columns, F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.select(*rows.columns, F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part")
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, marked for a broadcast if they are fewer than BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS).count() < BROADCAST_ROWS else rows
+
+
+def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, kept_row) of the rows that a kept row of their group stands for; docs has row, doc_id and text.
+
+    A group is a component of links between texts with equal words or with shingle sets of at least the similarity.
+    Its row with the smallest doc_id stays (nulls last, then the smallest row).
+    """
+    names = [f"s{k}" for k in range(SIGNATURE_WORDS)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = save(docs.select("row", "doc_id", "text").mapInArrow(signatures, f"row long, doc_id {kind}, key binary, " + ", ".join(f"{s} long" for s in names)))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = save(each.groupBy("key").agg(F.min(first).alias("first"), *(F.min(s).alias(s) for s in names)).select("first", F.col("first.row").alias("row"), "key", *names))
+    depth = min(48, trie_depth(classes.count(), TABLE_LEAVES))
+
+    def node(t: int):
+        word, turn = F.col(f"s{t * SIGNATURE_WORDS // TABLES}"), 16 * (t % (TABLES // SIGNATURE_WORDS))
+        turned = F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, 64 - turn)) if turn else word
+        return F.shiftrightunsigned(turned, 64 - depth) if depth else F.lit(0).cast("long")
+
+    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), node(t).alias("node")) for t in range(TABLES if depth else 1))))
+    leaves = classes.select("row", *names, tables.alias("at")).select("row", *names, "at.t", "at.node")
+    candidates = save(
+        in_blocks(leaves, ["t", "node"]).groupBy("t", "node", "one", "two").applyInArrow(lambda group: close_signatures(group), "u long, v long").distinct()
+    )
+    links = candidates
+    if candidates.head(1):
+        group = components(candidates)
+        sets = docs.join(few(group), docs.row == group.node).select("row", "text", "root").mapInArrow(shingle_sets(shingle), "row long, root long, shingles binary")
+        members = save(sets.join(classes.select("row", *names), "row"))
+        links = save(
+            in_blocks(members, ["root"])
+            .groupBy("root", "one", "two")
+            .applyInArrow(lambda group: similar_sets(group, similarity), "u long, v long")
+        )
+    if links.head(1):
+        rooted = classes.join(components(links), classes.row == F.col("node"), "left")
+        rooted = rooted.select("key", "first", F.coalesce("root", "row").alias("root"))
+    else:
+        rooted = classes.select("key", "first", F.col("row").alias("root"))
+    kept = rooted.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("kept"))
+    of_key = rooted.join(kept, rooted.root == kept.top).select(F.col("key").alias("of"), F.col("kept.row").alias("kept_row"))
+    return each.join(of_key, each.key == of_key.of).where("row <> kept_row").select("row", "kept_row")
+
+
+def shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(space_words(t), size)).tobytes() for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("root"), pa.array(sets, pa.binary())], names=["row", "root", "shingles"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows that another row of their group of near duplicates stands for; all columns kept."""
+    place, gone_place = "near_place_", "near_gone_"
+    numbered = docs.select(F.monotonically_increasing_id().alias(place), *docs.columns)
+    gone = save(duplicate_rows(numbered.select(F.col(place).alias("row"), "doc_id", "text"), shingle, similarity).select(F.col("row").alias(gone_place)))
+    return numbered.join(few(gone), F.col(place) == F.col(gone_place), "left_anti").select(*docs.columns)
