@@ -17,6 +17,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 
 END = ""  # stands for the suffix that marks a word's end
-CACHE_WORDS = 250_000  # words whose ids a task remembers; all are forgotten when it is full
+MARKS = ".,;:!?%$#&*|-()\""
+CACHE_WORDS = 400_000  # words whose ids a task remembers; all are forgotten when it is full
 DECODE_IDS = 200_000  # ids decoded at once
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -171,14 +173,20 @@ class WordBpe:
             known = self.compatible[left, right] = self.pair_compatible(left, right)
         return known
 
-    def encode_pieces(self, text: str) -> bytes:
-        """Ids of a normalized text, as little-endian unsigned 32-bit integers."""
-        ids: list[int] = []
+    def encode_piece(self, piece: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer, as native (little-endian) unsigned 32-bit integers."""
+        plain = piece.isascii() and piece.isprintable()
+        return array("I", self.encode_word(piece if plain else "".join([self.alphabet[b] for b in piece.encode()]))).tobytes()
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces; most chunks are a word, with a mark at the end or without."""
+        if text.isalpha():
+            return [text]
+        if text[:-1].isalpha() and text[-1] in MARKS:
+            return [text[:-1], text[-1]]
         if not text.isascii():
             text = text.translate(newer_lower_case())
-        for piece in self.piece.findall(text):
-            ids += self.encode_word("".join([self.alphabet[b] for b in piece.encode()]))
-        return np.array(ids, "<u4").tobytes()
+        return self.piece.findall(text)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text; strings of special tokens become those tokens, as by default in the library."""
@@ -195,7 +203,7 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split only
-            return self.encode_pieces(text)
+            return b"".join(map(self.encode_piece, self.pieces(text)))
         if len(self.chunks) > CACHE_WORDS:
             self.chunks.clear()
         chunks = self.chunks
@@ -222,9 +230,11 @@ class Chunks(dict):
         self.bpe = bpe
 
     def __missing__(self, chunk: str) -> bytes:
+        pieces = self.bpe.pieces(chunk)
         if len(chunk) > 200:
-            return self.bpe.encode_pieces(chunk)
-        ids = self[chunk] = self.bpe.encode_pieces(chunk)
+            return b"".join(map(self.bpe.encode_piece, pieces))
+        # A piece by itself is cut no further, so that it is remembered like a chunk.
+        ids = self[chunk] = self.bpe.encode_piece(chunk) if pieces == [chunk] else b"".join([self[p] for p in pieces])
         return ids
 
 
