@@ -313,8 +313,11 @@ CMC_SQL = f""", col AS (
 ), chi AS (
   SELECT gene, transcript, any_value(columns) AS columns, sum(pow(a - q * t, 2) / (q * t) + pow(t - a - (1 - q) * t, 2) / ((1 - q) * t)) AS cmc
   FROM col JOIN tot USING (gene, transcript) GROUP BY 1, 2
-)
-SELECT gene, transcript, columns, round(cmc, 6) AS cmc, round({chi_tail("cmc", "columns - 1")}, 6) AS p FROM chi"""
+), lone AS (
+  SELECT gene, transcript, pow(case_carrier - cases * f, 2) * (1 / (cases * f) + 1 / (cases * (1 - f)) + 1 / ((n - cases) * f) + 1 / ((n - cases) * (1 - f))) AS s
+  FROM (SELECT *, (case_carrier + control_carrier) / n AS f FROM t22, sizes)
+), stat AS (SELECT gene, transcript, columns, CASE WHEN columns > 1 THEN cmc ELSE s END AS cmc FROM chi JOIN lone USING (gene, transcript))
+SELECT gene, transcript, columns, round(cmc, 6) AS cmc, round({chi_tail("cmc", "greatest(columns - 1, 1)")}, 6) AS p FROM stat"""
 
 
 @query("cmc_chisq", CMC_SQL)
