@@ -75,6 +75,29 @@ def flipped(counted: DataFrame, n: int) -> DataFrame:
     return counted.select("*", flip.alias("flip"), minor.cast("long").alias("minor_ac"))
 
 
+def flip_calls(cohort: Cohort, most: int = 100_000) -> Cohort:
+    """The cohort with minor alleles counted: of a variant whose alternate allele is the major one 0 and 2 change places.
+
+    Only such variants get rows for all samples; they are few, and more than `most` raise.
+    """
+    n, _ = cohort.sizes
+    counted = flipped(counted_variants(cohort), n).where("flip").select("variant_id").distinct()
+    ids = [r.variant_id for r in counted.limit(most + 1).collect()]
+    if len(ids) > most:
+        raise ValueError(f"over {most} variants have a major alternate allele: recode them first")
+    if not ids:
+        return cohort
+    few = F.col("variant_id").isin(ids)
+    all_samples = cohort.samples.select("sample_id", F.explode(F.array(*map(F.lit, ids))).alias("variant_id"))
+    turned = all_samples.join(cohort.calls.where(few), ["sample_id", "variant_id"], "left").select(
+        "sample_id", "variant_id", F.when(F.col("missing"), 0).otherwise(2 - F.coalesce("dosage", F.lit(0))).cast("int").alias("dosage"), F.coalesce("missing", F.lit(False)).alias("missing")
+    )
+    kept = turned.where("dosage > 0 or missing")
+    out = Cohort(cohort.samples, cohort.variants, cohort.calls.where(~few).unionByName(kept))
+    out.__dict__["sizes"] = cohort.sizes
+    return out
+
+
 def maf_filter(counted: DataFrame, n: int, mac: float, maf: float) -> DataFrame:
     """Minor allele filter: frequency at most maf, count at most mac."""
     flip = flipped(counted, n)
