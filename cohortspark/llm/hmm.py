@@ -38,6 +38,7 @@ KNOWN = 1 << 18
 WARM_PASSES, WARM_SHARE = 4, 8  # passes over one in so many training texts
 FULL_PASSES = 2
 SEGMENT = 256  # tokens in a training segment
+COUNT_BINS = 20_000  # counts from here on fall into one bin when the most frequent words are sought
 STEP_TOKENS = 400_000  # tokens of the segments that are trained in step
 FLUSH_WORDS = 300_000  # distinct words a task counts before it sends them on
 PRIOR = 20.0  # tokens of overall frequencies that smooth a state's emissions
@@ -103,7 +104,17 @@ def lexicon(counts: DataFrame, emitted: int = EMITTED, known: int = KNOWN) -> Le
         F.sum("c"), F.count("*"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))
     ).first()
     n, v, once, twice = (int(x or 0) for x in total)
-    top = counts.orderBy(F.desc("c"), "word").limit(known).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    # The least count that at most `known` words reach, from a histogram of bounded size: so the most frequent words
+    # are found by a filter, and no task or driver sorts the vocabulary.
+    reached, cutoff = 0, COUNT_BINS + 1
+    for r in counts.groupBy(F.least("c", F.lit(COUNT_BINS)).alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).toLocalIterator():
+        if reached + r.words > known:
+            break
+        reached, cutoff = reached + r.words, r.bin
+    frequent = counts.where(F.col("c") >= cutoff)
+    if cutoff > COUNT_BINS:  # more words than that in the last bin
+        frequent = counts.orderBy(F.desc("c"), "word").limit(known)
+    top = frequent.toPandas().sort_values(["c", "word"], ascending=[False, True])
     words, number = [bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64)
     emitted = min(emitted, len(words))
     return Lexicon(words, number, n, v, emitted, n - int(number[:emitted].sum()), v - emitted, once / (once + 2 * twice) if once and twice else 0.5)
@@ -131,19 +142,26 @@ def numbered(text: bytes, number: dict[bytes, int]) -> list[int]:
 
 
 class Steps:
-    """Sequences in step: longest first, so that at each time the running ones are the first few."""
+    """Sequences in step: longest first, so that at each time the running ones are the first few; tokens by time."""
 
     def __init__(self, sequences: list[np.ndarray]) -> None:
         sizes = np.array([len(s) for s in sequences])
         self.order = np.argsort(-sizes, kind="stable")
-        self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[self.order]
         self.sizes = sizes[self.order]
-        self.tokens = np.concatenate(sequences)
         ascending = self.sizes[::-1]
-        self.active = len(sizes) - np.searchsorted(ascending, np.arange(self.sizes[0]), "right")
+        active = len(sizes) - np.searchsorted(ascending, np.arange(self.sizes[0]), "right")
+        self.reach = np.concatenate(([0], np.cumsum(active)))
+        rank = np.empty(len(sizes), np.int64)
+        rank[self.order] = np.arange(len(sizes))
+        time = np.arange(self.reach[-1]) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.tokens = np.empty(self.reach[-1], np.int64)
+        self.tokens[self.reach[time] + np.repeat(rank, sizes)] = np.concatenate(sequences)
 
-    def at(self, t: int) -> np.ndarray:
-        return self.starts[: self.active[t]] + t
+    def __len__(self) -> int:
+        return len(self.reach) - 1
+
+    def at(self, t: int) -> slice:
+        return slice(self.reach[t], self.reach[t + 1])
 
 
 def forward(model: Hmm, steps: Steps, start: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
@@ -152,14 +170,15 @@ def forward(model: Hmm, steps: Steps, start: np.ndarray, keep: bool) -> tuple[np
     alphas = np.empty((len(steps.tokens), len(model.start))) if keep else None
     scales = np.empty(len(steps.tokens)) if keep else None
     alpha = start
-    for t in range(len(steps.active)):
+    for t in range(len(steps)):
         at = steps.at(t)
+        n = at.stop - at.start
         if t:
-            alpha = alpha[: len(at)] @ model.move
+            alpha = alpha[:n] @ model.move
         alpha = alpha * model.emit[steps.tokens[at]]
         scale = alpha.sum(axis=1)
         alpha /= scale[:, None]
-        total[: len(at)] += np.log(scale)
+        total[:n] += np.log(scale)
         if keep:
             alphas[at], scales[at] = alpha, scale
     return total, alphas, scales
@@ -172,19 +191,20 @@ def expect(model: Hmm, sequences: list[np.ndarray], is_first: np.ndarray, counts
     start = np.where(begins[:, None], model.start, model.share)
     total, alphas, scales = forward(model, steps, start, keep=True)
     counts["likelihood"] += total.sum()
+    # Ends of sequences count 1; before them, what lies ahead, scaled.
     beta = np.ones((0, len(model.start)))
-    for t in range(len(steps.active) - 1, -1, -1):
+    for t in range(len(steps) - 1, -1, -1):
         at = steps.at(t)
-        grown = np.ones((len(at), len(model.start)))
+        grown = np.ones((at.stop - at.start, len(model.start)))
         if len(beta):
-            n = len(beta)
-            ahead = beta * model.emit[steps.tokens[at[:n] + 1]] / scales[at[:n] + 1][:, None]
-            counts["move"] += (alphas[at[:n]].T @ ahead) * model.move
-            grown[:n] = ahead @ model.move.T
+            after, n = steps.at(t + 1), len(beta)
+            ahead = beta * model.emit[steps.tokens[after]]
+            ahead /= scales[after][:, None]
+            counts["move"] += (alphas[at][:n].T @ ahead) * model.move
+            np.matmul(ahead, model.move.T, out=grown[:n])
         beta = grown
         alphas[at] *= beta
-        if t == 0:
-            counts["start"] += alphas[at[begins[: len(at)]]].sum(axis=0)
+    counts["start"] += alphas[steps.at(0)][begins].sum(axis=0)
     for k in range(len(model.start)):
         counts["emit"][:, k] += np.bincount(steps.tokens, alphas[:, k], len(counts["emit"]))
 
@@ -278,7 +298,7 @@ def score_batches(model, shared):
                 waiting.append(ids)
                 where.append(n)
                 size += len(ids)
-                if size > 8 * STEP_TOKENS:
+                if size > 4 * STEP_TOKENS:
                     flush()
                     waiting, where, size = [], [], 0
             if waiting:
