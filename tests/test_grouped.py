@@ -1,0 +1,125 @@
+"""Grouped kernels against closed forms, simulations and other solvers."""
+
+import math
+
+import numpy as np
+import pytest
+
+from cohortspark.cohort import from_tables
+from cohortspark.functions import glm, kernels, tails
+from cohortspark.functions.special import chi2_sf
+from cohortspark.operators import grouped
+from cohortspark.plans import statistics as st
+
+SF = "/root/testdata/sf0.001"
+
+
+def by_group(df):
+    return {(r.gene, r.transcript): r for r in df.collect()}
+
+
+def test_tails():
+    rng = np.random.default_rng(1)
+    lam = rng.gamma(1, 1, 12)
+    draws = (rng.chisquare(1, (300_000, 12)) * lam).sum(axis=1)
+    for q in np.quantile(draws, [0.2, 0.7, 0.95, 0.99]):
+        exact = (draws > q).mean()
+        p, fault = tails.davies(float(q), lam)
+        assert not fault and abs(p - exact) < 0.004
+        assert abs(tails.saddlepoint(float(q), lam) - exact) < 0.02 and abs(tails.liu(float(q), lam) - exact) < 0.03
+    assert math.isclose(tails.davies(10.0, np.ones(7))[0], chi2_sf(10, 7), rel_tol=1e-7)
+
+
+def test_glm_solvers_agree():
+    rng = np.random.default_rng(2)
+    x = np.column_stack((np.ones(400), rng.normal(size=(400, 2))))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x @ [0.2, 1.0, -0.5]))).astype(float)
+    base = glm.fit(x, y).beta
+    for kind in ("irls_qr", "irls_svd", "gradient"):
+        assert np.allclose(glm.fit(x, y, optimizer=kind).beta, base, atol=5e-3 if kind == "gradient" else 1e-6)
+    assert np.allclose(x.T @ (y - glm.fit(x, y).mu), 0, atol=1e-4)
+    twice = glm.fit(np.column_stack((x, x[:, 1])), y).beta
+    assert np.isnan(twice[3]) and np.allclose(twice[:3], base)
+    for link in ("probit", "cloglog", "cauchit", "log"):
+        fam = glm.family("binomial", link)
+        e = np.linspace(-2, -0.2, 9)
+        assert np.allclose(fam.link(fam.inverse(e)), e, atol=1e-6)
+        assert np.allclose(fam.slope(e), (fam.inverse(e + 1e-6) - fam.inverse(e - 1e-6)) / 2e-6, atol=1e-5)
+    separated = np.column_stack((np.ones(20), np.r_[np.zeros(10), np.ones(10)]))
+    assert np.abs(glm.fit_bayes(separated, separated[:, 1])).max() < 20
+    assert (glm.dichotomized_odds(x, x @ [1, 2, 3] + rng.normal(size=400)) > 0).all()
+
+
+def test_distributed_fit(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack((np.ones(200), rng.normal(size=200)))
+    y = (rng.random(200) < 0.4).astype(float)
+    frame = spark.createDataFrame([(float(a), [float(v) for v in b]) for a, b in zip(y, x, strict=True)], "y double, x array<double>").repartition(5)
+    beta, deviance = glm.distributed_fit(frame, "y", "x")
+    f = glm.fit(x, y)
+    assert np.allclose(beta, f.beta, atol=1e-5) and math.isclose(deviance, f.deviance, rel_tol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def cohort(spark):
+    return from_tables(spark, SF)
+
+
+def test_no_covariates_equal_closed_forms(cohort):
+    null = grouped.null_model(grouped.design(cohort.samples))
+    got, closed, q = by_group(grouped.score_tests(cohort, null)), by_group(st.burden(cohort)), by_group(st.skat_q(cohort))
+    for key, r in got.items():
+        assert math.isclose(r.burden, closed[key].burden, rel_tol=1e-6) and math.isclose(r.burden_p, closed[key].p, rel_tol=1e-5)
+        assert math.isclose(r.skat_q, q[key].skat_q, rel_tol=1e-6)
+        assert 0 < r.skato_p <= 1 and 0 < r.skatc_p < 1 and 0 < r.skat_p <= 1
+        assert r.skato_p >= min(r.burden_p, r.skat_p) * 0.5
+    regression, g_test = by_group(grouped.regression_tests(cohort, null)), by_group(st.rvt2(cohort))
+    for key, r in regression.items():
+        assert math.isclose(r.rvt2_p, g_test[key].p, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_covariates(cohort):
+    null = grouped.null_model(grouped.design(cohort.samples, categorical=("cov_cat",)))
+    assert all(0 <= r.rvt1_p <= 1 for r in grouped.regression_tests(cohort, null).collect())
+    trait = grouped.null_model(grouped.design(cohort.samples), quantitative=True)
+    closed = by_group(st.burden(cohort, quantitative=True))
+    for key, r in by_group(grouped.score_tests(cohort, trait)).items():
+        assert math.isclose(r.burden, closed[key].burden, rel_tol=1e-5)
+    assert all(0 <= r.p <= 1 for r in grouped.hotelling(cohort).collect())
+
+
+def test_single_variant_skato_is_burden():
+    z, r = np.array([1.7]), np.array([[2.2]])
+    assert kernels.skato_p(z, r) == kernels.burden_p(1.7**2, 2.2)
+
+
+def test_skato_uniform_under_null():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(30, 6))
+    r = a.T @ a / 30
+    root = np.linalg.cholesky(r)
+    ps = np.array([kernels.skato_p(root @ rng.normal(size=6), r, True) for _ in range(150)])
+    assert 0.35 < ps.mean() < 0.62 and (ps < 0.1).mean() < 0.2
+
+
+def test_hotelling_equals_t_test():
+    rng = np.random.default_rng(5)
+    g = rng.integers(0, 3, 80).astype(float)
+    y = (rng.random(80) < 0.5).astype(int)
+    carriers = g > 0
+    stat, _ = kernels.hotelling(g[carriers, None], y[carriers], 80, int(y.sum()), rare=0.0)
+    a, b = g[y == 1], g[y == 0]
+    pooled = ((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / 78
+    assert math.isclose(stat, (a.mean() - b.mean()) ** 2 / (pooled * (1 / len(a) + 1 / len(b))), rel_tol=1e-9)
+
+
+def test_vaast_grouping():
+    counts = np.array([[2, 98, 0, 100], [1, 99, 0, 100], [1, 99, 0, 100], [9, 91, 1, 99], [0, 100, 3, 97], [1, 99, 5, 95]], float)
+    w, keys = np.ones(6), list("abcdef")
+    single = [kernels.site_score(c, 1.0, 1.0) for c in counts]
+    assert single[4] == single[5] == 0
+    merged = kernels.site_score(counts[0] + counts[1] + counts[2], 1.0, 1.0)
+    assert sorted(kernels.grouped_scores(counts, w, keys, 4, 1.0)) == sorted([single[3], 0.0, 0.0, merged])
+    added = kernels.leave_one_out(counts, w, ["SNV"] * 6, keys, penalty=0.1)
+    assert added[4] == added[5] == 0 and added[3] > 0
+    assert kernels.vaast_grouped(counts, w, ["SNV", "x"] * 3, keys, by_type=True) >= 0
