@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cohort import FUNCTIONS, TYPES, from_tables, read
+from ..cohort import FUNCTIONS, TYPES, Cohort, from_tables, read
 from ..config import AssocConfig
 from ..operators import filters as ops
+from ..operators.grouped import Null, design, hotelling, null_model, regression_tests, score_tests
+from ..operators.grouped import vaast_grouped as grouped_vaast
 from . import permutation as perm
+from . import reports as rp
+from . import resampling as rs
 from . import statistics as st
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,3 +514,180 @@ def shard_combine(spark: SparkSession, sf: str) -> DataFrame:
 def unfinished_genes(spark: SparkSession, sf: str) -> DataFrame:
     counted = perm.count_hits(perm.hits(*calpha_permuted(spark, sf)))
     return counted.groupBy("gene").agg(F.min("successes").alias("least")).where("least < 4").select("gene")
+
+
+# Reports and exports.
+
+
+@query(
+    "variant_detail",
+    ", d AS (SELECT variant_id, y, sample_id FROM calls JOIN samples USING (sample_id) WHERE dosage > 0), "
+    "l AS (SELECT variant_id, string_agg(CASE WHEN y = 1 THEN CAST(sample_id AS VARCHAR) END, ',' ORDER BY sample_id) AS cl, string_agg(CASE WHEN y = 0 THEN CAST(sample_id AS VARCHAR) END, ',' ORDER BY sample_id) AS ol FROM d GROUP BY 1), "
+    "g AS (SELECT variant_id, gene, chrom, start, \"end\", ref, alt, type, any_value(weight) AS weight, any_value(ac) AS ac, any_value(case_ac) AS case_ac, string_agg(transcript, ',' ORDER BY transcript) AS transcripts FROM cv GROUP BY ALL) "
+    "SELECT gene, transcripts, concat_ws(',', chrom, start, \"end\", ref, alt, type) AS variant, round(weight, 6) AS weight, round(ac / (2 * n), 9) AS af, CAST(2 * cases - case_ac AS BIGINT) AS case_ref, case_ac AS case_alt, "
+    "CAST(2 * (n - cases) - ac + case_ac AS BIGINT) AS control_ref, ac - case_ac AS control_alt, coalesce(cl, '-') AS case_list, coalesce(ol, '-') AS control_list FROM g LEFT JOIN l USING (variant_id), sizes",
+)
+def variant_detail(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rounded(rp.detail(from_tables(spark, sf)), "weight"), "af", digits=9)
+
+
+@query(
+    "carrier_runs",
+    ", i AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS idx FROM samples), h AS (SELECT variant_id, idx, idx - row_number() OVER (PARTITION BY variant_id ORDER BY idx) AS g FROM calls JOIN i USING (sample_id) WHERE dosage > 0), "
+    "r AS (SELECT variant_id, g, min(idx) AS a, max(idx) AS b FROM h GROUP BY 1, 2) SELECT variant_id, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS carriers FROM r GROUP BY 1",
+)
+def carrier_runs(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    index = c.samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("at"))
+    return rp.runs(c.calls.where("dosage > 0").join(index, "sample_id"), ["variant_id"], "at", "carriers")
+
+
+@query(
+    "carrier_report",
+    ", i AS (SELECT sample_id, y, row_number() OVER (ORDER BY sample_id) - 1 AS idx FROM samples), h AS (SELECT variant_id, y, dosage, idx, idx - row_number() OVER (PARTITION BY variant_id, y, dosage ORDER BY idx) AS g FROM calls JOIN i USING (sample_id) WHERE dosage > 0), "
+    "r AS (SELECT variant_id, y, dosage, g, min(idx) AS a, max(idx) AS b FROM h GROUP BY 1, 2, 3, 4), s AS (SELECT variant_id, y, dosage, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS w FROM r GROUP BY 1, 2, 3), "
+    "t AS (SELECT variant_id, y, string_agg(dosage || ':' || w, ';' ORDER BY dosage) AS who FROM s GROUP BY 1, 2) "
+    "SELECT gene, transcript, variant_id, (CASE WHEN y = 1 THEN 'T' ELSE 'B' END) || (CASE WHEN (CASE WHEN y = 1 THEN case_carriers ELSE carriers - case_carriers END) = 1 THEN 'U' ELSE 'R' END) AS line, who FROM t JOIN cv USING (variant_id)",
+)
+def carrier_report(spark: SparkSession, sf: str) -> DataFrame:
+    return rp.carrier_report(from_tables(spark, sf))
+
+
+SPANS = "SELECT gene, chrom, min(start) AS a, max(start) AS b FROM variants GROUP BY 1, 2"
+
+
+@query("interval_join", f", s AS ({SPANS}), pts AS (SELECT l_partkey % 22 + 1 AS c, l_suppkey * 150 AS pos, count(*) AS hits FROM lineitem GROUP BY 1, 2) SELECT gene, s.chrom, pos, hits FROM pts JOIN s ON s.chrom = 'chr' || c AND pos BETWEEN a AND b")
+def interval_join(spark: SparkSession, sf: str) -> DataFrame:
+    v = from_tables(spark, sf).variants
+    spans = v.groupBy("gene", "chrom").agg(F.min("start").alias("span_start"), F.max("start").alias("span_end"))
+    points = read(spark, sf, "lineitem").groupBy(F.concat(F.lit("chr"), (F.col("l_partkey") % 22 + 1).cast("string")).alias("chrom"), (F.col("l_suppkey") * 150).alias("pos")).agg(F.count("*").alias("hits"))
+    return rp.interval_join(points, spans).select("gene", "chrom", "pos", "hits")
+
+
+@query("variant_classes", ", v AS (SELECT p_partkey AS variant_id, repeat('A', CAST(p_size % 3 + 1 AS INT)) AS ref, CASE WHEN p_partkey % 7 = 0 THEN 'CC,T' ELSE repeat('C', CAST(p_partkey % 3 + 1 AS INT)) END AS alt FROM part) SELECT variant_id, CASE WHEN alt LIKE '%,%' THEN CASE WHEN length(split_part(alt, ',', 1)) > length(ref) THEN 'insertion' ELSE 'MNP' END WHEN length(ref) > length(alt) THEN 'deletion' WHEN length(ref) < length(alt) THEN 'insertion' WHEN length(ref) = 1 THEN 'SNV' ELSE 'MNP' END AS class FROM v")
+def variant_classes(spark: SparkSession, sf: str) -> DataFrame:
+    p = read(spark, sf, "part")
+    ref = F.repeat(F.lit("A"), (F.col("p_size") % 3 + 1).cast("int"))
+    alt = F.when(F.col("p_partkey") % 7 == 0, "CC,T").otherwise(F.repeat(F.lit("C"), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return p.select(F.col("p_partkey").alias("variant_id"), rp.variant_class(ref, alt).alias("class"))
+
+
+ANNOTATION = ", an AS (SELECT DISTINCT regexp_replace(chrom, '^chr', '') || '_' || start || '_' || ref || '_' || alt AS vid, gene AS set_id, function AS category, CAST(regexp_replace(chrom, '^chr', '') AS INT) AS chrom, start FROM variants)"
+
+
+@query("annotation_export", ANNOTATION + " SELECT vid, set_id, category FROM an")
+def annotation_export(spark: SparkSession, sf: str) -> DataFrame:
+    return rp.annotation_export(from_tables(spark, sf).variants).select("vid", "set_id", "category")
+
+
+@query("set_list_export", ANNOTATION + " SELECT set_id, min(chrom) AS chrom, min_by(start, chrom * 1e12 + start) AS start, string_agg(vid, ',' ORDER BY chrom, start, vid) AS vids FROM an GROUP BY 1")
+def set_list_export(spark: SparkSession, sf: str) -> DataFrame:
+    return rp.set_list_export(rp.annotation_export(from_tables(spark, sf).variants))
+
+
+@query("mask_export", ANNOTATION + " SELECT 'all' AS mask, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM an")
+def mask_export(spark: SparkSession, sf: str) -> DataFrame:
+    return rp.mask_export(rp.annotation_export(from_tables(spark, sf).variants))
+
+
+@query(
+    "manhattan",
+    f""", e AS (SELECT *, case_carrier + control_carrier AS m FROM t22), g AS (
+  SELECT gene, transcript, 2 * (case_carrier * ln(greatest(case_carrier, 1) / (m * cases / n)) + control_carrier * ln(greatest(control_carrier, 1) / (m * (n - cases) / n))
+    + case_other * ln(greatest(case_other, 1) / ((n - m) * cases / n)) + control_other * ln(greatest(control_other, 1) / ((n - m) * (n - cases) / n))) AS s FROM e, sizes
+), pv AS (SELECT gene, min({chi_tail("s")}) AS p FROM g GROUP BY 1), loc AS (SELECT gene, min(chrom) AS chrom, min(start) AS start FROM variants GROUP BY 1),
+sz AS (SELECT chrom, max(start) AS size, CAST(replace(chrom, 'chr', '') AS INT) AS k FROM loc GROUP BY 1),
+o AS (SELECT chrom, coalesce(sum(size + 1000000) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, row_number() OVER (ORDER BY k) % 2 AS colour FROM sz)
+SELECT gene, chrom, CAST(start + off AS BIGINT) AS place, CAST(colour AS INTEGER) AS colour, round(-log10(p), 5) AS score FROM pv JOIN loc USING (gene) JOIN o USING (chrom)""",
+)
+def manhattan(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    genes = c.variants.groupBy("gene").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"))
+    return rounded(rp.manhattan(st.rvt2(c), genes), "score", digits=5)
+
+
+@query("merge_results", ", s AS (SELECT gene, transcript, round(sum(pow(weight * (case_ac - p0 * ac), 2)), 6) AS skat_q FROM cv, sizes GROUP BY 1, 2) SELECT gene, transcript, CASE WHEN gene LIKE '%1%' THEN 'NA' ELSE CAST(skat_q AS VARCHAR) END IS NULL OR gene LIKE '%1%' AS unknown, CAST(row_number() OVER (ORDER BY CASE WHEN gene LIKE '%1%' THEN 1e300 ELSE skat_q END, gene, transcript) AS INTEGER) AS rank FROM s")
+def merge_results(spark: SparkSession, sf: str) -> DataFrame:
+    s = skat_q(spark, sf)
+    one = s.where("gene like '%1%'").select("gene", "transcript", F.lit("NA").alias("skat_q"))
+    two = s.where("gene not like '%1%'").select("gene", "transcript", F.col("skat_q").cast("string").alias("skat_q"), F.lit(1).alias("extra"))
+    return rp.merge_results([one, two], "skat_q").select("gene", "transcript", (F.col("skat_q") == "NA").alias("unknown"), "rank")
+
+
+@query(
+    "bootstrap_samples",
+    """, rk AS (SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS at FROM samples),
+sl AS (SELECT rep, slot, CAST(slot < 40 AS INT) AS y, CAST('0x' || substr(md5('5:' || rep || ':' || slot), 1, 12) AS BIGINT) AS d FROM range(1, 4) a(rep), range(0, 100) b(slot))
+SELECT CAST(rep AS INTEGER) AS rep, CAST(slot AS INTEGER) AS slot, sample_id, sl.y FROM sl, sizes JOIN rk ON rk.y = sl.y AND rk.at = d % CAST(CASE WHEN sl.y = 1 THEN cases ELSE n - cases END AS BIGINT)""",
+)
+def bootstrap_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return rs.bootstrap(from_tables(spark, sf), 3, 40, 60, seed=5)
+
+
+# Numeric statistics with covariates and resampling: SQL cannot express them; tests hold them against other solvers.
+
+
+def binary_null(c: Cohort) -> Null:
+    return null_model(design(c.samples, categorical=("cov_cat",)))
+
+
+@query("skato_p")
+def skato_p(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    return score_tests(c, binary_null(c)).select("gene", "transcript", "skato_p")
+
+
+@query("skat_p")
+def skat_p(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    return score_tests(c, binary_null(c)).select("gene", "transcript", "skat_q", "skat_p", "burden", "burden_p", "skatc_p")
+
+
+@query("skat_qtl_p")
+def skat_qtl_p(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    null = null_model(design(c.samples, categorical=("cov_cat",)), quantitative=True)
+    return score_tests(c, null).select("gene", "transcript", "skat_p", "skato_p", "burden_p")
+
+
+@query("rvt1_p")
+def rvt1_p(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    return regression_tests(c, binary_null(c))
+
+
+@query("cmc_hotelling")
+def cmc_hotelling(spark: SparkSession, sf: str) -> DataFrame:
+    return hotelling(from_tables(spark, sf))
+
+
+@query("vaast_grouped")
+def vaast_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    return grouped_vaast(from_tables(spark, sf), penalty=0.5)
+
+
+@query("vaast_grouped_by_type")
+def vaast_grouped_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return grouped_vaast(from_tables(spark, sf), penalty=0.5, by_type=True)
+
+
+@query("adjusted_permutations")
+def adjusted_permutations(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    odds = binary_null(c).samples.select("sample_id", (F.col("mu") / (1 - F.col("mu"))).alias("odds"))
+    return rs.adjusted_permutations(c, odds, 1, 10)
+
+
+@query("power_ratio")
+def power_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return rs.power(from_tables(spark, sf), 20, 200, 200, (0.05, 0.2))
+
+
+@query("effect_size_or")
+def effect_size_or(spark: SparkSession, sf: str) -> DataFrame:
+    return rs.effect_sizes(from_tables(spark, sf), 40)
+
+
+@query("testable_groups")
+def testable_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return rs.testable(from_tables(spark, sf))
