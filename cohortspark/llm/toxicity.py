@@ -28,6 +28,7 @@ BUCKET_BITS = 21
 CHUNK_BYTES = 1 << 20  # of text whose n-grams are hashed at once, but always whole texts
 TRAIN_ROWS = 16_000  # bound of the labelled sample
 FEATURES = 8_192
+FEATURES_PER_ROW = 4
 LEAST_DOCS = 4  # a bucket in fewer training documents tells nothing
 
 
@@ -118,6 +119,7 @@ def fit(sample: DataFrame, width: int = FEATURES) -> Model:
     pos, neg = counts.get(True, 0), counts.get(False, 0)
     if not pos or not neg:
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log((pos + 0.5) / (neg + 0.5))))
+    width = min(width, FEATURES_PER_ROW * (pos + neg))  # a small sample bears few features
     share_pos, share_neg = F.col("pos") / pos, F.col("neg") / neg
     both = (F.col("pos") + F.col("neg")) / (pos + neg)
     chosen = (
