@@ -47,7 +47,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,30 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP6_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS t FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)
+), grams AS (
+  SELECT r, p, k, array_to_string(w[p : p + k - 1], ' ') AS t
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
+), occ AS (
+  SELECT r, p, k, item FROM grams JOIN win USING (k, t)
+), hit AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM occ) GROUP BY 1
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""
+
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -115,4 +139,4 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_voronoi_top_k": OP8_SQL, "op5_warc_round_trip": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op8_voronoi_top_k": OP8_SQL, "op5_warc_round_trip": OP5_SQL}
