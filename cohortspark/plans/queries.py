@@ -12,6 +12,7 @@ from ..config import AssocConfig
 from ..operators import filters as ops
 from ..operators.grouped import Null, design, hotelling, null_model, regression_tests, score_tests
 from ..operators.grouped import vaast_grouped as grouped_vaast
+from . import association
 from . import permutation as perm
 from . import reports as rp
 from . import resampling as rs
@@ -691,3 +692,18 @@ def effect_size_or(spark: SparkSession, sf: str) -> DataFrame:
 @query("testable_groups")
 def testable_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rs.testable(from_tables(spark, sf))
+
+
+@query("scan_wss")
+def scan_wss(spark: SparkSession, sf: str) -> DataFrame:
+    return association.scan(from_tables(spark, sf), AssocConfig(method="WSS", nperm=6, successes=2, seed=3))
+
+
+@query("scan_vaast_collapsed")
+def scan_vaast_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return association.scan(from_tables(spark, sf), AssocConfig(method="VAAST", nperm=0, var_collapsing=20, site_penalty=0.5))
+
+
+@query("covariate_scan_skato")
+def covariate_scan_skato(spark: SparkSession, sf: str) -> DataFrame:
+    return association.covariate_scan(from_tables(spark, sf), AssocConfig(method="SKATO"), categorical=("cov_cat",))

@@ -121,10 +121,10 @@ def chromosome_order(chrom: Column) -> Column:
 def manhattan(results: DataFrame, genes: DataFrame, gap: int = 1_000_000) -> DataFrame:
     """Best row of each gene with its place on one axis and -log10 p; a zero p counts as a tenth of the least positive one."""
     best = results.groupBy("gene").agg(F.min("p").alias("p"))
-    least = best.where("p > 0").agg(F.min("p").alias("floor"))
-    placed = best.join(genes, "gene").join(F.broadcast(least), F.lit(True), "left")
+    floor = best.where("p > 0").agg(F.min("p")).first()[0] or 1.0
+    placed = best.join(genes, "gene")
     sizes = genes.groupBy("chrom").agg(F.max("start").alias("size")).withColumn("n", chromosome_order(F.col("chrom")))
     before = Window.orderBy("n", "chrom").rowsBetween(Window.unboundedPreceding, -1)  # one row for each chromosome
     offsets = sizes.select("chrom", F.coalesce(F.sum(F.col("size") + gap).over(before), F.lit(0)).alias("offset"), (F.row_number().over(Window.orderBy("n", "chrom")) % 2).alias("colour"))
-    p = F.when(F.col("p") > 0, F.col("p")).otherwise(F.col("floor") / 10)
+    p = F.when(F.col("p") > 0, F.col("p")).otherwise(F.lit(floor / 10))
     return placed.join(offsets, "chrom").select("gene", "chrom", (F.col("start") + F.col("offset")).alias("place"), "colour", (-F.log10(p)).alias("score"))
