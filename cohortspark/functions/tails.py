@@ -86,32 +86,42 @@ def liu_quantile(p: float, lam: np.ndarray) -> float:
     return (chi2_isf(p if p > 0 else 1.5e-154, df) - df) / (math.sqrt(2) * df) * sd + mean
 
 
+# How close to the pole the root may be sought, and how close to the mean moments take over.
+POLE_SHARE, NEAR_MEAN = 0.99999, 1e-4
+
+
 def saddlepoint(q: float, lam: np.ndarray) -> float:
-    """Upper tail by the saddlepoint approximation, the root by bisection; near the mean moments are matched."""
+    """Upper tail by the saddlepoint approximation; near the mean, or without a root, moments are matched.
+
+    The slope of the cumulant function grows from 0 to infinity below its pole, so that the root is bracketed by
+    doubling from zero downwards and by the pole, and then halved.
+    """
     if q <= 0:
         return 1.0
-    top = float(lam.max())
-    if top == 0:
+    top = float(lam.max(initial=0.0))
+    if top <= 0:
         return liu(q, lam)
     u, x = np.nan_to_num(lam / top), q / top
-    if (u < 0).any():
-        low = float((1 / (2 * u[u < 0])).max()) * 0.99999
-    else:
-        low = -0.01 if x > u.sum() else -len(u) / (2 * x)
-    high = float((1 / (2 * u[u > 0])).min()) * 0.99999
-    slope = lambda z: float((u / (1 - 2 * z * u)).sum()) - x
-    if not (slope(low) <= 0 <= slope(high)):
+    floor = POLE_SHARE / (2 * float(u.min())) if u.min() < 0 else -math.inf
+
+    def slope(z: float) -> float:
+        return float((u / (1 - 2 * z * u)).sum()) - x
+
+    low, high = max(-0.01, floor), POLE_SHARE / 2
+    while slope(low) > 0 and low > floor and low > -1e12:
+        low = max(2 * low, floor)
+    if slope(low) > 0 or slope(high) < 0:
         return liu(q, lam)
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if slope(mid) < 0 else (low, mid)
     z = (low + high) / 2
-    inside = 2 * (z * x + 0.5 * float(np.log(1 - 2 * z * u).sum()))
-    w = math.copysign(math.sqrt(inside), z) if inside >= 0 else math.nan
-    v = z * math.sqrt(2 * float((u**2 / (1 - 2 * z * u) ** 2).sum()))
-    if abs(z) < 1e-4 or math.isnan(w) or w == 0 or v / w <= 0:
+    gain = z * x + 0.5 * float(np.log(1 - 2 * z * u).sum())
+    if abs(z) < NEAR_MEAN or gain <= 0:
         return liu(q, lam)
-    return normal_sf(w + math.log(v / w) / w)
+    root = math.copysign(math.sqrt(2 * gain), z)
+    curve = z * math.sqrt(2 * float((u**2 / (1 - 2 * z * u) ** 2).sum()))
+    return normal_sf(root + math.log(curve / root) / root)
 
 
 def form_sf(q: float, lam: np.ndarray, use_saddlepoint: bool = False) -> float:

@@ -33,11 +33,13 @@ class Null:
     deviance: float
 
 
-def design(samples: DataFrame, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> DataFrame:
+def design(samples: DataFrame, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = (), max_levels: int = 100) -> DataFrame:
     """samples with x: intercept, numbers, and indicators of all but the last level."""
     parts = [F.lit(1.0), *(F.col(c).cast("double") for c in numeric)]
     for c in categorical:
-        levels = [r[0] for r in samples.select(F.col(c).cast("string")).distinct().orderBy(F.col(c).cast("string")).collect()]
+        levels = [r[0] for r in samples.select(F.col(c).cast("string")).distinct().orderBy(F.col(c).cast("string")).limit(max_levels + 2).collect()]
+        if len(levels) - 1 > max_levels:
+            raise ValueError(f"covariate {c} has over {max_levels} levels")
         parts += [(F.col(c).cast("string") == level).cast("double") for level in levels[:-1]]
     return samples.withColumn("x", F.array(*parts))
 
