@@ -254,7 +254,8 @@ def near_fingerprints(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col
 SIGNATURE_WORDS = 4  # 64-bit words of a signature
 TABLES = 16  # bit orders: each starts the trie at other bits of the signature
 TABLE_LEAVES = 256  # texts in a node where a table's trie is cut, on average
-BLOCK = 1_024  # texts that are compared in one task; larger nodes and groups are cut into pairs of blocks
+BLOCK = 1_024  # signatures that are compared in one task; larger nodes are cut into pairs of blocks
+SET_BLOCK = 256  # shingle sets that are compared in one task; larger groups are cut likewise
 SIGNATURE_BUDGET = 44  # differing bits of candidates: similar sets differ in 25 of 256 on average, others in 128
 CANDIDATE_SHINGLE = 2
 BROADCAST_ROWS = 1_000_000
@@ -343,10 +344,10 @@ def similar_sets(group: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"u": row[linked], "v": row[root[linked]]})
 
 
-def in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with columns one, two and part: a group of over BLOCK rows becomes pairs of blocks that meet once each."""
-    large = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    large = save(large.select(*(F.col(k).alias(f"large_{k}") for k in keys), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+def in_blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows with columns one, two and part: a group of over block rows becomes pairs of blocks that meet once each."""
+    large = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > block)
+    large = save(large.select(*(F.col(k).alias(f"large_{k}") for k in keys), F.ceil(F.col("size") / block).cast("int").alias("blocks")))
     if not large.head(1):
         zero = F.lit(0)
         return rows.select("*", zero.alias("one"), zero.alias("two"), zero.alias("part"))
@@ -383,7 +384,7 @@ def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), node(t).alias("node")) for t in range(TABLES if depth else 1))))
     leaves = classes.select("row", *names, tables.alias("at")).select("row", *names, "at.t", "at.node")
     candidates = save(
-        in_blocks(leaves, ["t", "node"]).groupBy("t", "node", "one", "two").applyInArrow(lambda group: close_signatures(group), "u long, v long").distinct()
+        in_blocks(leaves, ["t", "node"], BLOCK).groupBy("t", "node", "one", "two").applyInArrow(lambda group: close_signatures(group), "u long, v long").distinct()
     )
     links = candidates
     if candidates.head(1):
@@ -391,7 +392,7 @@ def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         sets = docs.join(few(group), docs.row == group.node).select("row", "text", "root").mapInArrow(shingle_sets(shingle), "row long, root long, shingles binary")
         members = save(sets.join(classes.select("row", *names), "row"))
         links = save(
-            in_blocks(members, ["root"])
+            in_blocks(members, ["root"], SET_BLOCK)
             .groupBy("root", "one", "two")
             .applyInArrow(lambda group: similar_sets(group, similarity), "u long, v long")
         )

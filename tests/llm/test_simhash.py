@@ -110,6 +110,7 @@ def near_rows(seed):
 def test_near_duplicates(spark, monkeypatch):
     for block in (1024, 5):
         monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "SET_BLOCK", block)
         rows = near_rows(block)
         docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
         docs = simhash.save(docs)
