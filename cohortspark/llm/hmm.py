@@ -40,7 +40,7 @@ FULL_PASSES = 2
 SEGMENT = 256  # tokens in a training segment
 COUNT_BINS = 20_000  # counts from here on fall into one bin when the most frequent words are sought
 STEP_TOKENS = 400_000  # tokens of the segments that are trained in step
-FLUSH_WORDS = 300_000  # distinct words a task counts before it sends them on
+FLUSH_WORDS = 100_000  # distinct words a task counts before it sends them on
 PRIOR = 20.0  # tokens of overall frequencies that smooth a state's emissions
 
 
@@ -298,7 +298,7 @@ def score_batches(model, shared):
                 waiting.append(ids)
                 where.append(n)
                 size += len(ids)
-                if size > 4 * STEP_TOKENS:
+                if size > 2 * STEP_TOKENS:
                     flush()
                     waiting, where, size = [], [], 0
             if waiting:
