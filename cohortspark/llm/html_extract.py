@@ -8,9 +8,10 @@ blocks as hashes; Spark counts pages by (host, node, hash), salted by the hash i
 * content importance: 1 - the mean entropy, in base m, of the node's content features over these pages.
 
 A node is noise if neither reaches a threshold and enough pages have it.  A second pass over each whole page drops
-branches of noise nodes and those whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert,
-form or comment list, and writes out the remaining blocks.  Text inside an article or main element is never dropped
-for being common.  If nothing remains of a page without such an element, noise nodes of the style tree are kept.
+the text of noise nodes, and branches whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert,
+form or comment list, and writes out the remaining blocks.  Every node is judged by its own importance, wherever it
+stands; that it stands in an article or main element is a prior, which lowers the threshold.  If nothing remains of a
+page, noise nodes of the style tree are kept.
 
 Noise nodes are broadcast while their number is below a bound; beyond it they are joined by host.  A null html gives an
 empty text; a null url the empty host; repeated rows are extracted one by one; extra columns are ignored.
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .runtime import save
 
 THRESHOLD = 0.5  # importance below which a node is noise
+MAIN_THRESHOLD = 0.25  # the same inside article and main
 LEAST_PAGES = 5  # pages of a host that must have a node before it can be noise
 BROADCAST_NODES = 200_000
 DEPTH = 512  # elements opened inside so many others count as their siblings, as in browsers
@@ -193,17 +195,16 @@ def features(page: str) -> set[tuple[int, bool, int]]:
 
 
 def extract(page: str, noise: set[int] | frozenset[int]) -> str:
-    kept, fallback, main = [], [], []
+    """Text of a page; noise holds nodes below THRESHOLD, and the complement of those below MAIN_THRESHOLD."""
+    kept, fallback = [], []
     for where, text in blocks(page):
         last = where[-1]
         if last.noise:
             continue
         fallback.append(text)
-        if last.is_main:
-            main.append(text)
-        if not any(e.path in noise for e in where):
+        if (~last.path if last.is_main else last.path) not in noise:
             kept.append(text)
-    return "\n".join(main or kept or fallback)
+    return "\n".join(kept or fallback)
 
 
 def node_features(pages: DataFrame) -> DataFrame:
@@ -253,10 +254,12 @@ def with_host(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row."""
     source = with_host(pages)
+    importance = F.greatest("presentation", "content")
+    known = F.when(importance < MAIN_THRESHOLD, F.array("node", F.bitwise_not("node"))).otherwise(F.array("node"))
     noise = save(
         style_tree(source)
-        .where((F.col("pages") >= LEAST_PAGES) & (F.col("features") > 0) & (F.greatest("presentation", "content") < THRESHOLD))
-        .select("host", "node")
+        .where((F.col("pages") >= LEAST_PAGES) & (F.col("features") > 0) & (importance < THRESHOLD))
+        .select("host", F.explode(known).alias("node"))
     )
     rows = noise.limit(BROADCAST_NODES + 1).toPandas()
     kinds = f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"

@@ -51,3 +51,28 @@ def test_entropy(spark):
     rows = [(i, "http://h/", f"<div>{'same' if i < 4 else i}</div>") for i in range(8)]
     node = style_tree(with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))).where("features > 0").first()
     assert math.isclose(node.content, 1 - 4 * math.log(4) / 8 / math.log(8)) and node.presentation == 0
+
+
+def site_texts(spark, page):
+    rows = [(i, f"https://a.org/{i}", f"<body>{page.format(i=i)}</body>") for i in range(9)]
+    return {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_body_beside_article(spark):
+    got = site_texts(spark, "<article><p>Teaser {i}</p></article><div class=body><p>Story {i}</p></div><div class=top><p>Welcome</p></div>")
+    assert got == {i: f"Teaser {i}\nStory {i}" for i in range(9)}
+
+
+def test_importance_inside_article(spark):
+    got = site_texts(spark, "<article><h1>Head {i}</h1><p class=fixed>All rights</p><div>Posted<p>Story {i}</p></div></article>")
+    assert got == {i: f"Head {i}\nStory {i}" for i in range(9)}
+
+
+def test_article_is_a_prior(spark):
+    # Six of nine pages share a text: an importance of 1 - 6 log 6 / 9 log 9 = 0.46 is noise outside an article only.
+    rows = [(i, "http://h/", f"<article><p>{'same' if i < 6 else i}</p></article><div class=body><p>Story {i}</p></div>") for i in range(9)]
+    got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"{'same' if i < 6 else i}\nStory {i}" for i in range(9)}
+    rows = [(i, u, h.replace("article", "section")) for i, u, h in rows]
+    got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i}" for i in range(9)}
