@@ -127,3 +127,19 @@ def test_near_duplicates_beyond_broadcast(spark, monkeypatch):
     rows = near_rows(9)
     docs = simhash.save(spark.createDataFrame(rows, "doc_id long, text string, row string"))
     assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == near_brute(rows)
+
+
+def test_near_duplicates_of_block_edits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PREFIX_BLOCK", 4, raising=False)
+    rng = random.Random(12)
+    words = [[f"w{rng.randrange(10**9)}" for _ in range(249)] for _ in range(60)]
+    # 196 of 245 shingles, exactly 0.8, or one fewer; and passages that all share without being similar.
+    rows = [(2 * k, " ".join(w[:200])) for k, w in enumerate(words)] + [(2 * k + 1, " ".join(w if k % 3 else w + ["more"])) for k, w in enumerate(words)]
+    rows += [(1000 + k, " ".join(words[0][:60] + [f"x{k}y{j}" for j in range(60)])) for k in range(20)]
+    rows = [(i, t, "x") for i, t in rows]
+    docs = simhash.save(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    want = near_brute(rows)
+    assert len(want) == 20 + 60 + 20
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == want
+    monkeypatch.setattr(simhash, "SIGNATURE_BUDGET", -1)
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == want
