@@ -18,6 +18,17 @@ from .statistics import GROUP
 MARK = "\u0001"  # between a gene and the permutation that it stands for
 
 
+UNREAD = ("covariates", "impute", "pthresh", "kernel", "beta_weights", "hotellings", "bin_epsilon")  # options that no scan follows
+
+
+def refuse_unread(config: AssocConfig) -> None:
+    """An error for options that would change p-values, but that the scans do not follow."""
+    default = AssocConfig()
+    asked = [name for name in UNREAD if getattr(config, name) != getattr(default, name)]
+    if asked:
+        raise ValueError(f"the scans do not follow these options: {', '.join(asked)}")
+
+
 def prepare(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = None, mask: DataFrame | None = None) -> Cohort:
     """The cohort after mask, whitelist, whole-gene union, minor-allele flip, collapsing, frequency filters and gate."""
     variants = cohort.variants
@@ -82,6 +93,7 @@ def statistic(cohort: Cohort, config: AssocConfig) -> DataFrame:
 
 def covariate_scan(cohort: Cohort, config: AssocConfig, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> DataFrame:
     """Ranked analytic p-values of a method with covariates."""
+    refuse_unread(config)
     null = grouped.null_model(grouped.design(cohort.samples, numeric, categorical), config.qtl)
     if config.method in ("RVT1", "RVT2"):
         out = grouped.regression_tests(cohort, null, config.qtl).withColumn("p", F.col(config.method.lower() + "_p"))
@@ -116,6 +128,7 @@ def permuted_statistic(cohort: Cohort, config: AssocConfig, permutations: DataFr
 
 def scan(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     """Filters, observed statistics, permutations in blocks with early stop, multi-transcript correction and ranks."""
+    refuse_unread(config)
     ready = prepare(cohort, config, allowed, mask)
     observed = persist(statistic(ready, config))
     if not config.nperm:

@@ -49,3 +49,12 @@ def test_options(cohort):
     with pytest.raises(ValueError, match="quantitative"):
         AssocConfig(method="VAAST", qtl=True)
     assert AssocConfig(nperm=10, max_perms=4).block == 4
+
+
+@pytest.mark.parametrize(
+    "option", [{"covariates": ("a",)}, {"impute": "af"}, {"pthresh": 0.1}, {"kernel": "Linear"}, {"beta_weights": (1.0, 2.0)}, {"hotellings": True}, {"bin_epsilon": 0.1}]
+)
+def test_options_that_no_scan_follows(option):
+    for scan in (a.scan, a.covariate_scan):
+        with pytest.raises(ValueError, match=f"do not follow these options: {next(iter(option))}"):
+            scan(None, AssocConfig(method="SKAT", **option))
