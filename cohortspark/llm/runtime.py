@@ -36,6 +36,34 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_ROWS = 256  # rows that a key may have at least before they are dealt to several tasks
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """many joined with one on a column of both; the rows of a key with a great share of many's rows go to several tasks.
+
+    many is read three times: it should be saved.  Such keys are at most twice as many as shuffle partitions (or a key for
+    HOT_ROWS rows, in small tables), so that they are broadcast.
+    """
+    most = max(HOT_ROWS, many.count() // (2 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sizes = many.groupBy(F.col(key).alias("hot_")).agg(F.count("*").alias("size_")).where(F.col("size_") > most)
+    hot = save(sizes.select("hot_", F.ceil(F.col("size_") / most).cast("int").alias("lots_")))
+    if not hot.head(1):
+        return many.join(one, key, how)
+    lots = F.coalesce("lots_", F.lit(1))
+    dealt = many.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left").select(*many.columns, F.pmod(F.xxhash64(*many.columns), lots).cast("int").alias("lot_"))
+    copied = one.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left").select(*one.columns, F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot_"))
+    return dealt.join(copied, [key, "lot_"], how).drop("lot_")
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows, marked for a broadcast if they are fewer than BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS).count() < BROADCAST_ROWS else rows
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; -1 for a null id (never a held-out fold)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)), F.lit(-1))

@@ -8,12 +8,6 @@ drops a pair when its budget is spent.  Only links between the components found
 so that a large group of near copies gives few rows.  Components are closed by label propagation with pointer
 jumping; documents get theirs through their fingerprint, so that exact copies never meet as pairs.
 
-`duplicate_rows` finds all groups of texts whose shingle sets are similar to a stated degree, in two steps.  The first
-walks tries of several bit orders of a longer signature, and verifies the Jaccard similarity of the links that hold the
-groups together; it finds most links at little cost.  The second is exact: shingles have one order, the rarest
-first, and two similar sets share one of the first `prefix` shingles of each; pairs that share
-one and aren't in the same group yet are verified, unless sizes, places of the shingle or counts by hash rule them out.
-
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Null or empty texts have the fingerprint zero; rows with equal
 ids or texts keep their rows; a null id never is the smallest id (a group with only null ids has a null component).
 """
@@ -30,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import save, space_words, texts
+from .runtime import save, space_words, spread_join, texts
 
 SEED = 42
 NODE_LEAVES = 512  # fingerprints in a node where the trie is cut, on average
@@ -188,11 +182,11 @@ def components(links: DataFrame) -> DataFrame:
     both = save(links.select("u", "v").union(links.select("v", "u")).distinct())
     labels = save(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("root")))
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("low"))
+        near = spread_join(both, labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("low"))
         step = labels.join(near, labels.node == near.u).select("node", F.least("root", "low").alias("next"), "root")
         step = save(step)
-        up = step.select(F.col("node").alias("at"), F.col("next").alias("higher"))
-        jumped = step.join(up, step.next == up.at, "left").select(
+        up = step.select(F.col("node").alias("next"), F.col("next").alias("higher"))
+        jumped = spread_join(step, up, "next", "left").select(
             "node", F.coalesce(F.least("next", "higher"), "next").alias("root"), (F.col("root") != F.col("next")).alias("moved")
         )
         jumped = save(jumped)
@@ -246,320 +240,7 @@ def near_fingerprints(docs: DataFrame, shingle: int = 3, budget: int = 2, id_col
     linked = save(link_fingerprints(distinct.select("fp"), budget))
     rooted = save(distinct.join(linked.select("fp", "root"), "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return each.join(of_fp, "fp").select(
+    of_fp = spread_join(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
+    return spread_join(each, save(of_fp), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-# Near duplicates by similarity of shingle sets.
-
-SIGNATURE_WORDS = 4  # 64-bit words of a signature
-TABLES = 16  # bit orders: each starts the trie at other bits of the signature
-TABLE_LEAVES = 256  # texts in a node where a table's trie is cut, on average
-BLOCK = 1_024  # signatures that are compared in one task; larger nodes are cut into pairs of blocks
-SET_BLOCK = 256  # shingle sets that are compared in one task; larger groups are cut likewise
-SIGNATURE_BUDGET = 44  # differing bits of candidates: similar sets differ in 25 of 256 on average, others in 128
-CANDIDATE_SHINGLE = 2
-ORDER_SAMPLE = 16  # one text in so many tells which shingles are frequent and come last in the order
-ORDERED_SHINGLES = 200_000  # that are told apart by their number
-COUNTS = 128  # parts of the hash range in which a text's shingles are counted
-MOST = 65_535  # a count this high stands for any number
-PREFIX_BLOCK = 1_024  # texts with one shingle that are compared in one task; more are cut into pairs of blocks
-BROADCAST_ROWS = 1_000_000
-
-
-def spread_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Each 64-bit hash as a row of independent 64-bit words."""
-    out = np.empty((len(hashes), SIGNATURE_WORDS), np.uint64)
-    for k in range(SIGNATURE_WORDS):
-        z = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = z ^ (z >> np.uint64(31))
-    return out
-
-
-def signature(words: list[bytes]) -> np.ndarray:
-    """SimHash of SIGNATURE_WORDS words over the distinct shingles that find candidates."""
-    hashes = np.unique(shingle_hashes(words, CANDIDATE_SHINGLE))
-    return majority(spread_hashes(hashes)) if len(hashes) else np.zeros(SIGNATURE_WORDS, np.uint64)
-
-
-def prefix(size: int, similarity: float) -> int:
-    """How many shingles of a set, in a fixed order, meet those of any set at least as similar."""
-    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
-
-
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f"s{k}" for k in range(SIGNATURE_WORDS)]
-    for batch in batches:
-        keys, out = [], []
-        for text in texts(batch, "text"):
-            words = space_words(text)
-            keys.append(xxhash.xxh128_digest(b" ".join(words)))
-            out.append(signature(words))
-        bits = np.array(out, np.uint64).reshape(-1, SIGNATURE_WORDS).view(np.int64)
-        columns = [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SIGNATURE_WORDS))], names=["row", "doc_id", "key", *names])
-
-
-def close_signatures(group: pa.Table) -> pa.Table:
-    """Links of the rows of one node (or of two blocks of it) whose signatures are close, to their component's first row."""
-    row = group.column("row").to_numpy()
-    order = np.argsort(row)
-    row, part = row[order], group.column("part").to_numpy()[order]
-    bits = np.column_stack([group.column(f"s{k}").to_numpy() for k in range(SIGNATURE_WORDS)])[order].view(np.uint64)
-    label = np.arange(len(row))
-    a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
-    for at in range(0, len(a), 128):
-        mine = a[at : at + 128]
-        far = sum(np.bitwise_count(bits[mine, None, k] ^ bits[None, b, k]).astype(np.int16) for k in range(SIGNATURE_WORDS))
-        i, j = np.nonzero(far <= SIGNATURE_BUDGET)
-        unite(label, mine[i], b[j])
-    linked = np.flatnonzero(label != np.arange(len(row)))
-    return pa.table({"u": row[linked], "v": row[label[linked]]})
-
-
-def similar_sets(group: pa.Table, similarity: float) -> pa.Table:
-    """Links of the rows of one candidate group (or of two blocks of it) whose shingle sets are similar enough."""
-    row = group.column("row").to_numpy()
-    order = np.argsort(row)
-    row, part = row[order], group.column("part").to_numpy()[order]
-    packed = group.column("shingles").to_pylist()
-    sets = [np.frombuffer(packed[k], np.uint64) for k in order]
-    sizes = np.array([len(s) for s in sets])
-    bits = np.column_stack([group.column(f"s{k}").to_numpy() for k in range(SIGNATURE_WORDS)])[order].view(np.uint64)
-    a, b = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
-    i, j = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
-    ok = (i < j) if part.min() == part.max() else np.ones(len(i), bool)
-    ok &= np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
-    i, j = i[ok], j[ok]
-    far = sum(np.bitwise_count(bits[i, k] ^ bits[j, k]).astype(np.int16) for k in range(SIGNATURE_WORDS)) if len(i) else np.empty(0)
-    order = np.argsort(far, kind="stable")  # the likeliest links first: others inside a component need no look
-    label = np.arange(len(row))
-
-    def find(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = int(label[x])
-        return x
-
-    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p == q:
-            continue
-        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        if both >= similarity * (sizes[x] + sizes[y] - both):
-            label[max(p, q)] = min(p, q)
-    root = np.array([find(k) for k in range(len(row))])
-    linked = np.flatnonzero(root != np.arange(len(row)))
-    return pa.table({"u": row[linked], "v": row[root[linked]]})
-
-
-def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (in order) and counts of shingles that are frequent in a sample of docs.
-
-    They only serve to put shingles in order, the frequent ones last: any order finds the same pairs.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in texts(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(space_words(text), shingle)).view(np.int64))], names=["shingle"])
-
-    sample = docs.where(F.pmod(F.xxhash64("row"), F.lit(ORDER_SAMPLE)) == 0).select("text").mapInArrow(run, "shingle long")
-    counts = sample.groupBy("shingle").agg(F.count("*").alias("count")).where("count > 1")
-    found = counts.orderBy(F.desc("count"), "shingle").limit(ORDERED_SHINGLES).toPandas()
-    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found["count"].to_numpy(np.int64)[order]
-
-
-def postings(shingle: int, similarity: float, shared):
-    """A row for each shingle of each text's prefix, with its place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
-        for batch in batches:
-            heads, sizes = [], []
-            for text in texts(batch, "text"):
-                found = np.unique(shingle_hashes(space_words(text), shingle))
-                if len(common):
-                    place = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    found = found[np.argsort(np.where(common[place] == found, counts[place], 0), kind="stable")]
-                sizes.append(len(found))
-                heads.append(found[: prefix(len(found), similarity)].view(np.int64))
-            lengths = np.array([len(h) for h in heads], np.int64)
-            of = pa.array(np.repeat(np.arange(len(heads)), lengths))
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            columns = [batch.column("row").take(of), batch.column("root").take(of), pa.array(sizes, pa.int32()).take(of), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*heads, np.empty(0, np.int64)])), *columns], names=["shingle", "row", "root", "n", "at"])
-
-    return run
-
-
-def most_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Shingles that sets can share at most, by their counts of shingles in each part of the hash range."""
-    both = np.minimum(one, two)
-    return np.where((both == MOST).any(axis=-1), np.inf, both.sum(axis=-1, dtype=np.int64))
-
-
-def prefix_pairs(group: pa.Table, similarity: float) -> pa.Table:
-    """Pairs of rows of different roots with a shingle in common (or with one in each of two blocks) that may be similar.
-
-    Sizes, the places of the shingle and counts of shingles by hash rule out pairs that cannot be.
-    """
-    shingle = group.column("shingle").to_numpy()
-    order = np.argsort(shingle, kind="stable")
-    shingle = shingle[order]
-    row, root, n, at, part = (group.column(c).to_numpy().astype(np.int64)[order] for c in ("row", "root", "n", "at", "part"))
-    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint16).reshape(-1, COUNTS)[order]
-    ends = np.flatnonzero(np.append(shingle[1:] != shingle[:-1], True)) + 1
-    found = [np.empty((0, 2), np.int64)]
-    for first, last in zip(np.append(0, ends[:-1]), ends, strict=True):
-        mine = part[first:last]
-        a, b = first + np.flatnonzero(mine == mine.min()), first + np.flatnonzero(mine == mine.max())
-        for k in range(0, len(a), 128):
-            i = a[k : k + 128, None]
-            ok = (root[i] != root[b]) & (np.minimum(n[i], n[b]) >= similarity * np.maximum(n[i], n[b]) - 1e-6)
-            ok &= (np.minimum(at[i], at[b]) + np.minimum(n[i] - at[i], n[b] - at[b])) * (1 + similarity) >= similarity * (n[i] + n[b]) - 1e-6
-            x, y = np.nonzero(ok)
-            x, y = i[x, 0], b[y]
-            for h in range(0, len(x), 16_384):
-                u, v = x[h : h + 16_384], y[h : h + 16_384]
-                near = most_shared(counts[u], counts[v]) * (1 + similarity) >= similarity * (n[u] + n[v]) - 1e-6
-                u, v = row[u[near]], row[v[near]]
-                found.append(np.column_stack((np.minimum(u, v), np.maximum(u, v))))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"u": np.ascontiguousarray(pairs[:, 0]), "v": np.ascontiguousarray(pairs[:, 1])})
-
-
-def counted_sets(size: int):
-    """Each text's shingles, and how many fall into each part of the hash range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(space_words(t), size)) for t in texts(batch, "text")]
-            counts = [np.minimum(np.bincount((s % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), MOST).astype(np.uint16).tobytes() for s in sets]
-            columns = [batch.column("row"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "shingles", "counts"])
-
-    return run
-
-
-def similar_pairs(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def missed_links(docs: DataFrame, rooted: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """All links of at least the similarity between rows of rooted (row, root) with different roots."""
-    heads = docs.join(few(rooted.select(F.col("row").alias("node"), "root")), docs.row == F.col("node")).select("row", "root", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
-    posted = save(heads.mapInArrow(postings(shingle, similarity, shared), "shingle long, row long, root long, n int, at int"))
-    # Rows of one root need no look; most shingles stay inside one.
-    several = posted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    met = save(posted.join(few(save(several)), "shingle"))
-    wanted = save(met.select(F.col("row").alias("node")).distinct())
-    sets = docs.join(few(wanted), docs.row == F.col("node")).select("row", "text")
-    sets = save(sets.mapInArrow(counted_sets(shingle), "row long, shingles binary, counts binary"))
-    lots = max(1, met.count() // PREFIX_BLOCK)
-    blocks = in_blocks(met, ["shingle"], PREFIX_BLOCK).join(sets.select("row", "counts"), "row")
-    blocks = blocks.withColumn("lot", F.pmod(F.xxhash64("shingle"), F.lit(lots)))
-    pairs = save(blocks.groupBy("lot", "one", "two").applyInArrow(lambda group: prefix_pairs(group, similarity), "u long, v long").distinct())
-    first, second = (sets.select(F.col("row").alias(c), F.col("shingles").alias(name)) for c, name in (("u", "one"), ("v", "two")))
-    return save(pairs.join(first, "u").join(second, "v").select("u", "v", "one", "two").mapInArrow(similar_pairs(similarity), "u long, v long"))
-
-
-def in_blocks(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Rows with columns one, two and part: a group of over block rows becomes pairs of blocks that meet once each."""
-    large = rows.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > block)
-    large = save(large.select(*(F.col(k).alias(f"large_{k}") for k in keys), F.ceil(F.col("size") / block).cast("int").alias("blocks")))
-    if not large.head(1):
-        zero = F.lit(0)
-        return rows.select("*", zero.alias("one"), zero.alias("two"), zero.alias("part"))
-    same = [F.col(k) == F.col(f"large_{k}") for k in keys]
-    cut = rows.join(large, same, "left").select(*rows.columns, F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut.select(*rows.columns, F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part")
-
-
-def few(rows: DataFrame) -> DataFrame:
-    """rows, marked for a broadcast if they are fewer than BROADCAST_ROWS."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS).count() < BROADCAST_ROWS else rows
-
-
-def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, kept_row) of the rows that a kept row of their group stands for; docs has row, doc_id and text.
-
-    A group is a component of links between texts with equal words or with shingle sets of at least the similarity.
-    Its row with the smallest doc_id stays (nulls last, then the smallest row).
-    """
-    names = [f"s{k}" for k in range(SIGNATURE_WORDS)]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    each = save(docs.select("row", "doc_id", "text").mapInArrow(signatures, f"row long, doc_id {kind}, key binary, " + ", ".join(f"{s} long" for s in names)))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = save(each.groupBy("key").agg(F.min(first).alias("first"), *(F.min(s).alias(s) for s in names)).select("first", F.col("first.row").alias("row"), "key", *names))
-    depth = min(48, trie_depth(classes.count(), TABLE_LEAVES))
-
-    def node(t: int):
-        word, turn = F.col(f"s{t * SIGNATURE_WORDS // TABLES}"), 16 * (t % (TABLES // SIGNATURE_WORDS))
-        turned = F.shiftleft(word, turn).bitwiseOR(F.shiftrightunsigned(word, 64 - turn)) if turn else word
-        return F.shiftrightunsigned(turned, 64 - depth) if depth else F.lit(0).cast("long")
-
-    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), node(t).alias("node")) for t in range(TABLES if depth else 1))))
-    leaves = classes.select("row", *names, tables.alias("at")).select("row", *names, "at.t", "at.node")
-    candidates = save(
-        in_blocks(leaves, ["t", "node"], BLOCK).groupBy("t", "node", "one", "two").applyInArrow(lambda group: close_signatures(group), "u long, v long").distinct()
-    )
-    links = candidates
-    if candidates.head(1):
-        group = components(candidates)
-        sets = docs.join(few(group), docs.row == group.node).select("row", "text", "root").mapInArrow(shingle_sets(shingle), "row long, root long, shingles binary")
-        members = save(sets.join(classes.select("row", *names), "row"))
-        links = save(
-            in_blocks(members, ["root"], SET_BLOCK)
-            .groupBy("root", "one", "two")
-            .applyInArrow(lambda group: similar_sets(group, similarity), "u long, v long")
-        )
-    rooted = save(with_roots(classes, links))
-    missed = missed_links(docs, rooted, shingle, similarity)
-    if missed.head(1):
-        rooted = with_roots(classes, links.unionByName(missed))
-    kept = rooted.groupBy(F.col("root").alias("top")).agg(F.min("first").alias("kept"))
-    of_key = rooted.join(kept, rooted.root == kept.top).select(F.col("key").alias("of"), F.col("kept.row").alias("kept_row"))
-    return each.join(of_key, each.key == of_key.of).where("row <> kept_row").select("row", "kept_row")
-
-
-def with_roots(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """key, first, row and the smallest row that links reach."""
-    if not links.head(1):
-        return classes.select("key", "first", "row", F.col("row").alias("root"))
-    return classes.join(components(links), classes.row == F.col("node"), "left").select("key", "first", "row", F.coalesce("root", "row").alias("root"))
-
-
-def shingle_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(space_words(t), size)).tobytes() for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("root"), pa.array(sets, pa.binary())], names=["row", "root", "shingles"])
-
-    return run
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the rows that another row of their group of near duplicates stands for; all columns kept."""
-    place, gone_place = "near_place_", "near_gone_"
-    numbered = docs.select(F.monotonically_increasing_id().alias(place), *docs.columns)
-    gone = save(duplicate_rows(numbered.select(F.col(place).alias("row"), "doc_id", "text"), shingle, similarity).select(F.col("row").alias(gone_place)))
-    return numbered.join(few(gone), F.col(place) == F.col(gone_place), "left_anti").select(*docs.columns)

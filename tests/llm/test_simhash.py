@@ -72,74 +72,3 @@ def test_query(spark, monkeypatch):
     want = sorted((str(d), f"{f:016x}", str(min((x for x in ids[r] if x is not None), default=None))) for (d, _, _), f, r in zip(rows, fps, label, strict=True))
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
     assert near_fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def near_brute(rows, similarity=0.8):
-    sets = []
-    for _, t, _ in rows:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    label = list(range(len(rows)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            for j in range(i):
-                union = len(sets[i] | sets[j])
-                if (len(sets[i] & sets[j]) >= similarity * union if union else True) and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
-    groups = {}
-    for n, root in enumerate(label):
-        groups.setdefault(root, []).append(n)
-    return sorted(str(min((rows[n][0] is None, rows[n][0]) for n in g)[1]) for g in groups.values())
-
-
-def near_rows(seed):
-    rng = random.Random(seed)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 6)))
-    rows = []
-    for _ in range(25):
-        base = [word() for _ in range(rng.choice([8, 60, 200]))]
-        for _ in range(rng.choice([1, 1, 3, 12])):
-            copy = [word() if rng.random() < rng.choice([0, 0.004, 0.01, 0.05]) else w for w in base]
-            rows.append((len(rows), " ".join(copy), "x"))
-    return rows + [(900, None, "x"), (901, "", "x"), (902, " one  Two", "x"), (903, "one two", "x"), (None, rows[0][1], "x"), (3, rows[3][1], "x")]
-
-
-def test_near_duplicates(spark, monkeypatch):
-    for block in (1024, 5):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        monkeypatch.setattr(simhash, "SET_BLOCK", block)
-        rows = near_rows(block)
-        docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
-        docs = simhash.save(docs)
-        got = simhash.drop_near_duplicates(docs)
-        assert got.columns == docs.columns
-        assert sorted(str(r.doc_id) for r in got.collect()) == near_brute(rows)
-    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
-    assert simhash.drop_near_duplicates(docs.where("doc_id = 1")).count() == 1
-
-
-def test_near_duplicates_beyond_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(simhash, "TABLE_LEAVES", 16)
-    rows = near_rows(9)
-    docs = simhash.save(spark.createDataFrame(rows, "doc_id long, text string, row string"))
-    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == near_brute(rows)
-
-
-def test_near_duplicates_of_block_edits(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PREFIX_BLOCK", 4, raising=False)
-    rng = random.Random(12)
-    words = [[f"w{rng.randrange(10**9)}" for _ in range(249)] for _ in range(60)]
-    # 196 of 245 shingles, exactly 0.8, or one fewer; and passages that all share without being similar.
-    rows = [(2 * k, " ".join(w[:200])) for k, w in enumerate(words)] + [(2 * k + 1, " ".join(w if k % 3 else w + ["more"])) for k, w in enumerate(words)]
-    rows += [(1000 + k, " ".join(words[0][:60] + [f"x{k}y{j}" for j in range(60)])) for k in range(20)]
-    rows = [(i, t, "x") for i, t in rows]
-    docs = simhash.save(spark.createDataFrame(rows, "doc_id long, text string, row string"))
-    want = near_brute(rows)
-    assert len(want) == 20 + 60 + 20
-    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == want
-    monkeypatch.setattr(simhash, "SIGNATURE_BUDGET", -1)
-    assert sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect()) == want
