@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortspark.llm import quality, toxicity
 from cohortspark.llm.bpe import encode_digests
 from cohortspark.llm.decontaminate import remove_leaks
+from cohortspark.llm.near import drop_near_duplicates
 from cohortspark.llm.queries import word_bpe
 from cohortspark.llm.runtime import save, table
-from cohortspark.llm.simhash import drop_near_duplicates
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
