@@ -33,6 +33,8 @@ from .simhash import components, link_fingerprints, majority, shingle_hashes
 SKETCH_WORDS = 8  # 64-bit words of a parity sketch
 TRIE_BUDGET = 2
 STARS = 2
+ROWS_AT_ONCE = 1_000
+SHARE = 3  # one shingle in so many is looked at when texts without a partner leave first
 SKETCH = [f"b{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -52,7 +54,7 @@ def shingle_sets(size: int) -> Callable:
     """Per text: its number of shingles, SimHash, parity sketch and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             sets = [np.unique(shingle_hashes(space_words(t), size)) for t in texts(batch, "text")]
             sizes = np.array([len(s) for s in sets], np.int32)
             prints = np.array([majority(s)[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
@@ -61,6 +63,7 @@ def shingle_sets(size: int) -> Callable:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
             columns = [batch.column("row"), pa.array(sizes), pa.array(prints), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "fp", *SKETCH, "shingles"])
+        pa.default_memory_pool().release_unused()  # the worker stays for stages that need none of it
 
     return run
 
@@ -86,16 +89,26 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def covered(sets: DataFrame, similarity: float) -> DataFrame:
-    """(row, n) of the texts that share enough shingles with other texts left, until hardly any more leave."""
-    left = sets.select("row", "n").where("n > 0")
+    """(row, n) of the texts that share enough shingles with other texts left, until hardly any more leave.
+
+    First by one shingle in SHARE: of those, too, at most n - t n may be missing elsewhere.
+    """
+    left, share = sets.select("row", "n").where("n > 0"), SHARE
     size = left.count()
     while True:
-        each = few(left).join(sets.select("row", "shingles"), "row").select("row", "n", F.explode("shingles").alias("shingle"))
+        looked = F.filter("shingles", lambda s: F.pmod(s, F.lit(share)) == 0) if share > 1 else F.col("shingles")
+        known = sets.where("n > 0") if share > 1 else few(left).join(sets.select("row", "shingles"), "row")
+        each = known.select("row", "n", F.explode(looked).alias("shingle"), F.size(looked).alias("seen"))
         shared = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle")
-        counts = each.join(shared, "shingle", "left_semi").groupBy("row", "n").agg(F.count("*").alias("found"))
-        left = save(counts.where(F.col("found") >= similarity * F.col("n") - 1e-9).select("row", "n"))
-        before, size = size, left.count()
-        if size > 0.9 * before or not size:
+        counts = each.join(shared, "shingle", "left_semi").groupBy("row", "n", "seen").agg(F.count("*").alias("found"))
+        missing = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
+        kept = counts.where(F.col("seen") - F.col("found") <= missing).select("row", "n")
+        if share > 1:  # texts none of whose shingles is looked at, or may be missing
+            unseen = sets.where("n > 0").select("row", "n", F.size(looked).alias("seen")).where(F.col("seen") <= missing).select("row", "n")
+            kept = kept.unionByName(unseen).distinct()
+        left, before, share, first = save(kept), size, 1, share > 1
+        size = left.count()
+        if not size or (not first and size > 0.9 * before):
             return left
 
 

@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a space.
 WORD_BYTES = bytes(
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A fresh path below the folder that driver and executors share (spark.checkpoint.dir); only a local master gets one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cohortspark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/cohortspark-{uuid.uuid4().hex}"
@@ -42,17 +45,22 @@ HOT_ROWS = 256  # rows that a key may have at least before they are dealt to sev
 def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """many joined with one on a column of both; the rows of a key with a great share of many's rows go to several tasks.
 
-    many is read three times: it should be saved.  Such keys are at most twice as many as shuffle partitions (or a key for
-    HOT_ROWS rows, in small tables), so that they are broadcast.
+    many is read three times: it should be saved.  Such keys are at most twice as many as shuffle partitions, whatever the
+    size of many; they go through the driver.
     """
-    most = max(HOT_ROWS, many.count() // (2 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spark = many.sparkSession
+    rows = many.count()
+    most = max(HOT_ROWS, rows // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    if rows <= most:
+        return many.join(one, key, how)
     sizes = many.groupBy(F.col(key).alias("hot_")).agg(F.count("*").alias("size_")).where(F.col("size_") > most)
-    hot = save(sizes.select("hot_", F.ceil(F.col("size_") / most).cast("int").alias("lots_")))
-    if not hot.head(1):
+    hot = [(r.hot_, -(-r.size_ // most)) for r in sizes.where("hot_ is not null").collect()]
+    if not hot:
         return many.join(one, key, how)
+    listed = F.broadcast(spark.createDataFrame(hot, StructType([StructField("hot_", many.schema[key].dataType), StructField("lots_", IntegerType())])))
     lots = F.coalesce("lots_", F.lit(1))
-    dealt = many.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left").select(*many.columns, F.pmod(F.xxhash64(*many.columns), lots).cast("int").alias("lot_"))
-    copied = one.join(F.broadcast(hot), F.col(key) == F.col("hot_"), "left").select(*one.columns, F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot_"))
+    dealt = many.join(listed, F.col(key) == F.col("hot_"), "left").select(*many.columns, F.pmod(F.xxhash64(*many.columns), lots).cast("int").alias("lot_"))
+    copied = one.join(listed, F.col(key) == F.col("hot_"), "left").select(*one.columns, F.explode(F.sequence(F.lit(0), lots - 1)).alias("lot_"))
     return dealt.join(copied, [key, "lot_"], how).drop("lot_")
 
 
