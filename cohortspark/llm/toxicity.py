@@ -1,7 +1,7 @@
 """Toxicity: linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased, ASCII punctuation becomes a space, and every byte n-gram of 4 to 6 bytes (a space at either
-end of each word) is hashed into one of 2^21 buckets; presence counts, not frequency.  Training takes a bounded
+Texts are lower-cased, ASCII punctuation becomes a space, and every n-gram of 4 to 6 characters (code points; a space at
+either end of each word) is hashed into one of 2^21 buckets; presence counts, not frequency.  Training takes a bounded
 sample of labelled rows: document counts by class are summed over partitions, the most telling buckets stay, each
 feature is its log-count ratio, and a logistic regression over them is fitted.  Scoring is one pass over each whole
 text without a shuffle; its model is as large as the number of features that stay, which is a parameter.
@@ -25,7 +25,9 @@ from .samples import labelled_sample
 
 SIZES = (4, 5, 6)
 BUCKET_BITS = 21
-CHUNK_BYTES = 1 << 20  # of text whose n-grams are hashed at once, but always whole texts
+CHUNK_CHARS = 1 << 20  # of text whose n-grams are hashed at once, but always whole texts
+# Odd multipliers, one for each place of an n-gram.
+PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * k)) % 2**64 | 1) for k in range(max(SIZES))]
 TRAIN_ROWS = 16_000  # bound of the labelled sample
 FEATURES = 8_192
 FEATURES_PER_ROW = 4
@@ -39,39 +41,40 @@ class Model:
     intercept: float
 
 
-def normalized(text: str) -> bytes:
-    return b" " + b" ".join((text if text.isascii() else text.lower()).encode().translate(WORD_BYTES).split()) + b" "
+def normalized(text: str) -> str:
+    return (b" " + b" ".join((text if text.isascii() else text.lower()).encode().translate(WORD_BYTES).split()) + b" ").decode()
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Normalized texts in chunks, with the number of each chunk's first text."""
     first, chunk, size = 0, [], 0
     for n, text in enumerate(texts):
         chunk.append(normalized(text))
         size += len(chunk[-1])
-        if size >= CHUNK_BYTES or n + 1 == len(texts):
+        if size >= CHUNK_CHARS or n + 1 == len(texts):
             yield first, chunk
             first, chunk, size = n + 1, [], 0
 
 
-def hashed(texts: list[bytes], keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def hashed(texts: list[str], keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of the text, bucket) of every n-gram whose bucket is in keep (a mask), repeats included."""
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    data = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.cumsum([len(t) for t in texts])
-    packed = data
+    mixed = data * PLACES[0]
     for n in range(2, max(SIZES) + 1):
         if len(data) < n:
             return
-        packed = packed[: len(data) - n + 1] | data[n - 1 :] << np.uint64(8 * (n - 1))
+        mixed = mixed[: len(data) - n + 1] + data[n - 1 :] * PLACES[n - 1]
         if n in SIZES:
-            bucket = ((packed + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+            z = mixed ^ mixed >> np.uint64(29)
+            bucket = ((z + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
             at = np.flatnonzero(keep[bucket])
             doc = np.searchsorted(ends, at, "right")
             inside = at + n <= ends[doc]
             yield doc[inside], bucket[at[inside]]
 
 
-def features(texts: list[bytes], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[str], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs, sorted."""
     found = [d << BUCKET_BITS | b for d, b in hashed(texts, keep)]
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)

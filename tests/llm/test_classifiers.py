@@ -60,13 +60,38 @@ def test_identity():
 
 
 def test_ngrams():
-    texts = [toxicity.normalized("Ab cd!"), toxicity.normalized("ÉA ab")]
+    texts = [toxicity.normalized("Ab cd!"), toxicity.normalized("ÉA ab"), toxicity.normalized("漢字かな交じり文 дом")]
+    assert texts[1] == " éa ab "
     keep = np.ones(1 << toxicity.BUCKET_BITS, bool)
     doc, bucket = toxicity.features(texts, keep)
     for k, t in enumerate(texts):
         want = set()
         for n in toxicity.SIZES:
             for at in range(len(t) - n + 1):
-                packed = int.from_bytes(t[at : at + n], "little") + n
-                want.add((packed * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BUCKET_BITS))
+                mixed = sum(ord(c) * int(m) for c, m in zip(t[at : at + n], toxicity.PLACES, strict=False)) % 2**64
+                want.add(((mixed ^ mixed >> 29) + n) * 0x9E3779B97F4A7C15 % 2**64 >> (64 - toxicity.BUCKET_BITS))
         assert set(bucket[doc == k].tolist()) == want
+
+
+def test_fits_against_slow_ones(spark):
+    """The log-count ratios against sets of n-grams, and the fitted weights against plain gradient descent."""
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice(["good", "fine", "word"] if k % 2 else ["awful", "bad", "word"]) for _ in range(8)), float(k % 2 == 0)) for k in range(60)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label double"), 64)
+    sets = []
+    for text, _ in rows:
+        doc, bucket = toxicity.features([toxicity.normalized(text)], np.ones(1 << toxicity.BUCKET_BITS, bool))
+        sets.append(set(bucket.tolist()))
+    y = np.array([v for _, v in rows])
+    ratio = []
+    for b in model.buckets.tolist():
+        p, q = (sum(b in s for s, v in zip(sets, y, strict=True) if v == side) + 0.5 for side in (1.0, 0.0))
+        ratio.append(np.log((p / (y.sum() + 1)) / (q / ((1 - y).sum() + 1))))
+    x = np.array([[r * (b in s) for b, r in zip(model.buckets.tolist(), ratio, strict=True)] for s in sets])
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(20_000):
+        left = (toxicity.sigmoid(x @ w + b) - y) / len(y)
+        w, b = w - 0.05 * (x.T @ left + 1e-3 * w), b - 0.05 * left.sum()
+    slow = toxicity.sigmoid(x @ w + b)
+    fast = toxicity.scores(model, [t for t, _ in rows])
+    assert np.abs(slow - fast).max() < 0.05 and ((fast > 0.5) == y.astype(bool)).all()
