@@ -5,11 +5,10 @@ training texts are summed over partitions.  The `emitted` most frequent tokens h
 state; all other words share one class, whose members follow one discounted distribution that keeps mass for the
 single outcome "unknown word", so that the model is a probability over the same V + 1 outcomes as the base score.
 
-Baum-Welch: every task runs scaled forward and backward recursions over its texts (cut into segments; each segment
-after a text's first starts from the state shares so far) and emits expected counts, which Spark sums by token; the
-driver only normalizes tables of a bounded size (`emitted` x states).  A few warm passes over a hashed share of the
-training texts set the states up; the last passes take in every training text.  Scoring runs the forward recursion
-over each whole text, many texts in step.
+Every text is tokenized once, to numbers of its words.  Baum-Welch: every task runs scaled forward and backward recursions over
+whole texts, many of like length in step, and emits expected counts, which Spark sums by token; the driver only
+normalizes tables of a bounded size (`emitted` x states).  Every pass takes in every training text; a task holds about
+100 bytes for each token of the texts in step, and at least one whole text.  Scoring runs the forward recursion alone.
 
 Counts of the `known` most frequent words are broadcast (a bounded number); counts of all others come from a join on
 the words, of which each text sends every distinct one once.
@@ -35,11 +34,9 @@ END = b"\n"  # no word holds white space
 STATES = 8
 EMITTED = 1 << 15
 KNOWN = 1 << 18
-WARM_PASSES, WARM_SHARE = 4, 8  # passes over one in so many training texts
-FULL_PASSES = 2
-SEGMENT = 256  # tokens in a training segment
+PASSES = 4  # over all training texts
 COUNT_BINS = 20_000  # counts from here on fall into one bin when the most frequent words are sought
-STEP_TOKENS = 400_000  # tokens of the segments that are trained in step
+STEP_TOKENS = 400_000  # tokens of the texts that go in step
 FLUSH_WORDS = 100_000  # distinct words a task counts before it sends them on
 PRIOR = 20.0  # tokens of overall frequencies that smooth a state's emissions
 
@@ -72,7 +69,6 @@ class Hmm:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray  # tokens x states; the last row is the shared class
-    share: np.ndarray  # of tokens in each state, where segments start
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +121,7 @@ def first_model(lex: Lexicon, states: int = STATES, seed: int = 11) -> Hmm:
     overall = overall_share(lex)
     emit = overall[:, None] * rng.gamma(2.0, 0.5, (len(overall), states))
     move = np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1))
-    return Hmm(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), np.full(states, 1 / states))
+    return Hmm(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 def overall_share(lex: Lexicon) -> np.ndarray:
@@ -184,11 +180,10 @@ def forward(model: Hmm, steps: Steps, start: np.ndarray, keep: bool) -> tuple[np
     return total, alphas, scales
 
 
-def expect(model: Hmm, sequences: list[np.ndarray], is_first: np.ndarray, counts: dict[str, np.ndarray]) -> None:
+def expect(model: Hmm, sequences: list[np.ndarray], counts: dict[str, np.ndarray]) -> None:
     """Add the expected counts of the sequences (Baum-Welch) to counts."""
     steps = Steps(sequences)
-    begins = is_first[steps.order]
-    start = np.where(begins[:, None], model.start, model.share)
+    start = np.broadcast_to(model.start, (len(sequences), len(model.start)))
     total, alphas, scales = forward(model, steps, start, keep=True)
     counts["likelihood"] += total.sum()
     # Ends of sequences count 1; before them, what lies ahead, scaled.
@@ -204,32 +199,41 @@ def expect(model: Hmm, sequences: list[np.ndarray], is_first: np.ndarray, counts
             np.matmul(ahead, model.move.T, out=grown[:n])
         beta = grown
         alphas[at] *= beta
-    counts["start"] += alphas[steps.at(0)][begins].sum(axis=0)
+    counts["start"] += alphas[steps.at(0)].sum(axis=0)
     for k in range(len(model.start)):
         counts["emit"][:, k] += np.bincount(steps.tokens, alphas[:, k], len(counts["emit"]))
 
 
-def expectation_batches(model: Hmm, words: list[bytes]):
+def in_step(numbers: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(place, tokens) of texts in lots of about STEP_TOKENS; lengths in a lot differ by a factor of four at most."""
+    waiting: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+    sizes: dict[int, int] = {}
+    for place, ids in numbers:
+        kind = len(ids).bit_length() // 2
+        places, texts_ = waiting.setdefault(kind, ([], []))
+        places.append(place)
+        texts_.append(ids)
+        sizes[kind] = sizes.get(kind, 0) + len(ids)
+        if sizes[kind] >= STEP_TOKENS:
+            yield waiting.pop(kind)
+            sizes[kind] = 0
+    yield from waiting.values()
+
+
+def emitted_ids(batch: pa.RecordBatch, other: int) -> Iterator[np.ndarray]:
+    """Tokens of each text; those without an emission of their own are the shared class."""
+    for x in batch.column("ids").to_pylist():
+        ids = np.frombuffer(x, np.int32).astype(np.int64)
+        yield np.where((ids < 0) | (ids > other), other, ids)
+
+
+def expectation_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, lex = model.value, {w: k for k, w in enumerate(words.value)}
+        m = model.value
         other, states = len(m.emit) - 1, len(m.start)
         counts = {"emit": np.zeros(m.emit.shape), "move": np.zeros((states, states)), "start": np.zeros(states), "likelihood": np.zeros(1)}
-        waiting: list[np.ndarray] = []
-        firsts: list[bool] = []
-        size = 0
-        for batch in batches:
-            for text in texts(batch, "text"):
-                ids = np.array(numbered(text, lex))
-                ids[ids < 0] = other
-                for at in range(0, len(ids), SEGMENT):
-                    waiting.append(ids[at : at + SEGMENT])
-                    firsts.append(at == 0)
-                size += len(ids)
-                if size >= STEP_TOKENS:
-                    expect(m, waiting, np.array(firsts), counts)
-                    waiting, firsts, size = [], [], 0
-        if waiting:
-            expect(m, waiting, np.array(firsts), counts)
+        for _, lot in in_step((0, ids) for batch in batches for ids in emitted_ids(batch, other)):
+            expect(m, lot, counts)
         rows = np.vstack((counts["emit"], counts["move"], counts["start"], np.full((1, states), counts["likelihood"][0])))
         used = np.flatnonzero(rows.any(axis=1))
         for part in np.array_split(used, 8):
@@ -239,14 +243,14 @@ def expectation_batches(model: Hmm, words: list[bytes]):
     return run
 
 
-def baum_welch(docs: DataFrame, model: Hmm, lex: Lexicon) -> tuple[Hmm, float]:
-    """One pass over docs: the new model and the log likelihood (of the segments) under the old one."""
-    spark, states = docs.sparkSession, len(model.start)
-    words, shared = spark.sparkContext.broadcast(lex.words[: lex.emitted]), spark.sparkContext.broadcast(model)
+def baum_welch(tokens: DataFrame, model: Hmm, lex: Lexicon) -> tuple[Hmm, float]:
+    """One pass over the ids of tokens: the new model and the log likelihood under the old one."""
+    spark, states = tokens.sparkSession, len(model.start)
+    shared = spark.sparkContext.broadcast(model)
     names = [f"k{k}" for k in range(states)]
     sums = (
-        docs.select("text")
-        .mapInArrow(expectation_batches(shared, words), "place long, " + ", ".join(f"{k} double" for k in names))
+        tokens.select("ids")
+        .mapInArrow(expectation_batches(shared), "place long, " + ", ".join(f"{k} double" for k in names))
         .groupBy("place")
         .agg(*(F.sum(k).alias(k) for k in names))
         .toPandas()
@@ -254,77 +258,82 @@ def baum_welch(docs: DataFrame, model: Hmm, lex: Lexicon) -> tuple[Hmm, float]:
     size = len(model.emit)
     table = np.zeros((size + states + 2, states))
     table[sums["place"].to_numpy()] = sums[names].to_numpy()
-    emit = table[:size] + PRIOR * overall_share(lex)[:, None]
-    move = table[size : size + states] + 1.0 / states
-    start = table[size + states] + 1.0 / states
-    share = table[:size].sum(axis=0) + 1.0
-    return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), share / share.sum()), float(table[-1, 0])
+    return maximized(table[:size], table[size : size + states], table[size + states], lex), float(table[-1, 0])
+
 
+def maximized(emit: np.ndarray, move: np.ndarray, start: np.ndarray, lex: Lexicon) -> Hmm:
+    """The model of expected counts and a prior: PRIOR tokens of the overall frequencies in each state, one move and start."""
+    emit = emit + PRIOR * overall_share(lex)[:, None]
+    move, start = move + 1.0 / len(start), start + 1.0 / len(start)
+    return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-def train(docs: DataFrame, lex: Lexicon, states: int = STATES) -> Hmm:
-    """Warm passes over one in WARM_SHARE of the texts, then passes over all of them."""
+
+def train(tokens: DataFrame, lex: Lexicon, states: int = STATES, passes: int = PASSES) -> Hmm:
+    """Passes over all training texts."""
     model = first_model(lex, states)
-    warm = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(WARM_SHARE)) == 0)
-    for source in [warm] * WARM_PASSES + [docs] * FULL_PASSES:
-        model, _ = baum_welch(source, model, lex)
+    for _ in range(passes):
+        model, _ = baum_welch(tokens, model, lex)
     return model
 
 
+def number_batches(shared):
+    """Per text: the numbers of its tokens (-1 beyond the dictionary), and its other words with their numbers of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {w: k for k, w in enumerate(shared.value.words)}
+        for batch in batches:
+            packed, rare, places = [], [], []
+            for text in texts(batch, "text"):
+                words = [*space_words(text), END]
+                ids = np.array(numbered(text, number), np.int32)
+                others = Counter(words[k] for k in np.flatnonzero(ids < 0))
+                packed.append(ids.tobytes())
+                rare.append(list(others))
+                places.append(list(others.values()))
+            kinds = [pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            columns = [pa.array(c, kind) for c, kind in zip((packed, rare, places), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "training")), *columns], names=["row", "doc_id", "training", "ids", "rare", "places"])
+
+    return run
+
+
+def tokenized(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """row, doc_id, training, ids, rare and places of every row of docs (doc_id, text, training)."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "training", "text")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    return save(source.mapInArrow(number_batches(shared), f"row long, doc_id {kind}, training boolean, ids binary, rare array<binary>, places array<long>"))
+
+
 def score_batches(model, shared):
-    """Per text all but what its rarer words add: they leave as distinct words with their numbers of places."""
+    """Per text all but what its rarer words add."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Hmm = model.value
         lex: Lexicon = shared.value
-        number = {w: k for k, w in enumerate(lex.words)}
         base, member = lex.base(lex.counts), lex.member(lex.counts)
         for batch in batches:
-            rows, waiting, where, size = [], [], [], 0
-
-            def flush() -> None:
-                steps = Steps(waiting)
-                start = np.broadcast_to(m.start, (len(waiting), len(m.start)))
-                total, _, _ = forward(m, steps, start, keep=False)
-                for k, value in zip(steps.order, total, strict=True):
-                    rows[where[k]][0] += value / np.log(10)
-
-            for n, text in enumerate(texts(batch, "text")):
-                words = [*space_words(text), END]
-                ids = np.array(numbered(text, number))
-                known = ids[ids >= 0]
-                rare = Counter(words[k] for k in np.flatnonzero(ids < 0))
-                rows.append([float(member[known[known >= lex.emitted]].sum()), float(base[known].sum()), len(ids), len(known), list(rare), list(rare.values())])
-                ids[(ids < 0) | (ids >= lex.emitted)] = lex.emitted
-                waiting.append(ids)
-                where.append(n)
-                size += len(ids)
-                if size > 2 * STEP_TOKENS:
-                    flush()
-                    waiting, where, size = [], [], 0
-            if waiting:
-                flush()
-            kinds = [pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), *columns],
-                names=["row", "doc_id", "score", "base_score", "n_tokens", "n_known", "rare", "places"],
-            )
+            numbers = [np.frombuffer(x, np.int32) for x in batch.column("ids").to_pylist()]
+            known = [ids[ids >= 0] for ids in numbers]
+            score = np.array([float(member[k[k >= lex.emitted]].sum()) for k in known])
+            for where, lot in in_step(enumerate(emitted_ids(batch, lex.emitted))):
+                steps = Steps(lot)
+                total, _, _ = forward(m, steps, np.broadcast_to(m.start, (len(lot), len(m.start))), keep=False)
+                score[np.array(where)[steps.order]] += total / np.log(10)
+            columns = [score, np.array([float(base[k].sum()) for k in known]), np.array([len(x) for x in numbers], np.int64), np.array([len(k) for k in known], np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *map(pa.array, columns)], names=["row", "doc_id", "score", "base_score", "n_tokens", "n_known"])
 
     return run
 
 
-def score_documents(docs: DataFrame, model: Hmm, lex: Lexicon, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    context = docs.sparkSession.sparkContext
-    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    part = save(
-        source.mapInArrow(
-            score_batches(context.broadcast(model), context.broadcast(lex)),
-            f"row long, doc_id {kind}, score double, base_score double, n_tokens long, n_known long, rare array<binary>, places array<long>",
-        )
+def score_documents(tokens: DataFrame, model: Hmm, lex: Lexicon, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of tokens."""
+    context = tokens.sparkSession.sparkContext
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    part = tokens.select("row", "doc_id", "ids").mapInArrow(
+        score_batches(context.broadcast(model), context.broadcast(lex)), f"row long, doc_id {kind}, score double, base_score double, n_tokens long, n_known long"
     )
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "places")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.places").alias("places"))
+    rare = tokens.select("row", F.explode(F.arrays_zip("rare", "places")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.places").alias("places"))
     c = F.coalesce("c", F.lit(0))
     total = lex.other_tokens + 0.1
     member = F.when(c > 0, F.greatest(c - F.lit(lex.discount), F.lit(1e-9)) / total).otherwise((lex.discount * lex.other_words + 0.1) / total)
@@ -338,7 +347,7 @@ def score_documents(docs: DataFrame, model: Hmm, lex: Lexicon, counts: DataFrame
         )
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return part.drop("rare", "places").join(added, "row", "left").select(
+    return part.join(added, "row", "left").select(
         "doc_id",
         (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"),
         "n_tokens",
@@ -351,8 +360,8 @@ def score_documents(docs: DataFrame, model: Hmm, lex: Lexicon, counts: DataFrame
 
 def train_and_score(docs: DataFrame) -> DataFrame:
     """Learn from rows whose crc32(doc_id) mod 10 is not 0, and score all rows."""
-    docs = docs.select("doc_id", "text")
-    training = docs.where(crc_mod(F.col("doc_id"), 10) != 0)
-    counts = save(word_counts(training))
+    docs = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) != 0).alias("training"))
+    counts = save(word_counts(docs.where("training")))
     lex = lexicon(counts)
-    return score_documents(docs, train(training, lex), lex, counts)
+    tokens = tokenized(docs, lex)
+    return score_documents(tokens, train(tokens.where("training"), lex), lex, counts)

@@ -24,11 +24,12 @@ def test_scores(spark, monkeypatch):
     monkeypatch.setattr(hmm, "EMITTED", 12)
     rows = corpus(300, 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string, c string")
-    training = docs.where(hmm.crc_mod(hmm.F.col("doc_id"), 10) != 0)
-    counts = hmm.save(hmm.word_counts(training))
+    docs = docs.withColumn("training", hmm.crc_mod(hmm.F.col("doc_id"), 10) != 0)
+    counts = hmm.save(hmm.word_counts(docs.where("training")))
     lex = hmm.lexicon(counts, emitted=12, known=40)
-    model = hmm.train(training, lex, states=3)
-    got = {(r.doc_id, r.n_tokens): r for r in hmm.score_documents(docs, model, lex, counts).collect()}
+    ids = hmm.tokenized(docs, lex)
+    model = hmm.train(ids.where("training"), lex, states=3)
+    got = {(r.doc_id, r.n_tokens): r for r in hmm.score_documents(ids, model, lex, counts).collect()}
     import zlib
 
     tokens = lambda t: (t or "").lower().split() + ["\n"]
@@ -58,14 +59,49 @@ def test_scores(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_likelihood_rises(spark):
-    docs = spark.createDataFrame(corpus(200, 2), "doc_id long, text string, c string")
-    lex = hmm.lexicon(hmm.save(hmm.word_counts(docs)))
-    model, before = hmm.first_model(lex, 3), -math.inf
-    for _ in range(4):
-        model, likelihood = hmm.baum_welch(docs, model, lex)
-        assert likelihood > before - abs(before) * 0.01 if before > -math.inf else True
-        before = likelihood
+def plain_counts(model, sequences):
+    """Expected counts of Baum-Welch, one text and one token at a time, unscaled."""
+    states = len(model.start)
+    emit, move, start, total = np.zeros_like(model.emit), np.zeros((states, states)), np.zeros(states), 0.0
+    for ids in sequences:
+        alpha = [model.start * model.emit[ids[0]]]
+        for k in ids[1:]:
+            alpha.append((alpha[-1] @ model.move) * model.emit[k])
+        beta = [np.ones(states)]
+        for k in ids[:0:-1]:
+            beta.append(model.move @ (model.emit[k] * beta[-1]))
+        beta = beta[::-1]
+        p = alpha[-1].sum()
+        total += math.log(p)
+        for t, k in enumerate(ids):
+            emit[k] += alpha[t] * beta[t] / p
+            if t:
+                move += np.outer(alpha[t - 1], model.emit[k] * beta[t]) * model.move / p
+        start += alpha[0] * beta[0] / p
+    return emit, move, start, total
+
+
+def test_expected_counts_and_rise(spark, monkeypatch):
+    """Counts against a plain Baum-Welch, with lots of any size; what the passes maximize never falls."""
+    docs = spark.createDataFrame(corpus(60, 2)[:61], "doc_id long, text string, c string").withColumn("training", hmm.F.lit(True)).repartition(3)
+    lex = hmm.lexicon(hmm.save(hmm.word_counts(docs)), emitted=20, known=50)
+    tokens = hmm.tokenized(docs, lex)
+    model = hmm.first_model(lex, 3)
+    sequences = [x for b in tokens.select("ids").toArrow().to_batches() for x in hmm.emitted_ids(b, 20)]
+    for lot in (400_000, 30):
+        monkeypatch.setattr(hmm, "STEP_TOKENS", lot)
+        after, likelihood = hmm.baum_welch(tokens, model, lex)
+        emit, move, start, total = plain_counts(model, sequences)
+        want = hmm.maximized(emit, move, start, lex)
+        assert math.isclose(likelihood, total, rel_tol=1e-9)
+        for name in ("emit", "move", "start"):
+            assert np.allclose(getattr(after, name), getattr(want, name), rtol=1e-9)
+    before = -math.inf
+    for _ in range(8):
+        prior = (hmm.PRIOR * hmm.overall_share(lex)[:, None] * np.log(model.emit)).sum() + (np.log(model.move).sum() + np.log(model.start).sum()) / 3
+        model, likelihood = hmm.baum_welch(tokens, model, lex)
+        assert likelihood + prior >= before
+        before = likelihood + prior
 
 
 def test_empty(spark):
