@@ -57,6 +57,12 @@ NOISE_NAMES = frozenset(
     "pager pagination popup promo promotion related reply replies respond share sharing sidebar skip social sponsor sponsored "
     "subscribe subscription toc toolbar topbar widget widgets signup login search complementary contentinfo alert".split()
 )
+# Words that say where or how often such a branch stands, not what else it is about.
+PLACE_NAMES = frozenset(
+    "a area bar block body bottom box btn button buttons center col column container content count cta desktop div group head icon icons inner "
+    "item items left link links list main mobile module outer page panel primary right row secondary section site slot small "
+    "sticky sub top ul unit view wrap wrapper".split()
+)
 MAIN_NAMES = frozenset("main article".split())
 
 TOKEN = re.compile(
@@ -83,7 +89,10 @@ class Element:
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key in ("class", "id"):
                     self.name += f" {key[0]}={value}"
-                    names.update(NAME.findall(value))
+                    for word in value.split():
+                        parts = {x.strip("0123456789") for x in NAME.findall(word)} - {""}
+                        if parts & NOISE_NAMES and parts <= NOISE_NAMES | PLACE_NAMES:  # share-buttons, but not share-price
+                            names |= parts
                 elif key == "role":
                     role = value
                 else:
@@ -160,7 +169,7 @@ def blocks(page: str) -> Iterator[tuple[list[Element], str]]:
     """(elements from the block's own up, text) of every block with text, in page order."""
     parts: list[str] = []
     where: list[Element] = []
-    flush = lambda: (where, " ".join(html.unescape("".join(parts)).split()))
+    flush = lambda: (where, " ".join("".join(parts).split()))
     last_block = None
     for _, stack, text in walk(page):
         if text is None:
@@ -176,7 +185,7 @@ def blocks(page: str) -> Iterator[tuple[list[Element], str]]:
             parts = []
         last_block, where = stack[depth], stack[: depth + 1]
         if not noise:
-            parts.append(text)
+            parts.append(html.unescape(text))  # references end where a tag begins
     if parts and (done := flush())[1]:
         yield done
 

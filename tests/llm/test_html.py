@@ -76,3 +76,9 @@ def test_article_is_a_prior(spark):
     rows = [(i, u, h.replace("article", "section")) for i, u, h in rows]
     got = main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Story {i}" for i in range(9)}
+
+
+def test_names_of_content():
+    page = "<article><div class='share-price'><p>Up 3 %</p></div><div class='share-buttons'><p>Tweet</p></div><p>x &am<b>p;</b> y &amp; z</p><div class='ad-slot-3'>Buy</div></article>"
+    assert extract(page, NONE) == "Up 3 %\nx &amp; y & z"
+    assert extract("<div class='header-image-credits'><p>By Ann</p></div><div id=site-footer>c</div><div class='comment list'>n</div>", NONE) == "By Ann"
