@@ -6,9 +6,11 @@ the reader recomputes both digests from the bytes it got, and fails on a mismatc
 
 Of records with equal payloads of at least `least` bytes the one with the largest page_id is a response, the others
 are revisits that refer to it; shorter payloads are all responses.  Ties: of rows that repeat the largest page_id the
-first by url and a tie-breaking hash is the response, the rest are revisits of that id.  A null html is an empty
-payload; a null page_id sorts below all others, a null url gives an empty target.  Payload bytes cross the network
-once, when headers meet payloads; deciding what is a revisit moves digests only.  Extra columns are ignored.
+smallest url is the response (of equal rows any one, as nothing tells them apart), the rest are revisits of that id.  A null
+html is an empty payload; a null page_id sorts below all others, a null url gives an empty target.  Record ids are unique:
+the page_id, and the row's number where page_ids repeat.  Payload bytes cross the network once, when headers meet
+payloads; the records of a payload that many share are dealt to several tasks, which get its bytes once each.  Deciding
+what is a revisit moves digests only.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runtime import few, save, spread_join
+
+DATE = "1970-01-01T00:00:00Z"  # of records whose pages bring no date of their own
+
 # The alphabets of conv() in base 32 and of RFC 4648 base32.
 CONV_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE_32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,54 +49,66 @@ def records(pages: DataFrame) -> DataFrame:
     return facts
 
 
-def header_text(kind: str) -> Column:
+def record_id(page_id: str, copy: str) -> Column:
+    """A urn of the page_id; rows that repeat one have a number behind it."""
+    number = F.when(F.col(copy) > 0, F.concat(F.lit(":"), F.col(copy).cast("string"))).otherwise(F.lit(""))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page_id).cast("string"), F.lit("")), number, F.lit(">"))
+
+
+def header_text(kind: str, date: str = DATE) -> Column:
     """The exact header of a record, up to and including the blank line."""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: "), record_id("page_id", "copy")),
+        f"WARC-Date: {date}",
         F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
     ]
     if kind == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">")))
+        lines.append(F.concat(F.lit("WARC-Refers-To: "), record_id("refers_to", "refers_copy")))
         lines.append("Content-Length: 0")
     else:
+        lines.append("Content-Type: text/html")
         lines.append(F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string")))
     return F.concat(*(F.concat(x if isinstance(x, Column) else F.lit(x), F.lit("\r\n")) for x in lines), F.lit("\r\n"))
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
     """Write path/headers and path/payloads."""
     facts = records(pages)
-    key = F.struct(F.coalesce("page_id", F.lit(-(2**63))).alias("id"), F.col("row"))
-    digests = facts.select("page_id", "row", "payload_sha256", "payload_bytes", "payload_digest", "url")
-    # Digests and ids only; a hot payload is one row for each task after the partial maximum.
-    chosen = digests.groupBy(F.col("payload_sha256").alias("sha")).agg(
-        F.max(key).alias("top"), F.max_by("page_id", key).alias("top_id")
-    )
-    joined = digests.join(chosen, digests.payload_sha256 == chosen.sha)
-    revisit = (F.col("payload_bytes") >= least) & (F.col("row") != F.col("top.row"))
-    headers = joined.select("*", revisit.alias("is_revisit"), F.when(revisit, F.col("top_id")).alias("refers_to")).select(
-        "page_id",
-        F.when(F.col("is_revisit"), header_text("revisit")).otherwise(header_text("response")).cast("binary").alias("header"),
-        "payload_sha256",
+    # From here on digests and ids only.
+    digests = save(facts.select("page_id", "url", "payload_sha256", "payload_bytes", "payload_digest", "row"))
+    again = few(digests.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("page_id").alias("twice"), F.lit(True).alias("repeated")))
+    told = save(digests.join(again, F.col("page_id").eqNullSafe(F.col("twice")), "left").withColumn("copy", F.when(F.col("repeated"), F.col("row") + 1).otherwise(0)).drop("twice", "repeated"))
+    # The largest page_id first, then the smallest url; ~x falls as x grows, without overflow.
+    rank = F.struct(F.bitwise_not(F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63)))).alias("id"), "url", "row")
+    chosen = told.groupBy("payload_sha256").agg(F.min_by(F.struct("row", "page_id", "copy"), rank).alias("top"))
+    chosen = save(chosen.select("payload_sha256", "top.row", "top.page_id", "top.copy").toDF("payload_sha256", "top_row", "refers_to", "refers_copy"))
+    revisit = (F.col("payload_bytes") >= least) & (F.col("row") != F.col("top_row"))
+    headers = spread_join(told, chosen, "payload_sha256").select(
+        "page_id", F.when(revisit, header_text("revisit", date)).otherwise(header_text("response", date)).cast("binary").alias("header"), "payload_sha256"
     )
     headers.write.parquet(f"{path}/headers")
-    first = chosen.select(F.col("top.row").alias("row"))
-    kept = facts.select("row", "payload_sha256", "payload").join(first, "row", "left_semi")
+    kept = facts.select("row", "payload_sha256", "payload").join(chosen.select(F.col("top_row").alias("row")), "row", "left_semi")
     kept.select("payload_sha256", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record with its header and payload bytes as written; digests are verified on the way."""
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").withColumnRenamed("payload_sha256", "sha")
+    payloads = spark.read.parquet(f"{path}/payloads")
     verified = payloads.select(
-        "sha", "payload", F.when(F.sha2("payload", 256) != F.col("sha"), F.raise_error(F.lit("a payload fails its digest"))).alias("fault")
+        "payload_sha256", "payload", F.when(F.sha2("payload", 256) != F.col("payload_sha256"), F.raise_error(F.lit("a payload fails its digest"))).alias("fault")
     ).where("fault is null")
-    return headers.join(verified, headers.payload_sha256 == verified.sha, "left").select("page_id", "header", "payload", "payload_sha256")
+    return spread_join(headers, verified.drop("fault"), "payload_sha256", "left").select("page_id", "header", "payload", "payload_sha256")
+
+
+def record_bytes(archive: DataFrame) -> DataFrame:
+    """(page_id, record): each record as it stands in a WARC file: header, payload (none in a revisit) and two line ends."""
+    body = F.when(field("WARC-Type") == "revisit", F.lit(bytearray())).otherwise(F.col("payload"))
+    return archive.select("page_id", F.concat("header", body, F.lit(bytearray(b"\r\n\r\n"))).alias("record"))
 
 
 def field(name: str) -> Column:
@@ -108,7 +126,7 @@ def parse_records(archive: DataFrame) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(bad, F.raise_error(F.lit("a record fails its digest"))).otherwise(digest).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
-        F.regexp_extract(F.coalesce(field("WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("refers"),
+        F.regexp_extract(F.coalesce(field("WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)(?::\d+)?>", 1).alias("refers"),
         field("WARC-Target-URI").alias("url"),
     ).select("page_id", "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers as bigint)").alias("refers_to"), "url")
 

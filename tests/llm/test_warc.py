@@ -5,8 +5,9 @@ import hashlib
 
 import pytest
 
+from cohortspark.llm import runtime
 from cohortspark.llm.runtime import shared_dir
-from cohortspark.llm.warc import read_archive, round_trip
+from cohortspark.llm.warc import read_archive, record_bytes, round_trip
 
 PAGES = [
     (1, "http://a/x", "<p>é</p>", 0), (2, "http://a/y", "<p>é</p>", 0), (3, None, None, 1), (4, "http://b", "", 2),
@@ -33,6 +34,29 @@ def test_round_trip(spark):
         assert bytes(r.header).startswith(b"WARC/1.1\r\n") and bytes(r.header).endswith(b"\r\n\r\n")
 
 
+def test_records_as_bytes(spark, monkeypatch):
+    """Rebuilt records against the format: lines, lengths, unique ids, references that exist; also with hot payloads."""
+    monkeypatch.setattr(runtime, "HOT_ROWS", 2)
+    rows = [*PAGES, *((100 + k, f"http://e/{k % 3}", "same", 5) for k in range(9)), (100, "http://e/9", "same", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
+    path = shared_dir(spark)
+    got = round_trip(pages, path).where("page_id >= 100").collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == sorted([(100, "revisit", 108)] + [(100 + k, "revisit", 108) for k in range(8)] + [(108, "response", None)])
+    ids, refers = [], []
+    for r in record_bytes(read_archive(spark, path)).collect():
+        head, body = bytes(r.record).split(b"\r\n\r\n", 1)
+        version, *lines = head.decode().split("\r\n")
+        fields = dict(line.split(": ", 1) for line in lines)
+        assert version == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+        assert body.endswith(b"\r\n\r\n") and len(body) - 4 == int(fields["Content-Length"])
+        if fields["WARC-Type"] == "response":
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body[:-4]).digest()).decode()
+        else:
+            refers.append(fields["WARC-Refers-To"])
+        ids.append(fields["WARC-Record-ID"])
+    assert len(set(ids)) == len(ids) == len(rows) and set(refers) <= set(ids)
+
+
 def test_least(spark):
     pages = spark.createDataFrame(PAGES[:5], "page_id long, url string, html string, payload int")
     assert {r.record_type for r in round_trip(pages, shared_dir(spark), least=1000).collect()} == {"response"}
