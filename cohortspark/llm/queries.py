@@ -47,7 +47,7 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_at", "longest_item")
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,22 +104,26 @@ OP6_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents
 ), b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0
+  SELECT row_number() OVER () AS n, CAST(item_id AS VARCHAR) AS item, w, least(10, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0
 ), win AS (
-  SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS t FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)
+  SELECT n, item, k, i, array_to_string(w[i : i + k - 1], ' ') AS t FROM (SELECT n, item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)
 ), grams AS (
   SELECT r, p, k, array_to_string(w[p : p + k - 1], ' ') AS t
   FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
 ), occ AS (
-  SELECT r, p, k, item FROM grams JOIN win USING (k, t)
+  SELECT r, p, k, n, i, item FROM grams JOIN win USING (k, t)
+), runs AS (
+  SELECT r, k, p - row_number() OVER (PARTITION BY r, n, p - i ORDER BY p) AS run, n, p - i AS diagonal FROM occ
+), longest AS (
+  SELECT r, max(size) AS longest_match FROM (SELECT r, count(*) + k - 1 AS size FROM runs GROUP BY r, k, n, diagonal, run) GROUP BY 1
 ), hit AS (
   SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM occ) GROUP BY 1
 ), found AS (
-  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ) GROUP BY 1
+  SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ) GROUP BY 1
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(longest_match, 0) AS longest_match
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r) LEFT JOIN longest USING (r)
 """
 
 OP8_SQL = """

@@ -63,6 +63,37 @@ def test_longest_match(spark):
     assert {r.doc_id: r.longest_match for r in find_leaks(docs, bench).collect()} == {1: 27, 2: 0}
 
 
+def longest_brute(text, items):
+    w, best = words(text), 0
+    for _, body in items:
+        b = words(body)
+        size = [[0] * (len(b) + 1) for _ in range(len(w) + 1)]
+        for i in range(len(w)):
+            for j in range(len(b)):
+                if w[i] == b[j]:
+                    size[i + 1][j + 1] = size[i][j] + 1
+                    if size[i + 1][j + 1] >= min(6, len(b)):
+                        best = max(best, size[i + 1][j + 1])
+    return best
+
+
+def test_longest_matches_of_shared_windows(spark, monkeypatch):
+    docs, items = cases()
+    docs = docs[:-1]
+    opening = " ".join(f"s{i}" for i in range(10))
+    items += [(50, opening + " " + " ".join(f"p{i}" for i in range(20))), (51, opening + " " + " ".join(f"q{i}" for i in range(20))), (None, "lone words of an item that has no id")]
+    docs += [(200, "x " + items[-2][1] + " y", "s"), (201, "so " + items[-1][1], "s")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n_words string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 24, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = find_leaks(frame, bench, window=6).collect()
+        assert sorted((str(r.doc_id), r.longest_match) for r in got) == sorted((str(d), longest_brute(t, items)) for d, t, _ in docs)
+        by_id = {r.doc_id: r for r in got}
+        assert (by_id[200].longest_match, by_id[200].longest_at, by_id[200].longest_item) == (30, 1, "51")
+        assert (by_id[201].n_hit, by_id[201].n_items) == (9, 0) and by_id[201].contaminated
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
