@@ -1,11 +1,12 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-Vectors become integers floor(256 x).  One more coordinate, sqrt(M^2 - |x|^2) for data and 0 for queries, turns the
-largest inner product into the smallest Euclidean distance.  Queries and data are grouped by their nearest pivot; from
-per-group summaries (largest query distance to the pivot; smallest data distances to each pivot) comes an upper bound
-of the k-th distance of every query of a group, and from the triangle inequality the band of data of each cell that may
-come closer.  Only those rows are sent to a query group; each group, cut into blocks of bounded size by hash, is
-solved locally with one matrix product for each slice of queries; the blocks' best rows meet in a ranking window.
+Vectors become integers floor(256 x).  Queries and data are grouped by their nearest pivot.  For a group of queries with
+pivot c and radius R the scores of a row x lie within <c, x> - R |x| and <c, x> + R |x| (Cauchy-Schwarz), so that the
+(k + 1)-th largest lower bound over all rows is one that each query's neighbours reach.  From the data groups' summaries
+(radius, largest length) whole pairs of groups fall away; of the others only rows whose upper bound reaches the group's
+are sent.  Groups are solved in blocks of bounded size, with one matrix product for each slice of queries; the blocks' best
+rows meet in a ranking window.  Small groups share a block, so that a row is sent once to each block at most, however
+little the bounds prune.
 
 Pivots come from a bounded sample (they decide speed, never results).  Vectors that are null or hold null or
 non-finite components take no part; shorter vectors are padded with zeros; an empty vector is all zeros.  Rows that
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .runtime import save
 
-PIVOTS = 16
+MOST_PIVOTS = 1_024  # pivots grow as the root of the rows up to here: each row meets each of them
 SAMPLE = 2_000  # rows that pivots are made from
 QUERY_BLOCK = 2_048  # queries in a block, on average
 DATA_BLOCK = 16_384  # data rows in a block, on average
@@ -53,9 +55,8 @@ def quantize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             pa.array([None if v is None else v.tobytes() for v in out], pa.binary()),
             pa.array([0 if v is None else len(v) for v in out], pa.int64()),
             pa.array([0 if v is None or not len(v) else float(np.abs(v).max()) for v in out], pa.float64()),
-            pa.array([0.0 if v is None else float((v.astype(float) ** 2).sum()) for v in out], pa.float64()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["row", "vec_id", "v", "size", "most", "square"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["row", "vec_id", "v", "size", "most"])
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: str) -> np.ndarray:
@@ -67,56 +68,92 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: str) -> np.ndar
     return out
 
 
-def lifted(points: np.ndarray, top: float, query: bool) -> np.ndarray:
-    points = points.astype(np.float64)
-    extra = np.zeros(len(points)) if query else np.sqrt(np.maximum(top - (points**2).sum(axis=1), 0))
-    return np.column_stack((points, extra))
-
-
 def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (points**2).sum(axis=1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(axis=1)
     return np.sqrt(np.maximum(square, 0))
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """A few rounds of Lloyd's algorithm over the sample (lifted points)."""
-    pivots = np.unique(sample, axis=0)[:: max(1, len(np.unique(sample, axis=0)) // n)][:n]
+    """A few rounds of Lloyd's algorithm over the sample; neighbours in the result's order lie close together."""
+    distinct = np.unique(sample, axis=0)
+    pivots = distinct[:: max(1, len(distinct) // n)][:n]
     for _ in range(5):
         cell = distances(sample, pivots).argmin(axis=1)
         pivots = np.array([sample[cell == k].mean(axis=0) if (cell == k).any() else pivots[k] for k in range(len(pivots))])
-    return pivots
+    order, left = [0], set(range(1, len(pivots)))
+    while left:
+        near = min(left, key=lambda k: float(((pivots[k] - pivots[order[-1]]) ** 2).sum()))
+        order.append(near)
+        left.remove(near)
+    return pivots[order]
 
 
-def assigner(shared, width: int, kind: str, top: float, every: int):
-    """Cell and distance to its pivot of each row as data and, if its id is a query's, as query."""
+def assigner(shared, width: int, kind: str, every: int):
+    """Cell of each row, its distance to the pivot and its length, and whether its id is a query's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
         for batch in batches:
             points = matrix(batch.column("v"), width, "i8")
-            packed = points.astype(kind)
-            columns = [batch.column("row"), batch.column("vec_id"), pa.array([x.tobytes() for x in packed], pa.binary())]
-            for query in (False, True):
-                d = distances(lifted(points, top, query), pivots) if len(points) else np.zeros((0, 1))
-                columns += [pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1))]
+            d = distances(points.astype(np.float64), pivots) if len(points) else np.zeros((0, 1))
             is_query = pa.array([i is not None and i % every == 0 for i in batch.column("vec_id").to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*columns, is_query], names=["row", "vec_id", "v", "cell", "dist", "q_cell", "q_dist", "is_query"])
+            columns = [pa.array([x.tobytes() for x in points.astype(kind)], pa.binary()), pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1)), pa.array(np.sqrt((points.astype(np.float64) ** 2).sum(axis=1)))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), *columns, is_query], names=["row", "vec_id", "v", "cell", "dist", "length", "is_query"])
 
     return run
 
 
-def needed(cells: dict, queries: dict, pivots: np.ndarray, k: int, slack: float) -> list[tuple[int, int, float, float]]:
-    """(query group, cell, least, most): the band of data distances in which the group's neighbours can lie."""
-    apart = distances(pivots, pivots)
-    out = []
-    for i, reach in queries.items():
-        ahead = sorted(reach + apart[i, j] + d for j, (_, _, nearest) in cells.items() for d in nearest)
-        bound = ahead[k] if len(ahead) > k else math.inf  # k more than the own row, which may be among them
-        for j, (low, high, _) in cells.items():
-            least, most = apart[i, j] - reach - bound - slack, apart[i, j] + reach + bound + slack
-            if least <= high and most >= low:
-                out.append((i, j, float(max(least, -1.0)), float(min(most, 1e300))))
-    return out
+@dataclass
+class Groups:
+    """Query groups: pivot, radius, the bound that their neighbours' scores reach, and the block that they share."""
+
+    cells: np.ndarray
+    pivots: np.ndarray
+    reach: np.ndarray
+    bound: np.ndarray
+    block: np.ndarray
+    may: np.ndarray  # groups x data cells: whether any row of the cell can be a neighbour
+    query_blocks: np.ndarray  # pieces that the group's block is cut into
+
+    def lower(self, points: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return points @ self.pivots.T - np.outer(length, self.reach)
+
+    def needed(self, points: np.ndarray, length: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """rows x groups: whether the row may be a neighbour of a query of the group."""
+        return (points @ self.pivots.T + np.outer(length, self.reach) >= self.bound) & self.may[:, cell].T
+
+
+def bounder(shared, width: int, kind: str, k: int):
+    """A task's k + 1 largest lower bounds for each query group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, best = shared.value, None
+        for batch in batches:
+            points = matrix(batch.column("v"), width, kind).astype(np.float64)
+            low = g.lower(points, batch.column("length").to_numpy())
+            best = low if best is None else np.vstack((best, low))
+            best = -np.sort(-best, axis=0)[: k + 1]
+        if best is not None and len(best):
+            at, group = np.indices(best.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(group.ravel().astype(np.int32)), pa.array(best.ravel())], names=["grp", "low"])
+
+    return run
+
+
+def sender(shared, width: int, kind: str):
+    """Rows for each block of query groups that needs them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        starts = np.flatnonzero(np.concatenate(([True], g.block[1:] != g.block[:-1])))
+        for batch in batches:
+            points = matrix(batch.column("v"), width, kind).astype(np.float64)
+            needed = g.needed(points, batch.column("length").to_numpy(), batch.column("cell").to_numpy())
+            row, block = np.nonzero(np.logical_or.reduceat(needed, starts, axis=1))
+            sent = batch.select(["row", "vec_id", "v"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(g.block[starts][block])], names=["row", "vec_id", "v", "grp"])
+
+    return run
 
 
 def solve(group: pa.Table, width: int, kind: str, k: int) -> pa.Table:
@@ -157,47 +194,87 @@ def solve(group: pa.Table, width: int, kind: str, k: int) -> pa.Table:
     })
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best other rows for every row whose id `every` divides."""
-    spark = vectors.sparkSession
+@dataclass
+class Placed:
+    """Vectors in their cells: the rows, pivots, components of a vector, kind of their numbers, and how many rows."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    width: int
+    kind: str
+    n: int
+
+
+def place(vectors: DataFrame, every: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> Placed | None:
+    """Every row that takes part, in the cell of its nearest pivot; None if there are none."""
     raw = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    ready = save(raw.mapInArrow(quantize_batches, "row long, vec_id long, v binary, size long, most double, square double").where("v is not null"))
-    result = "query_row long, query_id long, row long, vec_id long, score long"
-    facts = ready.agg(F.count("*").alias("n"), F.max("size").alias("width"), F.max("most").alias("most"), F.max("square").alias("top")).first()
+    ready = save(raw.mapInArrow(quantize_batches, "row long, vec_id long, v binary, size long, most double").where("v is not null"))
+    facts = ready.agg(F.count("*").alias("n"), F.max("size").alias("width"), F.max("most").alias("most")).first()
     if not facts.n:
-        return ready.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
+        return None
     width = max(1, facts.width)
     kind = "i2" if facts.most < 2**15 else "i4" if facts.most < 2**31 else "i8"
+    count = pivots or max(16, min(MOST_PIVOTS, math.isqrt(facts.n) // 4))
     sample = ready.orderBy(F.xxhash64("row", "vec_id"), "row").limit(SAMPLE).select("v").toArrow()
-    centres = choose_pivots(lifted(matrix(sample.column("v"), width, "i8"), facts.top, False), pivots)
-    placed = save(
-        ready.mapInArrow(
-            assigner(spark.sparkContext.broadcast(centres), width, kind, facts.top, every),
-            "row long, vec_id long, v binary, cell int, dist double, q_cell int, q_dist double, is_query boolean",
-        )
-    )
-    # Summaries: a row for each cell, and the k + 1 smallest distances of each.
-    spread = {r.cell: (r.low, r.high) for r in placed.groupBy("cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).collect()}
-    order = Window.partitionBy("cell").orderBy("dist")
-    nearest: dict[int, list[float]] = {}
-    for r in placed.select("cell", "dist", F.row_number().over(order).alias("n")).where(F.col("n") <= k + 1).collect():
-        nearest.setdefault(r.cell, []).append(r.dist)
-    groups = placed.where("is_query").groupBy("q_cell").agg(F.max("q_dist").alias("reach"), F.count("*").alias("n")).collect()
-    cells = {j: (*spread[j], nearest[j]) for j in spread}
-    slack = 1e-6 * (1 + math.sqrt(facts.top))
-    bands = needed(cells, {r.q_cell: r.reach for r in groups}, centres, k, slack)
-    blocks = {r.q_cell: -(-r.n // QUERY_BLOCK) for r in groups}
-    n_data = max(1, -(-facts.n // DATA_BLOCK))
-    plan = spark.createDataFrame([(i, b, j, low, high) for i, j, low, high in bands for b in range(blocks[i])], "grp int, q_block int, at int, low double, high double")
-    sizes = spark.createDataFrame(list(blocks.items()), "at int, blocks int")
-    # At most pivots squared rows, times blocks of queries: small beside the data by construction.
-    data = placed.join(F.broadcast(plan), (F.col("cell") == F.col("at")) & F.col("dist").between(F.col("low"), F.col("high"))).select(
-        "grp", "q_block", F.pmod(F.xxhash64("row"), F.lit(n_data)).alias("d_block"), F.lit(False).alias("is_query"), "row", "vec_id", "v"
+    centres = choose_pivots(matrix(sample.column("v"), width, "i8").astype(np.float64), count)
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    rows = save(ready.mapInArrow(assigner(shared, width, kind, every), "row long, vec_id long, v binary, cell int, dist double, length double, is_query boolean"))
+    return Placed(rows, centres, width, kind, facts.n)
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best other rows for every row whose id `every` divides."""
+    spark = vectors.sparkSession
+    placed = place(vectors, every, id_col, vector_col, pivots)
+    groups = plan_groups(placed, k) if placed else None
+    if groups is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n_data = max(1, -(-placed.n // DATA_BLOCK))
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long"))).alias("d_block")
+    blocks = {int(b): int(n) for b, n in zip(groups.block, groups.query_blocks, strict=True)}
+    cells = spark.createDataFrame([(int(c), int(b), blocks[int(b)]) for c, b in zip(groups.cells, groups.block, strict=True)], "cell int, grp int, q_blocks int")
+    parts = spark.createDataFrame([(b, q) for b, n in blocks.items() for q in range(n)], "grp int, q_block int")
+    # A row for each query group, and for each block of queries: small beside the data by construction.
+    data = data_rows(placed, groups).join(F.broadcast(parts), "grp").select("grp", "q_block", F.pmod(F.xxhash64("row"), F.lit(n_data)).alias("d_block"), F.lit(False).alias("is_query"), "row", "vec_id", "v")
+    asked = placed.rows.where("is_query").join(F.broadcast(cells), "cell").select(
+        "grp", F.pmod(F.xxhash64("row"), F.col("q_blocks")).cast("int").alias("q_block"), spread, F.lit(True).alias("is_query"), "row", "vec_id", "v"
     )
-    asked = placed.where("is_query").join(F.broadcast(sizes), F.col("q_cell") == F.col("at")).select(
-        F.col("q_cell").alias("grp"), F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("q_block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_data - 1).cast("long"))).alias("d_block"), F.lit(True).alias("is_query"), "row", "vec_id", "v",
-    )
-    best = data.union(asked).groupBy("grp", "q_block", "d_block").applyInArrow(lambda group: solve(group, width, kind, k), result)
+    width, kind = placed.width, placed.kind
+    best = data.union(asked).groupBy("grp", "q_block", "d_block").applyInArrow(lambda group: solve(group, width, kind, k), "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return best.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def plan_groups(placed: Placed, k: int) -> Groups | None:
+    """The query groups with their bounds, from one pass over the data; None without queries."""
+    rows, centres, spark = placed.rows, placed.centres, placed.rows.sparkSession
+    asked = rows.where("is_query").groupBy("cell").agg(F.max("dist").alias("reach"), F.count("*").alias("n")).orderBy("cell").collect()
+    if not asked:
+        return None
+    spread = rows.groupBy("cell").agg(F.max("dist").alias("radius"), F.max("length").alias("length")).collect()
+    block, size, blocks, last = [], 0, [], 0
+    for r in asked:  # pivots are in an order of neighbours: small groups share a block with the next ones
+        if size and size + r.n > QUERY_BLOCK:
+            last, size = last + 1, 0
+        size += r.n
+        block.append(last)
+        blocks.append(size)
+    sizes = {b: max(n for b2, n in zip(block, blocks, strict=True) if b2 == b) for b in set(block)}
+    cells = np.array([r.cell for r in asked], np.int32)
+    groups = Groups(cells, centres[cells], np.array([r.reach for r in asked]), np.full(len(asked), -np.inf), np.array(block, np.int32), np.ones((len(asked), len(centres)), bool), np.array([-(-sizes[b] // QUERY_BLOCK) for b in block]))
+    low = rows.select("v", "length").mapInArrow(bounder(spark.sparkContext.broadcast(groups), placed.width, placed.kind, k), "grp int, low double")
+    order = Window.partitionBy("grp").orderBy(F.desc("low"))
+    slack = 1e-6 * (1 + float(np.abs(centres).max()) * max(r.length for r in spread))
+    for r in low.select("grp", "low", F.row_number().over(order).alias("n")).where(F.col("n") == k + 1).collect():
+        groups.bound[r.grp] = r.low - slack  # k more than the own row, which may be among them
+    size = np.linalg.norm(groups.pivots, axis=1)
+    for r in spread:
+        top = groups.pivots @ centres[r.cell] + size * r.radius + groups.reach * r.length
+        groups.may[:, r.cell] = top >= groups.bound - slack
+    return groups
+
+
+def data_rows(placed: Placed, groups: Groups) -> DataFrame:
+    """(row, vec_id, v, grp): what each block of query groups needs."""
+    shared = placed.rows.sparkSession.sparkContext.broadcast(groups)
+    return placed.rows.select("row", "vec_id", "v", "cell", "length").mapInArrow(sender(shared, placed.width, placed.kind), "row long, vec_id long, v binary, grp int")

@@ -47,8 +47,15 @@ def test_small(spark):
     assert knn.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_bands_prune():
-    pivots = np.array([[0.0, 0.0], [1000.0, 0.0]])
-    cells = {0: (0.0, 5.0, [0.0, 1.0, 2.0]), 1: (0.0, 5.0, [0.0, 1.0, 2.0])}
-    bands = knn.needed(cells, {0: 3.0}, pivots, 2, 0.0)
-    assert [(i, j) for i, j, _, _ in bands] == [(0, 0)]
+def test_bounds_prune(spark, monkeypatch):
+    """On clusters a row goes to a small part of the query blocks; on noise never to more than there are."""
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(16, 12)) * 20
+    for spread, most in ((0.05, 2.0), (40.0, 1e9)):
+        rows = [(i, (centre[i % 16] + rng.normal(size=12) * spread).tolist(), 1) for i in range(640)]
+        placed = knn.place(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int"), 10, pivots=16)
+        groups = knn.plan_groups(placed, 3)
+        blocks = len(set(groups.block.tolist()))
+        sent = knn.data_rows(placed, groups).count()
+        assert blocks >= 5 and sent <= min(most, blocks) * 640
