@@ -45,15 +45,52 @@ NOTICES = {
     "cc by 4 0": ("cc-by-4.0", 0.95),
     "cc0": ("cc0", 0.8),
     "public domain": ("public-domain", 0.4),
+    "attribution sharealike": ("cc-by-sa", 0.7),
+    "attribution noncommercial": ("cc-by-nc", 0.7),
+    "gplv2": ("gpl-2.0", 0.9),
+    "gplv3": ("gpl-3.0", 0.9),
+    "lgplv2": ("lgpl-2.0", 0.9),
+    "lgplv3": ("lgpl-3.0", 0.9),
+    "agplv3": ("agpl-3.0", 0.9),
+    "gnu free documentation license": ("gfdl", 0.9),
+    "boost software license": ("bsl-1.0", 0.95),
+    "eclipse public license": ("epl", 0.9),
+    "european union public licence": ("eupl", 0.95),
+    "european union public license": ("eupl", 0.95),
+    "common development and distribution license": ("cddl", 0.95),
+    "isc license": ("isc", 0.9),
+    "zlib license": ("zlib", 0.9),
+    "artistic license": ("artistic", 0.9),
+    "python software foundation license": ("psf", 0.9),
+    "microsoft public license": ("ms-pl", 0.9),
+    "sil open font license": ("ofl", 0.95),
+    "open database license": ("odbl", 0.9),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 0.95),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 0.9),
 }
 BASE_STRENGTH = {"cc-by": 0.8, "gpl": 0.8, "reserved": 0.5}
-TAGS = ("spdx-license-identifier:", "license-expression:")
+# Tags before an expression, and whether they stand for one by themselves: behind the others every name must be a known one.
+TAGS = {"spdx-license-identifier:": True, "license-expression:": True, "license:": False, "licence:": False, '"license":': False, "licenses:": False, "license =": False}
+# Public short identifiers of licences that need no rule.
+KNOWN = frozenset(
+    "0bsd afl-3.0 beerware bsl-1.0 cc-pddc curl fsfap ftl hpnd icu ijg imagemagick isc json libpng libtiff mit mit-0 mit-cmu ms-pl ms-rl "
+    "mulanpsl-2.0 naist-2003 ncsa openssl osl-3.0 postgresql python-2.0 qpl-1.0 ruby sleepycat tcl unlicense upl-1.0 vim w3c wtfpl "
+    "x11 xnet zlib blueoak-1.0.0 psf-2.0 rpl-1.5 sissl sspl-1.0 busl-1.1".split()
+)
+# Families of identifiers with versions.
+FAMILY = re.compile(
+    r"(?:a|l)?gpl-[0-9.]+(?:-only|-or-later)?\+?|gfdl-[0-9.]+(?:-(?:no-)?invariants)?(?:-only|-or-later)?|cc-by(?:-nc)?(?:-nd|-sa)?-[0-9.]+(?:-[a-z]{2,3})?|cc0-[0-9.]+|"
+    r"apache-[0-9.]+\+?|bsd-[0-4]-clause(?:-[a-z-]+)?|(?:mpl|epl|eupl|cddl|cpl|lppl|artistic|afl|osl|ofl|odbl|ecl|cecill|zpl|nosl|apsl|php|ipl)-[0-9.]+(?:-[a-z-]+)?\+?|"
+    r"(?:documentref-[a-z0-9.-]+:)?(?:licenseref|additionref)-[a-z0-9.-]+"
+)
 PERMISSIVE = frozenset(
     "mit apache apache-2.0 bsd bsd-2-clause bsd-3-clause isc zlib unlicense cc0 cc0-1.0 cc-by-4.0 public-domain".split()
 )
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-EXPRESSION = re.compile(rb"[a-z0-9.+\- \t()]*")
-TOKEN = re.compile(r"[()]|[a-z0-9.+\-]+")
+TOKEN = re.compile(r"[()]|[a-z0-9.+:\-]*[a-z0-9+]")
+GAP = re.compile(rb"[ \t\"']*")
+LINE = re.compile(rb"[ \t]*\r?\n[ \t]*(?:[#*;%]+|//+|--+)?[ \t]*")  # to the next line, behind a comment's mark
+WORD = re.compile(rb"[()]|[a-z0-9.+:\-]*[a-z0-9+]")
 
 SCHEMA = (
     "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -126,6 +163,27 @@ def identifiers(rpn: list[str]) -> list[str]:
     return stack[-1] if stack else []
 
 
+def known(identifier: str) -> bool:
+    return identifier in KNOWN or FAMILY.fullmatch(identifier) is not None
+
+
+def expression_at(lowered: bytes, at: int) -> str:
+    """The words of an expression behind a tag.  It goes on in the next line behind an operator or an open bracket, and
+    before an operator."""
+    words: list[str] = []
+    while True:
+        at = GAP.match(lowered, at).end()
+        found = WORD.match(lowered, at)
+        if found is None:
+            line = LINE.match(lowered, at)
+            after = line and WORD.match(lowered, line.end())
+            if after is None or not (words and (words[-1] in PRECEDENCE or words[-1] == "(") or after[0].decode() in PRECEDENCE):
+                return " ".join(words)
+            found = after
+        words.append(found[0].decode())
+        at = found.end()
+
+
 @functools.cache
 def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     phrases = ahocorasick.Automaton()
@@ -135,8 +193,8 @@ def automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
         phrases.add_word(f" {phrase} ", (len(phrase) + 1, base, *own))
     phrases.make_automaton()
     tags = ahocorasick.Automaton()
-    for tag in TAGS:
-        tags.add_word(tag, tag)
+    for tag, sure in TAGS.items():
+        tags.add_word(tag, sure)
     tags.make_automaton()
     return phrases, tags
 
@@ -169,8 +227,9 @@ def scan(text: bytes) -> tuple:
     expressions: set[str] = set()
     granted = bool(labels & PERMISSIVE)
     lowered = text.lower()
-    for end, _ in tags.iter(lowered.decode("latin-1")) if lowered else ():
-        if rpn := to_rpn(EXPRESSION.match(lowered, end + 1)[0].decode()):
+    for end, sure in tags.iter(lowered.decode("latin-1")) if lowered else ():
+        rpn = to_rpn(expression_at(lowered, end + 1))
+        if rpn and (sure or all(map(known, identifiers(rpn)))):
             expressions.add(" ".join(rpn))
             ids = identifiers(rpn)
             granted |= evaluate(rpn, PERMISSIVE)

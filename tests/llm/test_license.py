@@ -42,3 +42,13 @@ def test_labels():
     assert row[5] == "gpl-2.0-only,isc,mit" and row[8] and row[6] > 0.9
     assert scan(b"Licensed under the Apache License, Version 2.0.")[5] == "apache,apache-2.0"
     assert scan(b"the art of public speaking")[5:7] == ("", 0.0)
+
+
+def test_tags_and_identifiers():
+    assert scan(b"SPDX-License-Identifier: MIT OR\n // Apache-2.0\nint x;")[5] == "apache-2.0,mit"
+    assert scan(b"# SPDX-License-Identifier: (MIT\n#   OR Apache-2.0) AND ISC\nimport x")[5] == "apache-2.0,isc,mit"
+    assert scan(b"SPDX-License-Identifier: DocumentRef-x:LicenseRef-y\nOR is the next word")[5] == "documentref-x:licenseref-y,is"
+    assert scan(b"Name: x\nLicense: MIT\n")[5] == "mit" and scan(b"license: see the file LICENSE")[5] == ""
+    assert scan(b'{"license": "BSL-1.0"}')[5] == "bsl-1.0" and scan(b"License: EUPL-1.2 OR GPL-3.0-or-later")[5] == "eupl-1.2,gpl-3.0-or-later"
+    assert scan(b"Distributed under the Boost Software License and GPLv3")[5] == "bsl-1.0,gpl-3.0"
+    assert scan(b"SPDX-License-Identifier:")[5] == "" and scan(b"SPDX-License-Identifier: OR\n")[5] == ""
