@@ -243,32 +243,39 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def digests(bpe: WordBpe, text: str) -> tuple[int, str, str]:
+def digests(bpe: WordBpe, text: str) -> tuple[int, str, str, bytes]:
     ids = bpe.encode(text)
     decoded = hashlib.sha256()
     for block in bpe.decode(ids):
         decoded.update(block)
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest()
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest(), ids
 
 
-def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of ids and digests of the ids and of the text decoded from them."""
+def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: number of ids and digests of the ids and of the text decoded from them; with_ids also the ids (token_ids).
+
+    Null and empty texts have no ids; repeated rows and rows without an id are encoded one by one; other columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
         for batch in batches:
             rows = [digests(bpe, t or "") for t in batch.column("text").to_pylist()]
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+            n, ids, decoded, packed = zip(*rows, strict=True) if rows else ((), (), (), ())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                ends = pa.array(np.concatenate(([0], np.cumsum(n, dtype=np.int64))).astype(np.int32))
+                arrays.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), "<u4").astype("i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if with_ids else [])])
 
     source = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
     kind = source.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}" + ", token_ids array<int>" * with_ids)
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """All columns of docs and the ids of its texts as an array of integers."""
+    """All columns of docs and the ids of its texts as an array of integers; a column of that name is replaced."""
+    docs = docs.drop(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
@@ -283,7 +290,8 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids
 
 
 def decode_ids(frame: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
-    """All columns and the text decoded from an array of ids (null: empty)."""
+    """All columns and the text decoded from an array of ids (null: empty); a column of that name is replaced."""
+    frame = frame.drop(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
