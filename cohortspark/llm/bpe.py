@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .runtime import slices
+
 END = ""  # stands for the suffix that marks a word's end
 MARKS = ".,;:!?%$#&*|-()\""
 CACHE_WORDS = 400_000  # words whose ids a task remembers; all are forgotten when it is full
@@ -259,7 +261,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [digests(bpe, t or "") for t in batch.column("text").to_pylist()]
             n, ids, decoded, packed = zip(*rows, strict=True) if rows else ((), (), (), ())
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
@@ -279,7 +281,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(bpe.encode(t or ""), "<u4").astype("i4") for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col]
@@ -295,7 +297,7 @@ def decode_ids(frame: DataFrame, tokenizer_path: str, ids_col: str = "token_ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             out = [
                 b"".join(bpe.decode(np.array(x or [], "<u4").tobytes())).decode() for x in batch.column(ids_col).to_pylist()
             ]

@@ -27,19 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import few, save, space_words, spread_join, texts
+from .runtime import few, save, slices, space_words, spread_join, texts
 from .simhash import components, link_fingerprints, majority, shingle_hashes
 
 SKETCH_WORDS = 8  # 64-bit words of a parity sketch
 TRIE_BUDGET = 2
 STARS = 2
-ROWS_AT_ONCE = 1_000
-SHARE = 3  # one shingle in so many is looked at when texts without a partner leave first
 SKETCH = [f"b{k}" for k in range(SKETCH_WORDS)]
 
 
 def class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         keys = [xxhash.xxh128_digest(b" ".join(space_words(t))) for t in texts(batch, "text")]
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary())], names=["row", "doc_id", "key"])
 
@@ -54,16 +52,16 @@ def shingle_sets(size: int) -> Callable:
     """Per text: its number of shingles, SimHash, parity sketch and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(space_words(t), size)) for t in texts(batch, "text")]
             sizes = np.array([len(s) for s in sets], np.int32)
             prints = np.array([majority(s)[0] if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             bits = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_WORDS)
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column("row"), pa.array(sizes), pa.array(prints), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "fp", *SKETCH, "shingles"])
-        pa.default_memory_pool().release_unused()  # the worker stays for stages that need none of it
+            seen = np.array([(s & np.uint64(1) == 0).sum() for s in sets], np.int32)
+            columns = [batch.column("row"), pa.array(sizes), pa.array(seen), pa.array(prints), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "seen", "fp", *SKETCH, "shingles"])
 
     return run
 
@@ -91,25 +89,26 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def covered(sets: DataFrame, similarity: float) -> DataFrame:
     """(row, n) of the texts that share enough shingles with other texts left, until hardly any more leave.
 
-    First by one shingle in SHARE: of those, too, at most n - t n may be missing elsewhere.
+    First by the shingles with even hashes: of those, too, at most n - t n may be missing elsewhere.
     """
-    left, share = sets.select("row", "n").where("n > 0"), SHARE
-    size = left.count()
-    while True:
-        looked = F.filter("shingles", lambda s: F.pmod(s, F.lit(share)) == 0) if share > 1 else F.col("shingles")
-        known = sets.where("n > 0") if share > 1 else few(left).join(sets.select("row", "shingles"), "row")
-        each = known.select("row", "n", F.explode(looked).alias("shingle"), F.size(looked).alias("seen"))
-        shared = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle")
-        counts = each.join(shared, "shingle", "left_semi").groupBy("row", "n", "seen").agg(F.count("*").alias("found"))
-        missing = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
-        kept = counts.where(F.col("seen") - F.col("found") <= missing).select("row", "n")
-        if share > 1:  # texts none of whose shingles is looked at, or may be missing
-            unseen = sets.where("n > 0").select("row", "n", F.size(looked).alias("seen")).where(F.col("seen") <= missing).select("row", "n")
-            kept = kept.unionByName(unseen).distinct()
-        left, before, share, first = save(kept), size, 1, share > 1
-        size = left.count()
-        if not size or (not first and size > 0.9 * before):
-            return left
+    texts_ = sets.where("n > 0")
+    missing = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
+
+    def shared(each: DataFrame) -> DataFrame:
+        again = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle")
+        return each.join(again, "shingle", "left_semi").groupBy("row", "n", "seen").agg(F.count("*").alias("found"))
+
+    first = shared(texts_.select("row", "n", "seen", F.explode("shingles").alias("shingle")).where(F.col("shingle").bitwiseAND(1) == 0))
+    left = first.where(F.col("seen") - F.col("found") <= missing).select("row", "n")
+    left = save(left.unionByName(texts_.where(F.col("seen") <= missing).select("row", "n")).distinct())
+    before, size = 0, left.count()
+    while size and size != before:
+        each = few(left).join(sets.select("row", "shingles"), "row").select("row", "n", F.col("n").alias("seen"), F.explode("shingles").alias("shingle"))
+        left = save(shared(each).where(F.col("n") - F.col("found") <= missing).select("row", "n"))
+        before, size = size, left.count()
+        if size > 0.9 * before:
+            break
+    return left
 
 
 def prefixes(sets: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
@@ -181,7 +180,7 @@ def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = save(each.groupBy("key").agg(F.min(first).alias("first")).select("key", "first", F.col("first.row").alias("row")))
     chosen = docs.join(few(classes.select(F.col("row").alias("node"))), docs.row == F.col("node"), "left_semi").select("row", "text")
-    schema = "row long, n int, fp long, " + ", ".join(f"{b} long" for b in SKETCH) + ", shingles array<bigint>"
+    schema = "row long, n int, seen int, fp long, " + ", ".join(f"{b} long" for b in SKETCH) + ", shingles array<bigint>"
     sets = save(chosen.mapInArrow(shingle_sets(shingle), schema))
     rooted = with_roots(classes, similar_links(sets, similarity))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))

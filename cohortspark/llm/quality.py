@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_mod, texts
+from .runtime import crc_mod, slices, texts
 from .samples import labelled_sample
 
 WORD_BUCKETS = 1 << 13
@@ -97,7 +97,7 @@ def joined(words: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         words, stats = [], []
         for text in texts(batch, "text"):
             found = text.split()
@@ -165,7 +165,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = [shared.value.score(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
@@ -181,7 +181,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = [shared.value.score(t) >= threshold for t in texts(batch, "text")]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +78,17 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)), F.lit(-1))
 
 
+SLICE_ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE_ROWS rows, which bound what a task's Python objects take; memory goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()  # the worker stays for stages that need none of it
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty, without decoding."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

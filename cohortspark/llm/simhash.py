@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import save, space_words, spread_join, texts
+from .runtime import save, slices, space_words, spread_join, texts
 
 SEED = 42
 NODE_LEAVES = 512  # fingerprints in a node where the trie is cut, on average
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """Per row its id and fingerprint (as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = np.array([fingerprint(t, shingle) for t in texts(batch, "text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
 

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD_BYTES, crc_mod
+from .runtime import WORD_BYTES, crc_mod, slices
 from .samples import labelled_sample
 
 SIZES = (4, 5, 6)
 BUCKET_BITS = 21
-CHUNK_CHARS = 1 << 20  # of text whose n-grams are hashed at once, but always whole texts
+CHUNK_CHARS = 1 << 18  # of text whose n-grams are hashed at once, but always whole texts
 # Odd multipliers, one for each place of an n-gram.
 PLACES = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * k)) % 2**64 | 1) for k in range(max(SIZES))]
 TRAIN_ROWS = 16_000  # bound of the labelled sample
@@ -85,7 +85,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Documents of either class that have a bucket, per task."""
     keep = np.ones(1 << BUCKET_BITS, bool)
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         label = np.asarray(batch.column("label").to_pylist(), float) > 0.5
         for first, part in chunks(batch.column("text").to_pylist()):
             doc, bucket = features(part, keep)
@@ -142,7 +142,7 @@ def fit(sample: DataFrame, width: int = FEATURES) -> Model:
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(1 << BUCKET_BITS, bool)
         keep[buckets] = True
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for _, part in chunks(batch.column("text").to_pylist()):
                 doc, bucket = features(part, keep)
@@ -179,7 +179,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = scores(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
@@ -195,7 +195,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             score = scores(shared.value, [t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(score < threshold, pa.bool_()))
 
