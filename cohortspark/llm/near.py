@@ -5,7 +5,8 @@ budget, and what it links is verified against the centre of its component, so th
 components at little cost.  Then every other link is found exactly:
 
 * Coverage.  A set similar to another one by t shares at least t of its own shingles.  Shingles of a single text cannot be
-  shared, so that a text with fewer than t shared shingles has no partner: most of a corpus leaves here.
+  shared, so that a text with fewer than t shared shingles has no partner: most of a corpus leaves here, first by a part of
+  its shingles alone.
 * Prefixes.  With shingles in order of their frequency, the rarest first, two similar sets of n and more shingles share one
   of the first n - ceil(t n) + 1 of each.  A text is compared with the centre of each such shingle's texts first (a star:
   linear in the family), then texts of different components are compared in pairs: those of a shingle's largest component
@@ -33,6 +34,7 @@ from .simhash import components, link_fingerprints, majority, shingle_hashes
 SKETCH_WORDS = 8  # 64-bit words of a parity sketch
 TRIE_BUDGET = 2
 STARS = 2
+LOOKED = 4  # one shingle in so many (a power of two) is looked at first, when most texts leave
 SKETCH = [f"b{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -48,6 +50,20 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def some_shingles(size: int) -> Callable:
+    """Per text: its number of shingles, and those among them that the first look takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(space_words(t), size)) for t in texts(batch, "text")]
+            some = [s[s & np.uint64(LOOKED - 1) == 0] for s in sets]
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in some]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*some, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int32()), lists], names=["row", "n", "shingles"])
+
+    return run
+
+
 def shingle_sets(size: int) -> Callable:
     """Per text: its number of shingles, SimHash, parity sketch and shingles."""
 
@@ -59,9 +75,8 @@ def shingle_sets(size: int) -> Callable:
             bits = np.array([parity_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH_WORDS)
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-            seen = np.array([(s & np.uint64(1) == 0).sum() for s in sets], np.int32)
-            columns = [batch.column("row"), pa.array(sizes), pa.array(seen), pa.array(prints), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "seen", "fp", *SKETCH, "shingles"])
+            columns = [batch.column("row"), pa.array(sizes), pa.array(prints), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH_WORDS)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "fp", *SKETCH, "shingles"])
 
     return run
 
@@ -86,25 +101,32 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return save(whole.where(both * (1 + similarity) >= similarity * n - 1e-9).select("u", "v"))
 
 
-def covered(sets: DataFrame, similarity: float) -> DataFrame:
-    """(row, n) of the texts that share enough shingles with other texts left, until hardly any more leave.
+def found_elsewhere(each: DataFrame) -> DataFrame:
+    """(row, found): how many of a text's shingles (row, shingle) another row has too.  each is shuffled once."""
+    dealt = each.repartition("shingle")
+    again = dealt.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle")
+    return dealt.join(again, "shingle", "left_semi").groupBy("row").agg(F.count("*").alias("found"))
 
-    First by the shingles with even hashes: of those, too, at most n - t n may be missing elsewhere.
-    """
-    texts_ = sets.where("n > 0")
-    missing = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
 
-    def shared(each: DataFrame) -> DataFrame:
-        again = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1").select("shingle")
-        return each.join(again, "shingle", "left_semi").groupBy("row", "n", "seen").agg(F.count("*").alias("found"))
+def missing(similarity: float) -> Column:
+    """How many of a text's n shingles a similar text may lack."""
+    return F.col("n") - F.ceil(similarity * F.col("n") - 1e-9)
+
 
-    first = shared(texts_.select("row", "n", "seen", F.explode("shingles").alias("shingle")).where(F.col("shingle").bitwiseAND(1) == 0))
-    left = first.where(F.col("seen") - F.col("found") <= missing).select("row", "n")
-    left = save(left.unionByName(texts_.where(F.col("seen") <= missing).select("row", "n")).distinct())
+def may_have_partners(some: DataFrame, similarity: float) -> DataFrame:
+    """The rows of some (row, n, shingles: a part of each text's) of whose shingles not too many are in one text only."""
+    counts = found_elsewhere(some.select("row", F.explode("shingles").alias("shingle")))
+    known = some.select("row", "n", F.size("shingles").alias("seen")).where("n > 0").join(counts, "row", "left")
+    return save(known.where(F.col("seen") - F.coalesce("found", F.lit(0)) <= missing(similarity)).select("row"))
+
+
+def covered(sets: DataFrame, similarity: float) -> DataFrame:
+    """(row, n) of the texts that share enough shingles with other texts left, until hardly any more leave."""
+    left = sets.select("row", "n").where("n > 0")
     before, size = 0, left.count()
     while size and size != before:
-        each = few(left).join(sets.select("row", "shingles"), "row").select("row", "n", F.col("n").alias("seen"), F.explode("shingles").alias("shingle"))
-        left = save(shared(each).where(F.col("n") - F.col("found") <= missing).select("row", "n"))
+        counts = found_elsewhere(few(left).join(sets.select("row", "shingles"), "row").select("row", F.explode("shingles").alias("shingle")))
+        left = save(left.join(counts, "row").where(F.col("n") - F.col("found") <= missing(similarity)).select("row", "n"))
         before, size = size, left.count()
         if size > 0.9 * before:
             break
@@ -113,13 +135,12 @@ def covered(sets: DataFrame, similarity: float) -> DataFrame:
 
 def prefixes(sets: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
     """(shingle, row, n, place): the shared shingles among the first of each text left, the rarest first."""
-    each = save(few(left).join(sets.select("row", "shingles"), "row").select("row", "n", F.explode("shingles").alias("shingle")))
+    each = few(left).join(sets.select("row", "shingles"), "row").select("row", "n", F.explode("shingles").alias("shingle")).repartition("shingle")
     shared = each.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1")
     met = each.join(shared, "shingle").groupBy("row", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("known"))
     # What is in one text only comes first, and is not listed.
     first = F.col("n") - F.size("known")
-    reach = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    listed = met.select("row", "n", first.alias("first"), F.posexplode(F.slice("known", 1, F.greatest(reach - first, F.lit(0)).cast("int"))))
+    listed = met.select("row", "n", first.alias("first"), F.posexplode(F.slice("known", F.lit(1), F.greatest(missing(similarity) + 1 - first, F.lit(0)).cast("int"))))
     return save(listed.select(F.col("col.shingle").alias("shingle"), "row", "n", (F.col("first") + F.col("pos")).alias("place")))
 
 
@@ -180,8 +201,10 @@ def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = save(each.groupBy("key").agg(F.min(first).alias("first")).select("key", "first", F.col("first.row").alias("row")))
     chosen = docs.join(few(classes.select(F.col("row").alias("node"))), docs.row == F.col("node"), "left_semi").select("row", "text")
-    schema = "row long, n int, seen int, fp long, " + ", ".join(f"{b} long" for b in SKETCH) + ", shingles array<bigint>"
-    sets = save(chosen.mapInArrow(shingle_sets(shingle), schema))
+    some = save(chosen.mapInArrow(some_shingles(shingle), "row long, n int, shingles array<bigint>"))
+    left = may_have_partners(some, similarity)
+    schema = "row long, n int, fp long, " + ", ".join(f"{b} long" for b in SKETCH) + ", shingles array<bigint>"
+    sets = save(chosen.join(few(left), "row").mapInArrow(shingle_sets(shingle), schema))
     rooted = with_roots(classes, similar_links(sets, similarity))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     of_key = save(spread_join(rooted.select("key", "root"), kept, "root").select("key", F.col("kept.row").alias("kept_row")))
