@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# Names of the methods.
 METHODS = ("BURDEN", "CALPHA", "CMC", "CMC1df", "VT", "WSS", "RVT1", "RVT2", "SKAT", "SKATO", "VAAST", "SKATC")
 QUANTITATIVE = frozenset({"BURDEN", "RVT1", "RVT2", "SKAT", "SKATO", "SKATC", "VT"})
 #: Methods that report a p-value even when permuting: a hit is a permuted value that is as small.
@@ -37,10 +38,13 @@ class AssocConfig:
     qtl: bool = False
     beta_weights: tuple[float, float] = (1.0, 25.0)
     no_weights: bool = False
+    file_weights: bool = False  # variants bring their weights from a file, and keep them
     saddlepoint: bool = False
     cmcmaf: float = 0.005
     hotellings: bool = False
     covariates: tuple[str, ...] = field(default=())
+    testable: float | None = None  # leave out groups whose most extreme labels would not reach this level
+    output_stats: bool = False  # list every permuted statistic
 
     def __post_init__(self) -> None:
         if self.method not in METHODS:

@@ -6,8 +6,8 @@ import math
 
 import numpy as np
 
-from .special import chi2_isf, chi2_sf, f_sf
-from .tails import form_sf, liu_quantile
+from .special import chi2_isf, chi2_sf
+from .tails import form_sf, form_sf_all, liu_quantile
 
 # Mixing weights of the optimal test.
 RHO = (0.0, 0.01, 0.04, 0.09, 0.16, 0.25, 0.5, 1.0)
@@ -21,7 +21,7 @@ def burden_p(q: float, total: float) -> float:
 
 def skat_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> float:
     """Variance-component p-value of weighted scores z with covariance r."""
-    return form_sf(float(z @ z), np.linalg.svd(r, compute_uv=False), use_saddlepoint)
+    return form_sf(float(z @ z), np.abs(np.linalg.eigvalsh(r)), use_saddlepoint)
 
 
 def cauchy_p(values: list[float]) -> float:
@@ -61,40 +61,24 @@ def skato_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> floa
     if not math.isfinite(top) or top <= 0:
         return max(SMALLEST, bound)
 
-    def inner(u: float) -> float:
-        x = min((q - t * u * u) / (1 - rho) for q, t, rho in zip(quantiles, tau, RHO, strict=False))
-        return form_sf((x - mean) * shrink + mean, lam, use_saddlepoint) * math.sqrt(2 / math.pi) * math.exp(-0.5 * u * u)
+    def inner(u: np.ndarray) -> np.ndarray:
+        x = np.min([(q - t * u * u) / (1 - rho) for q, t, rho in zip(quantiles, tau, RHO, strict=False)], axis=0)
+        return form_sf_all((x - mean) * shrink + mean, lam, use_saddlepoint) * math.sqrt(2 / math.pi) * np.exp(-0.5 * u * u)
 
-    # Gauss-Legendre panels, doubled until the integral settles.
+    # Gauss-Legendre panels, doubled until the integral settles; the integrand has kinks, where the least quantile changes.
     nodes, weights = np.polynomial.legendre.leggauss(16)
     edge, before, panels = math.sqrt(top), math.inf, 1
     while True:
         ends = np.linspace(0, edge, panels + 1)
-        half = np.diff(ends) / 2
-        now = float(sum(h * w * inner(a + h * (t + 1)) for a, h in zip(ends, half, strict=False) for t, w in zip(nodes, weights, strict=True)))
-        if abs(now - before) <= 1e-7 * abs(now) or panels >= 8:
+        half = np.diff(ends)[:, None] / 2
+        now = float((half * weights * inner((ends[:-1, None] + half * (nodes + 1)).ravel()).reshape(panels, -1)).sum())
+        if abs(now - before) <= 1e-6 * (abs(now) + best) or panels >= 64:
             break
         before, panels = now, panels * 2
     p = best + now
     return max(SMALLEST, bound if not math.isfinite(p) or p <= 0 else min(p, bound))
 
 
-def hotelling(g: np.ndarray, y: np.ndarray, n: int, cases: int, rare: float = 0.005) -> tuple[float, float]:
-    """Two-sample T2 of genotypes by status, rare columns as one indicator; g has the carriers' rows only."""
-    freq = g.sum(axis=0) / (2.0 * n)
-    few = freq < rare
-    x = g if few.sum() <= 1 else np.column_stack((g[:, ~few], np.minimum(g[:, few].sum(axis=1), 1)))
-    controls = n - cases
-    one, two = x[y == 1], x[y == 0]
-    m1, m2 = one.sum(axis=0) / cases, two.sum(axis=0) / controls
-    pooled = (one.T @ one - cases * np.outer(m1, m1) + two.T @ two - controls * np.outer(m2, m2)) / (n - 2)
-    d = m1 - m2
-    p = x.shape[1]
-    t2 = float(d @ np.linalg.pinv(pooled) @ d) * cases * controls / n
-    stat = max(0.0, t2 * (n - 1 - p) / (p * (n - 2)))
-    return stat, f_sf(stat, p, n - 1 - p)
-
-
 def site_score(counts: np.ndarray, weight: float, cap: float) -> float:
     """Score of allele counts (case alternate, case reference, control alternate, control reference), merged or not."""
     a, b, c, d = counts
@@ -109,9 +93,9 @@ def site_score(counts: np.ndarray, weight: float, cap: float) -> float:
     return max(0.0, 2 * (ratio + math.log(weight)))
 
 
-def grouped_scores(counts: np.ndarray, weights: np.ndarray, keys: list[str], limit: float, cap: float) -> list[float]:
-    """Scores after rare sites are merged greedily in sub-groups of five, the best first."""
-    score = [site_score(c, w, cap) for c, w in zip(counts, weights, strict=True)]
+def grouped_scores(counts: np.ndarray, weights: np.ndarray, keys: list[str], limit: float, cap: float, score: np.ndarray | None = None) -> list[float]:
+    """Scores after rare sites are merged greedily in sub-groups of five, the best first; score: known scores of the sites."""
+    score = [site_score(c, w, cap) for c, w in zip(counts, weights, strict=True)] if score is None else score.tolist()
     order = sorted(range(len(keys)), key=lambda k: keys[k], reverse=True)
     order.sort(key=lambda k: (-weights[k], -score[k]))
     merging = [k for k in order if counts[k][0] <= limit and score[k] > 0]
@@ -131,10 +115,10 @@ def grouped_scores(counts: np.ndarray, weights: np.ndarray, keys: list[str], lim
     return out
 
 
-def vaast_grouped(counts: np.ndarray, weights: np.ndarray, types: list[str], keys: list[str], limit: float = 4, cap: float = 1.0, penalty: float = 2.0, by_type: bool = False) -> float:
+def vaast_grouped(counts: np.ndarray, weights: np.ndarray, types: list[str], keys: list[str], limit: float = 4, cap: float = 1.0, penalty: float = 2.0, by_type: bool = False, score: np.ndarray | None = None) -> float:
     """Sum of what the merged and single scores exceed the penalty by."""
     sets = [np.flatnonzero(np.array(types) == t) for t in sorted(set(types))] if by_type else [np.arange(len(keys))]
-    scores = [s for at in sets for s in grouped_scores(counts[at], weights[at], [keys[k] for k in at], limit, cap)]
+    scores = [s for at in sets for s in grouped_scores(counts[at], weights[at], [keys[k] for k in at], limit, cap, None if score is None else score[at])]
     return float(sum(s - penalty for s in scores if s > penalty))
 
 

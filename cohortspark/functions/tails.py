@@ -6,21 +6,26 @@ import math
 
 import numpy as np
 
-from .special import chi2_isf, noncentral_chi2_sf, normal_sf
+from .special import chi2_isf, chi2_sf, noncentral_chi2_sf, normal_sf
 
 
-def davies(q: float, lam: np.ndarray, accuracy: float = 1e-9, limit: int = 60_000) -> tuple[float, bool]:
-    """P(sum lam_j X_j > q), X_j chi-square with one degree, by numerical inversion of the characteristic function.
+LIMIT = 250_000  # terms of an inversion sum
+CHUNK = 1 << 21  # cells of a piece of it
+
+
+def davies_all(q: np.ndarray, lam: np.ndarray, accuracy: float = 1e-9, limit: int = LIMIT) -> tuple[np.ndarray, bool]:
+    """P(sum lam_j X_j > q) for each q, X_j chi-square with one degree, by inversion of the characteristic function.
 
     The trapezoidal sum (1/pi) sum sin(theta(u)) / (u rho(u)) uses a step that keeps the aliasing tails below the
-    accuracy and stops where the integrand's envelope does.  The second value tells that the limit was too small.
+    accuracy and stops where the integrand's envelope does; all values share its terms.  The second value tells that the
+    limit was too small.
     """
     lam = lam[lam != 0]
     if not len(lam):
-        return float(q < 0), False
+        return (q < 0).astype(float), False
     scale = float(np.abs(lam).max())
-    lam, q = lam / scale, q / scale
-    mean, sd = lam.sum(), math.sqrt(2 * (lam**2).sum())
+    lam, q = lam / scale, np.asarray(q, float) / scale
+    sd = math.sqrt(2 * (lam**2).sum())
 
     def tail_bound(sign: float) -> float:
         """A distance from the mean beyond which the mass is below the accuracy (Chernoff)."""
@@ -33,7 +38,7 @@ def davies(q: float, lam: np.ndarray, accuracy: float = 1e-9, limit: int = 60_00
         return best
 
     upper, lower = tail_bound(1.0), -tail_bound(-1.0)
-    span = max(upper - q, q - lower, upper - lower, 4 * sd)
+    span = max(upper - q.min(), q.max() - lower, upper - lower, 4 * sd)
     step = 2 * math.pi / (1.05 * span)
     # The envelope 1 / (pi u prod (1 + 4 lam^2 u^2)^(1/4)) bounds what is cut off.
     top = 1.0
@@ -41,17 +46,24 @@ def davies(q: float, lam: np.ndarray, accuracy: float = 1e-9, limit: int = 60_00
         rest = math.exp(-0.25 * np.log1p(4 * (lam * top) ** 2).sum()) * 2 / (math.pi * max(1, min(len(lam), 1 + int((np.abs(lam * top) > 1).sum()))))
         if rest < accuracy / 4 or top / step > limit:
             break
-        top *= 1.5
-    count = int(top / step) + 1
-    fault = count > limit and rest > 1e-6
-    total = 0.0
-    for at in range(0, min(count, limit), 20_000):
-        u = (np.arange(at, min(at + 20_000, count, limit)) + 0.5) * step
+        top *= 1.2
+    count = min(int(top / step) + 1, limit)
+    if rest > 1e-6:
+        return np.full(len(q), np.nan), True
+    total = np.zeros(len(q))
+    piece = max(1, CHUNK // max(len(lam), len(q)))
+    for at in range(0, count, piece):
+        u = (np.arange(at, min(at + piece, count)) + 0.5) * step
         w = 2 * np.outer(u, lam)
-        theta = 0.5 * np.arctan(w).sum(axis=1) - u * q
-        rho = np.exp(0.25 * np.log1p(w * w).sum(axis=1))
-        total += float((np.sin(theta) / ((np.arange(at, at + len(u)) + 0.5) * rho)).sum())
-    return 0.5 + total / math.pi, fault or not math.isfinite(mean)
+        theta = 0.5 * np.arctan(w).sum(axis=1)
+        size = np.exp(-0.25 * np.log1p(w * w).sum(axis=1)) / (np.arange(at, at + len(u)) + 0.5)
+        total += size @ np.sin(theta[:, None] - np.outer(u, q))
+    return 0.5 + total / math.pi, False
+
+
+def davies(q: float, lam: np.ndarray, accuracy: float = 1e-9, limit: int = LIMIT) -> tuple[float, bool]:
+    p, fault = davies_all(np.array([q]), lam, accuracy, limit)
+    return float(p[0]), fault or not math.isfinite(p[0])
 
 
 def moments(lam: np.ndarray) -> tuple[float, float, float, float]:
@@ -86,50 +98,56 @@ def liu_quantile(p: float, lam: np.ndarray) -> float:
     return (chi2_isf(p if p > 0 else 1.5e-154, df) - df) / (math.sqrt(2) * df) * sd + mean
 
 
-# How close to the pole the root may be sought, and how close to the mean moments take over.
-POLE_SHARE, NEAR_MEAN = 0.99999, 1e-4
-
-
 def saddlepoint(q: float, lam: np.ndarray) -> float:
-    """Upper tail by the saddlepoint approximation; near the mean, or without a root, moments are matched.
+    """Upper tail by Kuonen's (1999) saddlepoint approximation; moments are matched where it does not hold (at the mean).
 
-    The slope of the cumulant function grows from 0 to infinity below its pole, so that the root is bracketed by
-    doubling from zero downwards and by the pole, and then halved.
+    K(z) = -1/2 sum log(1 - 2 z lam) has a slope that grows from its limit at minus infinity (0 for positive forms) to
+    infinity at the pole: K'(z) = q has one root, found by bisection on the distance to the pole.
     """
-    if q <= 0:
-        return 1.0
-    top = float(lam.max(initial=0.0))
-    if top <= 0:
+    lam = np.nan_to_num(np.asarray(lam, float))
+    pole = 1 / (2 * lam.max(initial=0.0)) if lam.max(initial=0.0) > 0 else math.inf
+    if not math.isfinite(pole):
         return liu(q, lam)
-    u, x = np.nan_to_num(lam / top), q / top
-    floor = POLE_SHARE / (2 * float(u.min())) if u.min() < 0 else -math.inf
+    if q <= 0 and lam.min() >= 0:
+        return 1.0
+    below = 1 / (2 * lam.min()) if lam.min() < 0 else -math.inf
 
     def slope(z: float) -> float:
-        return float((u / (1 - 2 * z * u)).sum()) - x
-
-    low, high = max(-0.01, floor), POLE_SHARE / 2
-    while slope(low) > 0 and low > floor and low > -1e12:
-        low = max(2 * low, floor)
-    if slope(low) > 0 or slope(high) < 0:
-        return liu(q, lam)
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if slope(mid) < 0 else (low, mid)
-    z = (low + high) / 2
-    gain = z * x + 0.5 * float(np.log(1 - 2 * z * u).sum())
-    if abs(z) < NEAR_MEAN or gain <= 0:
+        return float((lam / (1 - 2 * z * lam)).sum())
+
+    # z = pole - gap: the gap is bracketed between powers of two of the pole.
+    near, far = pole * 2.0**-50, pole
+    while slope(pole - far) > q:
+        far *= 2
+        if pole - far <= below or far > pole * 2.0**60:
+            return liu(q, lam)
+    for _ in range(120):
+        mid = math.sqrt(near * far)
+        near, far = (mid, far) if slope(pole - mid) > q else (near, mid)
+    z = pole - math.sqrt(near * far)
+    exponent = z * q + 0.5 * float(np.log1p(-2 * z * lam).sum())
+    w = math.copysign(math.sqrt(max(2 * exponent, 0.0)), z)
+    v = z * math.sqrt(2 * float(((lam / (1 - 2 * z * lam)) ** 2).sum()))
+    if abs(w) < 1e-3 or v / w <= 0:
         return liu(q, lam)
-    root = math.copysign(math.sqrt(2 * gain), z)
-    curve = z * math.sqrt(2 * float((u**2 / (1 - 2 * z * u) ** 2).sum()))
-    return normal_sf(root + math.log(curve / root) / root)
+    return normal_sf(w + math.log(v / w) / w)
+
+
+def form_sf_all(q: np.ndarray, lam: np.ndarray, use_saddlepoint: bool = False) -> np.ndarray:
+    """Upper tails: inversion, and the saddlepoint where it fails or leaves (0, 1); forms of equal weights are chi-square."""
+    q, lam = np.asarray(q, float), np.asarray(lam, float)
+    large = lam[lam > lam.max(initial=0.0) * 1e-12]
+    if len(large) and np.ptp(large) <= 1e-12 * large.max() and len(large) == (lam != 0).sum():
+        return np.array([1.0 if math.isnan(x) else chi2_sf(x / large[0], len(large)) for x in q])
+    out = np.full(len(q), np.nan)
+    fine = ~np.isnan(q)
+    if not use_saddlepoint and fine.any():
+        p, fault = davies_all(q[fine], lam)
+        out[fine] = np.where((p > 0) & (p < 1) & (not fault), p, np.nan)
+    for k in np.flatnonzero(np.isnan(out)):
+        out[k] = saddlepoint(float(q[k]), lam) if fine[k] else 1.0
+    return out
 
 
 def form_sf(q: float, lam: np.ndarray, use_saddlepoint: bool = False) -> float:
-    """Upper tail: inversion, and the saddlepoint where it fails or leaves (0, 1)."""
-    if math.isnan(q):
-        return 1.0
-    if not use_saddlepoint:
-        p, fault = davies(q, lam)
-        if 0 < p < 1 and not fault:
-            return p
-    return saddlepoint(q, lam)
+    return float(form_sf_all(np.array([q]), lam, use_saddlepoint)[0])

@@ -43,7 +43,8 @@ def counts(cohort: Cohort) -> DataFrame:
     """Per variant: allele count, carriers, squares and missing calls, in all and in cases."""
     both = cohort.calls.join(cohort.samples.select("sample_id", "y"), "sample_id")
     d, case = F.col("dosage"), F.col("y") == 1
-    long = lambda c: c.cast("long")
+    whole = dict(cohort.calls.dtypes)["dosage"] not in ("double", "float")  # imputed dosages have fractions
+    long = lambda c: c.cast("long") if whole else c.cast("double")
     return both.groupBy("variant_id").agg(
         long(F.sum(d)).alias("ac"),
         long(F.sum(d * d)).alias("ac2"),
@@ -75,25 +76,20 @@ def flipped(counted: DataFrame, n: int) -> DataFrame:
     return counted.select("*", flip.alias("flip"), minor.cast("long").alias("minor_ac"))
 
 
-def flip_calls(cohort: Cohort, most: int = 100_000) -> Cohort:
+def flip_calls(cohort: Cohort) -> Cohort:
     """The cohort with minor alleles counted: of a variant whose alternate allele is the major one 0 and 2 change places.
 
-    Only such variants get rows for all samples; they are few, and more than `most` raise.
+    Only such variants get rows for the samples without a call: their ids meet the samples by an anti join on both.
     """
     n, _ = cohort.sizes
-    counted = flipped(counted_variants(cohort), n).where("flip").select("variant_id").distinct()
-    ids = [r.variant_id for r in counted.limit(most + 1).collect()]
-    if len(ids) > most:
-        raise ValueError(f"over {most} variants have a major alternate allele: recode them first")
-    if not ids:
-        return cohort
-    few = F.col("variant_id").isin(ids)
-    all_samples = cohort.samples.select("sample_id", F.explode(F.array(*map(F.lit, ids))).alias("variant_id"))
-    turned = all_samples.join(cohort.calls.where(few), ["sample_id", "variant_id"], "left").select(
-        "sample_id", "variant_id", F.when(F.col("missing"), 0).otherwise(2 - F.coalesce("dosage", F.lit(0))).cast("int").alias("dosage"), F.coalesce("missing", F.lit(False)).alias("missing")
-    )
-    kept = turned.where("dosage > 0 or missing")
-    out = Cohort(cohort.samples, cohort.variants, cohort.calls.where(~few).unionByName(kept))
+    turned = flipped(counted_variants(cohort), n).where("flip").select("variant_id").distinct()
+    marked = cohort.calls.join(turned.withColumn("flip", F.lit(True)), "variant_id", "left")
+    dosage = F.when(F.col("flip") & ~F.col("missing"), 2 - F.col("dosage")).otherwise(F.col("dosage"))
+    called = marked.select("sample_id", "variant_id", dosage.cast(cohort.calls.schema["dosage"].dataType).alias("dosage"), "missing")
+    # Calls of all samples for the flipped variants alone: what has no call has two minor alleles.
+    spread = turned.join(cohort.samples.select("sample_id"), F.lit(True)).join(cohort.calls.select("sample_id", "variant_id"), ["sample_id", "variant_id"], "left_anti")
+    absent = spread.select("sample_id", "variant_id", F.lit(2).cast(cohort.calls.schema["dosage"].dataType).alias("dosage"), F.lit(False).alias("missing"))
+    out = Cohort(cohort.samples, cohort.variants, called.where("dosage > 0 or missing").unionByName(absent))
     out.__dict__["sizes"] = cohort.sizes
     return out
 
@@ -120,7 +116,7 @@ def impute(cohort: Cohort, mode: str = "af") -> DataFrame:
     factor = 1.0 if mode == "dosage" else 2.0
     seen = size - F.col("gone")
     mean = groups.select("variant_id", "y", F.when(seen > 0, F.col("ac") / (factor * seen)).otherwise(0.0).alias("mean"))
-    value = F.when(F.col("missing"), F.col("mean")).otherwise(F.col("dosage").cast("double"))
+    value = F.when(F.col("missing") & (F.col("dosage") == 0), F.col("mean")).otherwise(F.col("dosage").cast("double"))
     return both.join(mean, ["variant_id", "y"]).select("sample_id", "variant_id", value.alias("dosage"), "missing")
 
 
@@ -139,16 +135,23 @@ def whole_gene(variants: DataFrame, dedupe: str = "id") -> DataFrame:
 def collapse_rare(cohort: Cohort, k: int) -> tuple[DataFrame, DataFrame]:
     """Variants with at most k minor alleles become one variant of each transcript: whether a sample carries any.
 
-    Returns variants (variant_key, gene, transcript, type, weight) and calls (variant_key, sample_id, dosage, missing).
-    Variants without any allele are collapsed too; the weight is the mean.
+    Returns variants (variant_key, locus, gene, transcript, type, function, weight, members) and calls (variant_key,
+    sample_id, dosage, missing).  A collapsed variant spans its members and has no alleles of its own; variants without any
+    allele are collapsed too; the weight is the mean.
     """
     n, _ = cohort.sizes
     keyed = flipped(counted_variants(cohort), n).withColumn("rare", F.col("minor_ac") <= k)
-    name = F.when(F.col("rare"), F.concat_ws(",", F.lit(COLLAPSED), "gene", "transcript")).otherwise(variant_key())
+    for c in (*LOCUS, "function"):
+        if c not in keyed.columns:
+            keyed = keyed.withColumn(c, F.lit(None).cast("string"))
+    own = variant_key() if set(LOCUS) <= set(cohort.variants.columns) else F.concat_ws(",", F.col("variant_id").cast("string"), "transcript")
+    name = F.when(F.col("rare"), F.concat_ws(",", F.lit(COLLAPSED), "gene", "transcript")).otherwise(own)
     keyed = keyed.withColumn("variant_key", name)
+    either = lambda c, merged: F.first(F.when(F.col("rare"), F.lit(merged)).otherwise(F.col(c))).alias(c)
     variants = keyed.groupBy("variant_key", "gene", "transcript").agg(
-        F.first(F.when(F.col("rare"), COLLAPSED).otherwise(F.col("type"))).alias("type"), F.avg("weight").alias("weight"), F.count("*").alias("members")
-    )
+        F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"), either("ref", "-"), either("alt", "-"), either("type", COLLAPSED), either("function", COLLAPSED),
+        F.avg("weight").alias("weight"), F.count("*").alias("members"),
+    )
     joined = cohort.calls.join(keyed.select("variant_id", "variant_key", "rare"), "variant_id")
     calls = joined.groupBy("variant_key", "sample_id").agg(
         F.max(F.when(F.col("rare"), (F.col("dosage") > 0).cast("int")).otherwise(F.col("dosage"))).alias("dosage"), F.max("missing").alias("missing")

@@ -1,26 +1,30 @@
-"""Statistics with covariates: carriers meet the null model in Spark, one group's numbers are worked out by a kernel.
+"""Statistics with covariates: sums over carriers are made in Spark, one group's numbers are worked out by a kernel.
 
-Only carriers are sent: scores, weighted genotype products and products with the covariates all vanish at zero
-genotypes.  The null model is fitted once over all samples by distributed sums.
+Scores, weighted genotype products and products with the covariates all vanish at zero genotypes, so that they are sums
+over calls; a kernel gets variants x variants matrices, never samples.  The null model is fitted once over all samples by
+distributed sums, and regressions beside it likewise, for all groups at once.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
-from ..functions import kernels
-from ..functions.glm import EPS, distributed_fit, family, fit
-from ..functions.special import chi2_sf
+from ..functions import batch, kernels
+from ..functions.glm import EPS, distributed_fit
+from ..functions.special import chi2_sf, f_sf
 from ..plans.statistics import GROUP
-from .filters import counted_variants, variant_key
-
-PATTERNS = 200_000  # distinct (covariates, status) rows that are sent to every task
+from ..streaming.blocks import persist
+from .filters import COLLAPSED, counted_variants, variant_key
+from .products import Labels, Layout, SampleBlock, lay_out, product
 
 
 @dataclass
@@ -31,6 +35,7 @@ class Null:
     inverse: np.ndarray
     s2: float
     deviance: float
+    beta: np.ndarray
 
 
 def design(samples: DataFrame, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = (), max_levels: int = 100) -> DataFrame:
@@ -55,108 +60,244 @@ def null_model(samples: DataFrame, quantitative: bool = False) -> Null:
     cells = out.select(*(F.sum(F.col("x")[i] * F.col("x")[j] * F.col("v")).alias(f"c{i}_{j}") for i in range(k) for j in range(k)), F.count("*").alias("n")).first()
     info = np.array([[cells[f"c{i}_{j}"] for j in range(k)] for i in range(k)], float)
     s2 = deviance / max(1, cells["n"] - k) if quantitative else 1.0
-    return Null(out, np.linalg.pinv(info), s2, deviance)
+    return Null(out, np.linalg.pinv(info), s2, deviance, beta)
 
 
-def carrier_rows(cohort: Cohort, null: Null) -> DataFrame:
-    variants = cohort.variants.select("variant_id", *GROUP, "weight")
-    columns = null.samples.select("sample_id", "y", "u0", "v", "x")
-    return cohort.calls.where("dosage > 0").join(variants, "variant_id").join(columns, "sample_id")
+def variant_scores(cohort: Cohort, null: Null) -> DataFrame:
+    """Per variant: score, and products of its genotypes with the covariates."""
+    samples = null.samples.select("sample_id", "u0", "v", "x")
+    d = F.col("dosage")
+    sums = [F.sum(d * F.col("v") * F.col("x")[i]) for i in range(len(null.inverse))]
+    return cohort.calls.where("dosage > 0").join(samples, "sample_id").groupBy("variant_id").agg(F.sum(d * F.col("u0")).alias("z"), F.array(*sums).alias("xv"))
 
 
-def dense(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
-    """Carriers x variants dosages, variant weights, and one row for each carrier."""
-    variant, columns = pd.factorize(frame["variant_id"], sort=True)
-    sample, _ = pd.factorize(frame["sample_id"], sort=True)
-    g = np.zeros((sample.max() + 1, len(columns)))
-    g[sample, variant] = frame["dosage"]
-    weights = frame.groupby("variant_id", sort=True)["weight"].first().to_numpy()
-    first = frame.assign(s=sample).drop_duplicates("s").sort_values("s")
-    return g, weights, first
+def variant_pairs(cohort: Cohort, samples: DataFrame | None = None) -> DataFrame:
+    """(gene, transcript, one, two, cross): sums over samples of both dosages (times v of samples), one <= two.
 
+    Calls of a gene meet on the sample; sums are made by pair before transcripts multiply them.
+    """
+    genes = cohort.variants.select("variant_id", "gene").distinct()
+    held = cohort.calls.where("dosage > 0").join(genes, "variant_id").select("gene", "sample_id", "variant_id", "dosage")
+    other = held.select("gene", "sample_id", F.col("variant_id").alias("two"), F.col("dosage").alias("d2"))
+    both = held.withColumnRenamed("variant_id", "one").join(other, ["gene", "sample_id"]).where("one <= two")
+    weight = F.col("dosage") * F.col("d2")
+    if samples is not None:
+        both, weight = both.join(samples.select("sample_id", "v"), "sample_id"), weight * F.col("v")
+    sums = both.groupBy("gene", "one", "two").agg(F.sum(weight).cast("double").alias("cross"))
+    member = cohort.variants.select(*GROUP, "variant_id")
+    first, second = (member.withColumnRenamed("variant_id", c) for c in ("one", "two"))
+    return persist(sums.join(first, ["gene", "one"]).join(second, [*GROUP, "two"]).select(*GROUP, "one", "two", "cross"))
+
+
+def square(pairs: pa.Table, ids: pd.Index) -> np.ndarray:
+    """The symmetric matrix of pairs (one, two, cross) over the variants ids."""
+    out = np.zeros((len(ids), len(ids)))
+    i, j = (ids.get_indexer(pairs.column(c).to_pandas()) for c in ("one", "two"))
+    out[i, j] = out[j, i] = pairs.column("cross").to_numpy()
+    return out
 
-def scores(frame: pd.DataFrame, inverse: np.ndarray, s2: float, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted scores and their covariance, covariates projected out."""
-    g, w, carriers = dense(frame)
-    v, u, x = carriers["v"].to_numpy(), carriers["u0"].to_numpy(), np.array(carriers["x"].tolist())
-    xvg = x.T @ (g * v[:, None])
-    w = w if weighted else np.ones_like(w)
-    cov = g.T @ (g * v[:, None]) - xvg.T @ inverse @ xvg
-    return w * (g.T @ u) / np.sqrt(s2), cov * np.outer(w, w)
 
+SCORE_TESTS = ("burden", "burden_p", "skat_q", "skat_p", "skato_p", "skatc_p")
 
-def score_tests(cohort: Cohort, null: Null, use_saddlepoint: bool = False) -> DataFrame:
-    """burden_p, skat_p, skato_p and their combination for each group."""
-    inverse, s2 = null.inverse, null.s2
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        z, r = scores(frame, inverse, s2)
-        burden = kernels.burden_p(float(z.sum() ** 2), float(r.sum()))
-        skat = kernels.skat_p(z, r, use_saddlepoint)
-        row = [*frame.iloc[0][list(GROUP)], float(z.sum() ** 2 / r.sum()), burden, float(z @ z), skat, kernels.skato_p(z, r, use_saddlepoint), kernels.cauchy_p([skat, burden])]
-        return pd.DataFrame([row], columns=[*GROUP, "burden", "burden_p", "skat_q", "skat_p", "skato_p", "skatc_p"])
-
-    kinds = "gene string, transcript string, burden double, burden_p double, skat_q double, skat_p double, skato_p double, skatc_p double"
-    return carrier_rows(cohort, null).groupBy(*GROUP).applyInPandas(work, kinds)
-
-
-def patterns(null: Null, response: str) -> pd.DataFrame:
-    """Distinct rows of covariates and response with their numbers: what all non-carriers of a group are made of."""
-    rows = null.samples.groupBy("x", F.col(response).cast("double").alias("t")).agg(F.count("*").alias("w"))
-    out = rows.limit(PATTERNS + 1).toPandas()
-    if len(out) > PATTERNS:
-        raise ValueError(f"over {PATTERNS} distinct covariate rows: round or bin numeric covariates first")
-    return out
+def score_row(z: np.ndarray, r: np.ndarray, want: tuple[str, ...], use_saddlepoint: bool) -> list[float]:
+    """The wanted ones of SCORE_TESTS from weighted scores and their covariance."""
+    total, square_sum = float(r.sum()), float(z.sum() ** 2)
+    burden_p = kernels.burden_p(square_sum, total)
+    skat_p = kernels.skat_p(z, r, use_saddlepoint) if {"skat_p", "skatc_p"} & set(want) else math.nan
+    found = {"burden": square_sum / total if total > 0 else 0.0, "burden_p": burden_p, "skat_q": float(z @ z), "skat_p": skat_p}
+    if "skato_p" in want:
+        found["skato_p"] = kernels.skato_p(z, r, use_saddlepoint)
+    if "skatc_p" in want:
+        found["skatc_p"] = kernels.cauchy_p([skat_p, burden_p])
+    return [found[c] for c in want]
 
 
-def regression_tests(cohort: Cohort, null: Null, quantitative: bool = False) -> DataFrame:
-    """Likelihood-ratio p-values of the share of variants carried (rvt1) and of carrying any (rvt2), with covariates.
+def score_tests(cohort: Cohort, null: Null, use_saddlepoint: bool = False, want: tuple[str, ...] = SCORE_TESTS) -> DataFrame:
+    """The wanted score tests of each group.
 
-    Non-carriers enter as counted rows, so that a group's task holds its carriers and the distinct covariate rows.
+    Scores and cross products come as sums from Spark; a group's task holds a variants x variants matrix, no samples.
     """
-    response = "trait" if quantitative else "y"
-    shared = cohort.samples.sparkSession.sparkContext.broadcast(patterns(null, response))
+    inverse, s2 = null.inverse, null.s2
+    scores = cohort.variants.select(*GROUP, "variant_id", "weight").join(variant_scores(cohort, null), "variant_id")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.string() if c in GROUP else pa.float64()) for c in (*GROUP, *want)})
+        ids = pd.Index(left.column("variant_id").to_pandas())
+        w = left.column("weight").to_numpy()
+        xv = np.array(left.column("xv").to_pylist(), float)
+        cov = (square(right, ids) - xv @ inverse @ xv.T) * np.outer(w, w)
+        row = score_row(w * left.column("z").to_numpy() / math.sqrt(s2), cov, want, use_saddlepoint)
+        return pa.table({**{c: left.column(c).slice(0, 1) for c in GROUP}, **{c: pa.array([float(v)]) for c, v in zip(want, row, strict=True)}})
+
+    schema = "gene string, transcript string, " + ", ".join(f"{c} double" for c in want)
+    pairs = variant_pairs(cohort, null.samples)
+    return scores.groupBy(*GROUP).cogroup(pairs.groupBy(*GROUP)).applyInArrow(work, schema)
+
+
+def regression_columns(cohort: Cohort, kinds: tuple[str, ...] = ("rvt1", "rvt2")) -> DataFrame:
+    """(gene, transcript, kind, sample_id, value): the share of variants carried (rvt1) and whether any is (rvt2)."""
     totals = cohort.variants.groupBy(*GROUP).agg(F.count("*").alias("p"))
-    samples = null.samples.select("sample_id", "x", F.col(response).cast("double").alias("t"))
     carried = cohort.calls.where("dosage > 0").join(cohort.variants.select("variant_id", *GROUP), "variant_id")
-    per_sample = carried.groupBy(*GROUP, "sample_id").agg(F.count("*").alias("sites")).join(totals, list(GROUP)).join(samples, "sample_id")
-    fam = family("gaussian" if quantitative else "binomial")
-    base = null.deviance
+    share = carried.groupBy(*GROUP, "sample_id").agg(F.sum(F.ceil(F.col("dosage") / 2)).alias("sites")).join(totals, list(GROUP))
+    value = {"rvt1": F.col("sites") / F.col("p"), "rvt2": F.lit(1.0)}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), value[k].alias("value")) for k in kinds)))
+    return share.select(*GROUP, "sample_id", each.alias("e")).select(*GROUP, "e.kind", "sample_id", "e.value")
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        rest = shared.value.copy()
-        at = {(tuple(x), t): k for k, (x, t) in enumerate(zip(rest["x"], rest["t"], strict=True))}
-        weight = rest["w"].to_numpy(float)
-        for x, t in zip(frame["x"], frame["t"], strict=True):
-            weight[at[tuple(x), t]] -= 1
-        x = np.vstack((np.array(rest["x"].tolist()), np.array(frame["x"].tolist())))
-        t = np.concatenate((rest["t"], frame["t"]))
-        w = np.concatenate((weight, np.ones(len(frame))))
-        out = list(frame.iloc[0][list(GROUP)])
-        share = (frame["sites"] / frame["p"]).to_numpy()
-        for r in (share, np.ones(len(frame))):
-            full = np.column_stack((x, np.concatenate((np.zeros(len(rest)), r))))
-            keep = w > 0
-            f = fit(full[keep], t[keep], fam, w[keep])
-            stat = base - f.deviance
-            if quantitative:
-                stat /= f.deviance / max(1.0, w.sum() - full.shape[1])
-            out.append(chi2_sf(stat, 1) if stat >= 0 else chi2_sf(EPS, 1))
-        return pd.DataFrame([out], columns=[*GROUP, "rvt1_p", "rvt2_p"])
-
-    return per_sample.groupBy(*GROUP).applyInPandas(work, "gene string, transcript string, rvt1_p double, rvt2_p double")
 
+KEYS = [*GROUP, "kind"]
 
-def hotelling(cohort: Cohort, rare: float = 0.005) -> DataFrame:
-    n, cases = cohort.sizes
-    rows = cohort.calls.where("dosage > 0").join(cohort.variants.select("variant_id", *GROUP, "weight"), "variant_id").join(cohort.samples.select("sample_id", "y"), "sample_id")
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        g, _, carriers = dense(frame)
-        stat, p = kernels.hotelling(g, carriers["y"].to_numpy(), n, cases, rare)
-        return pd.DataFrame([[*frame.iloc[0][list(GROUP)], stat, p]], columns=[*GROUP, "t2", "p"])
+def regression_lrt(columns: DataFrame, layout: Layout, spec: Labels, base: tuple[np.ndarray, np.ndarray], quantitative: bool, rounds: int = 25, tol: float = 1e-8) -> DataFrame:
+    """(gene, transcript, kind, lrt as binary): likelihood ratio of each column beside the covariates, for each permutation.
+
+    base: coefficients and deviance of the null models.  Every round adds up the information and score of all columns and
+    permutations over the blocks of samples; the coefficients stay in Spark.
+    """
+    beta0, dev0 = base
+    b, k = beta0.shape
+    w = k + 1
+
+    if quantitative:
+        total = layout.base.strata.sum()
+
+        def linear(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+            y, out = s.labels(spec), []
+            cross, xy, yy = s.x.T @ s.x, s.x.T @ y, (y * y).sum(axis=0)
+            for row in range(table.num_rows):
+                at, r = (table.column(c)[row].values.to_numpy() for c in ("pos", "value"))
+                out.append(np.concatenate((cross.ravel(), r @ s.x[at], [r @ r], xy.ravel(), r @ y[at], yy)))
+            return {"cells": np.array(out)}
+
+        def ratio(cells: np.ndarray) -> np.ndarray:
+            info = np.zeros((w, w))
+            info[:k, :k] = cells[: k * k].reshape(k, k)
+            info[k, :k] = info[:k, k] = cells[k * k : k * k + k]
+            info[k, k] = cells[k * k + k]
+            rest = cells[k * k + k + 1 :]
+            xy = np.vstack((rest[: k * b].reshape(k, b), rest[k * b : k * b + b]))
+            dev = rest[k * b + b :] - np.einsum("ib,ij,jb->b", xy, np.linalg.pinv(info, hermitian=True), xy)
+            return (dev0 - dev) / np.maximum(dev / max(1.0, total - w), 1e-300)
+
+        return with_absent(columns, layout, KEYS, linear, ratio, rounds_of=None)
+
+    def logistic(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        y, out = s.labels(spec), []
+        cross = (s.x[:, :, None] * s.x[:, None, :]).reshape(len(s.x), -1)
+        for row in range(table.num_rows):
+            at, r = (table.column(c)[row].values.to_numpy() for c in ("pos", "value"))
+            beta = np.frombuffer(table.column("beta")[row].as_py(), np.float64).reshape(b, w)
+            eta = s.x @ beta[:, :k].T
+            eta[at] += np.outer(r, beta[:, k])
+            mu = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+            v, left = np.maximum(mu * (1 - mu), 1e-10), y - mu
+            info = np.zeros((b, w, w))
+            info[:, :k, :k] = (v.T @ cross).reshape(b, k, k)
+            info[:, k, :k] = info[:, :k, k] = (v[at] * r[:, None]).T @ s.x[at]
+            info[:, k, k] = (r * r) @ v[at]
+            score = np.column_stack((left.T @ s.x, left[at].T @ r))
+            loss = -2 * (y * np.log(np.maximum(mu, 1e-300)) + (1 - y) * np.log(np.maximum(1 - mu, 1e-300))).sum(axis=0)
+            out.append(np.concatenate((info.ravel(), score.ravel(), loss)))
+        return {"cells": np.array(out)}
+
+    def step(beta: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        info, score, loss = cells[: b * w * w].reshape(b, w, w), cells[b * w * w : b * w * (w + 1)].reshape(b, w), cells[b * w * (w + 1) :]
+        return beta + np.einsum("bij,bj->bi", np.linalg.pinv(info, hermitian=True), score), loss
+
+    start = np.column_stack((beta0, np.zeros(b)))
+    return with_absent(columns, layout, KEYS, logistic, lambda loss: dev0 - loss, rounds_of=(start, step, rounds, tol))
+
+
+def with_absent(columns: DataFrame, layout: Layout, keys: list[str], work, finish, rounds_of) -> DataFrame:
+    """(keys, lrt) from work's cells of every column in every block of samples, also where it has no carrier."""
+    if layout.number > 1:
+        every = columns.select(*keys).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(layout.number - 1))))
+        columns = every.join(columns, [*keys, "block"], "left").select(*keys, "block", *(F.coalesce(c, F.array().cast(columns.schema[c].dataType)).alias(c) for c in ("pos", "value")))
+        columns = persist(columns)
+    names = ", ".join(f"`{k}` {columns.schema[k].dataType.simpleString()}" for k in keys)
+
+    def row_by_row(f, out: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [f(batch, i) for i in range(batch.num_rows)]
+                arrays = [batch.column(k) for k in keys] + [pa.array([m[n] for m in made], pa.float64() if n == "moved" else pa.binary()) for n in out]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *out])
+
+        return run
+
+    numbers = lambda batch, c, i: np.frombuffer(batch.column(c)[i].as_py(), np.float64)
+    if rounds_of is None:
+        cells = product(columns, layout.blocks, layout.number, keys, work, ["cells"])
+        return cells.mapInArrow(row_by_row(lambda batch, i: {"lrt": finish(numbers(batch, "cells", i)).tobytes()}, ["lrt"]), f"{names}, lrt binary")
+    start, step, rounds, tol = rounds_of
+    state = columns.select(*keys).distinct().select(*keys, F.lit(bytearray(start.tobytes())).alias("beta"), F.lit(None).cast("binary").alias("loss"))
+    for _ in range(rounds):
+        cells = product(columns.join(state.select(*keys, "beta"), keys), layout.blocks, layout.number, keys, work, ["cells"])
+
+        def forward(batch: pa.RecordBatch, i: int) -> dict:
+            beta, loss = step(numbers(batch, "beta", i).reshape(start.shape), numbers(batch, "cells", i))
+            old = batch.column("loss")[i].as_py()
+            before = np.full(len(loss), np.inf) if old is None else np.frombuffer(old, np.float64)
+            gap = float((np.abs(loss - before) / (np.abs(loss) + 0.1)).max())
+            return {"beta": beta.tobytes(), "loss": loss.tobytes(), "moved": gap}
+
+        now = persist(cells.join(state, keys).mapInArrow(row_by_row(forward, ["beta", "loss", "moved"]), f"{names}, beta binary, loss binary, moved double"))
+        state = now.select(*keys, "beta", "loss")
+        if (now.agg(F.max("moved")).first()[0] or 0.0) < tol:
+            break
+    return state.mapInArrow(row_by_row(lambda batch, i: {"lrt": finish(numbers(batch, "loss", i)).tobytes()}, ["lrt"]), f"{names}, lrt binary")
+
+
+def chi2_p(lrt: float) -> float:
+    return chi2_sf(lrt, 1) if lrt >= 0 else chi2_sf(EPS, 1)
+
+
+def regression_tests(cohort: Cohort, null: Null, quantitative: bool = False) -> DataFrame:
+    """Likelihood-ratio p-values of the share of variants carried (rvt1) and of carrying any (rvt2), with covariates."""
+    layout = lay_out(null.samples.select("sample_id", "y", "trait", "x"), cohort.sizes[1], 1, quantitative)
+    columns = layout.columns(regression_columns(cohort), KEYS)
+    base = null.beta[None, :], np.array([null.deviance])
+    found = regression_lrt(columns, layout, layout.base.part(0, 0), base, quantitative)
 
-    return rows.groupBy(*GROUP).applyInPandas(work, "gene string, transcript string, t2 double, p double")
+    @F.pandas_udf("double")
+    def p(lrt: pd.Series) -> pd.Series:
+        return lrt.map(lambda x: chi2_p(float(np.frombuffer(x, np.float64)[0])))
+
+    return found.withColumn("p", p("lrt")).groupBy(*GROUP).agg(*(F.max(F.when(F.col("kind") == k, F.col("p"))).alias(f"{k}_p") for k in ("rvt1", "rvt2")))
+
+
+def hotelling_cohort(cohort: Cohort, rare: float = 0.005) -> Cohort:
+    """The cohort whose variants are the columns of the test: rare ones of a transcript as one indicator, if there are two."""
+    n, _ = cohort.sizes
+    counted = counted_variants(cohort).select(*GROUP, "variant_id", "weight", (F.col("ac") / (2.0 * n) < rare).alias("few"))
+    several = F.sum(F.col("few").cast("int")).over(Window.partitionBy(*GROUP)) > 1
+    tagged = counted.withColumn("few", F.col("few") & several)
+    name = F.when(F.col("few"), F.concat_ws(",", F.lit(COLLAPSED), *GROUP)).otherwise(F.concat_ws(",", F.col("variant_id").cast("string"), "transcript"))
+    tagged = tagged.withColumn("column", name)
+    held = cohort.calls.where("dosage > 0").join(tagged.select("variant_id", "column", "few"), "variant_id")
+    calls = held.groupBy(F.col("column").alias("variant_id"), "sample_id").agg(F.max(F.when(F.col("few"), F.lit(1)).otherwise(F.col("dosage"))).alias("dosage"))
+    variants = tagged.select(*GROUP, F.col("column").alias("variant_id")).distinct().withColumns({"weight": F.lit(1.0), "type": F.lit("SNV")})
+    return Cohort(cohort.samples, variants, calls.withColumn("missing", F.lit(False)))
+
+
+def hotelling(cohort: Cohort, rare: float = 0.005) -> DataFrame:
+    """Two-sample T2 as an F statistic, with its p; a group's task holds a columns x columns matrix."""
+    n, cases = cohort.sizes
+    one = hotelling_cohort(cohort, rare)
+    sums = one.calls.join(cohort.samples.select("sample_id", "y"), "sample_id").groupBy("variant_id").agg(F.sum("dosage").alias("ac"), F.sum(F.col("dosage") * F.col("y")).alias("a"))
+    columns = one.variants.select(*GROUP, "variant_id").join(sums, "variant_id")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({c: pa.array([], pa.string() if c in GROUP else pa.float64()) for c in (*GROUP, "t2", "p")})
+        ids = pd.Index(left.column("variant_id").to_pandas())
+        ac, a = (left.column(c).to_numpy().astype(float) for c in ("ac", "a"))
+        g = batch.GroupCounts(n, cases, ac, ac, ac, ac, [], [], a[:, None], a[:, None], scatter=square(right, ids))
+        stat, p = float(batch.hotelling(g)[0]), len(ids)
+        return pa.table({**{c: left.column(c).slice(0, 1) for c in GROUP}, "t2": [stat], "p": [f_sf(stat, p, n - 1 - p)]})
+
+    return columns.groupBy(*GROUP).cogroup(variant_pairs(one).groupBy(*GROUP)).applyInArrow(work, "gene string, transcript string, t2 double, p double")
 
 
 def vaast_grouped(cohort: Cohort, limit: float = 4, cap: float = 1.0, penalty: float = 2.0, by_type: bool = False) -> DataFrame:

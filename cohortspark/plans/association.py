@@ -1,36 +1,59 @@
-"""The association scan: filters, a method, permutations in blocks, and the ranked result."""
+"""The association scan: filters, a method, permutations in blocks, and the ranked result.
 
+A block of permutations is one plan: label sums of all columns (`operators.products`), then one task for each group, which
+works out the statistic for the whole block (`functions.batch`).  Permutation 0 holds the observed labels, so that observed
+and permuted values come from the same arithmetic.  With covariates labels are dealt by each sample's odds, and score and
+regression methods meet a null model fitted anew to every permutation.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass, replace
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
 from ..config import AssocConfig
+from ..functions import batch
 from ..functions.special import poisson_ci
 from ..operators import filters as ops
 from ..operators import grouped
+from ..operators.products import CELLS, Labels, Layout, SampleBlock, both_counts, column_sums, lay_out, product, refit, refit_linear
 from ..streaming.blocks import persist
 from . import permutation as perm
+from . import resampling as rs
 from . import statistics as st
+from . import tools
 from .reports import ranked
 from .statistics import GROUP
 
+SCORED = frozenset({"BURDEN", "SKAT", "SKATO", "SKATC"})
+REGRESSED = frozenset({"RVT1", "RVT2"})
 MARK = "\u0001"  # between a gene and the permutation that it stands for
 
 
-UNREAD = ("covariates", "impute", "pthresh", "kernel", "beta_weights", "hotellings", "bin_epsilon")  # options that no scan follows
-
-
-def refuse_unread(config: AssocConfig) -> None:
-    """An error for options that would change p-values, but that the scans do not follow."""
-    default = AssocConfig()
-    asked = [name for name in UNREAD if getattr(config, name) != getattr(default, name)]
-    if asked:
-        raise ValueError(f"the scans do not follow these options: {', '.join(asked)}")
+def check(config: AssocConfig) -> None:
+    """An error for options that the method cannot honour."""
+    if config.hotellings and config.method != "CMC":
+        raise ValueError("hotellings is an option of CMC")
+    if config.kernel not in ("Linear", "wLinear"):
+        raise ValueError("kernel is 'Linear' or 'wLinear'")
+    if config.biallelic and config.method != "VAAST":
+        raise ValueError("biallelic is an option of VAAST")
+    if config.qtl and config.method == "VT" and config.nperm:
+        raise ValueError("VT is permuted for binary status only")
+    if config.testable is not None and (config.method not in batch.COUNTED or not config.nperm or config.biallelic or config.hotellings or config.qtl):
+        raise ValueError(f"testable needs permutations of {', '.join(batch.COUNTED)}")
 
 
 def prepare(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = None, mask: DataFrame | None = None) -> Cohort:
-    """The cohort after mask, whitelist, whole-gene union, minor-allele flip, collapsing, frequency filters and gate."""
+    """The cohort after mask, whitelist, whole-gene union, imputation, minor-allele flip, collapsing, frequency filters, gate
+    and weights."""
     variants = cohort.variants
     if mask is not None:
         variants = ops.bed_mask(variants, mask)
@@ -38,9 +61,9 @@ def prepare(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = Non
         variants = ops.whitelist(variants, allowed, config.method)
     if config.whole_gene:
         variants = ops.whole_gene(variants).drop("variant_key")
-    if config.no_weights:
-        variants = variants.withColumn("weight", F.lit(1.0))
     now = with_sizes(Cohort(cohort.samples, variants, cohort.calls), cohort)
+    if config.impute is not None:
+        now = with_sizes(Cohort(now.samples, now.variants, persist(ops.impute(now, config.impute))), cohort)
     if config.ma_count:
         now = with_sizes(ops.flip_calls(now), cohort)
     if config.var_collapsing is not None:
@@ -50,9 +73,14 @@ def prepare(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = Non
     n, _ = cohort.sizes
     counted = ops.counted_variants(now)
     kept = ops.maf_filter(counted, n, config.mac, config.maf) if config.ma_count else ops.aaf_filter(counted, n, config.mac, config.maf)
+    if config.no_weights:
+        kept = kept.withColumn("weight", F.lit(1.0))
+    elif config.method in SCORED and config.kernel == "wLinear" and not config.file_weights:
+        kept = kept.withColumn("weight", ops.beta_weight(F.col("ac") / (2.0 * n), *config.beta_weights))
     gate = ops.polymorphic(kept, config.min_minor_allele_count, config.min_variant_count).where("kept").select(*GROUP)
     left = persist(kept.join(gate, list(GROUP), "left_semi").select(*now.variants.columns))
-    return with_sizes(Cohort(now.samples, left, now.calls.join(left.select("variant_id").distinct(), "variant_id", "left_semi")), cohort)
+    calls = persist(now.calls.join(left.select("variant_id").distinct(), "variant_id", "left_semi"))
+    return with_sizes(Cohort(now.samples, left, calls), cohort)
 
 
 def with_sizes(cohort: Cohort, like: Cohort) -> Cohort:
@@ -62,7 +90,7 @@ def with_sizes(cohort: Cohort, like: Cohort) -> Cohort:
 
 
 def statistic(cohort: Cohort, config: AssocConfig) -> DataFrame:
-    """(gene, transcript, stat[, p]) of the method, without covariates."""
+    """(gene, transcript, stat[, p]) of the method without permutations and covariates."""
     named = lambda df, stat, p=None: df.select(*GROUP, F.col(stat).alias("stat"), *([F.col(p).alias("p")] if p else []))
     match config.method:
         case "CALPHA":
@@ -71,84 +99,384 @@ def statistic(cohort: Cohort, config: AssocConfig) -> DataFrame:
             return named(st.wss(cohort), "wss")
         case "VT":
             return named(st.variable_threshold(cohort), "vt")
+        case "CMC" if config.hotellings:
+            return named(grouped.hotelling(cohort, config.cmcmaf), "t2", "p")
         case "CMC":
             return named(st.cmc_chisq(cohort, config.cmcmaf), "cmc", "p")
         case "CMC1df":
-            return named(st.odds_ratio(cohort), "odds_ratio")
-        case "BURDEN":
-            return named(st.burden(cohort, config.qtl), "burden", "p")
-        case "SKAT":
-            return named(st.skat_q(cohort), "skat_q")
-        case "RVT2":
-            return named(st.rvt2(cohort), "p", "p")
+            return named(st.odds_ratio(cohort), "odds_ratio").join(st.fisher_one_sided(cohort), list(GROUP))
         case "VAAST":
             if config.biallelic:
                 return named(st.vaast_biallelic(cohort, config.site_penalty, config.soft_maf_filter), "vaast")
-            if config.group_size and set(cohort.variants.columns) >= set(ops.LOCUS):
+            if config.group_size:
                 whole = grouped.vaast_grouped(cohort, config.group_size, config.soft_maf_filter, config.site_penalty, config.grouping == "by_type")
                 return whole.groupBy(*GROUP).agg(F.first("vaast").alias("stat"))
             return named(st.vaast(cohort, config.site_penalty, config.soft_maf_filter), "vaast")
-    raise ValueError(f"{config.method} is analytic: call covariate_scan")
+    return analytic(cohort, config, grouped.null_model(grouped.design(cohort.samples), config.qtl))
+
+
+def analytic(cohort: Cohort, config: AssocConfig, null: grouped.Null) -> DataFrame:
+    """(gene, transcript, p) of a method beside a null model."""
+    if config.method in REGRESSED:
+        return grouped.regression_tests(cohort, null, config.qtl).select(*GROUP, F.col(config.method.lower() + "_p").alias("p"))
+    column = {"BURDEN": "burden_p", "SKAT": "skat_p", "SKATO": "skato_p", "SKATC": "skatc_p"}[config.method]
+    return grouped.score_tests(cohort, null, config.saddlepoint, (column,)).withColumnRenamed(column, "p")
 
 
 def covariate_scan(cohort: Cohort, config: AssocConfig, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = ()) -> DataFrame:
     """Ranked analytic p-values of a method with covariates."""
-    refuse_unread(config)
-    null = grouped.null_model(grouped.design(cohort.samples, numeric, categorical), config.qtl)
-    if config.method in ("RVT1", "RVT2"):
-        out = grouped.regression_tests(cohort, null, config.qtl).withColumn("p", F.col(config.method.lower() + "_p"))
-    else:
-        column = {"BURDEN": "burden_p", "SKAT": "skat_p", "SKATO": "skato_p", "SKATC": "skatc_p"}[config.method]
-        out = grouped.score_tests(cohort, null, config.saddlepoint).withColumn("p", F.col(column))
-    return ranked(out.select(*GROUP, "p"), "p")
+    return scan(cohort, replace(config, nperm=0), numeric=numeric, categorical=categorical)
 
 
-def permuted_cohort(cohort: Cohort, permutations: DataFrame) -> Cohort:
-    """One cohort that holds a copy for each permutation: its gene names and ids carry the permutation's number.
+# Permutations in blocks.
 
-    Any statistic then runs for a whole block of permutations in one plan.
-    """
-    ids = permutations.select("perm_id").distinct()
+
+@dataclass(frozen=True)
+class Plan:
+    """What all blocks of a scan share: the cohort, samples laid out, packed columns of variants and of groups."""
+
+    cohort: Cohort
+    config: AssocConfig
+    layout: Layout
+    attributes: DataFrame
+    variants: DataFrame
+    groups: DataFrame
+    null: grouped.Null | None
+    bins: tuple[np.ndarray, np.ndarray] | None
+    largest: int
+
+    @property
+    def adjusted(self) -> bool:
+        """Whether the method meets a null model that is fitted to every permutation."""
+        return self.null is not None and self.config.method in SCORED | REGRESSED
+
+
+def make_plan(ready: Cohort, config: AssocConfig, null: grouped.Null | None, adjust: bool) -> Plan:
+    n, cases = ready.sizes
+    samples, bins = (null.samples if null is not None else ready.samples), None
+    if null is not None and adjust and not config.qtl:
+        odds = samples.select("sample_id", (F.col("mu") / (1 - F.col("mu"))).alias("odds"))
+        dealt, sizes, means = rs.binned(odds, config.bin_epsilon)
+        samples, bins = samples.join(dealt, "sample_id"), (sizes, means)
+    names = ["sample_id", "y", "trait", *(["x"] if null is not None else []), *(["bin"] if bins else [])]
+    layout = lay_out(samples.select(*names), cases, config.seed, config.qtl)
+    shown = grouped.hotelling_cohort(ready, config.cmcmaf) if config.hotellings else ready
+    counted = ops.counted_variants(shown)
+    key = ops.variant_key() if set(shown.variants.columns) >= set(ops.LOCUS) else F.col("variant_id").cast("string")
+    sums = [F.col(c).cast("double").alias(c) for c in ("ac", "ac2", "carriers", "weight")]
+    attributes = persist(counted.select(*GROUP, "variant_id", *sums, "type", key.alias("key")))
+    held = shown.calls.where("dosage > 0").join(shown.variants.select("variant_id").distinct(), "variant_id", "left_semi")
+    variants = layout.columns(held.select("variant_id", "sample_id", F.col("dosage").alias("value")), ["variant_id"])
+    burdens = st.carriers(ready).select(*GROUP, "sample_id", F.col("burden").alias("value"))
+    groups = layout.columns(burdens, list(GROUP))
+    largest = attributes.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 1
+    return Plan(ready, config, layout, attributes, variants, groups, null, bins, largest)
+
+
+def block_size(plan: Plan) -> int:
+    """Permutations in a block: as wanted, as long as labels and the largest group's counts stay below CELLS."""
+    rows = max(min(plan.cohort.sizes[0], 1 << 16), plan.largest, 1)
+    return max(1, min(plan.config.block, CELLS // rows))
+
+
+def dealt_labels(plan: Plan, first: int, last: int, external: DataFrame | None) -> tuple[Labels, DataFrame]:
+    """The labels of a block of permutations, and the blocks of samples (with the given labels, if they come from a file)."""
+    base, blocks = plan.layout.base, plan.layout.blocks
+    start = max(1, first)
+    if external is not None:
+        cut = external.where(F.col("perm_id").between(start, last))
+        pieces = cut.select("perm_id", F.explode(F.sequence(F.lit(0), F.lit(plan.layout.number - 1))).alias("block"), "labels")
+        piece = F.substring("labels", F.col("block") * 65_536 + 1, F.lit(65_536))
+        given = pieces.select("block", "perm_id", piece.alias("labels")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("perm_id", "labels"))).alias("g"))
+        blocks = persist(blocks.join(given.select("block", F.transform("g", lambda g: g.labels).alias("given")), "block"))
+        return base.part(first, last), blocks
+    drawn = None
+    if plan.bins is not None and last >= start:
+        drawn = rs.drawn_cases(plan.cohort.samples.sparkSession, *plan.bins, plan.cohort.sizes[1], start, last, plan.config.seed)
+    return base.part(first, last, drawn), blocks
+
+
+def permuted_statistic(plan: Plan, first: int, last: int, genes: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
+    """(gene, transcript, perm_id, stat) of permutations first to last; the more extreme, the larger stat is."""
+    if plan.config.biallelic:
+        return copied_statistic(plan, first, last, genes)
+    spec, blocks = dealt_labels(plan, first, last, external)
+    only = lambda df: df.join(genes, "gene", "left_semi") if genes is not None else df
+    if plan.config.method in REGRESSED and (plan.null is not None or plan.config.method == "RVT1" or plan.config.qtl):
+        return regressed(plan, spec, blocks, only)
+    if plan.config.method in ("SKATO", "SKATC"):
+        return covariance_tests(plan, spec, blocks, only)
+    return counted(plan, spec, blocks, only)
+
+
+def null_of(plan: Plan, spec: Labels, blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Coefficients, deviance and information of the null models of a block of permutations."""
+    k = 1 if plan.null is None else len(plan.null.beta)
+    if plan.config.qtl:
+        beta, dev = refit_linear(blocks, spec, k)
+        return beta, dev, None
+    n, cases = plan.cohort.sizes
+    start = plan.null.beta if plan.null is not None else np.array([math.log(cases / max(n - cases, 1e-9))])
+    beta, info, dev = refit(blocks, spec, start)
+    return beta, dev, info
+
+
+def fitted(s: SampleBlock, beta: np.ndarray, quantitative: bool) -> np.ndarray:
+    eta = s.x @ beta.T
+    return eta if quantitative else 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+
+
+def counted(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
+    """Statistics of variants' case sums, or of their scores against a null model."""
+    config, (n, cases) = plan.config, plan.cohort.sizes
+    names = ["a", "c"]
+    scored = config.method in SCORED and (plan.null is not None or config.qtl)
+    null = null_of(plan, spec, blocks) if scored else None
+    quantitative = config.qtl
+    used = only(plan.attributes).select("variant_id").distinct()
+
+    def sums(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        y = s.labels(spec)
+        if null is not None:
+            y = y - fitted(s, null[0], quantitative)
+        found = column_sums(table.column("pos"), table.column("value"), y, both_counts)
+        return {"a": found[:, 0], "c": found[:, 1]}
+
+    def group_sums(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        """Case carriers; with a null model the parts of the variance of the burden's score."""
+        y, pos, value = s.labels(spec), table.column("pos"), table.column("value")
+        ones = lambda v: np.ones((1, len(v)))
+        held = column_sums(pos, value, np.ones((len(y), 1)), lambda v: np.vstack((v > 0, v, v * v)))
+        out = {"a": column_sums(pos, value, y, ones)[:, 0], "c": held[:, :, 0]}
+        if null is not None:
+            v = np.ones((len(y), y.shape[1])) if quantitative else np.maximum((mu := fitted(s, null[0], False)) * (1 - mu), 1e-10)
+            parts = [column_sums(pos, value, v, lambda b: (b * b)[None])[:, 0]]
+            parts += [column_sums(pos, value, v * s.x[:, [k]], lambda b: b[None])[:, 0] for k in range(s.x.shape[1])]
+            out["a"] = np.concatenate(parts, axis=1)
+        return out
+
+    # A variant's sums meet its groups; a group's own sums come as one more row without a variant.
+    by_variant = product(plan.variants.join(used, "variant_id", "left_semi"), blocks, plan.layout.number, ["variant_id"], sums, names)
+    rows = only(plan.attributes).join(by_variant, "variant_id")
+    own = product(only(plan.groups), blocks, plan.layout.number, list(GROUP), group_sums, names)
+    whole = rows.unionByName(own, allowMissingColumns=True)
+    perms, b = np.array(spec.perms), len(spec.perms)
+    s2 = None
+    inverse = None
+    if null is not None:
+        k = null[0].shape[1]
+        s2 = null[1] / max(1.0, n - k) if quantitative else np.ones(b)
+        inverse = np.broadcast_to(plan.null.inverse if plan.null is not None else np.array([[1.0 / n]]), (b, k, k)) if quantitative else np.linalg.pinv(null[2], hermitian=True)
+    scatter = grouped.variant_pairs(grouped.hotelling_cohort(plan.cohort, config.cmcmaf)) if config.hotellings else None
+
+    def work(group: pa.Table, pairs: pa.Table | None = None) -> pa.Table:
+        empty = pa.table({"gene": pa.array([], pa.string()), "transcript": pa.array([], pa.string()), "perm_id": pa.array([], pa.int32()), "stat": pa.array([], pa.float64())})
+        single = np.array([x is not None for x in group.column("key").to_pylist()], bool)
+        if not single.any():
+            return empty
+        read = lambda c, at: np.array([np.frombuffer(x, np.float64) for x, ok in zip(group.column(c).to_pylist(), at, strict=True) if ok])
+        number = lambda c: group.column(c).to_numpy()[single].astype(float)
+        text = lambda c: [x for x, ok in zip(group.column(c).to_pylist(), single, strict=True) if ok]
+        g = batch.GroupCounts(n, cases, number("ac"), number("ac2"), number("carriers"), number("weight"), text("type"), text("key"), read("a", single), read("c", single))
+        if (~single).any():
+            (g.held, burden, burden2), mine = read("c", ~single)[0], read("a", ~single)[0]
+            g.burden = burden, burden2
+            if null is None:
+                g.h = mine
+            else:
+                parts = mine.reshape(-1, b)
+                g.r1 = parts[0] - np.einsum("kb,bkj,jb->b", parts[1:], inverse, parts[1:])
+        if null is not None:
+            g.z = g.weight[:, None] * g.a / np.sqrt(s2)
+        if pairs is not None:
+            g.scatter = grouped.square(pairs, pd.Index(text("variant_id")))
+        stat = np.round(batch.stat_of(g, config), 9)
+        gene, transcript = (group.column(c)[0].as_py() for c in GROUP)
+        return pa.table({"gene": [gene] * b, "transcript": [transcript] * b, "perm_id": perms.astype(np.int32), "stat": stat})
+
+    schema = "gene string, transcript string, perm_id int, stat double"
+    if scatter is not None:
+        return whole.groupBy(*GROUP).cogroup(scatter.groupBy(*GROUP)).applyInArrow(work, schema)
+    return whole.groupBy(*GROUP).applyInArrow(lambda group: work(group), schema)
+
+
+def long_stats(found: DataFrame, spec: Labels, stats) -> DataFrame:
+    """(gene, transcript, perm_id, stat) from rows with binary columns; stats makes the numbers of a row."""
+    perms = np.array(spec.perms, np.int32)
+
+    def run(batches):
+        for rows in batches:
+            for i in range(rows.num_rows):
+                value = np.round(stats(rows, i), 9)
+                names = [pa.array([rows.column(c)[i].as_py()] * len(perms)) for c in GROUP]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(perms), pa.array(value)], names=[*GROUP, "perm_id", "stat"])
+
+    return found.mapInArrow(run, "gene string, transcript string, perm_id int, stat double")
+
+
+def regressed(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
+    """Likelihood ratios of RVT1 or RVT2 beside null models fitted to every permutation."""
+    beta, dev, _ = null_of(plan, spec, blocks)
+    kind = plan.config.method.lower()
+    columns = plan.layout.columns(only(grouped.regression_columns(plan.cohort, (kind,))), grouped.KEYS)
+    found = grouped.regression_lrt(columns, replace(plan.layout, blocks=blocks), spec, (beta, dev), plan.config.qtl)
+    return long_stats(found, spec, lambda rows, i: np.frombuffer(rows.column("lrt")[i].as_py(), np.float64))
+
+
+def covariance_tests(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
+    """-log10 p of SKATO or SKATC: scores and covariances of every permutation's null model, group by group."""
+    beta, dev, info = null_of(plan, spec, blocks)
+    config, quantitative, b = plan.config, plan.config.qtl, len(spec.perms)
+    n, k = plan.cohort.sizes[0], beta.shape[1]
+    want = (config.method.lower() + "_p",)
+
+    def variance(s: SampleBlock) -> np.ndarray:
+        mu = fitted(s, beta, quantitative)
+        return np.ones_like(mu) if quantitative else np.maximum(mu * (1 - mu), 1e-10)
+
+    def scores(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        left, v = s.labels(spec) - fitted(s, beta, quantitative), variance(s)
+        pos, value, own = table.column("pos"), table.column("value"), lambda d: d[None]
+        parts = [column_sums(pos, value, m, own)[:, 0] for m in (left, *(v * s.x[:, [j]] for j in range(k)))]
+        return {"a": np.concatenate(parts, axis=1)}
+
+    def cross(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        return {"a": column_sums(table.column("pos"), table.column("value"), variance(s), lambda d: d[None])[:, 0]}
+
+    members = only(plan.attributes).select(*GROUP, "variant_id", "weight")
+    number = plan.layout.number
+    by_variant = product(plan.variants.join(members.select("variant_id").distinct(), "variant_id", "left_semi"), blocks, number, ["variant_id"], scores, ["a"])
+    left = members.join(by_variant, "variant_id")
+    held = plan.cohort.calls.where("dosage > 0").join(members.select("variant_id", "gene").distinct(), "variant_id").select("gene", "sample_id", "variant_id", "dosage")
+    other = held.select("gene", "sample_id", F.col("variant_id").alias("two"), F.col("dosage").alias("d2"))
+    both = held.withColumnRenamed("variant_id", "one").join(other, ["gene", "sample_id"]).where("one <= two")
+    pairs = plan.layout.columns(both.select("gene", "one", "two", "sample_id", (F.col("dosage") * F.col("d2")).alias("value")), ["gene", "one", "two"])
+    sums = product(pairs, blocks, number, ["gene", "one", "two"], cross, ["a"])
+    first, second = (members.select(*GROUP, F.col("variant_id").alias(c)) for c in ("one", "two"))
+    right = sums.join(first, ["gene", "one"]).join(second, [*GROUP, "two"])
+    right = persist(right.select(*GROUP, "one", "two", "a"))
+    inverse = np.broadcast_to(plan.null.inverse if plan.null is not None else np.array([[1.0 / n]]), (b, k, k)) if quantitative else np.linalg.pinv(info, hermitian=True)
+    s2 = dev / max(1.0, n - k) if quantitative else np.ones(b)
+    perms = np.array(spec.perms, np.int32)
+
+    def work(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows:
+            return pa.table({"gene": pa.array([], pa.string()), "transcript": pa.array([], pa.string()), "perm_id": pa.array([], pa.int32()), "stat": pa.array([], pa.float64())})
+        ids, w = pd.Index(one.column("variant_id").to_pandas()), one.column("weight").to_numpy()
+        parts = np.array([np.frombuffer(x, np.float64) for x in one.column("a").to_pylist()]).reshape(len(ids), k + 1, b)
+        i, j = (ids.get_indexer(two.column(c).to_pandas()) for c in ("one", "two"))
+        cells = np.array([np.frombuffer(x, np.float64) for x in two.column("a").to_pylist()])
+        stat = np.empty(b)
+        for at in range(b):
+            r = np.zeros((len(ids), len(ids)))
+            r[i, j] = r[j, i] = cells[:, at]
+            xv = parts[:, 1:, at]
+            cov = (r - xv @ inverse[at] @ xv.T) * np.outer(w, w)
+            p = grouped.score_row(w * parts[:, 0, at] / math.sqrt(s2[at]), cov, want, config.saddlepoint)[0]
+            stat[at] = -math.log10(max(p, 1e-300))
+        gene, transcript = (one.column(c)[0].as_py() for c in GROUP)
+        return pa.table({"gene": [gene] * b, "transcript": [transcript] * b, "perm_id": perms, "stat": np.round(stat, 9)})
+
+    return left.groupBy(*GROUP).cogroup(right.groupBy(*GROUP)).applyInArrow(work, "gene string, transcript string, perm_id int, stat double")
+
+
+def copied_statistic(plan: Plan, first: int, last: int, genes: DataFrame | None) -> DataFrame:
+    """Biallelic scores: samples with two alleles at scored sites differ by permutation, so that each has its own copy of the
+    cohort, whose gene names and ids carry the permutation's number."""
+    cohort = plan.cohort
+    if genes is not None:
+        cohort = with_sizes(Cohort(cohort.samples, cohort.variants.join(genes, "gene", "left_semi"), cohort.calls), cohort)
+    labels = perm.uniform_permutations(cohort, max(1, first), last, plan.config.seed)
+    if first == 0:
+        labels = labels.unionByName(cohort.samples.select(F.lit(0).alias("perm_id"), "sample_id", "y"))
+    each = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("perm_id")
     tag = lambda c: F.concat_ws(MARK, F.col(c).cast("string"), F.col("perm_id").cast("string")).alias(c)
-    traits = cohort.samples.drop("y")
-    samples = permutations.join(traits, "sample_id").select(tag("sample_id"), "y", *(c for c in traits.columns if c != "sample_id"))
-    numbers = [r.perm_id for r in ids.collect()]
-    each = F.explode(F.array(*map(F.lit, numbers))).alias("perm_id")
+    samples = labels.select(tag("sample_id"), "y")
     calls = cohort.calls.select("*", each).select(tag("sample_id"), tag("variant_id"), "dosage", "missing")
-    variants = cohort.variants.select("*", each)
     names = [c for c in cohort.variants.columns if c not in ("gene", "variant_id")]
-    return with_sizes(Cohort(samples, variants.select(tag("variant_id"), tag("gene"), *names), calls), cohort)
-
-
-def permuted_statistic(cohort: Cohort, config: AssocConfig, permutations: DataFrame) -> DataFrame:
-    """(gene, transcript, perm_id, stat) for a block of permutations."""
+    variants = cohort.variants.select("*", each).select(tag("variant_id"), tag("gene"), *names)
+    copy = with_sizes(Cohort(samples, variants, calls), cohort)
     parts = F.split("gene", MARK)
-    return statistic(permuted_cohort(cohort, permutations), config).select(parts[0].alias("gene"), "transcript", parts[1].cast("int").alias("perm_id"), F.round("stat", 9).alias("stat"))
+    return statistic(copy, plan.config).select(parts[0].alias("gene"), "transcript", parts[1].cast("int").alias("perm_id"), F.round("stat", 9).alias("stat"))
+
 
+def scan(
+    cohort: Cohort,
+    config: AssocConfig,
+    allowed: DataFrame | None = None,
+    mask: DataFrame | None = None,
+    numeric: tuple[str, ...] = (),
+    categorical: tuple[str, ...] = (),
+    external: DataFrame | None = None,
+    adjust: bool = True,
+) -> DataFrame:
+    """Filters, observed statistics, permutations in blocks with early stop, multi-transcript correction and ranks.
 
-def scan(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
-    """Filters, observed statistics, permutations in blocks with early stop, multi-transcript correction and ranks."""
-    refuse_unread(config)
+    Covariates are columns of the samples (numeric, categorical, and config.covariates among either), or a design x that
+    the samples already have.  With covariates labels are permuted by odds unless adjust is false.  external(perm_id,
+    labels): permutations from a file, labels as text in order of sample ids.
+    """
+    check(config)
     ready = prepare(cohort, config, allowed, mask)
-    observed = persist(statistic(ready, config))
+    kinds = dict(ready.samples.dtypes)
+    numeric = (*numeric, *(c for c in config.covariates if kinds[c] != "string"))
+    categorical = (*categorical, *(c for c in config.covariates if kinds[c] == "string"))
+    null = None
+    if numeric or categorical or "x" in kinds:
+        samples = ready.samples if "x" in kinds and not (numeric or categorical) else grouped.design(ready.samples, numeric, categorical, config.max_levels)
+        null = grouped.null_model(samples, config.qtl)
     if not config.nperm:
-        return ranked(observed, "p") if "p" in observed.columns else ranked(observed, "stat", descending=True)
-    small = config.method in ("RVT2",)
+        found = analytic(ready, config, null) if null is not None and config.method in SCORED | REGRESSED else statistic(ready, config)
+        found = persist(found)
+        return ranked(found, "p") if "p" in found.columns else ranked(found, "stat", descending=True)
+    return permuted_scan(ready, config, null, external, adjust)
+
+
+def permuted_scan(ready: Cohort, config: AssocConfig, null: grouped.Null | None, external: DataFrame | None, adjust: bool) -> DataFrame:
+    """The scan of a prepared cohort by permutations.
+
+    Blocks are written side by side; counts of successes are kept up to date for the genes that go on.
+    """
+    plan = make_plan(ready, config, null, adjust)
+    size = block_size(plan)
     wanted = config.max_perms or config.nperm
-    marked, genes, first = None, observed.select("gene").distinct(), 1
-    while first <= wanted and genes.head(1):
-        last = min(first + config.block - 1, wanted)
-        part = with_sizes(Cohort(ready.samples, ready.variants.join(genes, "gene", "left_semi"), ready.calls), ready)
-        block = perm.hits(observed, permuted_statistic(part, config, perm.uniform_permutations(part, first, last, config.seed)), small)
-        marked = persist(block if marked is None else marked.unionByName(block))
-        short = perm.count_hits(marked).groupBy("gene").agg(F.min("successes").alias("least")).where(F.col("least") < config.successes)
-        genes = persist(short.select("gene"))
+    observed, parts, totals, genes, first = None, [], None, None, 0
+    while first <= wanted:
+        last = min(max(first, 1) + size - 1, wanted)
+        block = persist(permuted_statistic(plan, first, last, genes, external))
+        if first == 0:
+            observed = block.where("perm_id = 0").select(*GROUP, "stat")
+            block = block.where("perm_id > 0")
+        parts.append(block)
+        counts = perm.count_hits(perm.hits(observed, block))
+        totals = persist(counts if totals is None else perm.combine_shards(totals.unionByName(counts)))
+        genes = persist(unfinished(totals, config))
         first = last + 1
-    kept = perm.stopped(marked, perm.adaptive_stop(marked, config.successes))
+        if not genes.head(1):
+            break
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    marked = perm.hits(observed, whole)
+    stops = perm.adaptive_stop(marked, config.successes) if config.pthresh is None else tools.threshold_stop(marked, config.pthresh)
+    kept = perm.stopped(marked, stops)
     result = perm.empirical(perm.count_hits(kept), wanted)
-    signed = lambda df: df.withColumn("stat", -F.col("stat")) if small else df
-    corrected = perm.multi_transcript(signed(observed), signed(kept)).select("gene", "mgit_p", "mgit_successes")
-    return ranked(intervals(observed.join(result, list(GROUP)).join(corrected, "gene")), "empirical_p")
+    corrected = perm.multi_transcript(observed, kept).select("gene", "mgit_p", "mgit_successes")
+    found = observed.join(result, list(GROUP)).join(corrected, "gene")
+    if config.testable is not None:
+        reach = rs.testable_by(ready, config, whole, config.testable).where("testable").select(*GROUP)
+        found = found.join(reach, list(GROUP), "left_semi")
+    if config.output_stats:
+        found = found.join(tools.permuted_values(kept), list(GROUP))
+    return ranked(intervals(found), "empirical_p")
+
+
+def unfinished(totals: DataFrame, config: AssocConfig) -> DataFrame:
+    """Genes with a transcript short of successes; with a threshold, whose p does not surely exceed it."""
+    if config.pthresh is None:
+        return totals.groupBy("gene").agg(F.min("successes").alias("least")).where(F.col("least") < config.successes).select("gene")
+    low = intervals(totals.select(*GROUP, "successes", "permutations"))
+    return low.groupBy("gene").agg(F.min(F.when(F.col("permutations") > 10, F.col("empirical_p_low")).otherwise(0.0)).alias("low")).where(F.col("low") <= config.pthresh).select("gene")
 
 
 def intervals(result: DataFrame) -> DataFrame:

@@ -14,12 +14,23 @@ from .statistics import GROUP
 
 
 def uniform_permutations(cohort: Cohort, first: int, last: int, seed: int = 1) -> DataFrame:
-    """(perm_id, sample_id, y) for perm_ids first to last: the cases are the samples with the smallest hashes."""
+    """(perm_id, sample_id, y) for perm_ids first to last: the cases are the samples with the smallest hashes.
+
+    Counts of hash prefixes tell in which bin of a permutation the last case lies; only that bin's samples are ranked, one
+    in BINS of them all.
+    """
     _, cases = cohort.sizes
     each = cohort.samples.select("sample_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("perm_id"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample_id").cast("string")))
+    keyed = each.withColumn("key", key).withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    upto = Window.partitionBy("perm_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows
+    counts = keyed.groupBy("perm_id", "bin").agg(F.count("*").alias("size"))
+    before = counts.select("perm_id", "bin", "size", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"))
+    edge = before.where((F.col("before") < cases) & (F.col("before") + F.col("size") >= cases)).select("perm_id", F.col("bin").alias("edge"), (cases - F.col("before")).alias("left"))
+    placed = keyed.join(edge, "perm_id", "left").withColumn("edge", F.coalesce("edge", F.lit(-1)))
     order = Window.partitionBy("perm_id").orderBy("key", "sample_id")
-    return each.withColumn("key", key).select("perm_id", "sample_id", (F.row_number().over(order) <= cases).cast("int").alias("y"))
+    inside = placed.where("bin = edge").select("perm_id", "sample_id", (F.row_number().over(order) <= F.col("left")).cast("int").alias("y"))
+    return placed.where("bin <> edge").select("perm_id", "sample_id", (F.col("bin") < F.col("edge")).cast("int").alias("y")).unionByName(inside)
 
 
 def permuted_calpha(cohort: Cohort, permutations: DataFrame) -> DataFrame:
@@ -81,13 +92,20 @@ def multi_transcript(observed: DataFrame, permuted: DataFrame) -> DataFrame:
     return out.withColumn("mgit_p", (F.col("mgit_successes") + 1) / (F.col("permutations") + 1.0))
 
 
+def shard_ranges(nperm: int, successes: int, shards: int) -> list[tuple[int, int, int]]:
+    """(first, last, successes) of each shard: disjoint permutations and equal shares of the successes, what is over goes to the last."""
+    shards = max(1, min(shards, nperm))
+    size, wanted = nperm // shards, successes // shards
+    return [(k * size + 1, (k + 1) * size if k + 1 < shards else nperm, wanted if k + 1 < shards else successes - wanted * (shards - 1)) for k in range(shards)]
+
+
 def combine_shards(shards: DataFrame) -> DataFrame:
     """Counts of permutation shards added up."""
     return shards.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in ("successes", "mid_successes", "permutations")))
 
 
 def run_blocks(cohort: Cohort, observed: DataFrame, wanted: int, block: int, successes: int, seed: int = 1) -> DataFrame:
-    """Permute in blocks; only genes with a transcript short of successes go on to the next block."""
+    """C-alpha permuted in blocks; only genes with a transcript short of successes go on to the next block."""
     from ..streaming.blocks import persist
 
     genes = observed.select("gene").distinct()

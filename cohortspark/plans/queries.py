@@ -12,6 +12,8 @@ from ..config import AssocConfig
 from ..operators import filters as ops
 from ..operators.grouped import Null, design, hotelling, null_model, regression_tests, score_tests
 from ..operators.grouped import vaast_grouped as grouped_vaast
+from ..operators.products import numbered
+from ..sources.files import repeated_variants
 from . import association
 from . import permutation as perm
 from . import reports as rp
@@ -122,9 +124,8 @@ def sample_calls(spark: SparkSession, sf: str) -> DataFrame:
 )
 def multi_file_merge(spark: SparkSession, sf: str) -> DataFrame:
     v = from_tables(spark, sf).variants
-    one, two = v.where("variant_id % 3 < 2").withColumn("file", F.lit(1)), v.where("variant_id % 3 > 0").withColumn("file", F.lit(2))
-    keyed = one.unionByName(two).groupBy("chrom", "start", "transcript")
-    return keyed.agg(F.count("*").alias("copies"), F.min("file").alias("first_file")).withColumn("duplicate", F.col("copies") > 1)
+    parts = [v.where("variant_id % 3 < 2"), v.where("variant_id % 3 > 0")]
+    return repeated_variants(parts).select("chrom", "start", "transcript", "copies", "first_file", (F.col("copies") > 1).alias("duplicate"))
 
 
 @query(
@@ -507,7 +508,7 @@ def multi_transcript_p(spark: SparkSession, sf: str) -> DataFrame:
 def shard_combine(spark: SparkSession, sf: str) -> DataFrame:
     c = from_tables(spark, sf)
     observed = st.calpha(c).withColumnRenamed("calpha", "stat")
-    shards = [perm.count_hits(perm.hits(observed, perm.permuted_calpha(c, perm.uniform_permutations(c, a, b, SEED)))) for a, b in ((1, 5), (6, NPERM))]
+    shards = [perm.count_hits(perm.hits(observed, perm.permuted_calpha(c, perm.uniform_permutations(c, a, b, SEED)))) for a, b, _ in perm.shard_ranges(NPERM, 4, 2)]
     return perm.combine_shards(shards[0].unionByName(shards[1]))
 
 
@@ -539,7 +540,7 @@ def variant_detail(spark: SparkSession, sf: str) -> DataFrame:
 )
 def carrier_runs(spark: SparkSession, sf: str) -> DataFrame:
     c = from_tables(spark, sf)
-    index = c.samples.select("sample_id", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("at"))
+    index = numbered(c.samples.select("sample_id"), "sample_id")
     return rp.runs(c.calls.where("dosage > 0").join(index, "sample_id"), ["variant_id"], "at", "carriers")
 
 
@@ -581,6 +582,27 @@ def annotation_export(spark: SparkSession, sf: str) -> DataFrame:
     return rp.annotation_export(from_tables(spark, sf).variants).select("vid", "set_id", "category")
 
 
+@query("annotation_templates", ", an AS (SELECT DISTINCT start || ':' || ref || '>' || alt AS vid, 'set-' || gene AS set_id, unnest(list_distinct([function, type])) AS category, CAST(regexp_replace(chrom, '^chr', '') AS INT) AS chrom, start FROM variants) SELECT DISTINCT vid, set_id, category FROM an")
+def annotation_templates(spark: SparkSession, sf: str) -> DataFrame:
+    v = from_tables(spark, sf).variants.withColumn("function", F.concat_ws(";", "function", "type", "function"))
+    return rp.annotation_export(v, "{start}:{ref}>{alt}", "set-{gene}", ";").select("vid", "set_id", "category")
+
+
+@query("sample_index", " SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS at FROM samples")
+def sample_index(spark: SparkSession, sf: str) -> DataFrame:
+    return rp.sample_index(from_tables(spark, sf))
+
+
+@query(
+    "qq_table",
+    RVT2_SQL.split("SELECT gene, transcript, round")[0]
+    + f", p AS (SELECT gene, transcript, {chi_tail('s')} AS p FROM g) SELECT gene, transcript, round(-log10(p), 5) AS observed, "
+    "round(-log10((row_number() OVER (ORDER BY p, gene, transcript) - 0.5) / count(*) OVER ()), 5) AS expected FROM p",
+)
+def qq_table(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rp.quantiles(st.rvt2(from_tables(spark, sf))), "observed", "expected", digits=5)
+
+
 @query("set_list_export", ANNOTATION + " SELECT set_id, min(chrom) AS chrom, min_by(start, chrom * 1e12 + start) AS start, string_agg(vid, ',' ORDER BY chrom, start, vid) AS vids FROM an GROUP BY 1")
 def set_list_export(spark: SparkSession, sf: str) -> DataFrame:
     return rp.set_list_export(rp.annotation_export(from_tables(spark, sf).variants))
@@ -625,6 +647,193 @@ def bootstrap_samples(spark: SparkSession, sf: str) -> DataFrame:
     return rs.bootstrap(from_tables(spark, sf), 3, 40, 60, seed=5)
 
 
+# Whole scans.  Labels of these permutations come as in a file, from hashes that SQL can work out too.
+
+
+def external_labels(c: Cohort) -> DataFrame:
+    order = F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "y"))), lambda s: s.y.cast("string"))
+    return perm.uniform_permutations(c, 1, NPERM, SEED).groupBy("perm_id").agg(F.array_join(order, "").alias("labels"))
+
+
+SCANNED = ("gene", "transcript", "rank", "stat", "successes", "mid_successes", "permutations", "empirical_p", "empirical_midp", "mgit_p")
+
+
+def scan_sql(observed: str, permuted: str, successes: int) -> str:
+    """SQL of a scan by statistic: observed and permuted are selects of (gene, transcript, observed) and (.., perm_id, stat)."""
+    return (
+        PERM_BASE.split(", pc AS")[0]
+        + f""", obs AS ({observed}), pv AS (
+  SELECT variant_id, perm_id, sum(py * dosage) AS g, sum(py) AS m FROM calls JOIN perms USING (sample_id) WHERE dosage > 0 GROUP BY 1, 2
+), pg AS (
+  SELECT gene, transcript, perm_id, sum(py) AS a, sum(burden * py) AS sb FROM carried JOIN perms USING (sample_id) GROUP BY 1, 2, 3
+), ps AS ({permuted}), hit AS (
+  SELECT *, CAST(round(stat, 6) >= round(observed, 6) AS INT) AS hit,
+         CASE WHEN round(stat, 6) = round(observed, 6) THEN 0.5 WHEN stat > observed THEN 1.0 ELSE 0.0 END AS mid
+  FROM ps JOIN obs USING (gene, transcript)
+)"""
+        + STOP_SQL.replace("h >= 3", f"h >= {successes}")
+        + f""", kept AS (SELECT hit.* FROM hit JOIN stops USING (gene) WHERE perm_id <= stop), c AS (
+  SELECT gene, transcript, CAST(sum(hit) AS BIGINT) AS successes, CAST(sum(mid) AS DOUBLE) AS mid_successes, count(*) AS permutations FROM kept GROUP BY 1, 2
+), e AS (
+  SELECT *, least(CASE WHEN permutations < {NPERM} AND permutations > 1 THEN (successes - 1) / (permutations - 1) ELSE (successes + 1) / (permutations + 1.0) END, 1.0) AS empirical_p,
+         least((mid_successes + 0.5) / (permutations + 1.0), 1.0) AS empirical_midp FROM c
+), w AS (
+  SELECT gene, transcript, 0 AS perm_id, round(observed, 6) AS stat FROM obs UNION ALL SELECT gene, transcript, perm_id, round(stat, 6) FROM kept
+), rk AS (
+  SELECT gene, perm_id, rank() OVER (PARTITION BY gene, transcript ORDER BY stat DESC) + (count(*) OVER (PARTITION BY gene, transcript, stat) - 1) / 2.0 AS r FROM w
+), b AS (SELECT gene, perm_id, min(r) AS r FROM rk GROUP BY 1, 2), o AS (SELECT gene, r AS own FROM b WHERE perm_id = 0), mg AS (
+  SELECT gene, (sum(CAST(r <= own AS INT)) + 1) / (count(*) + 1.0) AS mgit_p FROM b JOIN o USING (gene) WHERE perm_id > 0 GROUP BY 1
+)
+SELECT gene, transcript, CAST(row_number() OVER (ORDER BY round(empirical_p, 6), gene, transcript) AS INTEGER) AS rank, round(observed, 6) AS stat, successes, mid_successes, permutations,
+       round(empirical_p, 6) AS empirical_p, round(empirical_midp, 6) AS empirical_midp, round(mgit_p, 6) AS mgit_p
+FROM e JOIN obs USING (gene, transcript) JOIN mg USING (gene)"""
+    )
+
+
+def labelled_scan(spark: SparkSession, sf: str, config: AssocConfig) -> DataFrame:
+    c = from_tables(spark, sf)
+    found = association.scan(c, config, external=external_labels(c))
+    return rounded(found.select(*SCANNED), "stat", "empirical_p", "empirical_midp", "mgit_p")
+
+
+WEIGHT = "sqrt((1 + ac) / (2 + 2 * n) * (1 - (1 + ac) / (2 + 2 * n)))"
+
+
+@query(
+    "scan_wss",
+    scan_sql(
+        f"SELECT gene, transcript, sum(case_ac / {WEIGHT}) AS observed FROM cv, sizes GROUP BY 1, 2",
+        f"SELECT gene, transcript, perm_id, sum(g / {WEIGHT}) AS stat FROM pv JOIN cv USING (variant_id), sizes GROUP BY 1, 2, 3",
+        4,
+    ),
+)
+def scan_wss(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled_scan(spark, sf, AssocConfig(method="WSS", nperm=NPERM, successes=4))
+
+
+@query(
+    "scan_skat",
+    scan_sql(
+        "SELECT gene, transcript, sum(pow(weight * (case_ac - p0 * ac), 2)) AS observed FROM cv, sizes GROUP BY 1, 2",
+        "SELECT gene, transcript, perm_id, sum(pow(weight * (g - p0 * ac), 2)) AS stat FROM pv JOIN cv USING (variant_id), sizes GROUP BY 1, 2, 3",
+        4,
+    ),
+)
+def scan_skat(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled_scan(spark, sf, AssocConfig(method="SKAT", nperm=NPERM, successes=4, file_weights=True))
+
+
+@query(
+    "scan_burden",
+    scan_sql(
+        BURDEN_SQL.split("SELECT gene, transcript, round")[0].split("b AS (", 1)[1].strip().removesuffix(")").replace(" AS s\n", " AS observed\n"),
+        "SELECT gene, transcript, perm_id, pow(any_value(pg.sb) - p0 * sum(burden), 2) / (any_value(p0 * (1 - p0)) * (sum(burden * burden) - pow(sum(burden), 2) / any_value(n))) AS stat "
+        "FROM pg JOIN carried USING (gene, transcript), sizes GROUP BY gene, transcript, perm_id, p0",
+        4,
+    ),
+)
+def scan_burden(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled_scan(spark, sf, AssocConfig(method="BURDEN", nperm=NPERM, successes=4, file_weights=True))
+
+
+@query(
+    "scan_cmc1df",
+    scan_sql(
+        "SELECT gene, transcript, (case_carrier + e) * (control_other + e) / ((control_carrier + e) * (case_other + e)) AS observed "
+        "FROM (SELECT *, CASE WHEN least(case_carrier, control_carrier, case_other, control_other) = 0 THEN 0.5 ELSE 0.0 END AS e FROM t22)",
+        "SELECT gene, transcript, perm_id, (a + e) * (n - cases - m + a + e) / ((m - a + e) * (cases - a + e)) AS stat FROM ("
+        "SELECT *, CASE WHEN least(a, m - a, cases - a, n - cases - m + a) = 0 THEN 0.5 ELSE 0.0 END AS e "
+        "FROM pg JOIN (SELECT gene, transcript, case_carrier + control_carrier AS m FROM t22) USING (gene, transcript), sizes)",
+        4,
+    ),
+)
+def scan_cmc1df(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled_scan(spark, sf, AssocConfig(method="CMC1df", nperm=NPERM, successes=4))
+
+
+@query("scan_cmc1df_analytic", SQL["fisher_one_sided"].removeprefix(BASE))
+def scan_cmc1df_analytic(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(association.scan(from_tables(spark, sf), AssocConfig(method="CMC1df", nperm=0)).select("gene", "transcript", "p"), "p")
+
+
+@query("scan_burden_qtl_analytic", QTL_SQL.replace("round(s, 6) AS burden, ", ""))
+def scan_burden_qtl_analytic(spark: SparkSession, sf: str) -> DataFrame:
+    config = AssocConfig(method="BURDEN", nperm=0, qtl=True, file_weights=True)
+    return rounded(association.scan(from_tables(spark, sf), config).select("gene", "transcript", "p"), "p")
+
+
+COLLAPSED_SQL = """, k AS (SELECT *, ac <= 25 AS rare FROM cv), one AS (
+  SELECT gene, transcript, CASE WHEN rare THEN NULL ELSE variant_id END AS id, sample_id, max(CASE WHEN rare THEN CAST(dosage > 0 AS INT) ELSE dosage END) AS d
+  FROM calls JOIN k USING (variant_id) WHERE dosage > 0 GROUP BY ALL
+), col AS (
+  SELECT gene, transcript, id, sum(d * y) AS a, sum(d) AS t FROM one JOIN samples USING (sample_id) GROUP BY ALL
+)
+SELECT gene, transcript, round(sum(a / sqrt((1 + t) / (2 + 2 * n) * (1 - (1 + t) / (2 + 2 * n)))), 6) AS stat FROM col, sizes GROUP BY 1, 2"""
+
+
+@query("scan_wss_collapsed", COLLAPSED_SQL)
+def scan_wss_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    config = AssocConfig(method="WSS", nperm=0, var_collapsing=25, ma_count=False)
+    return rounded(association.scan(from_tables(spark, sf), config).select("gene", "transcript", "stat"), "stat")
+
+
+@query("impute_skat", """, g AS (SELECT variant_id, y, sum(dosage) AS a, sum(CAST(missing AS INT)) AS gone FROM calls JOIN samples USING (sample_id) GROUP BY 1, 2), i AS (
+  SELECT variant_id, y, CASE WHEN missing THEN a / (2 * ((CASE WHEN y = 1 THEN cases ELSE n - cases END) - gone)) ELSE dosage END AS d
+  FROM calls JOIN samples USING (sample_id) JOIN g USING (variant_id, y), sizes
+), v AS (SELECT variant_id, sum(d * y) AS ca, sum(d) AS t FROM i GROUP BY 1)
+SELECT gene, transcript, round(sum(pow(v_w.weight * (ca - p0 * t), 2)), 6) AS skat_q FROM variants v_w JOIN v USING (variant_id), sizes GROUP BY 1, 2""")
+def impute_skat(spark: SparkSession, sf: str) -> DataFrame:
+    c = association.prepare(from_tables(spark, sf), AssocConfig(method="SKAT", nperm=0, impute="af", file_weights=True))
+    return rounded(st.skat_q(c), "skat_q")
+
+
+@query("beta_weighted_skat", "SELECT gene, transcript, round(sum(pow(pow(1 - ac / (2 * n), 24) * 25 * (case_ac - p0 * ac), 2)), 5) AS skat_q FROM cv, sizes GROUP BY 1, 2")
+def beta_weighted_skat(spark: SparkSession, sf: str) -> DataFrame:
+    c = association.prepare(from_tables(spark, sf), AssocConfig(method="SKAT", nperm=0))
+    return rounded(st.skat_q(c), "skat_q", digits=5)
+
+
+# Resampling by hashes, which SQL can follow.
+
+POWER_SQL = f""", rk AS (SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS at FROM samples),
+sl AS (SELECT rep, slot, CAST(slot < 200 AS INT) AS y, CAST('0x' || substr(md5('1:' || rep || ':' || slot), 1, 12) AS BIGINT) AS d FROM range(1, 21) a(rep), range(0, 400) b(slot)),
+dr AS (SELECT rep, sample_id, sl.y FROM sl, sizes JOIN rk ON rk.y = sl.y AND rk.at = d % CAST(CASE WHEN sl.y = 1 THEN cases ELSE n - cases END AS BIGINT)),
+tb AS (SELECT gene, transcript, rep, sum(dr.y) AS a, count(*) AS m FROM carried JOIN dr USING (sample_id) GROUP BY 1, 2, 3),
+g AS (SELECT gene, transcript, rep, 2 * (a * ln(greatest(a, 1) / (m * 0.5)) + (m - a) * ln(greatest(m - a, 1) / (m * 0.5))
+  + (200 - a) * ln(greatest(200 - a, 1) / ((400 - m) * 0.5)) + (200 - m + a) * ln(greatest(200 - m + a, 1) / ((400 - m) * 0.5))) AS s FROM tb),
+al AS (SELECT unnest([0.05, 0.2])::DOUBLE AS alpha)
+SELECT gene, transcript, 'RVT2' AS method, 200 AS n_cases, 200 AS n_controls, CAST(sum(CAST({chi_tail("s")} <= alpha AS INT)) AS BIGINT) AS successes, 20 AS bootstraps,
+       round(sum(CAST({chi_tail("s")} <= alpha AS INT)) / 20.0, 6) AS ratio, alpha FROM g, al GROUP BY gene, transcript, alpha"""
+
+
+@query("power_ratio", POWER_SQL)
+def power_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rs.power(from_tables(spark, sf), 20, 200, 200, (0.05, 0.2)), "ratio")
+
+
+@query(
+    "testable_groups",
+    f""", e AS (SELECT gene, transcript, case_carrier + control_carrier AS m, least(case_carrier + control_carrier, cases) AS a, cases, n FROM t22, sizes), g AS (
+  SELECT gene, transcript, m, 2 * (a * ln(a / (m * cases / n)) + (m - a) * ln(greatest(m - a, 1) / (m * (n - cases) / n))
+    + (cases - a) * ln(greatest(cases - a, 1) / ((n - m) * cases / n)) + (n - cases - m + a) * ln(greatest(n - cases - m + a, 1) / ((n - m) * (n - cases) / n))) AS s FROM e
+), p AS (SELECT *, {chi_tail("s")} AS p FROM g) SELECT gene, transcript, m, round(p, 6) AS best_p, p <= 0.05 AS testable FROM p""",
+)
+def testable_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(rs.testable(from_tables(spark, sf)), "best_p")
+
+
+@query(
+    "effect_size_p",
+    PERM_BASE.split(", pc AS")[0]
+    + f""", pa AS (SELECT gene, transcript, perm_id, sum(py) AS a FROM carried JOIN perms USING (sample_id) GROUP BY 1, 2, 3)
+SELECT gene, transcript, case_carrier, case_other AS case_non_carrier, control_carrier, control_other AS control_non_carrier,
+       round((sum(CAST(a >= case_carrier AS INT)) + 1) / {NPERM + 1}.0, 6) AS p_value FROM pa JOIN t22 USING (gene, transcript) GROUP BY ALL""",
+)
+def effect_size_p(spark: SparkSession, sf: str) -> DataFrame:
+    cells = [F.col(c).cast("long").alias(c) for c in ("case_carrier", "case_non_carrier", "control_carrier", "control_non_carrier")]
+    return rounded(rs.effect_sizes(from_tables(spark, sf), NPERM, SEED).select("gene", "transcript", *cells, "p_value"), "p_value")
+
+
 # Numeric statistics with covariates and resampling: SQL cannot express them; tests hold them against other solvers.
 
 
@@ -635,20 +844,20 @@ def binary_null(c: Cohort) -> Null:
 @query("skato_p")
 def skato_p(spark: SparkSession, sf: str) -> DataFrame:
     c = from_tables(spark, sf)
-    return score_tests(c, binary_null(c)).select("gene", "transcript", "skato_p")
+    return score_tests(c, binary_null(c), want=("skato_p",))
 
 
 @query("skat_p")
 def skat_p(spark: SparkSession, sf: str) -> DataFrame:
     c = from_tables(spark, sf)
-    return score_tests(c, binary_null(c)).select("gene", "transcript", "skat_q", "skat_p", "burden", "burden_p", "skatc_p")
+    return score_tests(c, binary_null(c), want=("skat_q", "skat_p", "burden", "burden_p", "skatc_p"))
 
 
 @query("skat_qtl_p")
 def skat_qtl_p(spark: SparkSession, sf: str) -> DataFrame:
     c = from_tables(spark, sf)
     null = null_model(design(c.samples, categorical=("cov_cat",)), quantitative=True)
-    return score_tests(c, null).select("gene", "transcript", "skat_p", "skato_p", "burden_p")
+    return score_tests(c, null, want=("skat_p", "skato_p", "burden_p"))
 
 
 @query("rvt1_p")
@@ -657,6 +866,12 @@ def rvt1_p(spark: SparkSession, sf: str) -> DataFrame:
     return regression_tests(c, binary_null(c))
 
 
+@query("rvt_qtl_p")
+def rvt_qtl_p(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    return regression_tests(c, null_model(design(c.samples, ("cov_num",)), quantitative=True), quantitative=True)
+
+
 @query("cmc_hotelling")
 def cmc_hotelling(spark: SparkSession, sf: str) -> DataFrame:
     return hotelling(from_tables(spark, sf))
@@ -679,9 +894,9 @@ def adjusted_permutations(spark: SparkSession, sf: str) -> DataFrame:
     return rs.adjusted_permutations(c, odds, 1, 10)
 
 
-@query("power_ratio")
-def power_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return rs.power(from_tables(spark, sf), 20, 200, 200, (0.05, 0.2))
+@query("permuted_power_wss")
+def permuted_power_wss(spark: SparkSession, sf: str) -> DataFrame:
+    return rs.permuted_power(from_tables(spark, sf), AssocConfig(method="WSS", nperm=40), 4, 200, 200, (0.05, 0.2))
 
 
 @query("effect_size_or")
@@ -689,16 +904,6 @@ def effect_size_or(spark: SparkSession, sf: str) -> DataFrame:
     return rs.effect_sizes(from_tables(spark, sf), 40)
 
 
-@query("testable_groups")
-def testable_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return rs.testable(from_tables(spark, sf))
-
-
-@query("scan_wss")
-def scan_wss(spark: SparkSession, sf: str) -> DataFrame:
-    return association.scan(from_tables(spark, sf), AssocConfig(method="WSS", nperm=6, successes=2, seed=3))
-
-
 @query("scan_vaast_collapsed")
 def scan_vaast_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return association.scan(from_tables(spark, sf), AssocConfig(method="VAAST", nperm=0, var_collapsing=20, site_penalty=0.5))
@@ -706,4 +911,34 @@ def scan_vaast_collapsed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("covariate_scan_skato")
 def covariate_scan_skato(spark: SparkSession, sf: str) -> DataFrame:
-    return association.covariate_scan(from_tables(spark, sf), AssocConfig(method="SKATO"), categorical=("cov_cat",))
+    return association.covariate_scan(from_tables(spark, sf), AssocConfig(method="SKATO", file_weights=True), categorical=("cov_cat",))
+
+
+@query("scan_skat_adjusted")
+def scan_skat_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    config = AssocConfig(method="SKAT", nperm=20, successes=8, seed=3, file_weights=True)
+    return association.scan(from_tables(spark, sf), config, categorical=("cov_cat",))
+
+
+@query("scan_burden_qtl")
+def scan_burden_qtl(spark: SparkSession, sf: str) -> DataFrame:
+    return association.scan(from_tables(spark, sf), AssocConfig(method="BURDEN", nperm=20, successes=8, seed=3, qtl=True, file_weights=True))
+
+
+@query("scan_rvt1_permuted")
+def scan_rvt1_permuted(spark: SparkSession, sf: str) -> DataFrame:
+    return association.scan(from_tables(spark, sf), AssocConfig(method="RVT1", nperm=10, successes=5, seed=3), categorical=("cov_cat",))
+
+
+def thousand(method: str, **options: object) -> Query:
+    """1,000 permutations, none spared by an early stop."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return association.scan(from_tables(spark, sf), AssocConfig(method=method, nperm=1000, successes=10_000, seed=5, **options))
+
+    return run
+
+
+query("wss_1000")(thousand("WSS"))
+query("skat_1000")(thousand("SKAT", file_weights=True))
+query("vaast_1000")(thousand("VAAST", site_penalty=0.5))

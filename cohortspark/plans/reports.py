@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
-from ..operators.filters import LOCUS, counted_variants
+from ..operators.filters import COLLAPSED, LOCUS, counted_variants
+from ..operators.products import numbered
 from .statistics import GROUP
 
 INTERVAL = 100_000  # bases in a bucket of the interval join
@@ -30,10 +33,16 @@ def merge_results(parts: list[DataFrame], by: str) -> DataFrame:
 
 
 def detail(cohort: Cohort) -> DataFrame:
-    """Per locus over its transcripts: names, frequency, allele counts by status and carriers."""
+    """Per locus over its transcripts: names, frequency, allele counts by status and carriers.
+
+    A collapsed row stands for itself in its transcript: it has carriers instead of alleles, one for each sample.
+    """
     n, cases = cohort.sizes
     c = counted_variants(cohort)
-    key = [*LOCUS, "type", "gene"]
+    if not set(LOCUS) <= set(c.columns):
+        raise ValueError("variants without a locus: collapse them by operators.filters.collapse_rare, which keeps it")
+    c = c.withColumn("own_", F.when(F.col("type") == COLLAPSED, F.col("transcript")))
+    key = [*LOCUS, "type", "gene", "own_"]
     own = c.groupBy(*key).agg(
         F.array_join(F.array_sort(F.collect_set("transcript")), ",").alias("transcripts"), F.min_by("weight", "transcript").alias("weight"), F.min_by("variant_id", "transcript").alias("variant_id"),
         F.min_by("ac", "transcript").alias("ac"), F.min_by("case_ac", "transcript").alias("case_alt"),
@@ -45,9 +54,10 @@ def detail(cohort: Cohort) -> DataFrame:
     )
     joined = own.join(listed, "variant_id", "left")
     empty = lambda x: F.when(F.coalesce(F.col(x), F.lit("")) == "", "-").otherwise(F.col(x)).alias(x)
+    scale = F.when(F.col("type") == COLLAPSED, 1).otherwise(2)
     return joined.select(
-        "gene", "transcripts", F.concat_ws(",", *(F.col(x).cast("string") for x in LOCUS), "type").alias("variant"), "weight", (F.col("ac") / (2.0 * n)).alias("af"),
-        (2 * cases - F.col("case_alt")).alias("case_ref"), "case_alt", (2 * (n - cases) - F.col("ac") + F.col("case_alt")).alias("control_ref"), (F.col("ac") - F.col("case_alt")).alias("control_alt"),
+        "gene", "transcripts", F.concat_ws(",", *(F.col(x).cast("string") for x in LOCUS), "type").alias("variant"), "weight", (F.col("ac") / (scale * F.lit(float(n)))).alias("af"),
+        (scale * cases - F.col("case_alt")).alias("case_ref"), "case_alt", (scale * (n - cases) - F.col("ac") + F.col("case_alt")).alias("control_ref"), (F.col("ac") - F.col("case_alt")).alias("control_alt"),
         empty("case_list"), empty("control_list"),
     )
 
@@ -64,7 +74,7 @@ def runs(frame: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
 
 def carrier_report(cohort: Cohort) -> DataFrame:
     """Lines of the carrier report: target or background side, unique or recurrent, genotype classes and carriers by index."""
-    index = cohort.samples.select("sample_id", "y", (F.row_number().over(Window.orderBy("sample_id")) - 1).alias("at"))
+    index = numbered(cohort.samples.select("sample_id", "y"), "sample_id")
     c = counted_variants(cohort).select("variant_id", *GROUP, "carriers", "case_carriers")
     held = cohort.calls.where("dosage > 0").join(index, "sample_id").select("variant_id", "y", "dosage", "at")
     listed = runs(held, ["variant_id", "y", "dosage"], "at", "who")
@@ -93,12 +103,23 @@ def variant_class(ref: Column, alt: Column) -> Column:
     )
 
 
-def annotation_export(variants: DataFrame) -> DataFrame:
-    """(vid, set_id, category) of autosomal variants, names cleaned for white-space separated files."""
-    bare = F.regexp_replace("chrom", "^chr", "")
-    clean = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("function", F.lit("unknown"))), r"\s+", "_"), ",", "_")
+def filled(template: str) -> Column:
+    """Text of a template such as {chrom}_{start}_{ref}_{alt}: names of columns in braces; chrom without its chr."""
+    parts = re.split(r"\{(\w+)\}", template)
+    value = lambda c: F.regexp_replace("chrom", "^chr", "") if c == "chrom" else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat(*(value(p) if k % 2 else F.lit(p) for k, p in enumerate(parts) if k % 2 or p))
+
+
+def annotation_export(variants: DataFrame, variant: str = "{chrom}_{start}_{ref}_{alt}", group: str = "{gene}", split: str | None = None, default: str = "unknown") -> DataFrame:
+    """(vid, set_id, category) of autosomal variants, names cleaned for white-space separated files.
+
+    Ids follow templates.  With split a function of several values gives a row for each, without repeats.
+    """
+    values = F.split("function", f"[{re.escape(split)}]") if split else F.array("function")
+    clean = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+", "_"), ",", "_")
+    named = F.transform(values, lambda x: F.when(F.coalesce(F.trim(x), F.lit("")) == "", F.lit(default)).otherwise(clean(x)))
     on = variants.withColumn("c", F.expr("try_cast(regexp_replace(chrom, '^chr', '') as int)")).where("c between 1 and 22")
-    return on.select(F.concat_ws("_", bare, F.col("start").cast("string"), "ref", "alt").alias("vid"), F.col("gene").alias("set_id"), clean.alias("category"), F.col("c").alias("chrom"), "start").distinct()
+    return on.select(filled(variant).alias("vid"), filled(group).alias("set_id"), F.explode(F.array_distinct(named)).alias("category"), F.col("c").alias("chrom"), "start").distinct()
 
 
 def set_list_export(annotations: DataFrame) -> DataFrame:
@@ -128,3 +149,27 @@ def manhattan(results: DataFrame, genes: DataFrame, gap: int = 1_000_000) -> Dat
     offsets = sizes.select("chrom", F.coalesce(F.sum(F.col("size") + gap).over(before), F.lit(0)).alias("offset"), (F.row_number().over(Window.orderBy("n", "chrom")) % 2).alias("colour"))
     p = F.when(F.col("p") > 0, F.col("p")).otherwise(F.lit(floor / 10))
     return placed.join(offsets, "chrom").select("gene", "chrom", (F.col("start") + F.col("offset")).alias("place"), "colour", (-F.log10(p)).alias("score"))
+
+
+def quantiles(results: DataFrame, by: str = "p") -> DataFrame:
+    """Ready for a QQ plot: -log10 of each p beside that of its rank's expected value."""
+    order = Window.orderBy(by, "gene", "transcript")  # one row for each transcript
+    ranked_p = results.select("gene", "transcript", F.col(by).alias("p"), F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy()).alias("all"))
+    return ranked_p.select("gene", "transcript", (-F.log10("p")).alias("observed"), (-F.log10((F.col("rank") - 0.5) / F.col("all"))).alias("expected"))
+
+
+def power_curve(ratios: DataFrame) -> DataFrame:
+    """Ready for a power plot: ratios of each group by method, alpha and sample size."""
+    return ratios.select("gene", "transcript", "method", "alpha", (F.col("n_cases") + F.col("n_controls")).alias("samples"), "ratio")
+
+
+def sample_index(cohort: Cohort) -> DataFrame:
+    """(sample_id, at): the numbers by which carrier lists name samples, which end the carrier report."""
+    return numbered(cohort.samples.select("sample_id"), "sample_id")
+
+
+def ordered_report(report: DataFrame, results: DataFrame, by: str = "empirical_p") -> DataFrame:
+    """The carrier report with each transcript's place, p and score: a gene's transcripts in order of p."""
+    order = Window.partitionBy("gene").orderBy(by, "transcript")
+    placed = results.select(*GROUP, "stat", by, F.row_number().over(order).alias("place"))
+    return report.join(placed, list(GROUP))

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
-from ..functions.special import chi2_sf, fisher_odds_ratio, wilson
+from ..config import AssocConfig
+from ..functions import batch
+from ..functions.batch import COUNTED, stat_of
+from ..functions.special import chi2_sf_col, fisher_odds_ratio, wilson
+from ..operators.filters import counted_variants
+from ..operators.products import BLOCK, SampleBlock, lay_out, numbered
 from .permutation import uniform_permutations
-from .statistics import GROUP, carriers
+from .statistics import GROUP, carriers, g_test
 
 
 def odds_bins(odds: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
@@ -48,42 +55,63 @@ def case_counts(rng: np.random.Generator, sizes: np.ndarray, odds: np.ndarray, c
     raise RuntimeError("no draw had the right total")
 
 
-def adjusted_permutations(cohort: Cohort, odds: DataFrame, first: int, last: int, epsilon: float = 1e-4, seed: int = 1) -> DataFrame:
-    """(perm_id, sample_id, y): cases are dealt to bins of like odds, then by lot inside each bin.
+def binned(odds: DataFrame, epsilon: float = 1e-4) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((sample_id, bin), samples of each bin, mean odds of each bin) of odds(sample_id, odds).
 
-    odds(sample_id, odds).  Bins come from distinct odds rounded to a tenth of epsilon, of which there are few; the lots
-    are hashes of (seed, perm_id, sample), so that samples never gather in one task beyond their bin and permutation.
+    Spark counts cells of a tenth of epsilon; the driver joins cells to bins, and sees no samples.
     """
-    _, cases = cohort.sizes
     step = epsilon / 10
-    rounded = odds.select("sample_id", (F.round(F.col("odds") / step) * step).alias("odds"))
-    table = rounded.groupBy("odds").agg(F.count("*").alias("n")).orderBy("odds").toPandas()
-    bins, _ = odds_bins(table["odds"].to_numpy(float), epsilon)
-    sizes = np.bincount(bins, table["n"]).astype(int)
-    means = np.bincount(bins, table["odds"] * table["n"]) / sizes
-    spark = cohort.samples.sparkSession
-    of_odds = spark.createDataFrame(list(zip(table["odds"].tolist(), bins.tolist(), strict=True)), "odds double, bin int")
+    cells = odds.select("sample_id", F.round(F.col("odds") / step).cast("long").alias("cell"))
+    table = cells.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toPandas()
+    value = table["cell"].to_numpy(float) * step
+    bins, _ = odds_bins(value, epsilon)
+    sizes = np.bincount(bins, table["n"]).astype(np.int64)
+    means = np.maximum(np.bincount(bins, value * table["n"]) / sizes, step)
+    of_cell = odds.sparkSession.createDataFrame(pd.DataFrame({"cell": table["cell"], "bin": bins.astype(np.int32)}), "cell long, bin int")
+    return cells.join(of_cell, "cell").select("sample_id", "bin"), sizes, means
+
+
+def drawn_cases(spark: SparkSession, sizes: np.ndarray, means: np.ndarray, cases: int, first: int, last: int, seed: int = 1) -> np.ndarray:
+    """Cases of each bin (columns) in permutations first to last (rows)."""
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for perm_id in frame["id"]:
-                counts = case_counts(np.random.default_rng([seed, int(perm_id)]), sizes, means, cases)
-                yield pd.DataFrame({"perm_id": int(perm_id), "bin": np.arange(len(counts)), "wanted": counts})
+                counts = case_counts(np.random.default_rng([seed, int(perm_id), 1]), sizes, means, cases)
+                yield pd.DataFrame({"perm_id": [int(perm_id)], "counts": [counts.astype(np.int64).tobytes()]})
+
+    found = spark.range(first, last + 1).mapInPandas(draw, "perm_id long, counts binary").toPandas().sort_values("perm_id")
+    return np.array([np.frombuffer(x, np.int64) for x in found["counts"]]).reshape(-1, len(sizes))
+
 
-    drawn = spark.range(first, last + 1).mapInPandas(draw, "perm_id int, bin int, wanted int")
-    placed = rounded.join(of_odds, "odds").select("sample_id", "bin")
-    each = placed.select("sample_id", "bin", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("perm_id"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample_id").cast("string")))
-    order = Window.partitionBy("perm_id", "bin").orderBy("key", "sample_id")
-    lots = each.withColumn("key", key).withColumn("lot", F.row_number().over(order))
-    return lots.join(drawn, ["perm_id", "bin"]).select("perm_id", "sample_id", (F.col("lot") <= F.col("wanted")).cast("int").alias("y"))
+def adjusted_permutations(cohort: Cohort, odds: DataFrame, first: int, last: int, epsilon: float = 1e-4, seed: int = 1) -> DataFrame:
+    """(perm_id, sample_id, y): cases are dealt to bins of like odds(sample_id, odds), then by lot inside each bin.
+
+    A task makes the labels of one block of samples: a bin's cases are dealt to blocks first.
+    """
+    _, cases = cohort.sizes
+    dealt, sizes, means = binned(odds, epsilon)
+    layout = lay_out(cohort.samples.select("sample_id", "y", "trait").join(dealt, "sample_id"), cases, seed)
+    spec = layout.base.part(first, last, drawn_cases(cohort.samples.sparkSession, sizes, means, cases, max(1, first), last, seed))
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for row in range(table.num_rows):
+                block = SampleBlock.of(table, row)
+                at = pa.array(block.number * BLOCK + np.arange(len(block.y)))
+                y = block.labels(spec).astype(np.int32)
+                for k, perm_id in enumerate(spec.perms):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), perm_id, np.int32)), at, pa.array(np.ascontiguousarray(y[:, k]))], names=["perm_id", "at", "y"])
+
+    return layout.blocks.mapInArrow(labels, "perm_id int, at long, y int").join(layout.index.select("at", "sample_id"), "at").select("perm_id", "sample_id", "y")
 
 
 def bootstrap(cohort: Cohort, reps: int, n_cases: int, n_controls: int, seed: int = 1) -> DataFrame:
     """(rep, slot, sample_id, y): samples drawn with replacement among cases and controls by a hash of (seed, rep, slot)."""
     n, cases = cohort.sizes
-    number = F.row_number().over(Window.partitionBy("y").orderBy("sample_id")) - 1
-    ranked = cohort.samples.select("sample_id", "y", number.alias("at"))
+    index = numbered(cohort.samples.select("y", "sample_id"), "y", "sample_id")
+    ranked = index.select("sample_id", "y", (F.col("at") - F.when(F.col("y") == 1, n - cases).otherwise(0)).cast("int").alias("at"))
     spark = cohort.samples.sparkSession
     slots = spark.range(1, reps + 1).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n_cases + n_controls - 1))).alias("slot"))
     is_case = F.col("slot") < n_cases
@@ -98,33 +126,83 @@ def power(cohort: Cohort, reps: int, n_cases: int, n_controls: int, alphas: tupl
     drawn = bootstrap(cohort, reps, n_cases, n_controls, seed)
     carried = carriers(cohort).select(*GROUP, "sample_id").join(drawn, "sample_id")
     table = carried.groupBy(*GROUP, "rep").agg(F.sum("y").alias("a"), F.count("*").alias("m"))
-    total = n_cases + n_controls
+    p = chi2_sf_col(g_test(F.col("a"), F.col("m"), n_cases, n_cases + n_controls), 1)
+    return ratios(table.select(*GROUP, "rep", p.alias("p")), "RVT2", reps, n_cases, n_controls, alphas)
 
-    @F.pandas_udf("double")
-    def p_value(a: pd.Series, m: pd.Series) -> pd.Series:
-        out = []
-        for x, k in zip(a, m, strict=True):
-            cells = ((x, k * n_cases / total), (k - x, k * n_controls / total), (n_cases - x, (total - k) * n_cases / total), (n_controls - k + x, (total - k) * n_controls / total))
-            out.append(chi2_sf(2 * sum(o * np.log(o / e) for o, e in cells if o > 0), 1))
-        return pd.Series(out)
-
-    tested = table.select(*GROUP, "rep", p_value("a", "m").alias("p"))
+
+def ratios(tested: DataFrame, method: str, reps: int, n_cases: int, n_controls: int, alphas: tuple[float, ...]) -> DataFrame:
+    """For each group and alpha how many replicates (gene, transcript, rep, p) reached it."""
     each = tested.select(*GROUP, "p", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
     won = each.groupBy(*GROUP, "alpha").agg(F.sum((F.col("p") <= F.col("alpha")).cast("long")).alias("successes"))
     return won.select(
-        *GROUP, F.lit("RVT2").alias("method"), F.lit(n_cases).alias("n_cases"), F.lit(n_controls).alias("n_controls"), "successes", F.lit(reps).alias("bootstraps"), (F.col("successes") / reps).alias("ratio"), "alpha"
+        *GROUP, F.lit(method).alias("method"), F.lit(n_cases).alias("n_cases"), F.lit(n_controls).alias("n_controls"), "successes", F.lit(reps).alias("bootstraps"), (F.col("successes") / reps).alias("ratio"), "alpha"
     )
 
 
-def sequential_p(hits: np.ndarray, alpha: float, block: int = 5, least: int = 10) -> tuple[float, int]:
-    """p after blocks of permutations until the Wilson interval leaves alpha out: (s + 2) / (n + 4) and n."""
-    n = 0
-    while n < len(hits):
-        n = min(n + block, len(hits))
-        low, high = wilson(float(hits[:n].sum()), n)
-        if n >= least and not low <= alpha <= high:
-            break
-    return (float(hits[:n].sum()) + 2) / (n + 4), n
+def permuted_power(cohort: Cohort, config: AssocConfig, reps: int, n_cases: int, n_controls: int, alphas: tuple[float, ...] = (0.05,), odds: DataFrame | None = None) -> DataFrame:
+    """Power of a method without a p-value of its own: every replicate is permuted.
+
+    With several alphas a replicate takes config.nperm permutations and p = (hits + 2) / (permutations + 4); with one alpha
+    blocks of five until the Wilson interval leaves alpha out.  A task holds one replicate of one group: as many rows as
+    the replicate has slots.  odds(sample_id, odds): labels are permuted by them, else uniformly.
+    """
+    if config.method not in COUNTED:
+        raise ValueError(f"permuted_power works for {', '.join(COUNTED)}")
+    total, seed, nperm = n_cases + n_controls, config.seed, config.nperm
+    drawn = bootstrap(cohort, reps, n_cases, n_controls, seed)
+    held = cohort.calls.where("dosage > 0").join(cohort.variants.select("variant_id", *GROUP, "weight", "type"), "variant_id")
+    rows = held.join(drawn, "sample_id").select(*GROUP, "rep", "slot", F.col("variant_id").cast("string").alias("variant_id"), "weight", "type", F.col("dosage").cast("double").alias("dosage"))
+    of_slot = drawn.select("rep", "slot", "sample_id") if odds is None else drawn.join(odds, "sample_id").select("rep", "slot", F.log("odds").alias("odds"))
+    gathered = None if odds is None else of_slot.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "odds"))), lambda s: s.odds).alias("odds"))
+    if gathered is not None:
+        rows = rows.join(gathered, "rep")
+
+    def labels(rng: np.random.Generator, count: int, log_odds: np.ndarray | None) -> np.ndarray:
+        out = np.zeros((total, count))
+        if log_odds is None:
+            for k in range(count):
+                out[rng.permutation(total)[:n_cases], k] = 1
+            return out
+        bins, means = odds_bins(np.exp(log_odds), config.bin_epsilon)
+        sizes = np.bincount(bins)
+        for k in range(count):
+            take = case_counts(rng, sizes, np.maximum(means, 1e-12), n_cases)
+            order = np.lexsort((rng.random(total), bins))
+            out[order[np.arange(total) - (np.cumsum(sizes) - sizes)[bins[order]] < take[bins[order]]], k] = 1
+        return out
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        gene, transcript, rep = frame.iloc[0][[*GROUP, "rep"]]
+        log_odds = np.array(frame["odds"].iloc[0]) if "odds" in frame else None
+        variant, ids = pd.factorize(frame["variant_id"], sort=True)
+        first = frame.assign(v=variant).drop_duplicates("v").sort_values("v")
+        g = np.zeros((len(ids), total))
+        g[variant, frame["slot"]] = frame["dosage"]
+        any_carried, burden = g.max(axis=0) > 0, first["weight"].to_numpy() @ g
+
+        def stats(y: np.ndarray) -> np.ndarray:
+            counts = batch.GroupCounts(
+                total, n_cases, g.sum(axis=1), (g * g).sum(axis=1), (g > 0).sum(axis=1).astype(float), first["weight"].to_numpy(float), first["type"].tolist(), list(ids), g @ y, (g > 0) @ y,
+                float(any_carried.sum()), any_carried @ y, (float(burden.sum()), float(burden @ burden)),
+            )
+            return np.round(stat_of(counts, config), 9)
+
+        seen = np.zeros((total, 1))
+        seen[:n_cases] = 1
+        own, rng = stats(seen)[0], np.random.default_rng([seed, int(rep), zlib.crc32(f"{gene}/{transcript}".encode())])
+        if len(alphas) > 1:
+            p = (float((stats(labels(rng, nperm, log_odds)) >= own).sum()) + 2) / (nperm + 4)
+        else:
+            won, done, low, high = 0, 0, 0.0, 1.0
+            while done < nperm and (done < 10 or low <= alphas[0] <= high):
+                count = min(5, nperm - done)
+                won, done = won + int((stats(labels(rng, count, log_odds)) >= own).sum()), done + count
+                low, high = wilson(float(won), done)
+            p = (won + 2) / (done + 4)
+        return pd.DataFrame([[gene, transcript, int(rep), p]], columns=[*GROUP, "rep", "p"])
+
+    tested = rows.groupBy(*GROUP, "rep").applyInPandas(work, "gene string, transcript string, rep int, p double")
+    return ratios(tested, config.method, reps, n_cases, n_controls, alphas)
 
 
 def effect_sizes(cohort: Cohort, nperm: int, seed: int = 1) -> DataFrame:
@@ -155,38 +233,44 @@ def testable(cohort: Cohort, alpha: float = 0.05) -> DataFrame:
     """Whether a group could reach alpha at all: the carrier G test when carriers are cases first."""
     n, cases = cohort.sizes
     m = carriers(cohort).groupBy(*GROUP).agg(F.count("*").alias("m"))
-
-    @F.pandas_udf("double")
-    def extreme(m: pd.Series) -> pd.Series:
-        out = []
-        for k in m:
-            a = min(k, cases)
-            cells = ((a, k * cases / n), (k - a, k * (n - cases) / n), (cases - a, (n - k) * cases / n), (n - cases - k + a, (n - k) * (n - cases) / n))
-            out.append(chi2_sf(2 * sum(o * np.log(o / e) for o, e in cells if o > 0), 1))
-        return pd.Series(out)
-
-    return m.select(*GROUP, "m", extreme("m").alias("best_p")).withColumn("testable", F.col("best_p") <= alpha)
+    best = chi2_sf_col(g_test(F.least("m", F.lit(cases)), F.col("m"), cases, n), 1)
+    return m.select(*GROUP, "m", best.alias("best_p")).withColumn("testable", F.col("best_p") <= alpha)
 
 
-def simulate(spark: SparkSession, samples: int, genes: int, mean_variants: float = 20, seed: int = 1) -> Cohort:
-    """A cohort with Poisson numbers of variants, uniform frequencies and binomial dosages, all from hashes of ids."""
+def extreme_statistic(cohort: Cohort, config: AssocConfig) -> DataFrame:
+    """(gene, transcript, stat, scored): the method's statistic when a group's carriers are cases first, in order of sample
+    id, and how many variants score above zero (VAAST and SKAT need eight to be testable).
 
-    def unit(*parts: str) -> F.Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(2**40)) + 0.5) / float(2**40)
-
-    ids = spark.range(samples).select(F.col("id").alias("sample_id"))
-    people = ids.select("sample_id", (unit("sample_id") < 0.5).cast("int").alias("y"), F.round(unit("sample_id") * 2 - 1, 9).alias("trait"), F.lit(0.0).alias("cov_num"), F.pmod("sample_id", F.lit(5)).cast("int").alias("cov_cat"))
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for gene in frame["id"]:
-                rng = np.random.default_rng([seed, int(gene)])
-                k = max(1, rng.poisson(mean_variants))
-                for v, f in enumerate(rng.uniform(0.001, 0.01, k)):
-                    d = rng.binomial(2, f, samples)
-                    who = np.flatnonzero(d)
-                    yield pd.DataFrame({"gene": f"g{gene}", "variant_id": f"g{gene}v{v}", "sample_id": who, "dosage": d[who].astype(np.int32)})
-
-    calls = spark.range(genes).repartition(max(1, genes // 10)).mapInPandas(deal, "gene string, variant_id string, sample_id long, dosage int")
-    variants = calls.select("gene", "variant_id").distinct().select("variant_id", "gene", F.col("gene").alias("transcript"), F.lit("SNV").alias("type"), F.lit("nonsynonymous").alias("function"), F.lit(1.0).alias("weight"))
-    return Cohort(people, variants, calls.select("variant_id", "sample_id", "dosage", F.lit(False).alias("missing")))
+    The labels differ by group, so that they are columns of carriers: a carrier is a case while its number in the group is
+    within the number of cases; the others never enter a count.
+    """
+    n, cases = cohort.sizes
+    held = carriers(cohort).select(*GROUP, "sample_id", "burden")
+    few = held.groupBy(*GROUP).agg(F.count("*").alias("held"), F.sum("burden").alias("b"), F.sum(F.col("burden") * F.col("burden")).alias("bb"))
+    order = Window.partitionBy(*GROUP).orderBy("sample_id")
+    labelled = held.join(few.select(*GROUP, "held"), list(GROUP)).withColumn("y", F.when(F.col("held") <= cases, 1).otherwise((F.row_number().over(order) <= cases).cast("int")))
+    member = cohort.variants.select(*GROUP, "variant_id")
+    both = cohort.calls.where("dosage > 0").join(member, "variant_id").join(labelled.select(*GROUP, "sample_id", "y"), [*GROUP, "sample_id"])
+    sums = both.groupBy(*GROUP, "variant_id").agg(F.sum(F.col("dosage") * F.col("y")).cast("double").alias("a"), F.sum("y").cast("double").alias("c"))
+    counted = counted_variants(cohort).select(*GROUP, "variant_id", F.col("variant_id").cast("string").alias("key"), "type", *(F.col(c).cast("double").alias(c) for c in ("weight", "ac", "ac2", "carriers")))
+    rows = counted.join(sums, [*GROUP, "variant_id"]).drop("variant_id").join(few, list(GROUP))
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        one = lambda c: frame[c].to_numpy(float)
+        top = frame.iloc[0]
+        h = np.array([float(min(top["held"], cases))])
+        g = batch.GroupCounts(n, cases, one("ac"), one("ac2"), one("carriers"), one("weight"), frame["type"].tolist(), frame["key"].tolist(), one("a")[:, None], one("c")[:, None], float(top["held"]), h, (top["b"], top["bb"]))
+        scores = batch.site_scores(g, config.soft_maf_filter) if config.method == "VAAST" else g.scores**2
+        return pd.DataFrame([[top["gene"], top["transcript"], float(stat_of(g, config)[0]), int((scores > 0).sum())]], columns=[*GROUP, "stat", "scored"])
+
+    return rows.groupBy(*GROUP).applyInPandas(work, "gene string, transcript string, stat double, scored int")
+
+
+def testable_by(cohort: Cohort, config: AssocConfig, permuted: DataFrame, alpha: float) -> DataFrame:
+    """(gene, transcript, testable): whether the extreme statistic's percentile among permuted(gene, transcript, stat) is below alpha."""
+    best = extreme_statistic(cohort, config)
+    share = permuted.join(best.select(*GROUP, F.round("stat", 9).alias("best"), "scored"), list(GROUP)).groupBy(*GROUP).agg(
+        ((F.sum((F.col("best") <= F.col("stat")).cast("int")) + 1) / (F.count("*") + 1.0)).alias("p"), F.first("scored").alias("scored")
+    )
+    enough = F.col("scored") >= (8 if config.method in ("VAAST", "SKAT") else 0)
+    return share.select(*GROUP, ((F.col("p") < alpha) & enough).alias("testable"))

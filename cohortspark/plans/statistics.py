@@ -3,12 +3,11 @@
 Every plan aggregates sparse calls; zero genotypes never appear.  Groups are (gene, transcript).
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
-from ..functions.special import chi2_sf_col, hypergeometric_sf
+from ..functions.special import chi2_sf_col, log_gamma_col
 from ..operators.filters import counted_variants
 
 GROUP = ("gene", "transcript")
@@ -90,15 +89,18 @@ def odds_ratio(cohort: Cohort) -> DataFrame:
 
 
 def fisher_one_sided(cohort: Cohort) -> DataFrame:
-    """P(at least as many case carriers), with margins fixed."""
+    """P(at least as many case carriers), with margins fixed: hypergeometric terms by log-gamma, added up in the JVM."""
     n, cases = cohort.sizes
-
-    @F.pandas_udf("double")
-    def tail(a: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([hypergeometric_sf(int(x), n, cases, int(k)) for x, k in zip(a, m, strict=True)])
-
     t = carrier_table(cohort)
-    return t.select(*GROUP, tail("case_carrier", F.col("case_carrier") + F.col("control_carrier")).alias("p"))
+    m = F.col("case_carrier") + F.col("control_carrier")
+    lg = lambda x: log_gamma_col(x + 1.0)
+    margins = lg(m) + lg(F.lit(n) - m) + lg(F.lit(cases)) + lg(F.lit(n - cases)) - lg(F.lit(n))
+    top = F.least(m, F.lit(cases).cast("long"))
+    keyed = t.select(*GROUP, "case_carrier", m.alias("m"), margins.alias("margins"), top.alias("top"))
+    k = F.col("k")
+    term = F.exp(F.col("margins") - lg(k) - lg(F.col("m") - k) - lg(F.lit(cases) - k) - lg(F.lit(n - cases) - F.col("m") + k))
+    terms = keyed.withColumn("k", F.explode(F.sequence(F.greatest("case_carrier", F.col("m") - (n - cases)), "top")))
+    return terms.select(*GROUP, term.alias("term")).groupBy(*GROUP).agg(F.least(F.sum("term"), F.lit(1.0)).alias("p"))
 
 
 def burden(cohort: Cohort, quantitative: bool = False) -> DataFrame:
@@ -122,18 +124,18 @@ def skat_q(cohort: Cohort) -> DataFrame:
     return counted_variants(cohort).groupBy(*GROUP).agg(F.sum(z * z).alias("skat_q"))
 
 
+def g_test(a: F.Column, m: F.Column, cases: int, n: int) -> F.Column:
+    """Likelihood ratio of a 2x2 table: a cases among m carriers, of so many cases among n."""
+    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    controls = n - cases
+    return 2 * (cell(a, m * cases / n) + cell(m - a, m * controls / n) + cell(cases - a, (n - m) * cases / n) + cell(controls - m + a, (n - m) * controls / n))
+
+
 def rvt2(cohort: Cohort) -> DataFrame:
     """Likelihood-ratio test of the carrier indicator without covariates: a 2x2 G test."""
     n, cases = cohort.sizes
     t = carrier_table(cohort)
-    m = F.col("case_carrier") + F.col("control_carrier")
-    cell = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    g = 2 * (
-        cell(F.col("case_carrier"), m * cases / n)
-        + cell(F.col("control_carrier"), m * (n - cases) / n)
-        + cell(F.col("case_other"), (n - m) * cases / n)
-        + cell(F.col("control_other"), (n - m) * (n - cases) / n)
-    )
+    g = g_test(F.col("case_carrier"), F.col("case_carrier") + F.col("control_carrier"), cases, n)
     return t.select(*GROUP, g.alias("lrt"), chi2_sf_col(g, 1).alias("p"))
 
 

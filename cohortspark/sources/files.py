@@ -1,37 +1,42 @@
 """Readers of the file kinds of an association study.
 
-Text goes through Spark's own readers, which take plain and gzip files by their ending; `with_codec` renames files whose
-ending hides their format.  Lines are checked as columns: a bad line raises with its file and number of fields.
+Text goes through Spark's own readers, which take plain and gzip files by their ending; `with_codec` copies files whose
+ending hides their format to a name that tells it.  Lines are checked as columns: a bad line raises with its file and number of fields.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cohort import TYPES, Cohort
+from ..streaming.blocks import shared_path
 
 MATRIX = ("chrom", "start", "end", "ref", "alt", "type", "gene", "transcript", "region", "function", "annotation")
 # The first bytes of compressed files and the endings that Spark knows them by.
 MAGIC = {b"\x1f\x8b": ".gz", b"\x28\xb5\x2f\xfd": ".zst", b"BZh": ".bz2"}
 
 
-def with_codec(path: str, folder: str) -> str:
-    """A path whose ending tells Spark the codec: path itself, or a link in folder, by the file's first bytes."""
-    with open(path, "rb") as file:
-        head = file.read(4)
+def with_codec(spark: SparkSession, path: str) -> str:
+    """A path whose ending tells Spark the codec: path itself, or a copy in shared storage, by the file's first bytes.
+
+    Files are opened by Spark's own file systems, so that remote paths work too.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source = hadoop.Path(path)
+    system = source.getFileSystem(conf)
+    stream = system.open(source)
+    try:
+        head = bytes(b for b in (stream.read() for _ in range(4)) if b >= 0)
+    finally:
+        stream.close()
     ending = next((e for magic, e in MAGIC.items() if head.startswith(magic)), "")
     if not ending or path.endswith(ending):
         return path
-    target = os.path.join(folder, os.path.basename(path) + ending)
-    try:
-        os.symlink(os.path.abspath(path), target)
-    except OSError:
-        shutil.copyfile(path, target)
-    return target
+    target = hadoop.Path(f"{shared_path(spark, 'codec')}/{source.getName()}{ending}")
+    hadoop.FileUtil.copy(system, source, target.getFileSystem(conf), target, False, conf)
+    return target.toString()
 
 
 def require(ok: Column, value: Column, message: str) -> Column:
@@ -63,7 +68,7 @@ def read_matrix(spark: SparkSession, path: str, genes: list[str] | None = None)
         body = body.where(F.get("f", F.lit(6)).isin(genes))
     gt = F.get("f", F.lit(11))
     ok = (F.size("f") == 12) & F.get("f", F.lit(5)).isin(*TYPES) & (F.length(gt) == len(ids)) & gt.rlike("^[0-9]*$")
-    return body.select(*(F.get("f", F.lit(k)).alias(c) for k, c in enumerate(MATRIX)), require(ok, gt, "bad matrix line").alias("gt")).withColumn("ids", F.array(*map(F.lit, ids)))
+    return body.select(*(F.get("f", F.lit(k)).alias(c) for k, c in enumerate(MATRIX)), require(ok, gt, "bad matrix line").alias("gt")).withColumn("ids", F.split(F.lit("\t".join(ids)), "\t"))
 
 
 def check_sorted(spark: SparkSession, path: str) -> list[str]:
@@ -75,26 +80,40 @@ def check_sorted(spark: SparkSession, path: str) -> list[str]:
 
 
 def matrix_calls(matrix: DataFrame) -> DataFrame:
-    """Sparse calls (variant columns, sample_id, dosage, missing): digits above 2 are missing, zeros are left out."""
-    digits = F.split("gt", "")
-    long = matrix.withColumn("digits", digits).select(*MATRIX, F.explode(F.arrays_zip("ids", "digits")).alias("x"))
-    code = F.col("x.digits").cast("int")
-    return long.where("x.digits <> '0'").select(*MATRIX, F.col("x.ids").alias("sample_id"), F.when(code > 2, 0).otherwise(code).alias("dosage"), (code > 2).alias("missing"))
+    """Sparse calls (variant columns, sample_id, dosage, missing): digits above 2 are missing, zeros are left out.
+
+    Zeros leave inside the array, before anything is exploded.
+    """
+    cell = F.transform(F.split("gt", ""), lambda d, i: F.when(d != "0", F.struct(i.alias("at"), d.cast("int").alias("code"))))
+    long = matrix.withColumn("x", F.explode(F.filter(cell, lambda c: c.isNotNull()))).select(*MATRIX, F.get("ids", F.col("x.at")).alias("sample_id"), F.col("x.code").alias("code"))
+    return long.select(*MATRIX, "sample_id", F.when(F.col("code") > 2, 0).otherwise(F.col("code")).alias("dosage"), (F.col("code") > 2).alias("missing"))
+
+
+VARIANT = ("chrom", "start", "end", "ref", "alt", "transcript")
+
+
+def repeated_variants(parts: list[DataFrame]) -> DataFrame:
+    """For each variant of several files how many rows have it (copies), and the first file."""
+    keyed = [p.select(*VARIANT, F.lit(k + 1).alias("file")) for k, p in enumerate(parts)]
+    whole = keyed[0]
+    for other in keyed[1:]:
+        whole = whole.unionByName(other)
+    return whole.groupBy(*VARIANT).agg(F.count("*").alias("copies"), F.min("file").alias("first_file"))
 
 
 def merge_matrices(matrices: list[DataFrame]) -> DataFrame:
     """Calls of several files; samples meet by id, so that column order does not matter; repeated variants raise."""
-    whole = matrices[0]
-    for other in matrices[1:]:
-        whole = whole.unionByName(other)
-    key = ["chrom", "start", "end", "ref", "alt", "transcript"]
-    twice = whole.groupBy(*key).count().where("count > 1").head()
+    twice = repeated_variants(matrices).where("copies > 1").head()
     if twice is not None:
         raise ValueError(f"variant in more than one file: {twice}")
-    sets = whole.select(F.array_sort("ids").alias("ids")).distinct().count()
-    if sets > 1:
+    headers = {tuple(sorted(m.head().ids)) for m in matrices if m.head() is not None}
+    if len(headers) > 1:
         raise ValueError("the files have different samples")
-    return matrix_calls(whole)
+    calls = [matrix_calls(m) for m in matrices]
+    whole = calls[0]
+    for other in calls[1:]:
+        whole = whole.unionByName(other)
+    return whole
 
 
 def read_ped(spark: SparkSession, path: str, quantitative: bool = False) -> DataFrame:
@@ -157,16 +176,29 @@ def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_permutations(spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
-    """(perm_id, labels) of a file with one line of 0 and 1 for each permutation; a block is a range of perm_ids."""
-    rows = spark.sparkContext.textFile(path).zipWithIndex().map(lambda p: (p[1] + 1, p[0])).toDF("perm_id long, labels string")
+    """(perm_id, labels) of a file with one line of 0 and 1 for each permutation; a block is a range of perm_ids.
+
+    Lines are numbered in order of files and partitions, blanks left out; a line that is already numbered (perm_id and a tab)
+    keeps its number.
+    """
+    body = lines(spark, path)
+    labels = F.regexp_extract("value", r"^\s*(?:(\d+)\t)?([01\s]+)$", 2)
+    own = F.expr(r"try_cast(regexp_extract(value, '^\\s*(\\d+)\\t', 1) as long)")
+    rows = body.select(own.alias("own"), F.regexp_replace(labels, r"\s", "").alias("labels"))
+    if rows.where("own is null").head(1):
+        from ..operators.products import numbered
+
+        rows = numbered(rows.withColumn("line", F.monotonically_increasing_id()), "line").select((F.col("at") + 1).alias("perm_id"), "labels")
+    else:
+        rows = rows.select(F.col("own").alias("perm_id"), "labels")
     return rows.where((F.col("perm_id") >= first) & (F.lit(last is None) | (F.col("perm_id") <= (last or 0))))
 
 
 def write_permutations(permutations: DataFrame, path: str) -> None:
-    """One line of 0 and 1 for each permutation, samples in id order."""
+    """One line for each permutation: its number, a tab, and 0 or 1 for each sample in id order."""
     order = F.array_sort(F.collect_list(F.struct("sample_id", "y")))
-    text = permutations.groupBy("perm_id").agg(order.alias("s")).select("perm_id", F.array_join(F.transform("s", lambda s: s.y.cast("string")), "").alias("value"))
-    text.orderBy("perm_id").select("value").write.text(path)
+    text = permutations.groupBy("perm_id").agg(order.alias("s")).select("perm_id", F.array_join(F.transform("s", lambda s: s.y.cast("string")), "").alias("labels"))
+    text.orderBy("perm_id").select(F.concat_ws("\t", F.col("perm_id").cast("string"), "labels").alias("value")).write.text(path)
 
 
 def read_refflat(spark: SparkSession, path: str) -> DataFrame:
@@ -189,15 +221,16 @@ def genotype_code(gt: Column) -> Column:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, pos, ref, alt, sample_id, code) of all samples; zero codes are left out."""
+    """(chrom, pos, ref, alt, sample_id, code) of all samples; zero codes leave inside the array."""
     raw = lines(spark, path).where(~F.col("value").startswith("##"))
     head = raw.where(F.col("value").startswith("#C")).head()
-    ids = F.array(*map(F.lit, head.value.split("\t")[9:]))
+    ids = F.split(F.lit("\t".join(head.value.split("\t")[9:])), "\t")
     f = fields("value")
+    cell = F.transform(F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(0))), lambda g, i: F.struct(i.alias("at"), genotype_code(g).alias("code")))
     body = raw.where(~F.col("value").startswith("#")).select(
-        f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[3].alias("ref"), f[4].alias("alt"), F.explode(F.arrays_zip(ids.alias("id"), F.slice(f, 10, 1_000_000).alias("gt"))).alias("x")
+        f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[3].alias("ref"), f[4].alias("alt"), F.explode(F.filter(cell, lambda c: c.code != 0)).alias("x")
     )
-    return body.select("chrom", "pos", "ref", "alt", F.col("x.id").alias("sample_id"), genotype_code(F.col("x.gt")).alias("code")).where("code <> 0")
+    return body.select("chrom", "pos", "ref", "alt", F.get(ids, F.col("x.at")).alias("sample_id"), F.col("x.code").alias("code"))
 
 
 def read_simple(spark: SparkSession, path: str) -> DataFrame:
@@ -216,14 +249,34 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     return body.select("kind", bare("ID").alias("id"), bare("Parent").alias("parent"), F.col("a")["Name"].alias("name"), "chrom", "start", "end").where("id is not null")
 
 
-def from_files(spark: SparkSession, matrices: list[str], ped: str, weights: str | None = None, mask: str | None = None, quantitative: bool = False) -> Cohort:
-    """The cohort of matrix and pedigree files; samples that only one of them has raise."""
-    read = [read_matrix(spark, m) for m in matrices]
-    calls = merge_matrices(read)
+def from_files(
+    spark: SparkSession,
+    matrices: list[str],
+    ped: str,
+    weights: str | None = None,
+    mask: str | None = None,
+    quantitative: bool = False,
+    covariates: str | None = None,
+    genes: list[str] | None = None,
+    max_levels: int = 100,
+) -> Cohort:
+    """The cohort of matrix and pedigree files; samples that the pedigree lacks are left out, those that only it has raise.
+
+    With covariates the samples have a design x, which a scan takes as it is; samples without a covariate line raise.
+    A whitelist and permutations from files go to the scan itself (read_whitelist, read_permutations).
+    """
+    read = [read_matrix(spark, m, genes) for m in matrices]
     samples = read_ped(spark, ped, quantitative)
-    ids = spark.createDataFrame([(i,) for i in read[0].head().ids], "sample_id string")
-    if missing := [r.sample_id for r in ids.exceptAll(samples.select("sample_id")).union(samples.select("sample_id").exceptAll(ids)).limit(20).collect()]:
-        raise ValueError(f"samples in only one of the files: {missing}")
+    head = next((h for h in (r.head() for r in read) if h is not None), None)
+    ids = spark.createDataFrame([(i,) for i in (head.ids if head else [])], "sample_id string")
+    if missing := [r.sample_id for r in samples.join(ids, "sample_id", "left_anti").select("sample_id").limit(20).collect()]:
+        raise ValueError(f"samples without genotypes: {missing}")
+    calls = merge_matrices(read).join(samples.select("sample_id"), "sample_id", "left_semi")
+    if covariates:
+        design = read_covariates(spark, covariates, max_levels)
+        if missing := [r.sample_id for r in samples.join(design, "sample_id", "left_anti").select("sample_id").limit(20).collect()]:
+            raise ValueError(f"samples without covariates: {missing}")
+        samples = samples.join(design, "sample_id")
     from ..operators.filters import attach_weights, bed_mask, variant_key
 
     variants = read[0].select(*MATRIX)

@@ -32,3 +32,36 @@ def write_simple(result: DataFrame, path: str, cases: int, controls: int, comman
 def write_table(df: DataFrame, path: str, order: list[str]) -> None:
     """Any result table with its own column names: details, power, effect sizes, exports."""
     write_lines(df, path, {c: c for c in df.columns}, order)
+
+
+# Column names of the power and effect size files.
+POWER = {"gene": "Gene", "transcript": "Transcript", "method": "Method", "n_cases": "Ncases", "n_controls": "Ncontrols", "successes": "Successes", "bootstraps": "Bootstraps", "ratio": "Ratio", "alpha": "Alpha"}
+EFFECT = {
+    "gene": "Gene", "transcript": "Transcript", "or_estimate": "OR", "or_ci_low": "OR_CI_Low", "or_ci_high": "OR_CI_High", "p_value": "P", "case_carrier": "Case_Carrier",
+    "case_non_carrier": "Case_Non_Carrier", "control_carrier": "Control_Carrier", "control_non_carrier": "Control_Non_Carrier",
+}
+
+
+def write_power(ratios: DataFrame, path: str) -> None:
+    """Power by gene, transcript, sample sizes and alpha."""
+    write_lines(ratios, path, POWER, ["gene", "transcript", "n_cases", "n_controls", "alpha"])
+
+
+def write_effects(effects: DataFrame, path: str) -> None:
+    """Effect sizes with intervals, by gene and transcript."""
+    write_lines(effects, path, EFFECT, ["gene", "transcript"])
+
+
+def write_stats(result: DataFrame, path: str) -> None:
+    """The permuted statistics of each group (column stats), in order of the permutations."""
+    write_lines(result.withColumn("stats", F.concat_ws(",", F.transform("stats", lambda x: x.cast("string")))), path, {"gene": "Gene", "transcript": "Transcript", "stats": "Permuted"}, ["gene", "transcript"])
+
+
+def write_report(report: DataFrame, index: DataFrame, path: str) -> None:
+    """The carrier report, a gene's transcripts in order of p (reports.ordered_report), then the sample numbers."""
+    body = report.select(F.col("gene").alias("a"), F.col("place").alias("b"), F.concat_ws("\t", "gene", "transcript", F.col("stat").cast("string"), F.col("empirical_p").cast("string"), "line", "variant_id", "who").alias("value"))
+    spark = report.sparkSession
+    head = spark.createDataFrame([("## Sample Index Map",)], "value string")
+    trailer = index.select(F.lit(None).cast("string").alias("a"), F.col("at").alias("b"), F.concat_ws("\t", F.lit("#"), F.col("sample_id").cast("string"), F.col("at").cast("string")).alias("value"))
+    whole = body.withColumn("part", F.lit(0)).unionByName(head.withColumn("part", F.lit(1)), allowMissingColumns=True).unionByName(trailer.withColumn("part", F.lit(2)))
+    whole.orderBy("part", "a", "b", "value").select("value").write.mode("overwrite").text(path)

@@ -1,11 +1,23 @@
-"""The whole scan on the small tables."""
+"""The whole scan on the small tables, against plain loops."""
 
+import math
+from dataclasses import replace
+
+import numpy as np
 import pytest
 
 from cohortspark.cohort import from_tables
 from cohortspark.config import AssocConfig
+from cohortspark.functions import glm
+from cohortspark.operators import filters as ops
+from cohortspark.operators import grouped, products
+from cohortspark.operators.products import SampleBlock
 from cohortspark.plans import association as a
 from cohortspark.plans import permutation as perm
+from cohortspark.plans import reports as rp
+from cohortspark.plans import resampling as rs
+from cohortspark.plans import statistics as st
+from cohortspark.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,17 +25,118 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def cohort(spark):
     c = from_tables(spark, SF)
-    few = c.variants.where("gene in ('Brand#1', 'Brand#2', 'Brand#3')")
+    few = c.variants.where("gene in ('Brand#11', 'Brand#12', 'Brand#13')")
     out = type(c)(c.samples, few, c.calls.join(few.select("variant_id").distinct(), "variant_id", "left_semi"))
     out.__dict__["sizes"] = c.sizes
     return out
 
 
-def test_block_of_permutations(cohort):
-    labels = perm.uniform_permutations(cohort, 1, 4, 9)
-    one = sorted((r.gene, r.transcript, r.perm_id, round(r.stat, 6)) for r in perm.permuted_calpha(cohort, labels).collect())
-    got = a.permuted_statistic(cohort, AssocConfig(method="CALPHA"), labels).collect()
-    assert sorted((r.gene, r.transcript, r.perm_id, round(r.stat, 6)) for r in got) == one
+def counts_by_loop(cohort, labels):
+    """Case alleles and case carriers of each variant, one label vector after the other."""
+    calls = [(r.variant_id, r.sample_id, r.dosage) for r in cohort.calls.where("dosage > 0").collect()]
+    out = []
+    for y in labels:
+        a, c = {}, {}
+        for v, s, d in calls:
+            if y[s]:
+                a[v], c[v] = a.get(v, 0) + d, c.get(v, 0) + 1
+        out.append((a, c))
+    return out
+
+
+def labels_of(plan, first, last):
+    """The label vectors that the plan's blocks make, by sample."""
+    spec, blocks = a.dealt_labels(plan, first, last, None)
+    ids = {r.at: r.sample_id for r in plan.layout.index.select("at", "sample_id").collect()}
+    out = [{} for _ in spec.perms]
+    for row in range(blocks.count()):
+        block = SampleBlock.of(blocks.toArrow(), row)
+        for at, values in enumerate(block.labels(spec)):
+            for k, y in enumerate(values):
+                out[k][ids[block.number * products.BLOCK + at]] = float(y)
+    return out
+
+
+def test_hits_against_a_loop(cohort, monkeypatch):
+    """WSS by blocks of 40 samples: labels, statistics and counts of successes against plain loops."""
+    monkeypatch.setattr(products, "BLOCK", 40)
+    config = AssocConfig(method="WSS", nperm=6, successes=100, seed=4)
+    plan = a.make_plan(a.prepare(cohort, config), config, None, False)
+    assert plan.layout.number == 4
+    labels = labels_of(plan, 0, 6)
+    n, cases = cohort.sizes
+    assert {sum(y.values()) for y in labels} == {cases} and len({tuple(sorted(y.items())) for y in labels}) == 7
+    assert labels[0] == {r.sample_id: r.y for r in cohort.samples.collect()}
+    variants = [(r.gene, r.transcript, r.variant_id, r.ac) for r in ops.counted_variants(plan.cohort).collect()]
+    want = {}
+    for k, (alleles, _) in enumerate(counts_by_loop(plan.cohort, labels)):
+        for g, t, v, ac in variants:
+            f = (1 + ac) / (2 + 2 * n)
+            want[g, t, k] = want.get((g, t, k), 0) + alleles.get(v, 0) / math.sqrt(f * (1 - f))
+    got = {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 6).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-6) for k in want)
+    for r in a.scan(cohort, config).collect():
+        group = [want[r.gene, r.transcript, k] for k in range(7)]
+        assert r.successes == sum(x >= group[0] - 1e-9 for x in group[1:]) and r.permutations == 6
+
+
+def test_covariates_against_a_loop(spark, cohort, monkeypatch):
+    """SKAT with adjusted labels and refits against glm on the whole design."""
+    monkeypatch.setattr(products, "BLOCK", 64)
+    config = AssocConfig(method="SKAT", nperm=3, successes=100, seed=4, file_weights=True)
+    null = grouped.null_model(grouped.design(cohort.samples, categorical=("cov_cat",)))
+    ready = a.prepare(cohort, config)
+    plan = a.make_plan(ready, config, null, True)
+    labels = labels_of(plan, 0, 3)
+    assert {sum(y.values()) for y in labels} == {cohort.sizes[1]}
+    rows = null.samples.select("sample_id", "x").collect()
+    x, ids = np.array([r.x for r in rows]), [r.sample_id for r in rows]
+    calls = [(r.variant_id, r.sample_id, r.dosage) for r in ready.calls.collect()]
+    got = {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 3).collect()}
+    for k, y in enumerate(labels):
+        mu = glm.fit(x, np.array([y[i] for i in ids])).mu
+        left = {i: y[i] - m for i, m in zip(ids, mu, strict=True)}
+        z = {}
+        for v, s, d in calls:
+            z[v] = z.get(v, 0) + d * left[s]
+        for (g, t), part in ready.variants.toPandas().groupby(["gene", "transcript"]):
+            want = sum((w * z.get(v, 0)) ** 2 for v, w in zip(part["variant_id"], part["weight"], strict=True))
+            assert math.isclose(got[g, t, k], want, rel_tol=1e-5, abs_tol=1e-9)
+    regression = replace(config, method="RVT1")
+    plan = a.make_plan(ready, regression, null, True)
+    got = {(r.gene, r.transcript): r.stat for r in a.permuted_statistic(plan, 2, 2).collect()}
+    y = labels_of(plan, 2, 2)[0]
+    target = np.array([y[i] for i in ids])
+    base = glm.fit(x, target).deviance
+    for (g, t), part in ready.variants.toPandas().groupby(["gene", "transcript"]):
+        own, share = set(part["variant_id"]), dict.fromkeys(ids, 0.0)
+        for v, s, d in calls:
+            if v in own and d:
+                share[s] += 1 / len(part)
+        want = base - glm.fit(np.column_stack((x, [share[i] for i in ids])), target).deviance
+        assert math.isclose(got[g, t], want, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_quantitative(cohort):
+    """Traits change places: permuted values are spread around the observed ones' law, and p is not constant."""
+    config = AssocConfig(method="BURDEN", nperm=19, successes=100, seed=5, qtl=True, file_weights=True)
+    plan = a.make_plan(a.prepare(cohort, config), config, None, False)
+    traits = sorted(r.trait for r in cohort.samples.collect())
+    assert all(np.allclose(sorted(y.values()), traits) for y in labels_of(plan, 0, 2))
+    rows = a.scan(cohort, config).collect()
+    closed = {(r.gene, r.transcript): r.burden for r in st.burden(plan.cohort, quantitative=True).collect()}
+    assert all(math.isclose(r.stat, closed[r.gene, r.transcript], rel_tol=1e-6) for r in rows)
+    assert len({r.empirical_p for r in rows}) > 1 and min(r.empirical_p for r in rows) < 0.9
+
+
+def test_bayesian_fallback(spark):
+    """Labels that a covariate separates get a finite fit."""
+    rows = [(k, k, int(k < 10), 0.0, [1.0, float(k < 10)]) for k in range(20)]
+    samples = spark.createDataFrame(rows, "sample_id int, at long, y int, trait double, x array<double>")
+    blocks = products.sample_blocks(samples)
+    spec = products.Labels(1, 0, 0, 10, np.array([[20]]))
+    beta, info, loss = products.refit(blocks, spec, np.array([0.0, 0.0]))
+    assert np.isfinite(beta).all() and np.isfinite(info).all() and 0 <= loss[0] < 2
 
 
 def test_scan(cohort):
@@ -36,7 +149,7 @@ def test_scan(cohort):
 
 @pytest.mark.parametrize("method", ["VT", "CMC", "CMC1df", "BURDEN", "SKAT", "RVT2", "VAAST"])
 def test_methods(cohort, method):
-    config = AssocConfig(method=method, nperm=0, site_penalty=0.2)
+    config = AssocConfig(method=method, nperm=0, site_penalty=0.2, file_weights=True)
     assert a.scan(cohort, config).count() == cohort.variants.select("gene", "transcript").distinct().count()
 
 
@@ -51,10 +164,53 @@ def test_options(cohort):
     assert AssocConfig(nperm=10, max_perms=4).block == 4
 
 
-@pytest.mark.parametrize(
-    "option", [{"covariates": ("a",)}, {"impute": "af"}, {"pthresh": 0.1}, {"kernel": "Linear"}, {"beta_weights": (1.0, 2.0)}, {"hotellings": True}, {"bin_epsilon": 0.1}]
-)
-def test_options_that_no_scan_follows(option):
-    for scan in (a.scan, a.covariate_scan):
-        with pytest.raises(ValueError, match=f"do not follow these options: {next(iter(option))}"):
-            scan(None, AssocConfig(method="SKAT", **option))
+@pytest.mark.parametrize("option", [{"kernel": "x"}, {"hotellings": True}, {"biallelic": True}])
+def test_options_that_a_method_cannot_follow(option):
+    with pytest.raises(ValueError):
+        a.scan(None, AssocConfig(method="SKAT", **option))
+
+
+def test_thresholds_and_permuted_methods(cohort):
+    rows = a.scan(cohort, AssocConfig(method="CMC", hotellings=True, nperm=30, pthresh=0.2, seed=6)).collect()
+    assert all(r.permutations > 10 for r in rows)
+    for method in ("SKATC", "VT"):
+        assert all(0 < r.empirical_p <= 1 for r in a.scan(cohort, AssocConfig(method=method, nperm=4, seed=6)).collect())
+
+
+def test_detail_after_collapsing(cohort):
+    ready = a.prepare(cohort, AssocConfig(method="WSS", nperm=0, var_collapsing=5))
+    n, cases = cohort.sizes
+    rows = [r for r in rp.detail(ready).collect() if r.variant.endswith("Collapsed")]
+    assert rows
+    for r in rows:
+        carriers = [x for c in (r.case_list, r.control_list) if c != "-" for x in c.split(",")]
+        assert r.case_alt + r.control_alt == len(carriers) and r.case_ref + r.case_alt == cases and r.control_ref + r.control_alt == n - cases
+
+
+def test_outputs(spark, cohort, tmp_path):
+    """Permuted statistics, the testability filter and the files."""
+    config = AssocConfig(method="WSS", nperm=5, successes=100, seed=4, output_stats=True)
+    result = a.scan(cohort, config)
+    assert all(len(r.stats) == 5 and r.successes == sum(x >= round(r.stat, 9) for x in r.stats) for r in result.collect())
+    reach = a.scan(cohort, replace(config, testable=0.9)).count()
+    assert reach == result.count() and a.scan(cohort, replace(config, testable=0.0)).count() == 0
+    sinks.write_stats(result, str(tmp_path / "stats"))
+    assert spark.read.text(str(tmp_path / "stats")).count() == 1 + result.count()
+    report = rp.ordered_report(rp.carrier_report(cohort), result)
+    sinks.write_report(report, rp.sample_index(cohort), str(tmp_path / "report"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines.count("## Sample Index Map") == 1 and sum(x.startswith("#\t") for x in lines) == cohort.sizes[0]
+    assert sum(not x.startswith("#") for x in lines) == report.count() > 0
+    sinks.write_power(rs.power(cohort, 3, 20, 20), str(tmp_path / "power"))
+    sinks.write_effects(rs.effect_sizes(cohort, 5), str(tmp_path / "effects"))
+    assert spark.read.text(str(tmp_path / "effects")).where("value like 'Gene%OR%'").count() == 1
+
+
+def test_shards():
+    assert perm.shard_ranges(10, 7, 3) == [(1, 3, 2), (4, 6, 2), (7, 10, 3)] and perm.shard_ranges(2, 1, 5)[-1][1] == 2
+
+
+def test_plot_tables(spark, cohort):
+    p = spark.createDataFrame([("g", "t", 0.1), ("h", "t", 0.01)], "gene string, transcript string, p double")
+    assert [(round(r.observed, 6), round(r.expected, 6)) for r in rp.quantiles(p).orderBy("gene").collect()] == [(1.0, round(-math.log10(0.75), 6)), (2.0, round(-math.log10(0.25), 6))]
+    assert rp.power_curve(rs.power(cohort, 2, 20, 20)).where("samples = 40").count() > 0

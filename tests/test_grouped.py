@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from cohortspark.cohort import from_tables
+from cohortspark.cohort import Cohort, from_tables
 from cohortspark.functions import glm, kernels, tails
 from cohortspark.functions.special import chi2_sf
 from cohortspark.operators import grouped
@@ -93,24 +93,76 @@ def test_single_variant_skato_is_burden():
     assert kernels.skato_p(z, r) == kernels.burden_p(1.7**2, 2.2)
 
 
+def test_tails_against_closed_forms():
+    """A form of pairs of equal weights is a mixture of exponentials."""
+    for lam in ([1.0, 1.0, 3.0, 3.0], [0.5, 0.5, 1.0, 1.0, 4.0, 4.0]):
+        w = np.array(lam)
+        one = w[::2]
+        for q in (0.5, 3.0, 12.0, 40.0):
+            exact = sum(math.exp(-q / (2 * a)) * math.prod(a / (a - b) for b in one if b != a) for a in one)
+            assert math.isclose(tails.davies(q, w)[0], exact, rel_tol=1e-5, abs_tol=1e-8)
+            assert math.isclose(tails.saddlepoint(q, w), exact, rel_tol=0.08)
+    assert math.isclose(tails.form_sf(6.0, np.array([2.0, 2.0, 2.0])), chi2_sf(3.0, 3), rel_tol=1e-12)
+
+
 def test_skato_uniform_under_null():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(30, 6))
     r = a.T @ a / 30
     root = np.linalg.cholesky(r)
-    ps = np.array([kernels.skato_p(root @ rng.normal(size=6), r, True) for _ in range(60)])
-    assert 0.3 < ps.mean() < 0.66 and (ps < 0.1).mean() < 0.25
+    ps = np.array([kernels.skato_p(root @ rng.normal(size=6), r) for _ in range(200)])
+    assert abs(ps.mean() - 0.5) < 0.08 and abs((ps < 0.1).mean() - 0.1) < 0.06
+
+
+def test_skato_against_simulation():
+    """The least p over the mixing grid, against draws of the same statistic."""
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(40, 4))
+    r = a.T @ a / 40
+    root = np.linalg.cholesky(r)
+
+    def least(z):
+        ps = [kernels.burden_p(float(z.sum() ** 2), float(r.sum()))]
+        for rho in kernels.RHO[:-1]:
+            m = (1 - rho) * np.eye(4) + rho
+            ps.append(tails.form_sf(float(z @ m @ z), np.abs(np.linalg.eigvals(m @ r).real)))
+        return min(ps)
+
+    z = root @ np.array([1.5, 1.0, 0.5, 1.2])
+    draws = np.array([least(root @ rng.normal(size=4)) for _ in range(1500)])
+    assert abs((draws <= least(z)).mean() - kernels.skato_p(z, r)) < 0.03
 
 
-def test_hotelling_equals_t_test():
+def test_hotelling_equals_t_test(spark):
     rng = np.random.default_rng(5)
-    g = rng.integers(0, 3, 80).astype(float)
+    g = rng.integers(0, 3, 80)
     y = (rng.random(80) < 0.5).astype(int)
-    carriers = g > 0
-    stat, _ = kernels.hotelling(g[carriers, None], y[carriers], 80, int(y.sum()), rare=0.0)
-    a, b = g[y == 1], g[y == 0]
-    pooled = ((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / 78
-    assert math.isclose(stat, (a.mean() - b.mean()) ** 2 / (pooled * (1 / len(a) + 1 / len(b))), rel_tol=1e-9)
+    c = cohort_of(spark, g[:, None], y)
+    stat = grouped.hotelling(c, rare=0.0).first().t2
+    one, two = g[y == 1].astype(float), g[y == 0].astype(float)
+    pooled = ((len(one) - 1) * one.var(ddof=1) + (len(two) - 1) * two.var(ddof=1)) / 78
+    assert math.isclose(stat, (one.mean() - two.mean()) ** 2 / (pooled * (1 / len(one) + 1 / len(two))), rel_tol=1e-9)
+
+
+def cohort_of(spark, g, y):
+    samples = spark.createDataFrame([(k, int(v), float(v)) for k, v in enumerate(y)], "sample_id int, y int, trait double")
+    variants = spark.createDataFrame([(v, "g", "t", "SNV", 1.0) for v in range(g.shape[1])], "variant_id int, gene string, transcript string, type string, weight double")
+    calls = [(s, v, int(g[s, v]), False) for s in range(len(y)) for v in range(g.shape[1]) if g[s, v]]
+    return Cohort(samples, variants, spark.createDataFrame(calls, "sample_id int, variant_id int, dosage int, missing boolean"))
+
+
+def test_score_tests_against_dense_matrices(spark):
+    rng = np.random.default_rng(8)
+    g = (rng.random((120, 5)) < 0.15).astype(int)
+    y = (rng.random(120) < 0.4).astype(int)
+    c = cohort_of(spark, g, y)
+    null = grouped.null_model(grouped.design(c.samples))
+    row = grouped.score_tests(c, null).first()
+    p = y.mean()
+    z = g.T @ (y - p)
+    r = p * (1 - p) * (g.T @ g - np.outer(g.sum(axis=0), g.sum(axis=0)) / 120)
+    assert math.isclose(row.skat_q, z @ z, rel_tol=1e-6) and math.isclose(row.burden, z.sum() ** 2 / r.sum(), rel_tol=1e-6)
+    assert math.isclose(row.skat_p, kernels.skat_p(z, r), rel_tol=1e-4) and math.isclose(row.skato_p, kernels.skato_p(z, r), rel_tol=1e-4)
 
 
 def test_vaast_grouping():

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.cohort import from_tables
+from cohortspark.config import AssocConfig
+from cohortspark.plans import association
 from cohortspark.plans import permutation as perm
 from cohortspark.plans import reports as rp
 from cohortspark.plans import resampling as rs
@@ -56,15 +58,18 @@ def test_bootstrap_and_power(cohort):
     assert drawn.where("rep = 1").select("sample_id").distinct().count() < 80
     won = rs.power(cohort, 10, 40, 40, (0.05, 1.0)).collect()
     assert all(r.ratio <= 1 for r in won) and all(r.alpha < 1 or r.successes > 0 for r in won)
-    assert rs.sequential_p(np.ones(100, bool), 0.05)[1] == 10
+    several = rs.permuted_power(cohort, AssocConfig(method="WSS", nperm=10), 3, 40, 40, (0.05, 0.9)).collect()
+    assert {r.alpha for r in several} == {0.05, 0.9} and all(0 <= r.ratio <= 1 and r.bootstraps == 3 for r in several)
+    odds = cohort.samples.select("sample_id", (F.col("cov_cat") + 1.0).alias("odds"))
+    assert all(0 <= r.ratio <= 1 for r in rs.permuted_power(cohort, AssocConfig(method="CALPHA", nperm=12), 2, 30, 30, (0.5,), odds).collect())
     assert all(r.or_ci_low <= r.or_ci_high and 0 < r.p_value <= 1 for r in rs.effect_sizes(cohort, 20).collect() if not math.isnan(r.or_ci_low))
     assert rs.testable(cohort).where("testable").count() > 0
-
-
-def test_simulated(spark):
-    c = rs.simulate(spark, 500, 4, 5)
-    assert c.calls.groupBy("variant_id").agg(F.avg("dosage").alias("d")).where("d < 1").count() == 0
-    assert c.variants.select("gene").distinct().count() <= 4 and sorted(c.calls.collect()) == sorted(rs.simulate(spark, 500, 4, 5).calls.collect())
+    config = AssocConfig(method="CALPHA", nperm=9)
+    best = rs.extreme_statistic(cohort, config)
+    seen = association.statistic(cohort, config)
+    assert best.join(seen.withColumnRenamed("stat", "seen"), ["gene", "transcript"]).where("stat < seen - 1e-6").count() == 0
+    low = seen.select("gene", "transcript", (F.col("stat") - 1e6).alias("stat"))
+    assert rs.testable_by(cohort, config, low.unionByName(low), 0.5).where("testable").count() == seen.count()
 
 
 def test_runs(spark):

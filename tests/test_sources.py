@@ -4,7 +4,9 @@ import gzip
 
 import pytest
 
+from cohortspark.config import AssocConfig
 from cohortspark.operators.filters import flip_calls
+from cohortspark.plans import association
 from cohortspark.plans import statistics as st
 from cohortspark.sources import files
 
@@ -80,5 +82,23 @@ def test_other_kinds(spark, study):
 def test_codec(spark, study, tmp_path):
     hidden = tmp_path / "hidden.matrix"
     hidden.write_bytes(gzip.compress(open(study[0], "rb").read()))
-    (tmp_path / "links").mkdir()
-    assert files.read_matrix(spark, files.with_codec(str(hidden), str(tmp_path / "links"))).count() == 8
+    assert files.read_matrix(spark, files.with_codec(spark, str(hidden))).count() == 8
+    assert files.with_codec(spark, study[0]) == study[0]
+
+
+def test_scan_from_files(spark, study):
+    """Covariates, projection onto the pedigree, whitelist and permutations from files, down to a scan."""
+    matrix, ped, weights, write = study
+    fewer = write("few.ped", "\n".join(open(ped).read().splitlines()[:-1]))
+    assert {r.sample_id for r in files.from_files(spark, [matrix], fewer).calls.collect()} == {"case1", "case2", "control1"}
+    with pytest.raises(ValueError, match="without genotypes"):
+        files.from_files(spark, [matrix], write("more.ped", open(ped).read() + "\nx x 0 0 1 2\n"))
+    covariates = write("c.cov", "case1 1\ncase2 2\ncontrol1 4\ncontrol2 3\n")
+    cohort = files.from_files(spark, [matrix], ped, weights, covariates=covariates, genes=["g"])
+    assert cohort.samples.columns == ["sample_id", "y", "trait", "x"]
+    allowed = files.read_whitelist(spark, write("w.csv", "Variant,WSS\nTYPE:SNV,1\nFUNCTION:nonsynonymous,1\n"))
+    labels = files.read_permutations(spark, write("p.txt", "0101\n1010\n1100\n"))
+    rows = association.scan(cohort, AssocConfig(method="WSS", nperm=3, successes=9), allowed, external=labels).collect()
+    assert {r.transcript for r in rows} == {"t1", "t2"} and all(r.permutations == 3 for r in rows)
+    # The third line is the observed labels: a tie, which counts.
+    assert all(r.successes >= 1 for r in rows)

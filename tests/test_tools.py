@@ -43,3 +43,4 @@ def test_permutation_files(spark, tmp_path):
     p = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0)], "perm_id int, sample_id int, y int")
     files.write_permutations(p, str(tmp_path / "perms"))
     assert sorted(r.labels for r in files.read_permutations(spark, str(tmp_path / "perms")).collect()) == ["01", "10"]
+    assert files.read_permutations(spark, str(tmp_path / "perms"), 2).first().labels == "10"
