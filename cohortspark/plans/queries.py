@@ -816,7 +816,7 @@ def power_ratio(spark: SparkSession, sf: str) -> DataFrame:
     f""", e AS (SELECT gene, transcript, case_carrier + control_carrier AS m, least(case_carrier + control_carrier, cases) AS a, cases, n FROM t22, sizes), g AS (
   SELECT gene, transcript, m, 2 * (a * ln(a / (m * cases / n)) + (m - a) * ln(greatest(m - a, 1) / (m * (n - cases) / n))
     + (cases - a) * ln(greatest(cases - a, 1) / ((n - m) * cases / n)) + (n - cases - m + a) * ln(greatest(n - cases - m + a, 1) / ((n - m) * (n - cases) / n))) AS s FROM e
-), p AS (SELECT *, {chi_tail("s")} AS p FROM g) SELECT gene, transcript, m, round(p, 6) AS best_p, p <= 0.05 AS testable FROM p""",
+), p AS (SELECT *, CASE WHEN s > 300 THEN 0.0 ELSE {chi_tail("s")} END AS p FROM g) SELECT gene, transcript, m, round(p, 6) + 0.0 AS best_p, p <= 0.05 AS testable FROM p""",
 )
 def testable_groups(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rs.testable(from_tables(spark, sf)), "best_p")
