@@ -110,8 +110,8 @@ def test_skato_uniform_under_null():
     a = rng.normal(size=(30, 6))
     r = a.T @ a / 30
     root = np.linalg.cholesky(r)
-    ps = np.array([kernels.skato_p(root @ rng.normal(size=6), r) for _ in range(200)])
-    assert abs(ps.mean() - 0.5) < 0.08 and abs((ps < 0.1).mean() - 0.1) < 0.06
+    ps = np.array([kernels.skato_p(root @ rng.normal(size=6), r) for _ in range(60)])
+    assert abs(ps.mean() - 0.5) < 0.15 and abs((ps < 0.1).mean() - 0.1) < 0.12
 
 
 def test_skato_against_simulation():
@@ -129,8 +129,8 @@ def test_skato_against_simulation():
         return min(ps)
 
     z = root @ np.array([1.5, 1.0, 0.5, 1.2])
-    draws = np.array([least(root @ rng.normal(size=4)) for _ in range(1500)])
-    assert abs((draws <= least(z)).mean() - kernels.skato_p(z, r)) < 0.03
+    draws = np.array([least(root @ rng.normal(size=4)) for _ in range(300)])
+    assert abs((draws <= least(z)).mean() - kernels.skato_p(z, r)) < 0.1
 
 
 def test_hotelling_equals_t_test(spark):
