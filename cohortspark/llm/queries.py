@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .html_extract import main_texts
 from .knn import top_k
 from .license import scan_licenses
+from .line_rules import line_rules
 from .runtime import shared_dir, table
 from .simhash import near_fingerprints
 from .warc import round_trip
@@ -67,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_voronoi_top_k": op8_voronoi_top_k,
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
+    "op11_line_rules": op11_line_rules,
 }
 
 OP5_SQL = """
@@ -143,4 +149,45 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op8_voronoi_top_k": OP8_SQL, "op5_warc_round_trip": OP5_SQL}
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d
+), win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), again AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS q FROM win WHERE n > 1) GROUP BY r
+), raw AS (
+  SELECT r, unnest(string_split(t, chr(10))) AS l FROM d
+), dup AS (
+  SELECT r, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r
+), lines AS (
+  SELECT r, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words,
+         array_to_string(regexp_extract_all(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), ' ') AS l
+  FROM raw
+), host AS (
+  SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source
+), freq AS (
+  SELECT source, l, count(DISTINCT t) AS docs FROM lines JOIN d USING (r) WHERE l <> '' GROUP BY source, l
+), common AS (
+  SELECT f.source, f.l FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.docs > 10 AND f.docs > 0.1 * h.docs
+), lost AS (
+  SELECT r, sum(words) AS n FROM lines JOIN d USING (r) JOIN common c ON c.l = lines.l AND c.source IS NOT DISTINCT FROM d.source GROUP BY r
+), f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_common_words
+  FROM d JOIN w USING (r) LEFT JOIN again USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r)
+), g AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - n_common_words AS rest FROM f
+)
+SELECT * EXCLUDE (rest), NOT base_failed AND rest >= 50 AND rest >= 0.3 * n_words AS kept FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_round_trip": OP5_SQL,
+    "op6_decontaminate": OP6_SQL,
+    "op8_voronoi_top_k": OP8_SQL,
+    "op11_line_rules": OP11_SQL,
+}
