@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, quality, toxicity
+from . import hmm, merkle, quality, toxicity
 from .bpe import encode_digests
 from .decontaminate import find_leaks
 from .html_extract import main_texts
@@ -16,6 +16,7 @@ from .line_rules import line_rules
 from .runtime import shared_dir, table
 from .simhash import near_fingerprints
 from .warc import round_trip
+from .whiten import whiten
 
 
 def word_bpe() -> str:
@@ -72,6 +73,14 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
@@ -84,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_license_scan": op10_license_scan,
     "op11_line_rules": op11_line_rules,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP5_SQL = """
@@ -185,9 +196,62 @@ WITH d AS (
 SELECT * EXCLUDE (rest), NOT base_failed AND rest >= 50 AND rest >= 0.3 * n_words AS kept FROM g
 """
 
+
+
+def tree_sql(kind: str, levels: int) -> str:
+    """Levels of trees {kind}0 (tree, i, h), and what leaves {kind}c0 (r, tree, i, seen, proof) lead to, run by run."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{kind}m{k} AS (
+  SELECT *, count(*) OVER (PARTITION BY tree) > 1 AS many FROM {kind}{k}
+), {kind}{k + 1} AS (
+  SELECT tree, i // 8 AS i, CASE WHEN bool_or(many) THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {kind}m{k} GROUP BY tree, i // 8
+), {kind}c{k + 1} AS (
+  SELECT c.r, c.tree, c.i // 8 AS i,
+         CASE WHEN bool_or(many) THEN sha256(string_agg(CASE WHEN n.i = c.i THEN c.seen ELSE n.h END, '' ORDER BY n.i)) ELSE any_value(c.seen) END AS seen,
+         any_value(c.proof) || coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (WHERE n.i <> c.i), '') AS proof
+  FROM {kind}c{k} c JOIN {kind}m{k} n ON n.tree = c.tree AND n.i // 8 = c.i // 8 GROUP BY c.r, c.tree, c.i
+)""")
+    return ", ".join(out)
+
+
+def encoded_sql(column: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(encoded_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+CRC_SQL = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR k IN range(8)]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce('=' || lang, '-') AS tree, doc_id, {leaf_sql("text")} AS leaf,
+         CASE WHEN {CRC_SQL} % 3 = 0 THEN {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {leaf_sql("text")} END AS seen
+  FROM documents
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), l0 AS (
+  SELECT tree, i, leaf AS h FROM n
+), lc0 AS (
+  SELECT r, tree, i, seen, '' AS proof FROM n
+), {tree_sql("l", 7)}, s AS (
+  SELECT tree AS lang, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM l7
+), u0 AS (
+  SELECT '' AS tree, i, h FROM s
+), uc0 AS (
+  SELECT c.r, '' AS tree, s.i, c.seen, c.proof FROM lc7 c JOIN s ON s.lang = c.tree
+), {tree_sql("u", 3)}
+SELECT d.doc_id, d.leaf, s.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.seen AS folded_root, c.seen = t.h AS verified
+FROM d JOIN uc3 c USING (r) JOIN s ON s.lang = d.tree CROSS JOIN u3 t
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_warc_round_trip": OP5_SQL,
     "op6_decontaminate": OP6_SQL,
     "op8_voronoi_top_k": OP8_SQL,
     "op11_line_rules": OP11_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
