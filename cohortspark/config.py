@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Names of the methods.
+# Names of the methods and of the ways to fit a null model.
 METHODS = ("BURDEN", "CALPHA", "CMC", "CMC1df", "VT", "WSS", "RVT1", "RVT2", "SKAT", "SKATO", "VAAST", "SKATC")
+OPTIMIZERS = ("irls", "irls_svdnewton", "irls_qr", "irls_qr_R", "gradient_descent")
 QUANTITATIVE = frozenset({"BURDEN", "RVT1", "RVT2", "SKAT", "SKATO", "SKATC", "VT"})
 #: Methods that report a p-value even when permuting: a hit is a permuted value that is as small.
 ALWAYS_P = frozenset({"RVT1", "RVT2", "SKATO", "SKATC"})
@@ -26,6 +27,7 @@ class AssocConfig:
     max_levels: int = 100
     bin_epsilon: float = 1e-4
     seed: int = 1
+    optimizer: str = "irls"  # of the null model
     whole_gene: bool = False
     impute: str | None = None
     var_collapsing: int | None = None
@@ -51,6 +53,8 @@ class AssocConfig:
             raise ValueError(f"unknown method {self.method!r}; known: {', '.join(METHODS)}")
         if self.qtl and self.method not in QUANTITATIVE:
             raise ValueError(f"{self.method} takes no quantitative trait")
+        if self.optimizer not in OPTIMIZERS:
+            raise ValueError(f"unknown optimizer {self.optimizer!r}; known: {', '.join(OPTIMIZERS)}")
         if self.grouping not in ("pooled", "by_type"):
             raise ValueError("grouping is 'pooled' or 'by_type'")
         if self.impute not in (None, "af", "dosage"):

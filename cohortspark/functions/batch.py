@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..config import AssocConfig
-from . import kernels
 
 COUNTED = ("CALPHA", "WSS", "VT", "CMC", "CMC1df", "RVT2", "BURDEN", "SKAT", "VAAST")  # methods that need no more than counts
 
@@ -124,10 +123,9 @@ def skat(g: GroupCounts) -> np.ndarray:
     return (g.scores**2).sum(axis=0)
 
 
-def site_likelihood(g: GroupCounts, cap: float) -> np.ndarray:
-    """Log likelihood ratio of separate allele frequencies, the controls' capped, against a common one; 0 without case alleles."""
-    na, nb = 2.0 * g.cases, 2.0 * (g.n - g.cases)
-    a, b = g.a, g.ac[:, None] - g.a
+def allele_ratio(a: np.ndarray, b: np.ndarray, na: float | np.ndarray, nb: float | np.ndarray, cap: float) -> np.ndarray:
+    """Log likelihood ratio of separate frequencies of a among na and b among nb, the second capped, against a common one; 0
+    where a is 0."""
 
     def part(alt: np.ndarray, ref: np.ndarray, f: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -137,6 +135,11 @@ def site_likelihood(g: GroupCounts, cap: float) -> np.ndarray:
     return np.where(a == 0, 0.0, part(b, nb - b, np.minimum(b / nb, cap)) + part(a, na - a, a / na) - part(a, na - a, f) - part(b, nb - b, f))
 
 
+def site_likelihood(g: GroupCounts, cap: float) -> np.ndarray:
+    """The ratio of case and control alleles at each site."""
+    return allele_ratio(g.a, g.ac[:, None] - g.a, 2.0 * g.cases, 2.0 * (g.n - g.cases), cap)
+
+
 def site_scores(g: GroupCounts, cap: float) -> np.ndarray:
     """Site scores after weight and floor."""
     w = g.weight[:, None]
@@ -151,16 +154,59 @@ def vaast(g: GroupCounts, penalty: float, cap: float) -> np.ndarray:
     return np.where(floored > penalty, floored - penalty, 0.0).sum(axis=0)
 
 
+MERGED = 5  # sites in a sub-group; the last one takes what is left, up to nine
+
+
+def merged_sum(a: np.ndarray, c: np.ndarray, weight: np.ndarray, keys: list[str], score: np.ndarray, na: float, nb: float, limit: float, cap: float, penalty: float) -> np.ndarray:
+    """What scores exceed the penalty by, after rare sites are merged greedily in sub-groups, the best first, in all
+    permutations side by side; a, c: case and control alleles, sites x permutations."""
+    n, width = score.shape
+    back = np.empty(n, np.int64)
+    back[sorted(range(n), key=lambda k: keys[k], reverse=True)] = np.arange(n)
+    wide = lambda v: np.broadcast_to(v[:, None], score.shape)
+    order = np.lexsort((wide(back), -score, wide(-weight)), axis=0)
+    of = lambda m: np.take_along_axis(m, order, axis=0)
+    beyond = lambda s: np.where(s > penalty, s - penalty, 0.0)
+    merging = (of(a) <= limit) & (of(score) > 0)
+    out = np.where(merging, 0.0, beyond(of(score))).sum(axis=0)
+    count = merging.sum(axis=0)
+    if not count.any():
+        return out
+    groups = np.maximum(count // MERGED, 1)
+    place = np.cumsum(merging, axis=0) - 1
+    group = np.minimum(place // MERGED, groups - 1)
+    site, perm = np.nonzero(merging)
+    member = np.full((groups.max(), 2 * MERGED - 1, width), -1)
+    member[group[site, perm], (place - MERGED * group)[site, perm], perm] = order[site, perm]
+    perms = np.arange(width)
+    pick = lambda m, at: np.where(at >= 0, m[at, perms], 0.0)
+    member = np.take_along_axis(member, np.argsort(np.where(member >= 0, score[member, perms], -np.inf), axis=1, kind="stable"), axis=1)
+    top = member[:, -1]
+    alleles, others, w, best, sites = pick(a, top), pick(c, top), np.where(top >= 0, weight[top], 1.0), pick(score, top), np.ones(top.shape)
+    for k in range(member.shape[1] - 2, -1, -1):
+        at = member[:, k]
+        if not (at >= 0).any():
+            break
+        more_a, more_c, more_w = alleles + pick(a, at), others + pick(c, at), w * weight[at]
+        all_a, all_c = (sites + 1) * na, (sites + 1) * nb
+        with np.errstate(divide="ignore", invalid="ignore"):
+            more = np.maximum(2 * (allele_ratio(more_a, more_c, all_a, all_c, cap) + np.log(np.maximum(more_w, 0))), 0.0)
+        more = np.where((more_a == 0) | ((all_a - more_a) * more_c > (all_c - more_c) * more_a) | (more_w <= 0), 0.0, more)
+        wins = (at >= 0) & (more > best)
+        out += np.where((at >= 0) & ~wins, beyond(pick(score, at)), 0.0).sum(axis=0)
+        changes = (more_a, alleles), (more_c, others), (more_w, w), (more, best), (sites + 1, sites)
+        alleles, others, w, best, sites = (np.where(wins, new, old) for new, old in changes)
+    return out + beyond(best).sum(axis=0)
+
+
 def vaast_grouped(g: GroupCounts, limit: float, cap: float, penalty: float, by_type: bool) -> np.ndarray:
-    """Scores after merging rare sites, one permutation after the other; site scores come for the whole block."""
+    """Scores after merging rare sites, among all or among those of a type."""
     na, nb = 2.0 * g.cases, 2.0 * (g.n - g.cases)
     b = g.ac[:, None] - g.a
     score = np.where((na - g.a) * b > (nb - b) * g.a, 0.0, site_scores(g, cap))
-    out = np.empty(g.a.shape[1])
-    for k in range(len(out)):
-        counts = np.column_stack((g.a[:, k], na - g.a[:, k], b[:, k], nb - b[:, k]))
-        out[k] = kernels.vaast_grouped(counts, g.weight, g.types, g.keys, limit, cap, penalty, by_type, score[:, k])
-    return out
+    types = np.array(g.types)
+    sets = [np.flatnonzero(types == t) for t in sorted(set(g.types))] if by_type else [np.arange(len(types))]
+    return sum(merged_sum(g.a[at], b[at], g.weight[at], [g.keys[k] for k in at], score[at], na, nb, limit, cap, penalty) for at in sets)
 
 
 def stat_of(g: GroupCounts, config: AssocConfig) -> np.ndarray:

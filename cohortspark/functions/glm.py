@@ -1,4 +1,10 @@
-"""Generalized linear models on small or weighted designs, and a distributed fit for all samples."""
+"""Generalized linear models fitted over all samples by passes of Spark.
+
+The rows of a design never meet: a pass sums k x k tables, or reduces the triangular factors of the tasks' rows to one
+(`triangle`: tall-skinny QR).  Dependent columns are found on the factor of the whole design, where sums of squares would
+hide them; they are left out, and the rank counts for residual degrees.  A logistic fit that runs away, as under separation, is
+made once more with Cauchy priors.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import OPTIMIZERS
+
 EPS = 1e-10
 
 
@@ -66,12 +74,22 @@ def family(name: str = "binomial", link: str | None = None) -> Family:
     return Family(name, *links[name, link or {"binomial": "logit", "gaussian": "identity"}[name]])
 
 
+FAN_IN = 32  # triangles that a task reduces to one
+
+
 @dataclass
 class Fit:
+    """Coefficients (0 for columns left out), the columns kept, deviance, and whether the passes settled without priors."""
+
     beta: np.ndarray
-    mu: np.ndarray
+    keep: np.ndarray
     deviance: float
-    rounds: int
+    settled: bool
+    passes: int
+
+    @property
+    def rank(self) -> int:
+        return len(self.keep)
 
 
 def independent(x: np.ndarray, tol: float = 1e-9) -> np.ndarray:
@@ -82,134 +100,157 @@ def independent(x: np.ndarray, tol: float = 1e-9) -> np.ndarray:
         rest = x[:, k] - basis @ (basis.T @ x[:, k])
         rest -= basis @ (basis.T @ rest)
         size = np.linalg.norm(rest)
-        if size > tol * max(1.0, np.linalg.norm(x[:, k])):
+        if size > tol * np.linalg.norm(x[:, k]):
             keep.append(k)
             basis = np.column_stack((basis, rest / size))
     return np.array(keep, int)
 
 
-def solver(kind: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Least squares of scaled rows: by normal equations, QR or singular values."""
+Rows = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def parts(samples: DataFrame, x: str, y: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray | None], np.ndarray]) -> DataFrame:
+    """(part, cells): what work makes of a task's rows, batch by batch on top of what it made so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = None
+        for batch in batches:
+            if batch.num_rows:
+                wide = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                made = work(wide, batch.column("y").to_numpy(zero_copy_only=False), made)
+        if made is not None:
+            yield pa.RecordBatch.from_arrays([batch.column("part").slice(0, 1) if batch.num_rows else pa.array([0]), pa.array([made.tobytes()], pa.binary())], names=["part", "cells"])
+
+    source = samples.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.spark_partition_id().cast("long").alias("part"))
+    return source.mapInArrow(run, "part long, cells binary")
+
+
+def reduced(rows: DataFrame, join: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray | None:
+    """Cells of all parts joined to one, by a level of groups in tasks and the rest of at most FAN_IN here."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return pa.table({"cells": pa.array([join([np.frombuffer(c) for c in group.column("cells").to_pylist()]).tobytes()], pa.binary())})
+
+    found = rows.groupBy(F.pmod("part", F.lit(FAN_IN)).alias("lot")).applyInArrow(run, "cells binary").collect()
+    return join([np.frombuffer(r.cells) for r in found]) if found else None
+
+
+def triangle(samples: DataFrame, x: str, y: str, scaled: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The triangular factor of the matrix scaled(x, y) over all rows."""
+
+    def of(rows: np.ndarray) -> np.ndarray:
+        r = np.linalg.qr(rows, mode="r")
+        return np.vstack((r, np.zeros((rows.shape[1] - len(r), rows.shape[1])))) if len(r) < rows.shape[1] else r
+
+    def work(wide: np.ndarray, target: np.ndarray, made: np.ndarray | None) -> np.ndarray:
+        rows = scaled(wide, target)
+        return of(rows if made is None else np.vstack((made, rows)))
+
+    def join(cells: list[np.ndarray]) -> np.ndarray:
+        width = math.isqrt(len(cells[0]))
+        return of(np.vstack([c.reshape(width, width) for c in cells])).ravel()
+
+    cells = reduced(parts(samples, x, y, work), join)
+    return np.zeros((0, 0)) if cells is None else cells.reshape(math.isqrt(len(cells)), -1)
+
 
-    def normal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.linalg.lstsq(a.T @ a, a.T @ b, rcond=None)[0]
+def sums(samples: DataFrame, x: str, y: str, part: Rows) -> np.ndarray:
+    """The sum of part(x, y) over all rows."""
+    cells = reduced(parts(samples, x, y, lambda wide, target, made: part(wide, target) + (0 if made is None else made)), lambda c: np.sum(c, axis=0))
+    return np.zeros(0) if cells is None else cells
 
-    def qr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        q, r = np.linalg.qr(a)
-        return np.linalg.solve(r, q.T @ b)
 
-    def svd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        u, s, v = np.linalg.svd(a, full_matrices=False)
-        return v.T @ np.where(s > s.max() * 1e-12, (u.T @ b) / np.maximum(s, 1e-300), 0)
+def working(fam: Family, eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, working response, deviance) at a linear predictor."""
+    mu, slope = fam.inverse(eta), fam.slope(eta)
+    return slope**2 / np.maximum(fam.variance(mu), EPS), eta + (y - mu) / slope, fam.deviance(y, mu, np.ones(len(y)))
 
-    return {"irls": normal, "irls_qr": qr, "irls_svd": svd}[kind]
 
+def distributed_fit(samples: DataFrame, y: str, x: str, kind: str = "binomial", optimizer: str = "irls", rounds: int = 25, tol: float = 1e-8, priors: bool = True) -> Fit:
+    """Fit y on the columns of the array x.
 
-def fit(x: np.ndarray, y: np.ndarray, fam: Family | None = None, w: np.ndarray | None = None, optimizer: str = "irls", rounds: int = 25, tol: float = 1e-8) -> Fit:
-    """Iteratively reweighted least squares with step halving, or adaptive gradient descent; w are row counts."""
-    fam = fam or family()
-    w = np.ones(len(y)) if w is None else w
-    keep = independent(x * np.sqrt(w)[:, None])
-    a = x[:, keep]
-    if optimizer == "gradient":
-        beta = descend(a, y, fam, w)
-        mu, done = fam.inverse(a @ beta), rounds
+    irls: normal equations of the columns as they are.  irls_qr and irls_svdnewton: in coordinates of an orthogonal basis
+    of the design, from its triangular factor or that factor's singular vectors.  irls_qr_R: a triangular factor of the
+    weighted rows in every round.  gradient_descent: steps along the gradient in the orthogonal basis.
+    """
+    if optimizer not in OPTIMIZERS:
+        raise ValueError(f"optimizer is one of {', '.join(OPTIMIZERS)}")
+    fam = family(kind)
+    whole = triangle(samples, x, y, lambda wide, target: wide)
+    width = whole.shape[1]
+    keep = independent(whole)
+    r = np.linalg.qr(whole[:, keep], mode="r") if len(keep) else np.zeros((0, 0))
+    if optimizer == "irls":
+        basis = np.eye(len(keep))
+    elif optimizer == "irls_svdnewton":
+        _, s, v = np.linalg.svd(r)
+        basis = v.T / s
     else:
-        solve = solver(optimizer)
-        mu = fam.start(y)
-        eta = fam.link(mu)
-        beta, before, done = np.zeros(a.shape[1]), fam.deviance(y, mu, w), 0
-        for done in range(1, rounds + 1):  # noqa: B007
-            slope = fam.slope(eta)
-            root = np.sqrt(w * slope**2 / np.maximum(fam.variance(mu), EPS))
-            step = solve(a * root[:, None], (eta + (y - mu) / slope) * root)
-            for _ in range(30):
-                eta = a @ step
-                mu = fam.inverse(eta)
-                now = fam.deviance(y, mu, w)
-                if math.isfinite(now):
-                    break
-                step = (step + beta) / 2
-            beta = step
-            if abs(now - before) / (abs(now) + 0.1) < tol:
-                break
-            before = now
-    full = np.full(x.shape[1], np.nan)
-    full[keep] = beta
-    return Fit(full, mu, fam.deviance(y, mu, w), done)
-
-
-def descend(x: np.ndarray, y: np.ndarray, fam: Family, w: np.ndarray, rate: float = 0.9, rounds: int = 25_000, tol: float = 1e-8) -> np.ndarray:
-    """Gradient descent whose step for each coefficient shrinks with its gradients so far."""
-    beta, seen, before = np.zeros(x.shape[1]), np.zeros(x.shape[1]), math.inf
-    for _ in range(rounds):
-        eta = x @ beta
-        mu = fam.inverse(eta)
-        grad = -x.T @ (w * (y - mu) * fam.slope(eta) / np.maximum(fam.variance(mu), EPS)) / w.sum()
-        seen += grad**2
-        beta -= rate * grad / np.sqrt(seen + EPS)
-        now = fam.deviance(y, mu, w)
-        if abs(before - now) < tol * (abs(now) + 0.1) * 1e-2:
-            break
-        before = now
-    return beta
-
-
-def fit_bayes(x: np.ndarray, y: np.ndarray, scale: float = 2.5, intercept_scale: float = 10.0, rounds: int = 100) -> np.ndarray:
-    """Logistic regression with independent Cauchy priors: rows of prior information join each weighted fit."""
-    p = x.shape[1]
-    spread = np.array([intercept_scale if np.ptp(x[:, k]) == 0 else scale / (2 * x[:, k].std() if len(np.unique(x[:, k])) > 2 else np.ptp(x[:, k])) for k in range(p)])
-    beta, sigma = np.zeros(p), spread.copy()
-    for _ in range(rounds):
-        eta = x @ beta
-        mu = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
-        v = np.maximum(mu * (1 - mu), EPS)
-        a = np.vstack((x * np.sqrt(v)[:, None], np.diag(1 / sigma)))
-        b = np.concatenate(((eta + (y - mu) / v) * np.sqrt(v), np.zeros(p)))
-        new = np.linalg.lstsq(a, b, rcond=None)[0]
-        spread_of = np.linalg.inv(a.T @ a).diagonal()
-        sigma = np.sqrt((new**2 + spread_of + spread**2) / 2)  # expectation of the scale of a t with one degree
-        if np.abs(new - beta).max() < 1e-8:
-            return new
-        beta = new
-    return beta
-
-
-def dichotomized_odds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Odds of a quantitative trait without cutting it in two: the linear predictor on the logistic scale."""
-    f = fit(x, y, family("gaussian"))
-    scale = math.pi / math.sqrt(3)
-    p = 1 / (1 + np.exp(-scale * f.mu / math.sqrt(max(f.deviance, EPS))))
-    return p / (1 - p)
-
-
-def distributed_fit(samples: DataFrame, y: str, x: str, kind: str = "binomial", rounds: int = 25, tol: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Coefficients and deviance over all rows of samples (x is an array column): each round sums k x k tables by task."""
-    fam, beta, before = family(kind), None, math.inf
-    for _ in range(rounds):
-        now = beta
-
-        def sums(frames: Iterator[pd.DataFrame], now: np.ndarray | None = now) -> Iterator[pd.DataFrame]:
-            total = None
-            for frame in frames:
-                if not len(frame):
-                    continue
-                a, t = np.array(frame["x"].tolist(), float), frame["y"].to_numpy(float)
-                mu = fam.start(t) if now is None else fam.inverse(a @ now)
-                eta = fam.link(mu) if now is None else a @ now
-                slope = fam.slope(eta)
-                w = slope**2 / np.maximum(fam.variance(mu), EPS)
-                part = np.concatenate(((a.T @ (a * w[:, None])).ravel(), a.T @ (w * (eta + (t - mu) / slope)), [fam.deviance(t, mu, np.ones(len(t)))]))
-                total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
-
-        rows = samples.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).mapInPandas(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
-        v = np.array([r.v for r in rows])
-        k = int((math.sqrt(4 * len(v) - 3) - 1) / 2)
-        deviance = float(v[-1])
-        if beta is not None and abs(deviance - before) / (abs(deviance) + 0.1) < tol:
-            return beta, deviance
-        before = deviance if beta is not None else math.inf
-        beta = np.linalg.lstsq(v[: k * k].reshape(k, k), v[k * k : -1], rcond=None)[0]
-    return beta, before
+        basis = np.linalg.inv(r)
+    start = np.zeros(len(keep))
+
+    def equations(now: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Information and right side in the basis, and the deviance."""
+
+        def part(wide: np.ndarray, target: np.ndarray) -> np.ndarray:
+            a = wide[:, keep] @ basis
+            w, z, loss = working(fam, a @ now, target)
+            return np.concatenate(((a.T @ (a * w[:, None])).ravel(), a.T @ (w * z), [loss]))
+
+        cells, k = sums(samples, x, y, part), len(keep)
+        return cells[: k * k].reshape(k, k), cells[k * k : -1], float(cells[-1])
+
+    def weighted(now: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The same from the triangular factor of the weighted rows and response: its own blocks, without squares."""
+
+        def scaled(wide: np.ndarray, target: np.ndarray) -> np.ndarray:
+            a = wide[:, keep] @ basis
+            w, z, loss = working(fam, a @ now, target)
+            root = np.sqrt(w)[:, None]
+            rows = np.hstack((a * root, z[:, None] * root, np.zeros((len(a), 1))))
+            return np.vstack((rows, [*np.zeros(rows.shape[1] - 1), math.sqrt(loss)]))
+
+        t = triangle(samples, x, y, scaled)
+        k = len(keep)
+        return t[:k, :k], t[:k, k], float((t[:, -1] ** 2).sum())
+
+    def newton(now: np.ndarray, prior: bool) -> tuple[np.ndarray, float, bool, int]:
+        """Rounds of weighted least squares; a step that leaves the finite numbers is halved.  prior: with rows of information."""
+        scale = np.full(len(now), 2.5)
+        scale[:1] = 10.0
+        sigma, before, last = scale.copy(), math.inf, now
+        for done in range(1, rounds + 1):
+            left, right, loss = weighted(now) if optimizer == "irls_qr_R" and not prior else equations(now)
+            halved = 0
+            while not (math.isfinite(loss) and np.isfinite(left).all()) and halved < rounds:
+                now, halved = (now + last) / 2, halved + 1
+                left, right, loss = equations(now)
+            if prior:
+                extra = basis.T @ np.diag(1 / sigma**2) @ basis
+                left = left + extra
+            if abs(loss - before) <= tol * (abs(loss) + 0.1):
+                return now, loss, True, done
+            last, before = now, loss
+            if optimizer == "gradient_descent" and not prior:
+                # In an orthonormal basis weights of at most w bound the curvature: a step of 1 / w never overshoots.
+                now = now + (right - left @ now) / (0.25 if kind == "binomial" else 1.0)
+            else:
+                now = np.linalg.solve(left, right) if optimizer == "irls_qr_R" and not prior else np.linalg.lstsq(left, right, rcond=None)[0]
+            if prior:
+                spread = np.diag(basis @ np.linalg.pinv(left, hermitian=True) @ basis.T)
+                sigma = np.sqrt(((basis @ now) ** 2 + spread + scale**2) / 2)
+        return now, before, False, rounds
+
+    if optimizer == "gradient_descent":
+        rounds, tol = 20 * rounds, 1e-4 * tol  # small steps settle slowly
+    if not len(keep):
+        loss = float(sums(samples, x, y, lambda wide, target: np.array([working(fam, np.zeros(len(target)), target)[2]])).sum())
+        return Fit(np.zeros(width), keep, loss, True, 1)
+    now, loss, settled, done = newton(start, False)
+    rows = max(1.0, float(sums(samples, x, y, lambda wide, target: np.array([float(len(target))]))[0]))
+    if priors and kind == "binomial" and not (settled and np.isfinite(now).all() and loss > 1e-6 * rows):
+        now, loss, _, more = newton(start, True)
+        settled, done = False, done + more
+    beta = np.zeros(width)
+    beta[keep] = basis @ now
+    return Fit(beta, keep, loss, settled, done)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -29,14 +30,54 @@ def cauchy_p(values: list[float]) -> float:
     return 0.5 - math.atan(t) / math.pi
 
 
-def skato_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> float:
-    """Optimal combination of burden and variance-component tests over a grid of mixing weights."""
+SIDES = np.polynomial.legendre.leggauss(7), np.polynomial.legendre.leggauss(15)
+DEPTH, PIECES = 15, 256
+
+
+def adaptive(f: Callable[[np.ndarray], np.ndarray], edges: np.ndarray, least: float, tol: float = 1e-9) -> tuple[float, float]:
+    """(integral, error) of f over the pieces between edges: two Gauss rules on each, pieces halved where they differ by more
+    than tol of the integral, or of `least` if that is more."""
+    low, high, total, error = edges[:-1], edges[1:], 0.0, 0.0
+    for depth in range(DEPTH + 1):
+        half, mid = (high - low) / 2, (high + low) / 2
+        at = [mid[:, None] + half[:, None] * nodes for nodes, _ in SIDES]
+        values = f(np.concatenate([a.ravel() for a in at]))
+        cut = at[0].size
+        rough, fine = (half * (v.reshape(a.shape) @ weights) for v, a, (_, weights) in zip((values[:cut], values[cut:]), at, SIDES, strict=True))
+        off = np.abs(fine - rough)
+        enough = tol * max(least, abs(total + float(fine.sum())))
+        done = (off <= enough / max(len(off), 8)) | (depth == DEPTH) | (len(off) > PIECES)
+        total, error = total + float(fine[done].sum()), error + float(off[done].sum())
+        if done.all():
+            break
+        low, high = np.concatenate((low[~done], mid[~done])), np.concatenate((mid[~done], high[~done]))
+    return total, error
+
+
+def lower_edges(offset: np.ndarray, slope: np.ndarray, top: float) -> np.ndarray:
+    """Where the least of the lines offset + slope * v has a kink or meets zero, for v in (0, top)."""
+    cuts = []
+    for i in range(len(offset)):
+        for j in range(i):
+            if slope[i] != slope[j]:
+                cuts.append((offset[j] - offset[i]) / (slope[i] - slope[j]))
+        if slope[i]:
+            cuts.append(-offset[i] / slope[i])
+    inside = np.array(sorted({v for v in cuts if 0 < v < top}))
+    least = lambda v: (offset + slope * v).min()
+    # A kink is where the least line is below the chord around it.
+    kept = [v for v in inside if abs(least(v)) < 1e-9 * np.abs(offset).max() or np.ptp([x for x, y in zip(slope, offset + slope * v, strict=True) if y <= least(v) + 1e-9 * np.abs(offset).max()]) > 0]
+    return np.array(kept)
+
+
+def skato(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> tuple[float, float]:
+    """(p, error of the integral): optimal combination of burden and variance-component tests over a grid of mixing weights."""
     n = len(z)
     rows = r.sum(axis=1)
     total = float(rows.sum())
     q_skat, q_burden = float(z @ z), float(z.sum() ** 2)
     if n == 1:
-        return burden_p(q_burden, total)
+        return burden_p(q_burden, total), 0.0
     ps, spectra = [], []
     for rho in RHO:
         if rho == 1.0:
@@ -45,38 +86,38 @@ def skato_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> floa
         # Square root of the mixing matrix on either side of r: a rank-one change of the identity.
         root = math.sqrt(1 - rho)
         lift = (math.sqrt(1 - rho + n * rho) - root) / n
-        mixer = root * np.eye(n) + lift
-        spectrum = np.maximum(np.linalg.eigvalsh(mixer @ r @ mixer), 1e-20)
+        # (root I + lift J) r (root I + lift J), with J r = the rows' sums on every line.
+        mixed = root * root * r + root * lift * (rows[:, None] + rows[None, :]) + lift * lift * total
+        spectrum = np.maximum(np.linalg.eigvalsh(mixed), 1e-20)
         spectra.append(spectrum)
         ps.append(form_sf((1 - rho) * q_skat + rho * q_burden, spectrum, use_saddlepoint))
     best = min(ps)
     bound = min(1.0, best * len(RHO))
-    quantiles = [liu_quantile(best, s) for s in spectra]
+    quantiles = np.array([liu_quantile(best, s) for s in spectra])
     lam = np.abs(np.linalg.eigvalsh(r - np.outer(rows, rows) / total))
     r2, r3 = float(rows @ rows), float(rows @ r @ rows)
-    tau = [(1 - rho) * r2 / total + rho * total for rho in RHO[:-1]]
+    grid = np.array(RHO[:-1])
+    tau = (1 - grid) * r2 / total + grid * total
     mean, var = float(lam.sum()), float(2 * (lam**2).sum())
     shrink = math.sqrt(var) / math.sqrt(var + 4 * (r3 / total - (r2 / total) ** 2))
     top = chi2_isf(best, 1)
     if not math.isfinite(top) or top <= 0:
-        return max(SMALLEST, bound)
+        return max(SMALLEST, bound), 0.0
+    # The tail's argument: the least of lines in the square of the burden's normal variable.
+    offset, slope = (quantiles / (1 - grid) - mean) * shrink + mean, -tau / (1 - grid) * shrink
 
     def inner(u: np.ndarray) -> np.ndarray:
-        x = np.min([(q - t * u * u) / (1 - rho) for q, t, rho in zip(quantiles, tau, RHO, strict=False)], axis=0)
-        return form_sf_all((x - mean) * shrink + mean, lam, use_saddlepoint) * math.sqrt(2 / math.pi) * np.exp(-0.5 * u * u)
-
-    # Gauss-Legendre panels, doubled until the integral settles; the integrand has kinks, where the least quantile changes.
-    nodes, weights = np.polynomial.legendre.leggauss(16)
-    edge, before, panels = math.sqrt(top), math.inf, 1
-    while True:
-        ends = np.linspace(0, edge, panels + 1)
-        half = np.diff(ends)[:, None] / 2
-        now = float((half * weights * inner((ends[:-1, None] + half * (nodes + 1)).ravel()).reshape(panels, -1)).sum())
-        if abs(now - before) <= 1e-6 * (abs(now) + best) or panels >= 64:
-            break
-        before, panels = now, panels * 2
-    p = best + now
-    return max(SMALLEST, bound if not math.isfinite(p) or p <= 0 else min(p, bound))
+        x = (offset[:, None] + slope[:, None] * u * u).min(axis=0)
+        return form_sf_all(x, lam, use_saddlepoint) * math.sqrt(2 / math.pi) * np.exp(-0.5 * u * u)
+
+    edges = np.sqrt(np.concatenate(([0.0], lower_edges(offset, slope, top), [top])))
+    integral, error = adaptive(inner, edges, best)
+    p = best + integral
+    return max(SMALLEST, bound if not math.isfinite(p) or p <= 0 else min(p, bound)), error
+
+
+def skato_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> float:
+    return skato(z, r, use_saddlepoint)[0]
 
 
 def site_score(counts: np.ndarray, weight: float, cap: float) -> float:

@@ -36,6 +36,7 @@ class Null:
     s2: float
     deviance: float
     beta: np.ndarray
+    rank: int  # of the design
 
 
 def design(samples: DataFrame, numeric: tuple[str, ...] = (), categorical: tuple[str, ...] = (), max_levels: int = 100) -> DataFrame:
@@ -49,18 +50,19 @@ def design(samples: DataFrame, numeric: tuple[str, ...] = (), categorical: tuple
     return samples.withColumn("x", F.array(*parts))
 
 
-def null_model(samples: DataFrame, quantitative: bool = False) -> Null:
-    """Fit status (or trait) on x over all samples."""
+def null_model(samples: DataFrame, quantitative: bool = False, optimizer: str = "irls") -> Null:
+    """Fit status (or trait) on x over all samples; dependent columns are left out, and residual degrees follow the rank."""
     y, kind = ("trait", "gaussian") if quantitative else ("y", "binomial")
-    beta, deviance = distributed_fit(samples, y, "x", kind)
+    fit = distributed_fit(samples, y, "x", kind, optimizer)
+    beta, deviance = fit.beta, fit.deviance
     eta = F.aggregate(F.zip_with("x", F.array(*map(F.lit, map(float, beta))), lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    mu = eta if quantitative else 1 / (1 + F.exp(-eta))
-    out = samples.withColumn("mu", mu).withColumn("u0", F.col(y) - F.col("mu")).withColumn("v", F.lit(1.0) if quantitative else F.col("mu") * (1 - F.col("mu")))
+    mu = eta if quantitative else 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(30.0)), F.lit(-30.0))))
+    out = samples.withColumn("eta", eta).withColumn("mu", mu).withColumn("u0", F.col(y) - F.col("mu")).withColumn("v", F.lit(1.0) if quantitative else F.col("mu") * (1 - F.col("mu")))
     k = len(beta)
     cells = out.select(*(F.sum(F.col("x")[i] * F.col("x")[j] * F.col("v")).alias(f"c{i}_{j}") for i in range(k) for j in range(k)), F.count("*").alias("n")).first()
     info = np.array([[cells[f"c{i}_{j}"] for j in range(k)] for i in range(k)], float)
-    s2 = deviance / max(1, cells["n"] - k) if quantitative else 1.0
-    return Null(out, np.linalg.pinv(info), s2, deviance, beta)
+    s2 = deviance / max(1, cells["n"] - fit.rank) if quantitative else 1.0
+    return Null(out, np.linalg.pinv(info), s2, deviance, beta, fit.rank)
 
 
 def variant_scores(cohort: Cohort, null: Null) -> DataFrame:
@@ -160,7 +162,7 @@ def regression_lrt(columns: DataFrame, layout: Layout, spec: Labels, base: tuple
     w = k + 1
 
     if quantitative:
-        total = layout.base.strata.sum()
+        total = layout.base.tree.sizes.sum()
 
         def linear(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
             y, out = s.labels(spec), []

@@ -3,7 +3,8 @@
 Samples are numbered and cut into blocks of `BLOCK`.  A column (the carriers of a variant, or of any variant of a
 transcript) has one row for each block that holds a carrier: positions and values.  A task takes one block of samples and
 a lot of columns, works out its part of the label matrix, which is a function of (seed, permutation, block), and
-multiplies.  Calls are shuffled once, when columns are packed; a block of permutations moves label sums only.
+multiplies.  Calls are shuffled once, when columns are packed; a block of permutations moves label sums only.  Permuted
+traits are sent from their block to the one where they go, each task working out where from the same keys (`routed_traits`).
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming.blocks import persist
+from .dealing import CaseTree, places
 
-MOST_TRAITS = 1 << 24  # samples whose traits travel to every task (128 MB)
 BLOCK = 65_536  # samples in a block
 CELLS = 1 << 24  # cells of a matrix that a task holds at once
 LOT = 4_000_000  # entries of the columns that a task multiplies
@@ -58,58 +59,49 @@ def packed_columns(entries: DataFrame, keys: list[str]) -> DataFrame:
 class Labels:
     """Which labels the samples have in permutations first to last; permutation 0 holds the labels as observed.
 
-    uniform: all sets of as many cases are alike.  With `drawn` (cases of each bin for each permutation) cases are dealt
-    to bins first.  strata: samples by (bin, block).  quantitative: traits change places instead.
+    Cases are dealt to cells (bin and block) by the tree, then by lot among a cell's samples.  bins: the number of the first
+    sample of each odds bin, and of samples.  wide: traits change places inside their bins instead.
     """
 
     seed: int
     first: int
     last: int
-    cases: int
-    strata: np.ndarray  # bins x blocks
-    drawn: np.ndarray | None = None  # permutations x bins
-    traits: np.ndarray | None = None  # in order of the samples' numbers
+    tree: CaseTree
+    bins: np.ndarray
+    rows: int = BLOCK  # samples in a block
+    wide: bool = False
 
     @property
     def perms(self) -> range:
         return range(self.first, self.last + 1)
 
-    def chosen(self, perm: int, block: int) -> np.ndarray:
-        """Cases among the samples of a block, by bin: each bin's cases are dealt to blocks in turn."""
-        rng = np.random.default_rng([self.seed, perm])
-        left = self.drawn[perm - max(1, self.first)] if self.drawn is not None else np.array([self.cases])
-        rest = self.strata.sum(axis=1)
-        for b in range(block + 1):
-            rest = rest - self.strata[:, b]
-            take = np.where(rest > 0, rng.hypergeometric(self.strata[:, b], np.maximum(rest, 0), left), left)
-            left = left - take
-        return take
-
-    def matrix(self, block: int, y: np.ndarray, trait: np.ndarray, bins: np.ndarray, given: list[str] | None = None) -> np.ndarray:
+    def matrix(self, block: int, y: np.ndarray, trait: np.ndarray, given: list | None = None) -> np.ndarray:
         """Samples x permutations: 0 or 1, or traits."""
-        wide = self.traits is not None
-        out = np.zeros((len(self.perms), len(y)), np.float64 if wide else np.float32)
-        size = np.bincount(bins, minlength=len(self.strata))
-        start = np.cumsum(size) - size
+        out = np.zeros((len(self.perms), len(y)), np.float64 if self.wide else np.float32)
+        if self.first == 0:
+            out[0] = trait if self.wide else y
+        if self.wide:
+            for piece in given or ():
+                out[piece["perm_id"] - self.first, np.frombuffer(piece["pos"], np.int32)] = np.frombuffer(piece["value"], np.float64)
+            return np.ascontiguousarray(out.T)
+        size = self.tree.sizes[self.tree.starts[block] : self.tree.starts[block + 1]]
+        cell, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
         for k, perm in enumerate(self.perms):
             if perm == 0:
-                out[k] = trait if wide else y
-            elif wide:
-                out[k] = self.traits[np.random.default_rng([self.seed, perm]).permutation(len(self.traits))[block * BLOCK : block * BLOCK + len(y)]]
-            elif given is not None:
+                continue
+            if given is not None:
                 out[k] = np.frombuffer(given[perm - max(1, self.first)].encode(), np.uint8) - 48
+                continue
+            take, rng = self.tree.dealt(self.seed, perm, block), np.random.default_rng([self.seed, perm, block])
+            if len(size) == 1:
+                out[k, rng.permutation(len(y))[: take[0]]] = 1
             else:
-                take, rng = self.chosen(perm, block), np.random.default_rng([self.seed, perm, block])
-                if len(size) == 1:
-                    out[k, rng.permutation(len(y))[: take[0]]] = 1
-                else:
-                    order = np.lexsort((rng.random(len(y)), bins))
-                    rank = np.arange(len(y)) - start[bins[order]]
-                    out[k, order[rank < take[bins[order]]]] = 1
+                order = np.lexsort((rng.random(len(y)), cell))
+                out[k, order[np.arange(len(y)) - start[cell] < take[cell]]] = 1
         return np.ascontiguousarray(out.T)
 
-    def part(self, first: int, last: int, drawn: np.ndarray | None = None) -> Labels:
-        return replace(self, first=first, last=last, drawn=drawn)
+    def part(self, first: int, last: int) -> Labels:
+        return replace(self, first=first, last=last)
 
 
 @dataclass
@@ -119,9 +111,8 @@ class SampleBlock:
     number: int
     y: np.ndarray
     trait: np.ndarray
-    bins: np.ndarray
     x: np.ndarray
-    given: list[str] | None
+    given: list | None
 
     @classmethod
     def of(cls, table: pa.Table, row: int = 0) -> SampleBlock:
@@ -129,19 +120,44 @@ class SampleBlock:
         x = table.column("x")[row].values
         wide = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
         given = table.column("given")[row].as_py() if "given" in table.column_names else None
-        return cls(table.column("block")[row].as_py(), get("y"), get("trait"), get("bin"), wide, given)
+        return cls(table.column("block")[row].as_py(), get("y"), get("trait"), wide, given)
 
     def labels(self, spec: Labels) -> np.ndarray:
-        return spec.matrix(self.number, self.y, self.trait, self.bins, self.given)
+        return spec.matrix(self.number, self.y, self.trait, self.given)
+
+
+def label_cells(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, samples) of each cell in order of the samples, and each block's first cell: at most bins + blocks rows."""
+    rows = blocks.select("block", F.explode("bin").alias("bin")).groupBy("block", "bin").count().orderBy("block", "bin").collect()
+    number = 1 + max((r.block for r in rows), default=0)
+    starts = np.searchsorted([r.block for r in rows], np.arange(number + 1))
+    return np.array([r.bin for r in rows], np.int64), np.array([r["count"] for r in rows], np.int64), starts
+
 
+def routed_traits(blocks: DataFrame, spec: Labels) -> DataFrame:
+    """blocks with `given`: the traits that each permutation of spec brings to a block, with their positions."""
 
-def label_strata(blocks: DataFrame) -> np.ndarray:
-    """Samples by bin and block: a table of small numbers."""
-    cells = blocks.select("block", F.explode("bin").alias("bin")).groupBy("bin", "block").count().collect()
-    table = np.zeros((1 + max((r.bin for r in cells), default=0), 1 + max((r.block for r in cells), default=0)), np.int64)
-    for r in cells:
-        table[r.bin, r.block] = r["count"]
-    return table
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for row in range(table.num_rows):
+                number, trait = table.column("block")[row].as_py(), table.column("trait")[row].values.to_numpy(zero_copy_only=False)
+                for perm in spec.perms:
+                    if perm == 0:
+                        continue
+                    to = places(number * spec.rows, len(trait), spec.bins, spec.seed, perm)
+                    order = np.argsort(to, kind="stable")
+                    block, cut = np.unique(to[order] // spec.rows, return_index=True)
+                    pieces = [(to[at] % spec.rows, trait[at]) for at in np.split(order, cut[1:])]
+                    columns = [
+                        pa.array(block.astype(np.int32)), pa.array(np.full(len(block), perm, np.int32)), pa.array(np.full(len(block), number, np.int32)),
+                        pa.array([p.astype(np.int32).tobytes() for p, _ in pieces], pa.binary()), pa.array([t.astype(np.float64).tobytes() for _, t in pieces], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["block", "perm_id", "source", "pos", "value"])
+
+    sent = blocks.select("block", "trait").mapInArrow(run, "block int, perm_id int, source int, pos binary, value binary")
+    given = sent.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("perm_id", "source", "pos", "value"))).alias("given"))
+    return persist(blocks.join(given, "block"))
 
 
 @dataclass(frozen=True)
@@ -158,20 +174,14 @@ class Layout:
         return persist(packed_columns(entries.join(self.index.select("sample_id", "at"), "sample_id"), keys))
 
 
-def lay_out(samples: DataFrame, cases: int, seed: int, quantitative: bool = False) -> Layout:
-    """Layout of samples (sample_id, y, trait[, bin][, x])."""
-    index = persist(numbered(samples, "sample_id"))
+def lay_out(samples: DataFrame, cases: int, seed: int, quantitative: bool = False, odds: np.ndarray | None = None) -> Layout:
+    """Layout of samples (sample_id, y, trait[, bin][, x]), numbered by bin first; odds: of each bin."""
+    index = persist(numbered(samples, *(["bin"] if "bin" in samples.columns else []), "sample_id"))
     blocks = persist(sample_blocks(index))
-    traits = None
-    if quantitative:
-        n = index.count()
-        if n > MOST_TRAITS:
-            raise ValueError(f"traits of over {MOST_TRAITS} samples cannot be permuted")
-        found = index.select("at", F.col("trait").cast("double").alias("trait")).toPandas()
-        traits = np.empty(n)
-        traits[found["at"].to_numpy()] = found["trait"].to_numpy()
-    strata = label_strata(blocks)
-    return Layout(index, blocks, strata.shape[1], Labels(seed, 1, 0, cases, strata, traits=traits))
+    bins, sizes, starts = label_cells(blocks)
+    tree = CaseTree(sizes, odds[bins] if odds is not None else np.ones(len(bins)), starts, cases)
+    edges = np.concatenate((tree.upto[:-1][np.diff(bins, prepend=-1) > 0], tree.upto[-1:]))
+    return Layout(index, blocks, max(1, len(starts) - 1), Labels(seed, 1, 0, tree, edges, BLOCK, quantitative))
 
 
 def column_sums(pos: pa.ListArray, value: pa.ListArray, matrix: np.ndarray, weights: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

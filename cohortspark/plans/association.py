@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from ..functions import batch
 from ..functions.special import poisson_ci
 from ..operators import filters as ops
 from ..operators import grouped
-from ..operators.products import CELLS, Labels, Layout, SampleBlock, both_counts, column_sums, lay_out, product, refit, refit_linear
+from ..operators.products import CELLS, Labels, Layout, SampleBlock, both_counts, column_sums, lay_out, product, refit, refit_linear, routed_traits
 from ..streaming.blocks import persist
 from . import permutation as perm
 from . import resampling as rs
@@ -34,7 +35,6 @@ from .statistics import GROUP
 
 SCORED = frozenset({"BURDEN", "SKAT", "SKATO", "SKATC"})
 REGRESSED = frozenset({"RVT1", "RVT2"})
-MARK = "\u0001"  # between a gene and the permutation that it stands for
 
 
 def check(config: AssocConfig) -> None:
@@ -112,7 +112,7 @@ def statistic(cohort: Cohort, config: AssocConfig) -> DataFrame:
                 whole = grouped.vaast_grouped(cohort, config.group_size, config.soft_maf_filter, config.site_penalty, config.grouping == "by_type")
                 return whole.groupBy(*GROUP).agg(F.first("vaast").alias("stat"))
             return named(st.vaast(cohort, config.site_penalty, config.soft_maf_filter), "vaast")
-    return analytic(cohort, config, grouped.null_model(grouped.design(cohort.samples), config.qtl))
+    return analytic(cohort, config, grouped.null_model(grouped.design(cohort.samples), config.qtl, config.optimizer))
 
 
 def analytic(cohort: Cohort, config: AssocConfig, null: grouped.Null) -> DataFrame:
@@ -142,9 +142,26 @@ class Plan:
     variants: DataFrame
     groups: DataFrame
     null: grouped.Null | None
-    bins: tuple[np.ndarray, np.ndarray] | None
     largest: int
 
+    @cached_property
+    def slots(self) -> DataFrame:
+        """(gene, transcript, variant_id, slot): variants numbered in their group."""
+        order = Window.partitionBy(*GROUP).orderBy("variant_id")
+        return persist(self.attributes.select(*GROUP, "variant_id", (F.row_number().over(order) - 1).cast("int").alias("slot")))
+
+    @cached_property
+    def doubles(self) -> DataFrame:
+        """(gene, transcript, block, pos, ends, slot, dose): the samples with two alleles or more at a group's variants, by
+        block; slot and dose list what they carry, ends where a sample's part ends."""
+        size = self.layout.base.rows
+        held = self.cohort.calls.where("dosage > 0").select("variant_id", "sample_id", F.col("dosage").cast("double").alias("dose"))
+        each = held.join(self.slots, "variant_id").groupBy(*GROUP, "sample_id").agg(F.sum("dose").alias("all"), F.array_sort(F.collect_list(F.struct("slot", "dose"))).alias("c")).where("all > 1")
+        placed = each.join(self.layout.index.select("sample_id", "at"), "sample_id").select(*GROUP, F.floor(F.col("at") / size).cast("int").alias("block"), F.struct(F.pmod("at", F.lit(size)).cast("int").alias("pos"), "c").alias("s"))
+        rows = placed.groupBy(*GROUP, "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
+        cells, ends = F.flatten(F.transform("s", lambda s: s.c)), F.transform("s", lambda s: F.size(s.c))
+        return persist(rows.select(*GROUP, "block", F.col("s.pos").alias("pos"), ends.alias("sizes"), F.transform(cells, lambda c: c.slot).alias("slot"), F.transform(cells, lambda c: c.dose).alias("dose")))
+
     @property
     def adjusted(self) -> bool:
         """Whether the method meets a null model that is fitted to every permutation."""
@@ -153,13 +170,12 @@ class Plan:
 
 def make_plan(ready: Cohort, config: AssocConfig, null: grouped.Null | None, adjust: bool) -> Plan:
     n, cases = ready.sizes
-    samples, bins = (null.samples if null is not None else ready.samples), None
-    if null is not None and adjust and not config.qtl:
-        odds = samples.select("sample_id", (F.col("mu") / (1 - F.col("mu"))).alias("odds"))
-        dealt, sizes, means = rs.binned(odds, config.bin_epsilon)
-        samples, bins = samples.join(dealt, "sample_id"), (sizes, means)
-    names = ["sample_id", "y", "trait", *(["x"] if null is not None else []), *(["bin"] if bins else [])]
-    layout = lay_out(samples.select(*names), cases, config.seed, config.qtl)
+    samples, means = (null.samples if null is not None else ready.samples), None
+    if null is not None and adjust:
+        dealt, _, means = rs.binned(rs.null_odds(null, config.qtl), config.bin_epsilon)
+        samples = samples.join(dealt, "sample_id")
+    names = ["sample_id", "y", "trait", *(["x"] if null is not None else []), *(["bin"] if means is not None else [])]
+    layout = lay_out(samples.select(*names), cases, config.seed, config.qtl, means)
     shown = grouped.hotelling_cohort(ready, config.cmcmaf) if config.hotellings else ready
     counted = ops.counted_variants(shown)
     key = ops.variant_key() if set(shown.variants.columns) >= set(ops.LOCUS) else F.col("variant_id").cast("string")
@@ -170,42 +186,40 @@ def make_plan(ready: Cohort, config: AssocConfig, null: grouped.Null | None, adj
     burdens = st.carriers(ready).select(*GROUP, "sample_id", F.col("burden").alias("value"))
     groups = layout.columns(burdens, list(GROUP))
     largest = attributes.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 1
-    return Plan(ready, config, layout, attributes, variants, groups, null, bins, largest)
+    return Plan(ready, config, layout, attributes, variants, groups, null, largest)
 
 
 def block_size(plan: Plan) -> int:
     """Permutations in a block: as wanted, as long as labels and the largest group's counts stay below CELLS."""
-    rows = max(min(plan.cohort.sizes[0], 1 << 16), plan.largest, 1)
-    return max(1, min(plan.config.block, CELLS // rows))
+    rows = max(min(plan.cohort.sizes[0], plan.layout.base.rows), plan.largest, 1)
+    return max(1, min(plan.config.block, CELLS // (4 if plan.config.qtl else 1) // rows))  # routed traits are rows of Spark
 
 
 def dealt_labels(plan: Plan, first: int, last: int, external: DataFrame | None) -> tuple[Labels, DataFrame]:
     """The labels of a block of permutations, and the blocks of samples (with the given labels, if they come from a file)."""
-    base, blocks = plan.layout.base, plan.layout.blocks
+    spec, blocks = plan.layout.base.part(first, last), plan.layout.blocks
     start = max(1, first)
     if external is not None:
         cut = external.where(F.col("perm_id").between(start, last))
         pieces = cut.select("perm_id", F.explode(F.sequence(F.lit(0), F.lit(plan.layout.number - 1))).alias("block"), "labels")
-        piece = F.substring("labels", F.col("block") * 65_536 + 1, F.lit(65_536))
+        piece = F.substring("labels", F.col("block") * spec.rows + 1, F.lit(spec.rows))
         given = pieces.select("block", "perm_id", piece.alias("labels")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("perm_id", "labels"))).alias("g"))
         blocks = persist(blocks.join(given.select("block", F.transform("g", lambda g: g.labels).alias("given")), "block"))
-        return base.part(first, last), blocks
-    drawn = None
-    if plan.bins is not None and last >= start:
-        drawn = rs.drawn_cases(plan.cohort.samples.sparkSession, *plan.bins, plan.cohort.sizes[1], start, last, plan.config.seed)
-    return base.part(first, last, drawn), blocks
+    elif plan.config.qtl and last >= start:
+        blocks = routed_traits(blocks, spec)
+    return spec, blocks
 
 
 def permuted_statistic(plan: Plan, first: int, last: int, genes: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
     """(gene, transcript, perm_id, stat) of permutations first to last; the more extreme, the larger stat is."""
-    if plan.config.biallelic:
-        return copied_statistic(plan, first, last, genes)
     spec, blocks = dealt_labels(plan, first, last, external)
     only = lambda df: df.join(genes, "gene", "left_semi") if genes is not None else df
     if plan.config.method in REGRESSED and (plan.null is not None or plan.config.method == "RVT1" or plan.config.qtl):
         return regressed(plan, spec, blocks, only)
     if plan.config.method in ("SKATO", "SKATC"):
         return covariance_tests(plan, spec, blocks, only)
+    if plan.config.biallelic:
+        return biallelic(plan, spec, blocks, only)
     return counted(plan, spec, blocks, only)
 
 
@@ -221,6 +235,10 @@ def null_of(plan: Plan, spec: Labels, blocks: DataFrame) -> tuple[np.ndarray, np
     return beta, dev, info
 
 
+def rank_of(plan: Plan) -> int:
+    return plan.null.rank if plan.null is not None else 1
+
+
 def fitted(s: SampleBlock, beta: np.ndarray, quantitative: bool) -> np.ndarray:
     eta = s.x @ beta.T
     return eta if quantitative else 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
@@ -265,7 +283,7 @@ def counted(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
     inverse = None
     if null is not None:
         k = null[0].shape[1]
-        s2 = null[1] / max(1.0, n - k) if quantitative else np.ones(b)
+        s2 = null[1] / max(1.0, n - rank_of(plan)) if quantitative else np.ones(b)
         inverse = np.broadcast_to(plan.null.inverse if plan.null is not None else np.array([[1.0 / n]]), (b, k, k)) if quantitative else np.linalg.pinv(null[2], hermitian=True)
     scatter = grouped.variant_pairs(grouped.hotelling_cohort(plan.cohort, config.cmcmaf)) if config.hotellings else None
 
@@ -356,7 +374,7 @@ def covariance_tests(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataF
     right = sums.join(first, ["gene", "one"]).join(second, [*GROUP, "two"])
     right = persist(right.select(*GROUP, "one", "two", "a"))
     inverse = np.broadcast_to(plan.null.inverse if plan.null is not None else np.array([[1.0 / n]]), (b, k, k)) if quantitative else np.linalg.pinv(info, hermitian=True)
-    s2 = dev / max(1.0, n - k) if quantitative else np.ones(b)
+    s2 = dev / max(1.0, n - rank_of(plan)) if quantitative else np.ones(b)
     perms = np.array(spec.perms, np.int32)
 
     def work(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -380,24 +398,56 @@ def covariance_tests(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataF
     return left.groupBy(*GROUP).cogroup(right.groupBy(*GROUP)).applyInArrow(work, "gene string, transcript string, perm_id int, stat double")
 
 
-def copied_statistic(plan: Plan, first: int, last: int, genes: DataFrame | None) -> DataFrame:
-    """Biallelic scores: samples with two alleles at scored sites differ by permutation, so that each has its own copy of the
-    cohort, whose gene names and ids carry the permutation's number."""
-    cohort = plan.cohort
-    if genes is not None:
-        cohort = with_sizes(Cohort(cohort.samples, cohort.variants.join(genes, "gene", "left_semi"), cohort.calls), cohort)
-    labels = perm.uniform_permutations(cohort, max(1, first), last, plan.config.seed)
-    if first == 0:
-        labels = labels.unionByName(cohort.samples.select(F.lit(0).alias("perm_id"), "sample_id", "y"))
-    each = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("perm_id")
-    tag = lambda c: F.concat_ws(MARK, F.col(c).cast("string"), F.col("perm_id").cast("string")).alias(c)
-    samples = labels.select(tag("sample_id"), "y")
-    calls = cohort.calls.select("*", each).select(tag("sample_id"), tag("variant_id"), "dosage", "missing")
-    names = [c for c in cohort.variants.columns if c not in ("gene", "variant_id")]
-    variants = cohort.variants.select("*", each).select(tag("variant_id"), tag("gene"), *names)
-    copy = with_sizes(Cohort(samples, variants, calls), cohort)
-    parts = F.split("gene", MARK)
-    return statistic(copy, plan.config).select(parts[0].alias("gene"), "transcript", parts[1].cast("int").alias("perm_id"), F.round("stat", 9).alias("stat"))
+def biallelic(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
+    """VAAST's site scores and a term for samples with two alleles or more at scored sites.
+
+    Which sites are scored differs by permutation: a group's task marks them as bits, and a second product counts, for each
+    block of samples, the cases and others whose marked sites hold two alleles.
+    """
+    config, (n, cases), b = plan.config, plan.cohort.sizes, len(spec.perms)
+    used = only(plan.attributes).select("variant_id").distinct()
+
+    def sums(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        return {"a": column_sums(table.column("pos"), table.column("value"), s.labels(spec), lambda v: v[None])[:, 0]}
+
+    by_variant = product(plan.variants.join(used, "variant_id", "left_semi"), blocks, plan.layout.number, ["variant_id"], sums, ["a"])
+    rows = only(plan.attributes).join(by_variant, "variant_id").join(plan.slots, [*GROUP, "variant_id"])
+
+    def mark(group: pa.Table) -> pa.Table:
+        group = group.sort_by("slot")
+        number = lambda c: group.column(c).to_numpy().astype(float)
+        a = np.array([np.frombuffer(x, np.float64) for x in group.column("a").to_pylist()])
+        g = batch.GroupCounts(n, cases, number("ac"), number("ac2"), number("carriers"), number("weight"), [], [], a, a)
+        score = batch.site_scores(g, config.soft_maf_filter)
+        score = np.where(score > config.site_penalty, score - config.site_penalty, score)
+        return pa.table({**{c: group.column(c).slice(0, 1) for c in GROUP}, "sites": [score.sum(axis=0).tobytes()], "marked": [np.packbits(score > 0, axis=1).tobytes()]})
+
+    marks = persist(rows.groupBy(*GROUP).applyInArrow(mark, "gene string, transcript string, sites binary, marked binary"))
+
+    def count(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        y, out = s.labels(spec), np.zeros((table.num_rows, 2 * b))
+        for row, r in enumerate(table.select(["pos", "sizes", "slot", "dose", "marked"]).to_pylist()):
+            marked = np.unpackbits(np.frombuffer(r["marked"], np.uint8).reshape(-1, -(-b // 8)), axis=1, count=b)
+            pos, slot, dose = np.array(r["pos"]), np.array(r["slot"]), np.array(r["dose"], np.float32)
+            ends = np.cumsum(r["sizes"])
+            step = max(1, CELLS // (b * max(r["sizes"])))  # samples at a time
+            for at in range(0, len(pos), step):
+                lo, hi = (ends[at - 1] if at else 0), ends[min(at + step, len(pos)) - 1]
+                held = np.add.reduceat(marked[slot[lo:hi]] * dose[lo:hi, None], np.concatenate(([0], ends[at : at + step - 1][: len(pos) - at - 1] - lo)), axis=0)
+                two = held > 1
+                out[row, :b] += (two * y[pos[at : at + step]]).sum(axis=0)
+                out[row, b:] += two.sum(axis=0)
+        return {"d": out}
+
+    held = product(only(plan.doubles).join(marks.select(*GROUP, "marked"), list(GROUP)), blocks, plan.layout.number, list(GROUP), count, ["d"])
+    none = np.zeros(2 * b)
+
+    def stats(found: pa.RecordBatch, i: int) -> np.ndarray:
+        d = found.column("d")[i].as_py()
+        a, both = np.split(np.frombuffer(d, np.float64) if d is not None else none, 2)
+        return np.maximum(np.frombuffer(found.column("sites")[i].as_py(), np.float64) + batch.allele_ratio(a, both - a, float(cases), float(n - cases), config.soft_maf_filter), 0.0)
+
+    return long_stats(marks.select(*GROUP, "sites").join(held, list(GROUP), "left"), spec, stats)
 
 
 def scan(
@@ -424,7 +474,7 @@ def scan(
     null = None
     if numeric or categorical or "x" in kinds:
         samples = ready.samples if "x" in kinds and not (numeric or categorical) else grouped.design(ready.samples, numeric, categorical, config.max_levels)
-        null = grouped.null_model(samples, config.qtl)
+        null = grouped.null_model(samples, config.qtl, config.optimizer)
     if not config.nperm:
         found = analytic(ready, config, null) if null is not None and config.method in SCORED | REGRESSED else statistic(ready, config)
         found = persist(found)
@@ -440,6 +490,8 @@ def permuted_scan(ready: Cohort, config: AssocConfig, null: grouped.Null | None,
     plan = make_plan(ready, config, null, adjust)
     size = block_size(plan)
     wanted = config.max_perms or config.nperm
+    if external is not None:  # a file may end early
+        wanted = min(wanted, external.agg(F.max("perm_id")).first()[0] or 0)
     observed, parts, totals, genes, first = None, [], None, None, 0
     while first <= wanted:
         last = min(max(first, 1) + size - 1, wanted)

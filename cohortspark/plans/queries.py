@@ -890,8 +890,7 @@ def vaast_grouped_by_type(spark: SparkSession, sf: str) -> DataFrame:
 @query("adjusted_permutations")
 def adjusted_permutations(spark: SparkSession, sf: str) -> DataFrame:
     c = from_tables(spark, sf)
-    odds = binary_null(c).samples.select("sample_id", (F.col("mu") / (1 - F.col("mu"))).alias("odds"))
-    return rs.adjusted_permutations(c, odds, 1, 10)
+    return rs.adjusted_permutations(c, rs.null_odds(binary_null(c)), 1, 10)
 
 
 @query("permuted_power_wss")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
@@ -16,8 +17,10 @@ from ..config import AssocConfig
 from ..functions import batch
 from ..functions.batch import COUNTED, stat_of
 from ..functions.special import chi2_sf_col, fisher_odds_ratio, wilson
+from ..operators.dealing import CaseTree
 from ..operators.filters import counted_variants
-from ..operators.products import BLOCK, SampleBlock, lay_out, numbered
+from ..operators.grouped import Null
+from ..operators.products import SampleBlock, lay_out, numbered
 from .permutation import uniform_permutations
 from .statistics import GROUP, carriers, g_test
 
@@ -34,27 +37,6 @@ def odds_bins(odds: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]
     return bins, np.bincount(bins, odds) / np.bincount(bins)
 
 
-def case_counts(rng: np.random.Generator, sizes: np.ndarray, odds: np.ndarray, cases: int, tries: int = 100_000) -> np.ndarray:
-    """Cases in each bin: independent binomials with these odds given their total (Fisher's noncentral law).
-
-    The odds are tilted by a common factor, which leaves the law as it is, until the mean total is right; then draws are
-    taken until the total is right too.
-    """
-    if cases <= 0 or cases >= sizes.sum():
-        return np.where(cases > 0, sizes, 0)
-    low, high = -60.0, 60.0
-    for _ in range(200):
-        mid = (low + high) / 2
-        p = 1 / (1 + np.exp(-(np.log(odds) + mid)))
-        low, high = (mid, high) if (sizes * p).sum() < cases else (low, mid)
-    p = 1 / (1 + np.exp(-(np.log(odds) + (low + high) / 2)))
-    for _ in range(tries // 64):
-        draws = rng.binomial(sizes, p, (64, len(sizes)))
-        if len(hit := np.flatnonzero(draws.sum(axis=1) == cases)):
-            return draws[hit[0]]
-    raise RuntimeError("no draw had the right total")
-
-
 def binned(odds: DataFrame, epsilon: float = 1e-4) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """((sample_id, bin), samples of each bin, mean odds of each bin) of odds(sample_id, odds).
 
@@ -71,35 +53,30 @@ def binned(odds: DataFrame, epsilon: float = 1e-4) -> tuple[DataFrame, np.ndarra
     return cells.join(of_cell, "cell").select("sample_id", "bin"), sizes, means
 
 
-def drawn_cases(spark: SparkSession, sizes: np.ndarray, means: np.ndarray, cases: int, first: int, last: int, seed: int = 1) -> np.ndarray:
-    """Cases of each bin (columns) in permutations first to last (rows)."""
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for perm_id in frame["id"]:
-                counts = case_counts(np.random.default_rng([seed, int(perm_id), 1]), sizes, means, cases)
-                yield pd.DataFrame({"perm_id": [int(perm_id)], "counts": [counts.astype(np.int64).tobytes()]})
-
-    found = spark.range(first, last + 1).mapInPandas(draw, "perm_id long, counts binary").toPandas().sort_values("perm_id")
-    return np.array([np.frombuffer(x, np.int64) for x in found["counts"]]).reshape(-1, len(sizes))
+def null_odds(null: Null, quantitative: bool = False) -> DataFrame:
+    """(sample_id, odds) of a null model; of a quantitative trait the odds as if it were cut in two, without cutting it: the
+    linear predictor on the logistic scale."""
+    scale = math.pi / math.sqrt(3) / math.sqrt(max(null.deviance, 1e-300)) if quantitative else 1.0
+    eta = F.greatest(F.least(F.col("eta") * scale, F.lit(30.0)), F.lit(-30.0))
+    return null.samples.select("sample_id", F.exp(eta).alias("odds"))
 
 
 def adjusted_permutations(cohort: Cohort, odds: DataFrame, first: int, last: int, epsilon: float = 1e-4, seed: int = 1) -> DataFrame:
     """(perm_id, sample_id, y): cases are dealt to bins of like odds(sample_id, odds), then by lot inside each bin.
 
-    A task makes the labels of one block of samples: a bin's cases are dealt to blocks first.
+    A task makes the labels of one block of samples, whose cases it finds by walking down the tree of cells.
     """
     _, cases = cohort.sizes
-    dealt, sizes, means = binned(odds, epsilon)
-    layout = lay_out(cohort.samples.select("sample_id", "y", "trait").join(dealt, "sample_id"), cases, seed)
-    spec = layout.base.part(first, last, drawn_cases(cohort.samples.sparkSession, sizes, means, cases, max(1, first), last, seed))
+    dealt, _, means = binned(odds, epsilon)
+    layout = lay_out(cohort.samples.select("sample_id", "y", "trait").join(dealt, "sample_id"), cases, seed, odds=means)
+    spec = layout.base.part(first, last)
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for row in range(table.num_rows):
                 block = SampleBlock.of(table, row)
-                at = pa.array(block.number * BLOCK + np.arange(len(block.y)))
+                at = pa.array(block.number * spec.rows + np.arange(len(block.y)))
                 y = block.labels(spec).astype(np.int32)
                 for k, perm_id in enumerate(spec.perms):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), perm_id, np.int32)), at, pa.array(np.ascontiguousarray(y[:, k]))], names=["perm_id", "at", "y"])
@@ -165,8 +142,9 @@ def permuted_power(cohort: Cohort, config: AssocConfig, reps: int, n_cases: int,
             return out
         bins, means = odds_bins(np.exp(log_odds), config.bin_epsilon)
         sizes = np.bincount(bins)
+        tree = CaseTree(sizes, np.maximum(means, 1e-12), np.array([0, len(sizes)]), n_cases)
         for k in range(count):
-            take = case_counts(rng, sizes, np.maximum(means, 1e-12), n_cases)
+            take = tree.dealt(int(rng.integers(1 << 62)), k, 0)
             order = np.lexsort((rng.random(total), bins))
             out[order[np.arange(total) - (np.cumsum(sizes) - sizes)[bins[order]] < take[bins[order]]], k] = 1
         return out

@@ -4,13 +4,14 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import plain_glm as glm
 import pytest
 
 from cohortspark.cohort import from_tables
 from cohortspark.config import AssocConfig
-from cohortspark.functions import glm
 from cohortspark.operators import filters as ops
 from cohortspark.operators import grouped, products
+from cohortspark.operators.dealing import CaseTree
 from cohortspark.operators.products import SampleBlock
 from cohortspark.plans import association as a
 from cohortspark.plans import permutation as perm
@@ -129,12 +130,91 @@ def test_quantitative(cohort):
     assert len({r.empirical_p for r in rows}) > 1 and min(r.empirical_p for r in rows) < 0.9
 
 
+def test_adjusted_quantitative_against_a_loop(cohort, monkeypatch):
+    """Traits move inside bins of like odds only, across blocks; SKAT's hits equal those of plain fits."""
+    monkeypatch.setattr(products, "BLOCK", 40)
+    config = AssocConfig(method="SKAT", nperm=4, successes=100, seed=5, qtl=True, file_weights=True, bin_epsilon=0.02)
+    null = grouped.null_model(grouped.design(cohort.samples, categorical=("cov_cat",)), True)
+    ready = a.prepare(cohort, config)
+    plan = a.make_plan(ready, config, null, True)
+    labels = labels_of(plan, 0, 4)
+    dealt, sizes, _ = rs.binned(rs.null_odds(null, True), config.bin_epsilon)
+    bins = {r.sample_id: r.bin for r in dealt.collect()}
+    assert 1 < len(sizes) < len(bins) and plan.layout.number == 4
+    by_bin = lambda y: [sorted(round(t, 6) for i, t in y.items() if bins[i] == k) for k in range(len(sizes))]
+    assert labels[0] == {r.sample_id: r.trait for r in cohort.samples.collect()}
+    assert all(by_bin(y) == by_bin(labels[0]) and y != labels[0] for y in labels[1:])
+    rows = null.samples.select("sample_id", "x").collect()
+    x, ids = np.array([r.x for r in rows]), [r.sample_id for r in rows]
+    calls = [(r.variant_id, r.sample_id, r.dosage) for r in ready.calls.collect()]
+    got = {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 4).collect()}
+    for k, y in enumerate(labels):
+        target = np.array([y[i] for i in ids])
+        left = target - x @ np.linalg.lstsq(x, target, rcond=None)[0]
+        s2, resid, z = (left @ left) / (len(ids) - np.linalg.matrix_rank(x)), dict(zip(ids, left, strict=True)), {}
+        for v, s, d in calls:
+            z[v] = z.get(v, 0) + d * resid[s]
+        for (g, t), part in ready.variants.toPandas().groupby(["gene", "transcript"]):
+            want = sum((w * z.get(v, 0)) ** 2 for v, w in zip(part["variant_id"], part["weight"], strict=True)) / s2
+            assert math.isclose(got[g, t, k], want, rel_tol=1e-6, abs_tol=1e-9)
+    for r in a.scan(cohort, config, categorical=("cov_cat",)).collect():
+        group = [got[r.gene, r.transcript, k] for k in range(5)]
+        assert r.successes == sum(v >= group[0] - 1e-9 for v in group[1:])
+
+
+def test_biallelic_against_a_loop(cohort, monkeypatch):
+    """Biallelic scores of permutations by the product, in blocks of 40 samples, against a loop over labels."""
+    monkeypatch.setattr(products, "BLOCK", 40)
+    config = AssocConfig(method="VAAST", nperm=11, successes=100, seed=3, biallelic=True, site_penalty=0.3, group_size=0, file_weights=True)
+    ready = a.prepare(cohort, config)
+    plan = a.make_plan(ready, config, None, False)
+    labels, (n, cases) = labels_of(plan, 0, 11), cohort.sizes
+    calls = ready.calls.where("dosage > 0").toPandas()
+    got = {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 11).collect()}
+
+    def ratio(p, q, np_, nq):
+        part = lambda alt, all_, f: sum(k * math.log(v) for k, v in ((alt, f), (all_ - alt, 1 - f)) if k)
+        return 0.0 if p == 0 else part(q, nq, q / nq) + part(p, np_, p / np_) - part(p, np_, (p + q) / (np_ + nq)) - part(q, nq, (p + q) / (np_ + nq))
+
+    doubles = 0
+    for (g, t), part in ready.variants.toPandas().groupby(["gene", "transcript"]):
+        weight = dict(zip(part["variant_id"], part["weight"], strict=True))
+        mine = [(v, s, d) for v, s, d in zip(calls["variant_id"], calls["sample_id"], calls["dosage"], strict=True) if v in weight]
+        for k, y in enumerate(labels):
+            p, q, held = dict.fromkeys(weight, 0), dict.fromkeys(weight, 0), {}
+            for v, s, d in mine:
+                (p if y[s] else q)[v] += d
+            score = {}
+            for v, w in weight.items():
+                raw = 2 * (ratio(p[v], q[v], 2 * cases, 2 * (n - cases)) + math.log(w)) if w > 0 and p[v] else 0.0
+                score[v] = raw - 0.3 if raw > 0.3 else max(raw, 0.0)
+            for v, s, d in mine:
+                if score[v] > 0:
+                    held[s] = held.get(s, 0) + d
+            two = [s for s, d in held.items() if d > 1]
+            doubles += len(two)
+            in_cases = sum(y[s] for s in two)
+            want = max(0.0, sum(score.values()) + ratio(in_cases, len(two) - in_cases, cases, n - cases))
+            assert math.isclose(got[g, t, k], want, rel_tol=1e-6, abs_tol=1e-6), (g, t, k)
+    assert doubles > 20
+    seen = {(r.gene, r.transcript): r.stat for r in a.statistic(ready, config).collect()}
+    assert all(math.isclose(got[g, t, 0], v, rel_tol=1e-6, abs_tol=1e-6) for (g, t), v in seen.items())
+
+
+def test_external_file_ends_early(spark, cohort):
+    """A file with fewer permutations than wanted ends the scan, without an error."""
+    n, cases = cohort.sizes
+    rows = [(k, "".join("1" if (i * 7 + k) % n < cases else "0" for i in range(n))) for k in range(1, 4)]
+    labels = spark.createDataFrame(rows, "perm_id int, labels string")
+    assert {r.permutations for r in a.scan(cohort, AssocConfig(method="WSS", nperm=50, successes=100), external=labels).collect()} == {3}
+
+
 def test_bayesian_fallback(spark):
     """Labels that a covariate separates get a finite fit."""
     rows = [(k, k, int(k < 10), 0.0, [1.0, float(k < 10)]) for k in range(20)]
     samples = spark.createDataFrame(rows, "sample_id int, at long, y int, trait double, x array<double>")
     blocks = products.sample_blocks(samples)
-    spec = products.Labels(1, 0, 0, 10, np.array([[20]]))
+    spec = products.Labels(1, 0, 0, CaseTree(np.array([20]), np.ones(1), np.array([0, 1]), 10), np.array([0, 20]))
     beta, info, loss = products.refit(blocks, spec, np.array([0.0, 0.0]))
     assert np.isfinite(beta).all() and np.isfinite(info).all() and 0 <= loss[0] < 2
 
@@ -178,7 +258,8 @@ def test_thresholds_and_permuted_methods(cohort):
 
 
 def test_detail_after_collapsing(cohort):
-    ready = a.prepare(cohort, AssocConfig(method="WSS", nperm=0, var_collapsing=5))
+    fewest = sorted(r.ac for r in ops.counted_variants(cohort).select("variant_id", "gene", "ac").distinct().collect())
+    ready = a.prepare(cohort, AssocConfig(method="WSS", nperm=0, var_collapsing=fewest[len(fewest) // 2]))
     n, cases = cohort.sizes
     rows = [r for r in rp.detail(ready).collect() if r.variant.endswith("Collapsed")]
     assert rows
