@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import few, save, slices, space_words, spread_join, texts
+from .runtime import few, placed, save, slices, space_words, spread_join, texts
 from .simhash import components, link_fingerprints, majority, shingle_hashes
 
 SKETCH_WORDS = 8  # 64-bit words of a parity sketch
@@ -195,12 +195,18 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, kept_row) of the rows that a kept row of their group stands for; docs has row, doc_id and text."""
+    """(file, at, row, kept_row) of the rows that a kept row of their group stands for; docs has file, at, doc_id and text.
+
+    Rows are numbered in one job, which saves the numbers; later jobs find rows by file and place.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    each = save(docs.select("row", "doc_id", "text").mapInArrow(class_keys, f"row long, doc_id {kind}, key binary"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    known = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("file", "at", "doc_id").alias("doc_id"), "text")
+    keyed = known.mapInArrow(class_keys, f"row long, doc_id struct<file:long,at:long,doc_id:{kind}>, key binary")
+    each = save(keyed.select("row", "doc_id.*", "key"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "file", "at")
     classes = save(each.groupBy("key").agg(F.min(first).alias("first")).select("key", "first", F.col("first.row").alias("row")))
-    chosen = docs.join(few(classes.select(F.col("row").alias("node"))), docs.row == F.col("node"), "left_semi").select("row", "text")
+    node = few(classes.select("row", F.col("first.file").alias("file"), F.col("first.at").alias("at")))
+    chosen = docs.join(node, ["file", "at"]).select("row", "text")
     some = save(chosen.mapInArrow(some_shingles(shingle), "row long, n int, shingles array<bigint>"))
     left = may_have_partners(some, similarity)
     schema = "row long, n int, fp long, " + ", ".join(f"{b} long" for b in SKETCH) + ", shingles array<bigint>"
@@ -208,7 +214,7 @@ def duplicate_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     rooted = with_roots(classes, similar_links(sets, similarity))
     kept = rooted.groupBy("root").agg(F.min("first").alias("kept"))
     of_key = save(spread_join(rooted.select("key", "root"), kept, "root").select("key", F.col("kept.row").alias("kept_row")))
-    return spread_join(each.select("row", "key"), of_key, "key").where("row <> kept_row").select("row", "kept_row")
+    return spread_join(each.select("row", "file", "at", "key"), of_key, "key").where("row <> kept_row").select("file", "at", "row", "kept_row")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -216,7 +222,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Null and empty texts are one group; repeated rows and rows without an id count as copies; an empty table stays empty.
     """
-    place, gone_place = "near_place_", "near_gone_"
-    numbered = docs.select(F.monotonically_increasing_id().alias(place), *docs.columns)
-    gone = save(duplicate_rows(numbered.select(F.col(place).alias("row"), "doc_id", "text"), shingle, similarity).select(F.col("row").alias(gone_place)))
-    return numbered.join(few(gone), F.col(place) == F.col(gone_place), "left_anti").select(*docs.columns)
+    known = placed(docs)
+    gone = save(duplicate_rows(known.select("file", "at", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")), shingle, similarity).select("file", "at"))
+    return known.join(few(gone), ["file", "at"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

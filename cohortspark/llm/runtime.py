@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -40,6 +41,20 @@ def save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """(row, file, at): each of rows as a struct, with where it is stored: a digest of its file's name, and its number there.
+
+    Places are the same in every job, however files are cut into tasks.  What isn't a plain scan of files is saved first.
+    All columns stand in the struct, so that none can clash with a helper's name.
+    """
+    try:
+        rows.select(rows.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018
+    except AnalysisException:
+        rows = save(rows)
+    known = rows.metadataColumn("_metadata")
+    return rows.select(F.struct(*(rows[f"`{c}`"] for c in rows.columns)).alias("row"), F.xxhash64(known["file_path"]).alias("file"), known["row_index"].alias("at"))
+
+
 HOT_ROWS = 256  # rows that a key may have at least before they are dealt to several tasks
 
 

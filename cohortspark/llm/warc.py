@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import few, save, spread_join
+from .runtime import few, placed, save, spread_join
 
 DATE = "1970-01-01T00:00:00Z"  # of records whose pages bring no date of their own
 
@@ -35,18 +35,18 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """Per page its payload, digests, and whether it is a response or a revisit."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    facts = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).select(
+    """Per page its payload and digests, and where it is stored."""
+    payload = F.coalesce(F.col("row.html"), F.lit("")).cast("binary")
+    return placed(pages).select("file", "at", F.col("row.page_id").alias("page_id"), F.coalesce("row.url", F.lit("")).alias("url"), payload.alias("payload")).select(
+        "file",
+        "at",
         "page_id",
         "url",
         "payload",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         base32_sha1(F.col("payload")).alias("payload_digest"),
-        F.monotonically_increasing_id().alias("row"),
     )
-    return facts
 
 
 def record_id(page_id: str, copy: str) -> Column:
@@ -79,19 +79,19 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = DATE)
     """Write path/headers and path/payloads."""
     facts = records(pages)
     # From here on digests and ids only.
-    digests = save(facts.select("page_id", "url", "payload_sha256", "payload_bytes", "payload_digest", "row"))
+    digests = save(facts.select("file", "at", "page_id", "url", "payload_sha256", "payload_bytes", "payload_digest", F.monotonically_increasing_id().alias("row")))
     again = few(digests.groupBy("page_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("page_id").alias("twice"), F.lit(True).alias("repeated")))
     told = save(digests.join(again, F.col("page_id").eqNullSafe(F.col("twice")), "left").withColumn("copy", F.when(F.col("repeated"), F.col("row") + 1).otherwise(0)).drop("twice", "repeated"))
     # The largest page_id first, then the smallest url; ~x falls as x grows, without overflow.
     rank = F.struct(F.bitwise_not(F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63)))).alias("id"), "url", "row")
-    chosen = told.groupBy("payload_sha256").agg(F.min_by(F.struct("row", "page_id", "copy"), rank).alias("top"))
-    chosen = save(chosen.select("payload_sha256", "top.row", "top.page_id", "top.copy").toDF("payload_sha256", "top_row", "refers_to", "refers_copy"))
+    chosen = told.groupBy("payload_sha256").agg(F.min_by(F.struct("row", "page_id", "copy", "file", "at"), rank).alias("top"))
+    chosen = save(chosen.select("payload_sha256", "top.*").toDF("payload_sha256", "top_row", "refers_to", "refers_copy", "file", "at"))
     revisit = (F.col("payload_bytes") >= least) & (F.col("row") != F.col("top_row"))
-    headers = spread_join(told, chosen, "payload_sha256").select(
+    headers = spread_join(told, chosen.drop("file", "at"), "payload_sha256").select(
         "page_id", F.when(revisit, header_text("revisit", date)).otherwise(header_text("response", date)).cast("binary").alias("header"), "payload_sha256"
     )
     headers.write.parquet(f"{path}/headers")
-    kept = facts.select("row", "payload_sha256", "payload").join(chosen.select(F.col("top_row").alias("row")), "row", "left_semi")
+    kept = facts.select("file", "at", "payload_sha256", "payload").join(chosen.select("file", "at"), ["file", "at"], "left_semi")
     kept.select("payload_sha256", "payload").write.parquet(f"{path}/payloads")
 
 

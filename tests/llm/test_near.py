@@ -55,6 +55,27 @@ def test_near_duplicates(spark, monkeypatch):
     assert near.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_cluster_that_changes(spark, monkeypatch):
+    """Files are cut into other tasks from job to job, as when executors come or go; helper names clash with columns."""
+    rows = near_rows(3)
+    docs = save(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, file string, lot_ int").repartition(7))
+    jobs = iter(range(10**6))
+
+    def changing(df):
+        out = runtime.save(df)
+        spark.conf.set("spark.sql.files.openCostInBytes", str((1, 10**9, 2_000)[next(jobs) % 3]))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str((10**9, 10**9, 4_000)[next(jobs) % 3]))
+        return out
+
+    monkeypatch.setattr(near, "save", changing)
+    try:
+        got = near.drop_near_duplicates(docs)
+        assert got.columns == docs.columns and sorted(str(r.doc_id) for r in got.collect()) == near_brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_block_edits_and_shared_passages(spark, monkeypatch):
     rng = random.Random(12)
     words = [[f"w{rng.randrange(10**9)}" for _ in range(249)] for _ in range(60)]

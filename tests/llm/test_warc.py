@@ -5,7 +5,7 @@ import hashlib
 
 import pytest
 
-from cohortspark.llm import runtime
+from cohortspark.llm import runtime, warc
 from cohortspark.llm.runtime import shared_dir
 from cohortspark.llm.warc import read_archive, record_bytes, round_trip
 
@@ -57,6 +57,30 @@ def test_records_as_bytes(spark, monkeypatch):
     assert len(set(ids)) == len(ids) == len(rows) and set(refers) <= set(ids)
 
 
+def test_cluster_that_changes(spark, monkeypatch):
+    """Files are cut into other tasks from job to job: every record still finds its own payload."""
+    rows = [(k, f"http://e/{k}", f"page {k % 20}" * (1 + k % 5), 5) for k in range(200)]
+    pages = runtime.save(spark.createDataFrame(rows, "page_id long, url string, html string, payload int").repartition(9))
+    jobs = iter(range(10**6))
+
+    def changing(df):
+        out = runtime.save(df)
+        spark.conf.set("spark.sql.files.openCostInBytes", str((1, 10**9, 2_000)[next(jobs) % 3]))
+        return out
+
+    monkeypatch.setattr(warc, "save", changing)
+    try:
+        got = round_trip(pages, shared_dir(spark)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    top = {}
+    for k, _, h, _ in rows:
+        top[h] = max(top.get(h, 0), k)
+    assert {(r.page_id, r.payload_digest, r.refers_to) for r in got} == {
+        (k, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), None if top[h] == k else top[h]) for k, _, h, _ in rows
+    }
+
+
 def test_least(spark):
     pages = spark.createDataFrame(PAGES[:5], "page_id long, url string, html string, payload int")
     assert {r.record_type for r in round_trip(pages, shared_dir(spark), least=1000).collect()} == {"response"}
