@@ -209,20 +209,21 @@ def packed(rows: np.ndarray) -> pa.Array:
     return pa.array([np.ascontiguousarray(r).tobytes() for r in rows], pa.binary())
 
 
-def lots(columns: DataFrame, blocks: int, keys: list[str]) -> tuple[DataFrame, int]:
-    """columns with their lot, and the number of lots: tasks for every core, none with more than LOT entries on average."""
-    entries = columns.agg(F.sum(F.size("pos"))).first()[0] or 0
+def lots(columns: DataFrame, blocks: int, keys: list[str], width: int = 1) -> tuple[DataFrame, int]:
+    """columns with their lot, and the number of lots: tasks for every core, none with more than LOT entries on average, or
+    with results (width numbers a column) of more than CELLS."""
+    entries, rows = columns.agg(F.sum(F.size("pos")), F.count("*")).first()
     cores = columns.sparkSession.sparkContext.defaultParallelism
-    count = max(1, -(-cores // blocks), -(-entries // (blocks * LOT)))
+    count = max(1, -(-cores // blocks), -(-(entries or 0) // (blocks * LOT)), -(-rows * width // (blocks * CELLS)))
     return columns.withColumn("lot", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")), count
 
 
-def product(columns: DataFrame, blocks: DataFrame, number: int, keys: list[str], work: Callable[[SampleBlock, pa.Table], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
+def product(columns: DataFrame, blocks: DataFrame, number: int, keys: list[str], work: Callable[[SampleBlock, pa.Table], dict[str, np.ndarray]], names: list[str], width: int = 1) -> DataFrame:
     """(keys, names as binary): what work makes of each column in each block of samples, added over blocks.
 
-    work(sample block, columns) gives for each name an array of columns x cells (float64 or float32).
+    work(sample block, columns) gives for each name an array of columns x cells (float64 or float32), about width in all.
     """
-    dealt, count = lots(columns, number, keys)
+    dealt, count = lots(columns, number, keys, width)
     everywhere = blocks.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     kinds = ", ".join(f"`{k}` {dealt.schema[k].dataType.simpleString()}" for k in keys)
     schema = kinds + ", " + ", ".join(f"{n} binary" for n in names)

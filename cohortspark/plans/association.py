@@ -341,8 +341,17 @@ def regressed(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
     return long_stats(found, spec, lambda rows, i: np.frombuffer(rows.column("lrt")[i].as_py(), np.float64))
 
 
+def tile_size(variants: int, perms: int) -> int:
+    """Permutations whose covariances of a group of so many variants a task holds at once."""
+    return max(1, min(perms, CELLS // 4 // max(1, variants * (variants + 1) // 2)))
+
+
 def covariance_tests(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:
-    """-log10 p of SKATO or SKATC: scores and covariances of every permutation's null model, group by group."""
+    """-log10 p of SKATO or SKATC: scores and covariances of every permutation's null model.
+
+    A task holds a tile, some permutations of a group: the more pairs of variants the group has, the fewer permutations, so
+    that a tile's covariances stay below a quarter of CELLS.
+    """
     beta, dev, info = null_of(plan, spec, blocks)
     config, quantitative, b = plan.config, plan.config.qtl, len(spec.perms)
     n, k = plan.cohort.sizes[0], beta.shape[1]
@@ -363,16 +372,20 @@ def covariance_tests(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataF
 
     members = only(plan.attributes).select(*GROUP, "variant_id", "weight")
     number = plan.layout.number
-    by_variant = product(plan.variants.join(members.select("variant_id").distinct(), "variant_id", "left_semi"), blocks, number, ["variant_id"], scores, ["a"])
+    by_variant = product(plan.variants.join(members.select("variant_id").distinct(), "variant_id", "left_semi"), blocks, number, ["variant_id"], scores, ["a"], b * (k + 1))
     left = members.join(by_variant, "variant_id")
     held = plan.cohort.calls.where("dosage > 0").join(members.select("variant_id", "gene").distinct(), "variant_id").select("gene", "sample_id", "variant_id", "dosage")
     other = held.select("gene", "sample_id", F.col("variant_id").alias("two"), F.col("dosage").alias("d2"))
     both = held.withColumnRenamed("variant_id", "one").join(other, ["gene", "sample_id"]).where("one <= two")
     pairs = plan.layout.columns(both.select("gene", "one", "two", "sample_id", (F.col("dosage") * F.col("d2")).alias("value")), ["gene", "one", "two"])
-    sums = product(pairs, blocks, number, ["gene", "one", "two"], cross, ["a"])
+    sums = product(pairs, blocks, number, ["gene", "one", "two"], cross, ["a"], b)
     first, second = (members.select(*GROUP, F.col("variant_id").alias(c)) for c in ("one", "two"))
     right = sums.join(first, ["gene", "one"]).join(second, [*GROUP, "two"])
     right = persist(right.select(*GROUP, "one", "two", "a"))
+    each = tile_size(plan.largest, b)
+    tile = F.explode(F.sequence(F.lit(0), F.lit(-(-b // each) - 1)))
+    left = left.select("*", tile.alias("tile"))
+    right = right.select("*", tile.alias("tile")).withColumn("a", F.substring("a", F.col("tile") * (8 * each) + 1, F.lit(8 * each)))
     inverse = np.broadcast_to(plan.null.inverse if plan.null is not None else np.array([[1.0 / n]]), (b, k, k)) if quantitative else np.linalg.pinv(info, hermitian=True)
     s2 = dev / max(1.0, n - rank_of(plan)) if quantitative else np.ones(b)
     perms = np.array(spec.perms, np.int32)
@@ -384,18 +397,19 @@ def covariance_tests(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataF
         parts = np.array([np.frombuffer(x, np.float64) for x in one.column("a").to_pylist()]).reshape(len(ids), k + 1, b)
         i, j = (ids.get_indexer(two.column(c).to_pandas()) for c in ("one", "two"))
         cells = np.array([np.frombuffer(x, np.float64) for x in two.column("a").to_pylist()])
-        stat = np.empty(b)
-        for at in range(b):
+        first = one.column("tile")[0].as_py() * each
+        stat = np.empty(cells.shape[1])
+        for own, at in enumerate(range(first, first + len(stat))):
             r = np.zeros((len(ids), len(ids)))
-            r[i, j] = r[j, i] = cells[:, at]
+            r[i, j] = r[j, i] = cells[:, own]
             xv = parts[:, 1:, at]
             cov = (r - xv @ inverse[at] @ xv.T) * np.outer(w, w)
             p = grouped.score_row(w * parts[:, 0, at] / math.sqrt(s2[at]), cov, want, config.saddlepoint)[0]
-            stat[at] = -math.log10(max(p, 1e-300))
+            stat[own] = -math.log10(max(p, 1e-300))
         gene, transcript = (one.column(c)[0].as_py() for c in GROUP)
-        return pa.table({"gene": [gene] * b, "transcript": [transcript] * b, "perm_id": perms, "stat": np.round(stat, 9)})
+        return pa.table({"gene": [gene] * len(stat), "transcript": [transcript] * len(stat), "perm_id": perms[first : first + len(stat)], "stat": np.round(stat, 9)})
 
-    return left.groupBy(*GROUP).cogroup(right.groupBy(*GROUP)).applyInArrow(work, "gene string, transcript string, perm_id int, stat double")
+    return left.groupBy(*GROUP, "tile").cogroup(right.groupBy(*GROUP, "tile")).applyInArrow(work, "gene string, transcript string, perm_id int, stat double")
 
 
 def biallelic(plan: Plan, spec: Labels, blocks: DataFrame, only) -> DataFrame:

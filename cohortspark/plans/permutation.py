@@ -6,7 +6,7 @@ the size of the permuted table; counts of blocks add up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
@@ -77,12 +77,17 @@ def stopped(marked: DataFrame, stops: DataFrame) -> DataFrame:
     return marked.join(stops, "gene").where("perm_id <= stop").drop("stop")
 
 
+def tied_rank(value: Column, ties: str, *group: str) -> Column:
+    """The rank of a value among its group's, the largest first; ties share the lowest, highest or mean of their places."""
+    order, alike = Window.partitionBy(*group).orderBy(value.desc()), Window.partitionBy(*group, value)
+    more = (F.count("*").over(alike) - 1) * {"min": 0.0, "max": 1.0, "average": 0.5}[ties]
+    return F.rank().over(order) + more
+
+
 def multi_transcript(observed: DataFrame, permuted: DataFrame) -> DataFrame:
     """Gene-level p: share of permutations whose best transcript rank is at least as good as the observed best one."""
     whole = observed.select(*GROUP, F.lit(0).alias("perm_id"), F.round("stat", 9).alias("stat")).unionByName(permuted.select(*GROUP, "perm_id", "stat"))
-    order = Window.partitionBy(*GROUP).orderBy(F.desc("stat"))
-    ties = Window.partitionBy(*GROUP, "stat")
-    rank = F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0
+    rank = tied_rank(F.col("stat"), "average", *GROUP)
     best = whole.select(*GROUP, "perm_id", rank.alias("rank")).groupBy("gene", "perm_id").agg(F.min("rank").alias("best"))
     seen = best.where("perm_id = 0").select("gene", F.col("best").alias("own"))
     joined = best.where("perm_id > 0").join(seen, "gene")

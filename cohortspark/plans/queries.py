@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cohort import FUNCTIONS, TYPES, Cohort, from_tables, read
-from ..config import AssocConfig
+from ..config import OPTIMIZERS, AssocConfig
+from ..functions.glm import distributed_fit
 from ..operators import filters as ops
 from ..operators.grouped import Null, design, hotelling, null_model, regression_tests, score_tests
 from ..operators.grouped import vaast_grouped as grouped_vaast
@@ -19,6 +20,7 @@ from . import permutation as perm
 from . import reports as rp
 from . import resampling as rs
 from . import statistics as st
+from . import tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -462,6 +464,47 @@ def permuted_calpha(spark: SparkSession, sf: str) -> DataFrame:
     return calpha_permuted(spark, sf)[1].select("gene", "transcript", F.col("perm_id").cast("long").alias("perm_id"), F.round("stat", 6).alias("stat"))
 
 
+@query("permuted_moments", PERM_BASE + " SELECT perm_id, round(avg(stat), 5) AS mean, round(var_pop(stat), 3) AS variance FROM ps GROUP BY 1")
+def permuted_moments(spark: SparkSession, sf: str) -> DataFrame:
+    found = tools.permuted_moments(calpha_permuted(spark, sf)[1])
+    return found.select(F.col("perm_id").cast("long").alias("perm_id"), F.round("mean", 5).alias("mean"), F.round("variance", 3).alias("variance"))
+
+
+@query("observed_percentile", PERM_BASE + " SELECT gene, transcript, round((sum(CAST(round(observed, 6) <= round(stat, 6) AS INT)) + 1) / (count(*) + 1.0), 6) AS percentile FROM hit GROUP BY 1, 2")
+def observed_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tools.percentile(perm.hits(*calpha_permuted(spark, sf))), "percentile")
+
+
+@query(
+    "tied_ranks",
+    """, s AS (SELECT gene, transcript, variant_id, carriers FROM cv), r AS (
+  SELECT *, rank() OVER (PARTITION BY gene, transcript ORDER BY carriers DESC) AS low, count(*) OVER (PARTITION BY gene, transcript, carriers) - 1 AS more FROM s
+) SELECT gene, transcript, variant_id, CAST(low AS DOUBLE) AS min_rank, CAST(low + more AS DOUBLE) AS max_rank, low + more / 2.0 AS mean_rank FROM r""",
+)
+def tied_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    counted = ops.counted_variants(from_tables(spark, sf))
+    names = {"min_rank": "min", "max_rank": "max", "mean_rank": "average"}
+    return counted.select(*st.GROUP, "variant_id", *(perm.tied_rank(F.col("carriers"), ties, *st.GROUP).cast("double").alias(c) for c, ties in names.items()))
+
+
+@query(
+    "vcf_matrix",
+    """, g AS (
+  SELECT variant_id, md5(string_agg(CAST(coalesce(CASE WHEN missing THEN NULL ELSE dosage END, 0) AS VARCHAR), '' ORDER BY sample_id)) AS gt_md5, sum(dosage) AS held
+  FROM (SELECT DISTINCT variant_id FROM variants) CROSS JOIN samples LEFT JOIN calls USING (variant_id, sample_id) GROUP BY 1
+) SELECT chrom, CAST(start AS VARCHAR) AS start, ref, alt, CASE WHEN length(ref) > length(alt) THEN 'deletion' WHEN length(ref) < length(alt) THEN 'insertion' ELSE 'SNV' END AS type, gene, transcript, gt_md5
+FROM variants JOIN g USING (variant_id) WHERE held > 0""",
+)
+def vcf_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls as of a VCF file meet the transcripts that they lie in, and become matrix rows."""
+    c = from_tables(spark, sf)
+    calls = c.calls.where("dosage > 0").join(c.variants.select("variant_id", "chrom", F.col("start").alias("pos"), "ref", "alt").distinct(), "variant_id")
+    models = c.variants.select("chrom", "gene", "transcript", (F.col("start") - 4).alias("tx_start"), (F.col("end") + 4).alias("tx_end"))
+    ids = [r.sample_id for r in c.samples.select("sample_id").orderBy("sample_id").collect()]
+    rows = tools.vcf_matrix(calls.select("chrom", "pos", "ref", "alt", "sample_id", F.col("dosage").alias("code")), models, ids)
+    return rows.select("chrom", "start", "ref", "alt", "type", "gene", "transcript", F.md5("gt").alias("gt_md5"))
+
+
 EMPIRICAL_SQL = """, c AS (SELECT gene, transcript, CAST(sum(hit) AS BIGINT) AS successes, CAST(sum(mid) AS DOUBLE) AS mid_successes, count(*) AS permutations FROM {hits} GROUP BY 1, 2)
 SELECT gene, transcript, successes, mid_successes, permutations,
        round(least(CASE WHEN permutations < {n} AND permutations > 1 THEN (successes - 1) / (permutations - 1) ELSE (successes + 1) / (permutations + 1.0) END, 1.0), 6) AS empirical_p,
@@ -793,6 +836,51 @@ def beta_weighted_skat(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(st.skat_q(c), "skat_q", digits=5)
 
 
+def biallelic_sql(labels: str) -> str:
+    """Biallelic scores (gene, transcript, perm_id, stat) of labels (sample_id, perm_id, py)."""
+    return f"""WITH lb AS ({labels}), gc AS (
+  SELECT variant_id, perm_id, CAST(sum(py * dosage) AS DOUBLE) AS g FROM calls JOIN lb USING (sample_id) WHERE dosage > 0 GROUP BY 1, 2
+), sc AS (
+  SELECT gene, transcript, variant_id, perm_id, g, 2 * ({lrt("g", "(ac - g)", "(2 * cases)", "(2 * (n - cases))", "0.02")} + ln(weight)) AS s FROM cv JOIN gc USING (variant_id), sizes
+), site AS (
+  SELECT *, CASE WHEN s < 0 OR g = 0 THEN 0 WHEN s > 0.5 THEN s - 0.5 ELSE s END AS score FROM sc
+), dd AS (
+  SELECT gene, transcript, perm_id, sample_id FROM calls JOIN site USING (variant_id) WHERE score > 0 GROUP BY 1, 2, 3, 4 HAVING sum(dosage) > 1
+), two AS (
+  SELECT gene, transcript, perm_id, CAST(sum(py) AS DOUBLE) AS a, CAST(sum(1 - py) AS DOUBLE) AS b FROM dd JOIN lb USING (sample_id, perm_id) GROUP BY 1, 2, 3
+), term AS (SELECT gene, transcript, perm_id, {lrt("a", "b", "cases", "(n - cases)", "0.02")} AS t FROM two, sizes),
+tot AS (SELECT gene, transcript, perm_id, sum(score) AS s FROM site GROUP BY 1, 2, 3)
+SELECT gene, transcript, perm_id, greatest(s + coalesce(t, 0), 0) AS stat FROM tot LEFT JOIN term USING (gene, transcript, perm_id)"""
+
+
+@query(
+    "scan_vaast_biallelic",
+    scan_sql(
+        f"SELECT gene, transcript, stat AS observed FROM ({biallelic_sql('SELECT sample_id, 0 AS perm_id, y AS py FROM samples')})",
+        biallelic_sql("SELECT sample_id, perm_id, py FROM perms"),
+        4,
+    ),
+)
+def scan_vaast_biallelic(spark: SparkSession, sf: str) -> DataFrame:
+    config = AssocConfig(method="VAAST", nperm=NPERM, successes=4, biallelic=True, site_penalty=0.5, soft_maf_filter=0.02, group_size=0)
+    return labelled_scan(spark, sf, config)
+
+
+@query(
+    "null_model_fits",
+    """SELECT optimizer, 2 AS rank, round(regr_intercept(trait, cov_num), 5) AS intercept, round(regr_slope(trait, cov_num), 5) AS slope, 0.0 AS again, true AS settled
+FROM (SELECT sample_id, cov_cat * trait + cov_cat AS trait, cov_num FROM samples), (VALUES ('irls'), ('irls_svdnewton'), ('irls_qr'), ('irls_qr_R'), ('gradient_descent')) o(optimizer) GROUP BY optimizer""",
+)
+def null_model_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every optimizer on a trait and a covariate that comes twice: the second one is left out."""
+    samples = from_tables(spark, sf).samples.withColumn("again", 3 - 2 * F.col("cov_num")).withColumn("trait", F.col("cov_cat") * F.col("trait") + F.col("cov_cat"))
+    rows = []
+    for optimizer in OPTIMIZERS:
+        fit = distributed_fit(design(samples, ("cov_num", "again")), "trait", "x", "gaussian", optimizer)
+        rows.append((optimizer, fit.rank, *(float(round(b, 5)) for b in fit.beta), fit.settled))
+    return spark.createDataFrame(rows, "optimizer string, rank int, intercept double, slope double, again double, settled boolean")
+
+
 # Resampling by hashes, which SQL can follow.
 
 POWER_SQL = f""", rk AS (SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS at FROM samples),
@@ -903,6 +991,12 @@ def effect_size_or(spark: SparkSession, sf: str) -> DataFrame:
     return rs.effect_sizes(from_tables(spark, sf), 40)
 
 
+@query("effect_size_adjusted")
+def effect_size_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    c = from_tables(spark, sf)
+    return rs.effect_sizes(c, 40, odds=rs.null_odds(binary_null(c)), epsilon=0.01)
+
+
 @query("scan_vaast_collapsed")
 def scan_vaast_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return association.scan(from_tables(spark, sf), AssocConfig(method="VAAST", nperm=0, var_collapsing=20, site_penalty=0.5))
@@ -924,6 +1018,19 @@ def scan_burden_qtl(spark: SparkSession, sf: str) -> DataFrame:
     return association.scan(from_tables(spark, sf), AssocConfig(method="BURDEN", nperm=20, successes=8, seed=3, qtl=True, file_weights=True))
 
 
+@query("scan_skat_qtl_adjusted")
+def scan_skat_qtl_adjusted(spark: SparkSession, sf: str) -> DataFrame:
+    """Traits change places among samples of like odds; the linear null model is fitted to every permutation."""
+    config = AssocConfig(method="SKAT", nperm=20, successes=8, seed=3, qtl=True, file_weights=True, bin_epsilon=0.01)
+    return association.scan(from_tables(spark, sf), config, categorical=("cov_cat",))
+
+
+@query("scan_skato_permuted")
+def scan_skato_permuted(spark: SparkSession, sf: str) -> DataFrame:
+    config = AssocConfig(method="SKATO", nperm=3, successes=2, seed=3, file_weights=True)
+    return association.scan(from_tables(spark, sf), config, categorical=("cov_cat",))
+
+
 @query("scan_rvt1_permuted")
 def scan_rvt1_permuted(spark: SparkSession, sf: str) -> DataFrame:
     return association.scan(from_tables(spark, sf), AssocConfig(method="RVT1", nperm=10, successes=5, seed=3), categorical=("cov_cat",))
@@ -941,3 +1048,4 @@ def thousand(method: str, **options: object) -> Query:
 query("wss_1000")(thousand("WSS"))
 query("skat_1000")(thousand("SKAT", file_weights=True))
 query("vaast_1000")(thousand("VAAST", site_penalty=0.5))
+query("vaast_biallelic_1000")(thousand("VAAST", site_penalty=0.5, biallelic=True))

@@ -12,7 +12,7 @@ from ..operators.filters import COLLAPSED, LOCUS, counted_variants
 from ..operators.products import numbered
 from .statistics import GROUP
 
-INTERVAL = 100_000  # bases in a bucket of the interval join
+LEAST_SIZE = 10  # buckets hold 2^10 bases at least
 
 
 def ranked(results: DataFrame, by: str, descending: bool = False) -> DataFrame:
@@ -86,10 +86,20 @@ def carrier_report(cohort: Cohort) -> DataFrame:
 
 
 def interval_join(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Points (chrom, pos) inside spans (chrom, span_start, span_end), both ends included: an equi-join on buckets."""
-    bucket = lambda c: F.floor(c / INTERVAL)
-    cut = spans.withColumn("bucket", F.explode(F.sequence(bucket(F.col("span_start")), bucket(F.col("span_end")))))
-    return points.withColumn("bucket", bucket(F.col("pos"))).join(cut, ["chrom", "bucket"]).where("pos between span_start and span_end").drop("bucket")
+    """Points (chrom, pos) inside spans (chrom, span_start, span_end), both ends included: an equi-join on buckets.
+
+    A span stands in the one or two buckets of its own size, a power of two, however long it is; a point looks at its bucket
+    of every size that spans have (a few dozen at most).  Crowded buckets are split as skewed keys by adaptive execution.
+    """
+    size = F.greatest(F.ceil(F.log2(F.col("span_end") - F.col("span_start") + 1.0)), F.lit(LEAST_SIZE)).cast("int")
+    bucket = lambda c, s: F.shiftright(c.cast("long"), s)
+    sized = spans.where("span_end >= span_start").withColumn("size_", size)
+    sizes = sorted(r.size_ for r in sized.select("size_").distinct().collect())
+    ends = F.array_distinct(F.array(*(F.call_function("shiftright", F.col(c).cast("long"), F.col("size_")) for c in ("span_start", "span_end"))))
+    cut = sized.withColumn("bucket_", F.explode(ends))
+    at = F.explode(F.array(*(F.struct(F.lit(s).alias("size_"), bucket(F.col("pos"), s).alias("bucket_")) for s in sizes)) if sizes else F.array().cast("array<struct<size_:int,bucket_:bigint>>"))
+    probed = points.withColumn("at_", at).select(*points.columns, "at_.size_", "at_.bucket_")
+    return probed.join(cut, ["chrom", "size_", "bucket_"]).where("pos between span_start and span_end").drop("size_", "bucket_")
 
 
 def variant_class(ref: Column, alt: Column) -> Column:

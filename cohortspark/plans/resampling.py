@@ -20,7 +20,8 @@ from ..functions.special import chi2_sf_col, fisher_odds_ratio, wilson
 from ..operators.dealing import CaseTree
 from ..operators.filters import counted_variants
 from ..operators.grouped import Null
-from ..operators.products import SampleBlock, lay_out, numbered
+from ..operators.products import SampleBlock, column_sums, lay_out, numbered, product
+from ..streaming.blocks import persist
 from .permutation import uniform_permutations
 from .statistics import GROUP, carriers, g_test
 
@@ -37,20 +38,60 @@ def odds_bins(odds: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]
     return bins, np.bincount(bins, odds) / np.bincount(bins)
 
 
+def chain_ends(values: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next, last, count) for a bin that starts at each of the sorted values: where the next one starts (the length: nowhere),
+    where the last one of the chain does, and how many there are; by pointer doubling."""
+    size = len(values)
+    following = np.searchsorted(values, values + step, side="left")
+    jump, last, count = following.copy(), np.arange(size), np.ones(size, np.int64)
+    while (on := np.flatnonzero(jump < size)).size:
+        to = jump[on]
+        last[on], count[on], jump[on] = last[to], count[on] + count[to], jump[to]
+    return following, last, count
+
+
 def binned(odds: DataFrame, epsilon: float = 1e-4) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """((sample_id, bin), samples of each bin, mean odds of each bin) of odds(sample_id, odds).
+    """((sample_id, bin), samples of each bin, mean odds of each bin) of odds(sample_id, odds), the bins of `odds_bins`.
 
-    Spark counts cells of a tenth of epsilon; the driver joins cells to bins, and sees no samples.
+    Distinct values are sorted in ranges.  A range's task finds, for each value that could be the first left edge inside it,
+    the last one; the driver follows the edges from range to range, and the tasks name the bins.  The driver sees the values
+    of one epsilon of each range, and the bins.
     """
-    step = epsilon / 10
-    cells = odds.select("sample_id", F.round(F.col("odds") / step).cast("long").alias("cell"))
-    table = cells.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toPandas()
-    value = table["cell"].to_numpy(float) * step
-    bins, _ = odds_bins(value, epsilon)
-    sizes = np.bincount(bins, table["n"]).astype(np.int64)
-    means = np.maximum(np.bincount(bins, value * table["n"]) / sizes, step)
-    of_cell = odds.sparkSession.createDataFrame(pd.DataFrame({"cell": table["cell"], "bin": bins.astype(np.int32)}), "cell long, bin int")
-    return cells.join(of_cell, "cell").select("sample_id", "bin"), sizes, means
+    step = epsilon + 1e-10
+    odds = odds.select("sample_id", F.col("odds").cast("double").alias("odds"))
+    values = odds.groupBy("odds").agg(F.count("*").alias("n"))
+    ranges = persist(values.repartitionByRange("odds").sortWithinPartitions("odds").withColumn("part", F.spark_partition_id()))
+
+    def entries(group: pa.Table) -> pa.Table:
+        v = np.sort(group.column("odds").to_numpy())
+        _, last, count = chain_ends(v, step)
+        first = int(np.searchsorted(v, v[0] + step, side="left")) + 1  # one beyond the first epsilon too
+        table = {"part": group.column("part").slice(0, 1), "edges": [v[:first].tolist()], "lasts": [v[last[:first]].tolist()], "counts": [count[:first].tolist()]}
+        return pa.table(table, schema=pa.schema([("part", pa.int32()), ("edges", pa.list_(pa.float64())), ("lasts", pa.list_(pa.float64())), ("counts", pa.list_(pa.int64()))]))
+
+    known: dict[int, tuple[float, int]] = {}
+    edge, bins = -math.inf, 0
+    for r in ranges.groupBy("part").applyInArrow(entries, "part int, edges array<double>, lasts array<double>, counts array<bigint>").orderBy("part").collect():
+        known[r.part] = edge, bins
+        at = int(np.searchsorted(r.edges, edge + step, side="left"))
+        if at < len(r.edges):
+            edge, bins = r.lasts[at], bins + r.counts[at]
+
+    def name(group: pa.Table) -> pa.Table:
+        group = group.sort_by("odds")
+        v = group.column("odds").to_numpy()
+        before, bin_ = known[group.column("part")[0].as_py()]
+        following, at, starts = chain_ends(v, step)[0], int(np.searchsorted(v, before + step, side="left")), []
+        while at < len(v):
+            starts.append(at)
+            at = int(following[at])
+        number = bin_ - 1 + np.searchsorted(starts, np.arange(len(v)), side="right")
+        return pa.table({"odds": v, "n": group.column("n"), "bin": pa.array(number, pa.int32())})
+
+    named = persist(ranges.groupBy("part").applyInArrow(name, "odds double, n long, bin int"))
+    table = named.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("odds") * F.col("n")).alias("sum")).orderBy("bin").toPandas()
+    sizes = table["n"].to_numpy(np.int64)
+    return odds.join(named.select("odds", "bin"), "odds").select("sample_id", "bin"), sizes, np.maximum(table["sum"].to_numpy(float) / np.maximum(sizes, 1), 1e-300)
 
 
 def null_odds(null: Null, quantitative: bool = False) -> DataFrame:
@@ -183,13 +224,30 @@ def permuted_power(cohort: Cohort, config: AssocConfig, reps: int, n_cases: int,
     return ratios(tested, config.method, reps, n_cases, n_controls, alphas)
 
 
-def effect_sizes(cohort: Cohort, nperm: int, seed: int = 1) -> DataFrame:
-    """Conditional odds ratio of carrying any variant, with its permutation percentiles and p-value."""
+def adjusted_carriers(cohort: Cohort, nperm: int, seed: int, odds: DataFrame, epsilon: float) -> DataFrame:
+    """(gene, transcript, all): cases among a group's carriers in permutations by odds(sample_id, odds), in order of size."""
+    dealt, _, means = binned(odds, epsilon)
+    layout = lay_out(cohort.samples.select("sample_id", "y", "trait").join(dealt, "sample_id"), cohort.sizes[1], seed, odds=means)
+    columns = layout.columns(carriers(cohort).select(*GROUP, "sample_id", F.lit(1.0).alias("value")), list(GROUP))
+    spec = layout.base.part(1, nperm)
+
+    def sums(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
+        return {"a": column_sums(table.column("pos"), table.column("value"), s.labels(spec), lambda v: v[None])[:, 0]}
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            counts = [np.sort(np.frombuffer(x)).astype(np.int64) for x in rows.column("a").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in GROUP), pa.array(counts, pa.list_(pa.int64()))], names=[*GROUP, "all"])
+
+    return product(columns, layout.blocks, layout.number, list(GROUP), sums, ["a"], nperm).mapInArrow(ordered, "gene string, transcript string, all array<bigint>")
+
+
+def effect_sizes(cohort: Cohort, nperm: int, seed: int = 1, odds: DataFrame | None = None, epsilon: float = 1e-4) -> DataFrame:
+    """Conditional odds ratio of carrying any variant, with its permutation percentiles and p-value; labels are permuted
+    uniformly, or by odds(sample_id, odds)."""
     n, cases = cohort.sizes
     held = carriers(cohort).select(*GROUP, "sample_id", "y")
-    seen = held.groupBy(*GROUP).agg(F.sum("y").alias("a"), F.count("*").alias("m")).withColumn("perm_id", F.lit(0))
-    labels = uniform_permutations(cohort, 1, nperm, seed)
-    permuted = held.drop("y").join(labels, "sample_id").groupBy(*GROUP, "perm_id").agg(F.sum("y").alias("a"), F.count("*").alias("m"))
+    seen = held.groupBy(*GROUP).agg(F.sum("y").alias("a"), F.count("*").alias("m"))
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, m: pd.Series) -> pd.Series:
@@ -197,8 +255,12 @@ def effect_sizes(cohort: Cohort, nperm: int, seed: int = 1) -> DataFrame:
 
     # Percentiles and p-value need the cases among carriers only: the odds ratio grows with them.
     own = seen.select(*GROUP, F.col("a").alias("own"), "m")
-    order = F.array_sort(F.collect_list("a"))
-    spread = permuted.groupBy(*GROUP).agg(order.alias("all"))
+    if odds is None:
+        labels = uniform_permutations(cohort, 1, nperm, seed)
+        permuted = held.drop("y").join(labels, "sample_id").groupBy(*GROUP, "perm_id").agg(F.sum("y").alias("a"))
+        spread = permuted.groupBy(*GROUP).agg(F.array_sort(F.collect_list("a")).alias("all"))
+    else:
+        spread = adjusted_carriers(cohort, nperm, seed, odds, epsilon)
     at = lambda q: F.element_at("all", F.lit(int(q * nperm) + 1))
     joined = own.join(spread, list(GROUP)).select(*GROUP, "own", "m", at(0.025).alias("low"), at(0.975).alias("high"), F.size(F.filter("all", lambda x: x >= F.col("own"))).alias("hits"))
     return joined.select(

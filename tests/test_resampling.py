@@ -1,7 +1,6 @@
 """Adjusted permutations, bootstrap, effect sizes and streams of shards."""
 
 import math
-from itertools import product
 
 import numpy as np
 import pytest
@@ -13,6 +12,7 @@ from cohortspark.plans import association
 from cohortspark.plans import permutation as perm
 from cohortspark.plans import reports as rp
 from cohortspark.plans import resampling as rs
+from cohortspark.plans import statistics as st
 from cohortspark.streaming.blocks import merge_stream
 
 SF = "/root/testdata/sf0.001"
@@ -23,6 +23,23 @@ def test_bins():
     assert np.bincount(bins).tolist() == [2, 2] and np.allclose(means, [0.125, 0.95])
 
 
+def test_bins_across_ranges(spark):
+    """Bins of unrounded odds over many ranges equal the greedy loop, in sparse and crowded places, with repeats."""
+    rng = np.random.default_rng(5)
+    for epsilon in (0.003, 0.05, 5.0):
+        odds = np.concatenate((rng.exponential(1, 400), rng.uniform(0.5, 0.52, 300), np.repeat(0.7, 50), [40.0, 40.0 + epsilon, 40.0 + 2 * epsilon]))
+        want, means = rs.odds_bins(odds, epsilon)
+        frame = spark.createDataFrame([(k, float(v)) for k, v in enumerate(odds)], "sample_id long, odds double").repartition(3)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            dealt, sizes, got_means = rs.binned(frame, epsilon)
+            got = {r.sample_id: r.bin for r in dealt.collect()}
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert [got[k] for k in range(len(odds))] == want.tolist()
+        assert sizes.tolist() == np.bincount(want).tolist() and np.allclose(got_means, means)
+
+
 @pytest.fixture(scope="module")
 def cohort(spark):
     return from_tables(spark, SF)
@@ -50,6 +67,13 @@ def test_bootstrap_and_power(cohort):
     assert all(0 <= r.ratio <= 1 for r in rs.permuted_power(cohort, AssocConfig(method="CALPHA", nperm=12), 2, 30, 30, (0.5,), odds).collect())
     assert all(r.or_ci_low <= r.or_ci_high and 0 < r.p_value <= 1 for r in rs.effect_sizes(cohort, 20).collect() if not math.isnan(r.or_ci_low))
     assert rs.testable(cohort).where("testable").count() > 0
+    # By odds: the same counts as from labels made one by one.
+    labels = rs.adjusted_permutations(cohort, odds, 1, 12).toPandas()
+    cases_of = {k: set(f["sample_id"][f["y"] == 1]) for k, f in labels.groupby("perm_id")}
+    held = st.carriers(cohort).select("gene", "transcript", "sample_id").toPandas()
+    want = {key: sorted(len(cases_of[k] & set(f["sample_id"])) for k in range(1, 13)) for key, f in held.groupby(["gene", "transcript"])}
+    assert {(r.gene, r.transcript): list(r.all) for r in rs.adjusted_carriers(cohort, 12, 1, odds, 1e-4).collect()} == want
+    assert all(0 < r.p_value <= 1 for r in rs.effect_sizes(cohort, 12, odds=odds).collect())
     config = AssocConfig(method="CALPHA", nperm=9)
     best = rs.extreme_statistic(cohort, config)
     seen = association.statistic(cohort, config)
