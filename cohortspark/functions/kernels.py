@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 from .special import chi2_isf, chi2_sf
-from .tails import form_sf, form_sf_all, liu_quantile
+from .tails import exact_quantile, form_sf, form_sf_all, liu_quantile
 
 # Mixing weights of the optimal test.
 RHO = (0.0, 0.01, 0.04, 0.09, 0.16, 0.25, 0.5, 1.0)
@@ -70,8 +70,12 @@ def lower_edges(offset: np.ndarray, slope: np.ndarray, top: float) -> np.ndarray
     return np.array(kept)
 
 
-def skato(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> tuple[float, float]:
-    """(p, error of the integral): optimal combination of burden and variance-component tests over a grid of mixing weights."""
+def skato(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False, exact: bool = False) -> tuple[float, float]:
+    """(p, error of the integral): optimal combination of burden and variance-component tests over a grid of mixing weights.
+
+    Quantiles come from matched moments scaled by the degrees of freedom (not by their root), which makes a small p
+    too large, about twice at 0.05; exact: quantiles from the tails themselves, with which p is right.
+    """
     n = len(z)
     rows = r.sum(axis=1)
     total = float(rows.sum())
@@ -93,7 +97,7 @@ def skato(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> tuple[
         ps.append(form_sf((1 - rho) * q_skat + rho * q_burden, spectrum, use_saddlepoint))
     best = min(ps)
     bound = min(1.0, best * len(RHO))
-    quantiles = np.array([liu_quantile(best, s) for s in spectra])
+    quantiles = np.array([exact_quantile(best, s) if exact else liu_quantile(best, s) for s in spectra])
     lam = np.abs(np.linalg.eigvalsh(r - np.outer(rows, rows) / total))
     r2, r3 = float(rows @ rows), float(rows @ r @ rows)
     grid = np.array(RHO[:-1])
@@ -116,8 +120,8 @@ def skato(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> tuple[
     return max(SMALLEST, bound if not math.isfinite(p) or p <= 0 else min(p, bound)), error
 
 
-def skato_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False) -> float:
-    return skato(z, r, use_saddlepoint)[0]
+def skato_p(z: np.ndarray, r: np.ndarray, use_saddlepoint: bool = False, exact: bool = False) -> float:
+    return skato(z, r, use_saddlepoint, exact)[0]
 
 
 def site_score(counts: np.ndarray, weight: float, cap: float) -> float:

@@ -152,6 +152,18 @@ def liu_quantile(p: float, lam: np.ndarray) -> float:
     return (chi2_isf(p if p > 0 else 1.5e-154, df) - df) / (math.sqrt(2) * df) * sd + mean
 
 
+def exact_quantile(p: float, lam: np.ndarray) -> float:
+    """The value with upper tail p of a form without negative weights: the tail at 32 points at once narrows it down."""
+    low, high = 0.0, float(lam.sum())
+    while positive_tail(np.array([high]), lam)[0] > p:
+        low, high = high, 2 * high
+    for _ in range(6):
+        at = np.linspace(low, high, 33)
+        k = int(np.flatnonzero(np.append(positive_tail(at[:-1], lam), 0.0) <= p)[0])
+        low, high = at[max(k - 1, 0)], at[max(k, 1)]
+    return (low + high) / 2
+
+
 def saddlepoint(q: float, lam: np.ndarray) -> float:
     """Upper tail by Kuonen's (1999) saddlepoint approximation; moments are matched where it does not hold (at the mean).
 

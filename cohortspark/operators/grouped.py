@@ -100,16 +100,19 @@ def square(pairs: pa.Table, ids: pd.Index) -> np.ndarray:
 
 
 SCORE_TESTS = ("burden", "burden_p", "skat_q", "skat_p", "skato_p", "skatc_p")
+MORE_TESTS = ("skato_exact_p", "skato_error")  # p with exact quantiles; the error of the integral behind skato_p
 
 
 def score_row(z: np.ndarray, r: np.ndarray, want: tuple[str, ...], use_saddlepoint: bool) -> list[float]:
-    """The wanted ones of SCORE_TESTS from weighted scores and their covariance."""
+    """The wanted ones of SCORE_TESTS and MORE_TESTS from weighted scores and their covariance."""
     total, square_sum = float(r.sum()), float(z.sum() ** 2)
     burden_p = kernels.burden_p(square_sum, total)
     skat_p = kernels.skat_p(z, r, use_saddlepoint) if {"skat_p", "skatc_p"} & set(want) else math.nan
     found = {"burden": square_sum / total if total > 0 else 0.0, "burden_p": burden_p, "skat_q": float(z @ z), "skat_p": skat_p}
-    if "skato_p" in want:
-        found["skato_p"] = kernels.skato_p(z, r, use_saddlepoint)
+    if {"skato_p", "skato_error"} & set(want):
+        found["skato_p"], found["skato_error"] = kernels.skato(z, r, use_saddlepoint)
+    if "skato_exact_p" in want:
+        found["skato_exact_p"] = kernels.skato_p(z, r, use_saddlepoint, True)
     if "skatc_p" in want:
         found["skatc_p"] = kernels.cauchy_p([skat_p, burden_p])
     return [found[c] for c in want]
