@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_mod, slices, texts
+from .runtime import crc_mod, give_back, slices, texts
 from .samples import labelled_sample
 
 WORD_BUCKETS = 1 << 13
@@ -157,7 +157,9 @@ def fit(sample: DataFrame, epochs: int = EPOCHS, rank: int = RANK, penalty: floa
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0."""
-    return fit(labelled_sample(docs, labels, "quality", 5, 0, rows))
+    model = fit(labelled_sample(docs, labels, "quality", 5, 0, rows))
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD_BYTES, crc_mod, slices
+from .runtime import WORD_BYTES, crc_mod, give_back, slices
 from .samples import labelled_sample
 
 SIZES = (4, 5, 6)
@@ -171,7 +171,9 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn from labelled rows whose crc32(doc_id) mod 4 is not 2."""
-    return fit(labelled_sample(docs, labels, "toxic", 4, 2, rows))
+    model = fit(labelled_sample(docs, labels, "toxic", 4, 2, rows))
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
