@@ -201,6 +201,20 @@ def test_biallelic_against_a_loop(cohort, monkeypatch):
     assert all(math.isclose(got[g, t, 0], v, rel_tol=1e-6, abs_tol=1e-6) for (g, t), v in seen.items())
 
 
+def test_tiles(cohort, monkeypatch):
+    """SKATC permuted in tiles of one permutation equals that of whole blocks; a tile's cells stay within the bound."""
+    config = AssocConfig(method="SKATC", nperm=3, seed=2, file_weights=True)
+    null = grouped.null_model(grouped.design(cohort.samples, categorical=("cov_cat",)))
+    plan = a.make_plan(a.prepare(cohort, config), config, null, True)
+    whole = {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 3).collect()}
+    monkeypatch.setattr(a, "tile_size", lambda variants, perms: 1)
+    tiles = {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 3).collect()}
+    assert whole.keys() == tiles.keys() and all(math.isclose(whole[k], tiles[k], rel_tol=1e-6, abs_tol=1e-9) for k in whole)
+    monkeypatch.undo()
+    for variants, perms in ((1, 10), (861, 256), (5_000, 256)):
+        assert a.tile_size(variants, perms) == 1 or a.tile_size(variants, perms) * variants * (variants + 1) / 2 <= products.CELLS / 4
+
+
 def test_external_file_ends_early(spark, cohort):
     """A file with fewer permutations than wanted ends the scan, without an error."""
     n, cases = cohort.sizes

@@ -1,5 +1,8 @@
 """Conversions, lookups, stops and sinks."""
 
+import numpy as np
+
+from cohortspark.plans import reports as rp
 from cohortspark.plans import tools
 from cohortspark.sources import files, sinks
 
@@ -13,6 +16,18 @@ def test_vcf_matrix(spark):
     assert tools.collapsed_rows(rows, rows.where("transcript = 'T1'").select("chrom", "start", "end", "ref", "alt", "transcript")).count() == 1
 
 
+def test_interval_join(spark):
+    """Spans from one base to a whole genome, a crowded place, empty spans and both ends, against a loop."""
+    rng = np.random.default_rng(3)
+    points = [("c1" if k % 5 else "c2", int(p)) for k, p in enumerate(np.concatenate((rng.integers(0, 3_000_000, 150), np.full(100, 77_777), [0, 1023, 1024, 1025])))]
+    spans = [("c1", int(a), int(a + w), k) for k, (a, w) in enumerate(zip(rng.integers(0, 3_000_000, 60), 2 ** rng.integers(0, 22, 60), strict=True))]
+    spans += [("c1", 0, 3 * 10**9, 100), ("c1", 77_777, 77_777, 101), ("c1", 1023, 1024, 102), ("c2", 5, 4, 103), *(("c1", 77_000 + k, 78_000, 200 + k) for k in range(40))]
+    got = rp.interval_join(spark.createDataFrame(points, "chrom string, pos long"), spark.createDataFrame(spans, "chrom string, span_start long, span_end long, id int"))
+    assert sorted((r.chrom, r.pos, r.id) for r in got.collect()) == sorted((c, p, i) for c, p in points for d, a, b, i in spans if c == d and a <= p <= b)
+    none = spark.createDataFrame([], "chrom string, span_start long, span_end long, id int")
+    assert rp.interval_join(spark.createDataFrame(points, "chrom string, pos long"), none).count() == 0
+
+
 def test_locate(spark):
     f = spark.createDataFrame([("gene", "E1", None, "AB", "1", 5, 9), ("mRNA", "T1", "E1", None, "1", 6, 9), ("gene", "E2", None, None, "2", 7, 9)], "kind string, id string, parent string, name string, chrom string, start long, end long")
     r = spark.createDataFrame([("E2.4", 0.1), ("AB", 0.2), ("T1", 0.3), ("none", 0.4)], "gene string, p double")
