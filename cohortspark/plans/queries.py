@@ -14,7 +14,9 @@ from ..operators import filters as ops
 from ..operators.grouped import Null, design, hotelling, null_model, regression_tests, score_tests
 from ..operators.grouped import vaast_grouped as grouped_vaast
 from ..operators.products import numbered
-from ..sources.files import repeated_variants
+from ..sources import sinks
+from ..sources.files import MATRIX, from_files, read_permutations, read_simple, repeated_variants, write_permutations
+from ..streaming.blocks import shared_path
 from . import association
 from . import permutation as perm
 from . import reports as rp
@@ -881,6 +883,77 @@ def null_model_fits(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "optimizer string, rank int, intercept double, slope double, again double, settled boolean")
 
 
+# Through files: the tables written as the files of a study and read again.
+
+
+def write_text(rows: DataFrame, path: str, *columns: F.Column | str) -> str:
+    rows.select(F.concat_ws("\t", *columns).alias("value")).write.text(path)
+    return path
+
+
+def cohort_by_files(spark: SparkSession, sf: str) -> Cohort:
+    """The cohort as matrix, pedigree (six samples in seven), covariates, weights (a third) and mask (one variant in 50)."""
+    c, path = from_tables(spark, sf), shared_path(spark, "files")
+    ids = [r.sample_id for r in c.samples.select("sample_id").orderBy("sample_id").collect()]
+    codes = c.calls.groupBy("variant_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.when(F.col("missing"), 5).otherwise(F.col("dosage"))))).alias("codes"))
+    glued = F.array_join(F.transform(F.array(*map(F.lit, ids)), lambda i: F.coalesce(F.col("codes")[i], F.lit(0)).cast("string")), "")
+    head = spark.createDataFrame([("\t".join(["Chr", *MATRIX[1:], *map(str, ids)]),)], "value string")
+    texts = [F.col(k).cast("string") for k in ("chrom", "start", "end", "ref", "alt", "type", "gene", "transcript")]
+    body = c.variants.join(codes, "variant_id", "left").select(F.concat_ws("\t", *texts, F.lit("exonic"), "function", F.lit("."), glued).alias("value"))
+    body.unionByName(head).write.text(f"{path}/matrix")
+    status = F.when(F.col("y") == 1, "2").otherwise("1")
+    zero = F.lit("0")
+    write_text(c.samples.where("sample_id % 7 <> 0"), f"{path}/ped", zero, F.col("sample_id").cast("string"), zero, zero, zero, status)
+    write_text(c.samples, f"{path}/cov", F.col("sample_id").cast("string"), F.col("cov_num").cast("string"), F.concat(F.lit("L"), F.col("cov_cat").cast("string")))
+    old = [F.when(F.col("type") == "SNV", "SNP").otherwise(F.col("type")) if k == 5 else t for k, t in enumerate(texts)]
+    write_text(c.variants.where("variant_id % 3 = 0"), f"{path}/weights", *old, F.col("weight").cast("string"))
+    write_text(c.variants.where("variant_id % 50 = 0"), f"{path}/mask", *texts[:5])
+    return from_files(spark, [f"{path}/matrix"], f"{path}/ped", f"{path}/weights", f"{path}/mask", covariates=f"{path}/cov")
+
+
+@query(
+    "file_variants",
+    """, k AS (
+  SELECT variant_id, sum(dosage) AS ac, sum(CAST(dosage > 0 AS INT)) AS carriers, sum(dosage * y) AS case_ac FROM calls JOIN samples USING (sample_id) WHERE sample_id % 7 <> 0 GROUP BY 1
+) SELECT chrom, CAST(start AS VARCHAR) AS start, transcript, CASE WHEN variant_id % 3 = 0 THEN round(weight, 6) ELSE 1.0 END AS weight,
+         CAST(coalesce(ac, 0) AS BIGINT) AS ac, CAST(coalesce(carriers, 0) AS BIGINT) AS carriers, CAST(coalesce(case_ac, 0) AS BIGINT) AS case_ac
+FROM variants LEFT JOIN k USING (variant_id) WHERE variant_id % 50 <> 0""",
+)
+def file_variants(spark: SparkSession, sf: str) -> DataFrame:
+    counted = ops.counted_variants(cohort_by_files(spark, sf))
+    return rounded(counted.select("chrom", "start", "transcript", "weight", *(F.col(k).cast("long").alias(k) for k in ("ac", "carriers", "case_ac"))), "weight")
+
+
+@query(
+    "file_samples",
+    """, top AS (SELECT max(cov_cat) AS last FROM samples)
+SELECT CAST(sample_id AS VARCHAR) AS sample_id, y, round(cov_num, 6) AS cov_num, CAST(1 + (SELECT count(DISTINCT cov_cat) FROM samples) AS INT) AS columns,
+       CASE WHEN cov_cat = last THEN 0.0 ELSE 1.0 END AS levels FROM samples, top WHERE sample_id % 7 <> 0""",
+)
+def file_samples(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("x")
+    level = F.aggregate(F.slice(x, 3, F.greatest(F.size(x) - 2, F.lit(0))), F.lit(0.0), lambda a, b: a + b)
+    return cohort_by_files(spark, sf).samples.select("sample_id", "y", F.round(x[1], 6).alias("cov_num"), F.size(x).alias("columns"), level.alias("levels"))
+
+
+@query("file_results", SQL["calpha_ranked"].removeprefix(BASE))
+def file_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranked result, written as a result file and read again."""
+    c, path = from_tables(spark, sf), shared_path(spark, "results")
+    n, cases = c.sizes
+    sinks.write_simple(calpha_ranked(spark, sf).withColumnRenamed("calpha", "stat"), path, cases, n - cases)
+    found = read_simple(spark, path)
+    return found.select(F.col("Rank").cast("int").alias("rank"), F.col("Gene").alias("gene"), F.col("Transcript").alias("transcript"), F.col("Test_Statistic").cast("double").alias("calpha"))
+
+
+@query("file_permutations", PERM_BASE.split(", pc AS")[0] + " SELECT perm_id, string_agg(CAST(py AS VARCHAR), '' ORDER BY sample_id) AS labels FROM perms WHERE perm_id BETWEEN 3 AND 9 GROUP BY 1")
+def file_permutations(spark: SparkSession, sf: str) -> DataFrame:
+    """Permutations written as a file, of which a block is read."""
+    path = shared_path(spark, "permutations")
+    write_permutations(perm.uniform_permutations(from_tables(spark, sf), 1, NPERM, SEED), path)
+    return read_permutations(spark, path, 3, 9)
+
+
 # Resampling by hashes, which SQL can follow.
 
 POWER_SQL = f""", rk AS (SELECT sample_id, y, row_number() OVER (PARTITION BY y ORDER BY sample_id) - 1 AS at FROM samples),
