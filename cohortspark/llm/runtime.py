@@ -96,7 +96,7 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 
 
 def give_back() -> None:
-    """Memory that a fit on the driver has freed goes back to the machine: the driver stays for what comes next."""
+    """Memory that a fit on the driver or a task has freed goes back to the machine: their processes stay for what comes next."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
@@ -112,7 +112,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
-    pa.default_memory_pool().release_unused()  # the worker stays for stages that need none of it
+    give_back()  # the worker stays for stages that need none of it
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
