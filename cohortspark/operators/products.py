@@ -40,9 +40,9 @@ def numbered(rows: DataFrame, *order: str, name: str = "at") -> DataFrame:
 
 
 def sample_blocks(samples: DataFrame) -> DataFrame:
-    """One row for each block of numbered samples (at, y, trait[, bin][, x]): its columns as arrays."""
+    """One row for each block of numbered samples (at, y, trait[, bin][, x][, id]): its columns as arrays."""
     has = samples.columns
-    known = {"y": F.col("y").cast("int"), "trait": F.col("trait").cast("double"), "bin": F.col("bin").cast("int") if "bin" in has else F.lit(0), "x": F.col("x") if "x" in has else F.array(F.lit(1.0))}
+    known = {"y": F.col("y").cast("int"), "trait": F.col("trait").cast("double"), "bin": F.col("bin").cast("int") if "bin" in has else F.lit(0), "x": F.col("x") if "x" in has else F.array(F.lit(1.0)), **({"id": F.col("id")} if "id" in has else {})}
     row = F.struct(F.col("at").alias("at"), *(c.alias(k) for k, c in known.items()))
     packed = samples.groupBy(F.floor(F.col("at") / BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(row)).alias("s"))
     return packed.select("block", *(F.col("s").getField(k).alias(k) for k in known))

@@ -20,7 +20,7 @@ from ..functions.special import chi2_sf_col, fisher_odds_ratio, wilson
 from ..operators.dealing import CaseTree
 from ..operators.filters import counted_variants
 from ..operators.grouped import Null
-from ..operators.products import SampleBlock, column_sums, lay_out, numbered, product
+from ..operators.products import SampleBlock, column_sums, lay_out, numbered, product, sample_blocks
 from ..streaming.blocks import persist
 from .permutation import uniform_permutations
 from .statistics import GROUP, carriers, g_test
@@ -105,7 +105,8 @@ def null_odds(null: Null, quantitative: bool = False) -> DataFrame:
 def adjusted_permutations(cohort: Cohort, odds: DataFrame, first: int, last: int, epsilon: float = 1e-4, seed: int = 1) -> DataFrame:
     """(perm_id, sample_id, y): cases are dealt to bins of like odds(sample_id, odds), then by lot inside each bin.
 
-    A task makes the labels of one block of samples, whose cases it finds by walking down the tree of cells.
+    A task makes the labels of one block of samples, whose cases it finds by walking down the tree of cells.  A block brings
+    its sample ids, so that labels are joined with nothing.
     """
     _, cases = cohort.sizes
     dealt, _, means = binned(odds, epsilon)
@@ -117,12 +118,12 @@ def adjusted_permutations(cohort: Cohort, odds: DataFrame, first: int, last: int
             table = pa.Table.from_batches([batch])
             for row in range(table.num_rows):
                 block = SampleBlock.of(table, row)
-                at = pa.array(block.number * spec.rows + np.arange(len(block.y)))
-                y = block.labels(spec).astype(np.int32)
+                ids, y = table.column("id")[row].values, block.labels(spec).astype(np.int32)
                 for k, perm_id in enumerate(spec.perms):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), perm_id, np.int32)), at, pa.array(np.ascontiguousarray(y[:, k]))], names=["perm_id", "at", "y"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), perm_id, np.int32)), ids, pa.array(np.ascontiguousarray(y[:, k]))], names=["perm_id", "sample_id", "y"])
 
-    return layout.blocks.mapInArrow(labels, "perm_id int, at long, y int").join(layout.index.select("at", "sample_id"), "at").select("perm_id", "sample_id", "y")
+    kind = layout.index.schema["sample_id"].dataType.simpleString()
+    return sample_blocks(layout.index.withColumn("id", F.col("sample_id"))).mapInArrow(labels, f"perm_id int, sample_id {kind}, y int")
 
 
 def bootstrap(cohort: Cohort, reps: int, n_cases: int, n_controls: int, seed: int = 1) -> DataFrame:

@@ -104,3 +104,11 @@ def test_stream_of_shards(spark, tmp_path):
     q.stop()
     want = perm.combine_shards(spark.createDataFrame(rows, names)).collect()
     assert spark.sql("SELECT * FROM shards_total").collect() == want
+
+
+def test_adjusted_labels_are_joined_with_nothing(spark, cohort):
+    """Labels come with their sample ids: a join would send all of them, or all ids, through the driver as a broadcast."""
+    odds = cohort.samples.select("sample_id", F.lit(1.0).alias("odds"))
+    found = rs.adjusted_permutations(cohort, odds, 1, 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.groupBy("perm_id").agg(F.countDistinct("sample_id").alias("n"), F.sum("y").alias("y")).select("n", "y").distinct().collect() == [cohort.sizes]
