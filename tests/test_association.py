@@ -309,3 +309,35 @@ def test_plot_tables(spark, cohort):
     p = spark.createDataFrame([("g", "t", 0.1), ("h", "t", 0.01)], "gene string, transcript string, p double")
     assert [(round(r.observed, 6), round(r.expected, 6)) for r in rp.quantiles(p).orderBy("gene").collect()] == [(1.0, round(-math.log10(0.75), 6)), (2.0, round(-math.log10(0.25), 6))]
     assert rp.power_curve(rs.power(cohort, 2, 20, 20)).where("samples = 40").count() > 0
+
+
+@pytest.mark.parametrize("options", [{"method": "SKAT", "file_weights": True}, {"method": "CALPHA"}, {"method": "BURDEN", "file_weights": True}, {"method": "CMC1df"}, {"method": "VAAST"}, {"method": "VAAST", "biallelic": True}], ids=str)
+def test_counts_in_tiles(cohort, monkeypatch, options):
+    """The same values when a task holds only a few cells of a group's counts and adds only a few up."""
+    config = AssocConfig(nperm=5, successes=100, seed=4, site_penalty=0.5, **options)
+
+    def found():
+        plan = a.make_plan(a.prepare(cohort, config), config, None, False)
+        plan.__dict__["largest"] = 100_000_000  # does not cut the blocks of permutations
+        size = a.block_size(plan)
+        plan.__dict__["largest"] = 8
+        return size, {(r.gene, r.transcript, r.perm_id): r.stat for r in a.permuted_statistic(plan, 0, 5).collect()}
+
+    want = found()
+    monkeypatch.setattr(products, "BLOCK", 40)
+    monkeypatch.setattr(products, "ADDED", 32)
+    monkeypatch.setattr(a, "TILE", 16)
+    # Labels depend on the blocks of samples; the observed ones do not.
+    got = found()
+    assert want[0] == got[0] == 5 and got[1].keys() == want[1].keys()
+    first = [k for k in want[1] if k[2] == 0]
+    assert np.allclose([got[1][k] for k in first], [want[1][k] for k in first])
+    monkeypatch.setattr(a, "TILE", 1 << 21)
+    whole = found()[1]
+    assert np.allclose([got[1][k] for k in sorted(got[1])], [whole[k] for k in sorted(got[1])])
+
+
+def test_whole_numbers_travel_narrow():
+    rows = np.array([[0.0, 3.0], [255.0, 1.0]])
+    assert [len(x) for x in products.narrow(rows).to_pylist()] == [3, 3]
+    assert [len(x) for x in products.narrow(rows + 0.5).to_pylist()] == [17, 17] and [len(x) for x in products.narrow(-rows).to_pylist()] == [17, 17]
