@@ -244,3 +244,70 @@ def test_vaast_grouping():
     added = kernels.leave_one_out(counts, w, ["SNV"] * 6, keys, penalty=0.1)
     assert added[4] == added[5] == 0 and added[3] > 0
     assert kernels.vaast_grouped(counts, w, ["SNV", "x"] * 3, keys, by_type=True) >= 0
+
+
+def test_burden_without_pairs(spark, monkeypatch):
+    """The burden test alone makes no pairs of variants and equals the one from the whole covariance."""
+    c = from_tables(spark, SF)
+    for quantitative in (False, True):
+        null = grouped.null_model(grouped.design(c.samples, ("cov_num",), ("cov_cat",)), quantitative)
+        want = by_group(grouped.score_tests(c, null, want=("burden", "burden_p", "skat_q")))
+        with monkeypatch.context() as m:
+            m.setattr(grouped, "variant_pairs", None)
+            got = by_group(grouped.score_tests(c, null, want=("burden", "burden_p")))
+        assert got.keys() == want.keys()
+        for k in want:
+            assert math.isclose(got[k].burden, want[k].burden, rel_tol=1e-9) and math.isclose(got[k].burden_p, want[k].burden_p, rel_tol=1e-8)
+
+
+def test_left_out_sites_in_linear_work(monkeypatch):
+    """What each site adds, against scores without it, in a number of site scores that grows with the sites."""
+    rng, calls, score = np.random.default_rng(3), [0], kernels.site_score
+
+    def counted(*args):
+        calls[0] += 1
+        return score(*args)
+
+    for n in (1, 2, 5, 6, 9, 10, 11, 15, 60):
+        a, c = rng.integers(0, 7, n).astype(float), rng.integers(0, 4, n).astype(float)
+        rows = np.column_stack((a, 200 - a, c, 300 - c)), rng.choice([0.0, 1.0, 1.3, 2.0], n), rng.choice(["SNV", "SPDA"], n).tolist(), [f"k{v}" for v in rng.permutation(n)]
+        for by_type in (False, True):
+            kw = {"limit": 4, "cap": 1.0, "penalty": 0.5, "by_type": by_type}
+            whole, want = kernels.vaast_grouped(*rows, **kw), []
+            for k in range(n):
+                left = [i for i in range(n) if i != k]
+                want.append(max(0.0, whole - kernels.vaast_grouped(rows[0][left], rows[1][left], [rows[2][i] for i in left], [rows[3][i] for i in left], **kw)))
+            calls[0] = 0
+            with monkeypatch.context() as m:
+                m.setattr(kernels, "site_score", counted)
+                got = kernels.leave_one_out(*rows, **kw)
+            assert np.allclose(got, want, atol=1e-10) and calls[0] <= 15 * n
+
+
+def test_one_decomposition_for_all_mixing_weights(monkeypatch):
+    """SKAT-O of a large group from one decomposition equals that from each mixed covariance, with repeated and empty variants."""
+    rng, calls, values = np.random.default_rng(4), [0], np.linalg.eigvalsh
+
+    def counted(m):
+        calls[0] += 1
+        return values(m)
+
+    x = (rng.random((90, 400)) < 0.1).astype(float)
+    x[:, 7], x[:, 9] = x[:, 8], 0.0
+    r = x.T @ x * 0.24
+    for shift in (0.0, 2.0):
+        z = np.sqrt(np.diag(r)) * rng.normal(size=400) + shift
+        want = [kernels.skato_p(z, r), kernels.skato_p(z, r, exact=True)]
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "LARGE", 100)
+            m.setattr(np.linalg, "eigvalsh", counted)
+            got = [kernels.skato_p(z, r), kernels.skato_p(z, r, exact=True)]
+        assert calls[0] == 0 and np.allclose(got, want, rtol=1e-8, atol=0)
+
+
+def test_groups_stay_apart(spark):
+    """Groups are worked on in many tasks, however few bytes they have."""
+    c = from_tables(spark, SF)
+    null = grouped.null_model(grouped.design(c.samples))
+    for found in (grouped.vaast_grouped(c, penalty=0.5), grouped.score_tests(c, null, want=("skat_p",))):
+        assert found.rdd.getNumPartitions() == grouped.SPREAD * spark.sparkContext.defaultParallelism
