@@ -1,6 +1,7 @@
 """Conversions, lookups, stops and sinks."""
 
 import numpy as np
+import pytest
 
 from cohortspark.plans import reports as rp
 from cohortspark.plans import tools
@@ -59,3 +60,17 @@ def test_permutation_files(spark, tmp_path):
     files.write_permutations(p, str(tmp_path / "perms"))
     assert sorted(r.labels for r in files.read_permutations(spark, str(tmp_path / "perms")).collect()) == ["01", "10"]
     assert files.read_permutations(spark, str(tmp_path / "perms"), 2).first().labels == "10"
+
+
+def test_glued_codes(spark):
+    """Codes among runs of zeros, in a plan that doesn't grow with the samples; calls of unknown samples and nulls are zeros."""
+    ids = [f"s{k}" for k in range(5000)]
+    index = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "sample_id string, at long")
+    rows = [("a", "s4999", 2), ("a", "s0", 1), ("a", "s1", 5), ("b", "gone", 1), ("c", "s7", None), ("c", "s9", 1)]
+    calls = spark.createDataFrame(rows, "v string, sample_id string, code int")
+    found = tools.glued(calls, index, len(ids), "v")
+    want = {"a": "15" + "0" * 4997 + "2", "b": "0" * 5000, "c": "0" * 9 + "1" + "0" * 4990}
+    assert {r.v: r.gt for r in found.collect()} == want
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+    with pytest.raises(Exception, match="two calls"):
+        tools.glued(calls.unionByName(calls), index, len(ids), "v").collect()
