@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Every record batch of documents is a shard.  Its words become integers in the benchmark's vocabulary (0 for any
+A slice of a record batch of documents is a shard.  Its words become integers in the benchmark's vocabulary (0 for any
 other word and between documents), and its suffix array holds the start of each run that can match at all,
 sorted by the words that follow.  All suffixes of the benchmark items of at least a window's length are
 binary-searched
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import alnum_words, save, texts
+from .runtime import alnum_words, save, slices, texts
 
 BLOCK_BYTES = 16 << 20  # of benchmark text in one block
-SHARD_WORDS = 2_000_000  # words of documents in one suffix array, but always whole documents
+SHARD_WORDS = 500_000  # words of documents in one suffix array, but always whole documents
 
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, longest_item string"
 
@@ -216,7 +216,7 @@ def scanner(shared, window: int, k: int, last: bool, id_col: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = build_block(shared.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             before = [*zip(*(batch.column(c).to_pylist() for c in known), strict=True)] if k else []
             n_words, rows = [], []
             for shard in shards(map(alnum_words, texts(batch, "text"))):
@@ -273,7 +273,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_c
 def keeper(shared, window: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = build_block(shared.value, window)
-        for batch in batches:
+        for batch in slices(batches):
             clean = [not row.spans for shard in shards(map(alnum_words, texts(batch, text_col))) for row in scan_shard(shard, block)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

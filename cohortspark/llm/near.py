@@ -11,8 +11,8 @@ components at little cost.  Then every other link is found exactly:
   of the first n - ceil(t n) + 1 of each.  A text is compared with the centre of each such shingle's texts first (a star:
   linear in the family), then texts of different components are compared in pairs: those of a shingle's largest component
   with the others, and the others with each other.
-* Pairs are ruled out by their sizes, by the shingle's places, and by the Hamming distance of parity sketches, which never
-  exceeds the number of shingles that only one of both sets has.  What is left is verified on the sets themselves.
+* Pairs are ruled out where they meet: by their sizes, by the shingle's places, and by the Hamming distance of parity sketches,
+  which never exceeds the number of shingles that only one of both sets has.  What is left is verified on the sets themselves.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer words than a shingle make one shingle, none make none.  All texts
 without words are one class.  Rows of a group stand behind the one with the smallest doc_id (nulls last, then any one row).
@@ -36,6 +36,7 @@ TRIE_BUDGET = 2
 STARS = 2
 LOOKED = 4  # one shingle in so many (a power of two) is looked at first, when most texts leave
 SKETCH = [f"b{k}" for k in range(SKETCH_WORDS)]
+HEAD = ("row", "root", "n", "place", *SKETCH)  # what a text brings to each shingle where it meets others
 
 
 def class_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,6 +86,12 @@ def similar_sizes(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
+def near_sketches(similarity: float) -> Column:
+    """Whether two sets (u_n, v_n) can be similar: no more cells of their parity sketches differ than shingles may."""
+    apart = sum(F.bit_count(F.col(f"u_{b}").bitwiseXOR(F.col(f"v_{b}"))) for b in SKETCH)
+    return apart * (1 + similarity) <= (1 - similarity) * (F.col("u_n") + F.col("v_n")) + 1e-6
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough: by size and sketch first, then by the sets."""
 
@@ -92,9 +99,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return sets.select(F.col("row").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
     met = spread_join(spread_join(pairs, of("u", "n", *SKETCH), "u"), of("v", "n", *SKETCH), "v")
-    total = F.col("u_n") + F.col("v_n")
-    apart = sum(F.bit_count(F.col(f"u_{b}").bitwiseXOR(F.col(f"v_{b}"))) for b in SKETCH)
-    likely = save(met.where(similar_sizes(F.col("u_n"), F.col("v_n"), similarity) & (apart * (1 + similarity) <= (1 - similarity) * total + 1e-6)).select("u", "v"))
+    likely = save(met.where(similar_sizes(F.col("u_n"), F.col("v_n"), similarity) & near_sketches(similarity)).select("u", "v"))
     whole = spread_join(spread_join(likely, of("u", "shingles"), "u"), of("v", "shingles"), "v")
     both = F.size(F.array_intersect("u_shingles", "v_shingles"))
     n = F.size("u_shingles") + F.size("v_shingles")
@@ -151,10 +156,16 @@ def near_places(similarity: float) -> Column:
     return similar_sizes(n, m, similarity) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
 
 
-def pairs_of(many: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of rows with a shingle in common, in different components, that sizes and places leave possible."""
-    side = lambda df, s: df.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("row", "root", "n", "place")))
-    met = spread_join(side(many, "u"), side(others, "v"), "shingle").where((F.col("u_root") != F.col("v_root")) & near_places(similarity))
+def pairs_of(many: DataFrame, others: DataFrame, similarity: float, once: bool = False) -> DataFrame:
+    """Pairs of rows with a shingle in common, in different components, that sizes, places and sketches leave possible.
+
+    once: both sides are the same rows, of which each pair meets in one order.
+    """
+    side = lambda df, s: df.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in HEAD))
+    possible = (F.col("u_root") != F.col("v_root")) & near_places(similarity) & near_sketches(similarity)
+    if once:
+        possible &= F.col("u_row") < F.col("v_row")
+    met = spread_join(side(many, "u"), side(others, "v"), "shingle").where(possible)
     return met.select(F.least("u_row", "v_row").alias("u"), F.greatest("u_row", "v_row").alias("v")).distinct()
 
 
@@ -166,10 +177,10 @@ def with_roots(rows: DataFrame, links: DataFrame) -> DataFrame:
     return save(rows.join(few(found), rows.row == found.node, "left").drop("node").withColumn("root", F.coalesce("root", "row")))
 
 
-def mixed(heads: DataFrame) -> DataFrame:
-    """The rows of shingles that are found in several components."""
+def mixed(heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of shingles that are found in several components, with the sketches of their sets."""
     several = heads.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    return save(heads.join(several, "shingle", "left_semi"))
+    return save(heads.join(several, "shingle", "left_semi").join(sets.select("row", *SKETCH), "row"))
 
 
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
@@ -180,17 +191,17 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     links = verified(save(spread_join(member, centre, "top").where("row <> v").select(F.col("row").alias("u"), "v")), sets, similarity)
     heads = prefixes(sets, covered(sets, similarity), similarity)
     for star in range(STARS):
-        left = mixed(with_roots(heads, links))
+        left = mixed(with_roots(heads, links), sets)
         if not left.head(1):
             return links
-        pick = F.min(F.struct("row", "root", "n", "place")) if star % 2 == 0 else F.max(F.struct("row", "root", "n", "place"))
+        pick = F.min(F.struct(*HEAD)) if star % 2 == 0 else F.max(F.struct(*HEAD))
         centres = left.groupBy("shingle").agg(pick.alias("c")).select("shingle", "c.*")
         links = links.unionByName(verified(save(pairs_of(left, centres, similarity)), sets, similarity))
-    left = mixed(with_roots(heads, links))
+    left = mixed(with_roots(heads, links), sets)
     largest = left.groupBy("shingle", "root").agg(F.count("*").alias("size")).groupBy("shingle").agg(F.max_by("root", "size").alias("main"))
     tagged = save(spread_join(left, largest, "shingle"))
     most, others = tagged.where("root = main").drop("main"), tagged.where("root <> main").drop("main")
-    pairs = pairs_of(most, others, similarity).unionByName(pairs_of(others, others, similarity)).distinct()
+    pairs = pairs_of(most, others, similarity).unionByName(pairs_of(others, others, similarity, once=True)).distinct()
     return links.unionByName(verified(save(pairs), sets, similarity))
 
 

@@ -99,3 +99,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in find_leaks(docs, none).collect()] == [False]
     assert find_leaks(docs.limit(0), none).count() == 0
+
+
+def test_tasks_hold_slices(spark):
+    """A batch is read in slices, so that the words of few texts are Python objects at once."""
+    import pyarrow as pa
+
+    class Shared:
+        value = [("1", b"a b c")]
+
+    sizes, scan = [], decontaminate.scan_shard
+    decontaminate.scan_shard = lambda docs, block: sizes.append(len(docs)) or scan(docs, block)
+    try:
+        texts = ["x a b c", "x"] * 2500
+        batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(texts)], names=["id", "text"])
+        kept = sum(b.num_rows for b in decontaminate.keeper(Shared, 3, "text")(iter([batch])))
+        rows = pa.Table.from_batches(decontaminate.scanner(Shared, 3, 0, True, "id")(iter([batch])))
+    finally:
+        decontaminate.scan_shard = scan
+    assert kept == 2500 and rows.column("contaminated").to_pylist() == [True, False] * 2500
+    assert max(sizes) <= 1000

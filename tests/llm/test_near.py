@@ -102,3 +102,14 @@ def test_sketch_bound():
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
         apart = sum(int(x).bit_count() for x in (near.parity_sketch(a) ^ near.parity_sketch(b)).view(np.uint64))
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_sketches_rule_pairs_out_where_they_meet(spark):
+    """Ten unlike sets of one size that share a shingle at one place: no pair is made; two like ones make one pair, once."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 2**63, 40, np.uint64) for _ in range(10)]
+    sets.append(sets[0].copy())
+    sets[10][39] += np.uint64(1)
+    bits = [[int(b) for b in near.parity_sketch(s)] for s in sets]
+    heads = save(spark.createDataFrame([(7, k, k, 40, 0, *b) for k, b in enumerate(bits)], "shingle long, row long, root long, n int, place int, " + ", ".join(f"{b} long" for b in near.SKETCH)))
+    assert [(r.u, r.v) for r in near.pairs_of(heads, heads, 0.8, once=True).collect()] == [(0, 10)]
