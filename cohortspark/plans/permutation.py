@@ -34,13 +34,20 @@ def uniform_permutations(cohort: Cohort, first: int, last: int, seed: int = 1) -
 
 
 def permuted_calpha(cohort: Cohort, permutations: DataFrame) -> DataFrame:
-    """(gene, transcript, perm_id, stat)."""
+    """(gene, transcript, perm_id, stat).
+
+    A sample brings all its labels to each variant that it carries, as one list: rows by permutation exist in the task of
+    their variant only.
+    """
     n, cases = cohort.sizes
     p = cases / n
     variants = cohort.variants.select("variant_id", *GROUP)
-    carried = cohort.calls.where("dosage > 0").select("sample_id", "variant_id").join(permutations, "sample_id")
+    own = cohort.dealt(permutations, "sample_id").groupBy("sample_id").agg(F.collect_list(F.col("perm_id") * 2 + F.col("y")).alias("labels"))
+    carried = cohort.calls.where("dosage > 0").select("sample_id", "variant_id").join(own, "sample_id").select("variant_id", "labels")
+    each = cohort.dealt(carried.repartition("variant_id"), "variant_id").select("variant_id", F.explode("labels").alias("label"))
+    each = each.select("variant_id", F.shiftright("label", 1).alias("perm_id"), F.col("label").bitwiseAND(1).alias("y"))
     # One row for each variant and permutation before transcripts multiply them.
-    counts = carried.groupBy("variant_id", "perm_id").agg(F.sum("y").alias("g"), F.count("*").alias("m"))
+    counts = each.groupBy("variant_id", "perm_id").agg(F.sum("y").alias("g"), F.count("*").alias("m"))
     term = F.pow(F.col("g") - F.col("m") * p, 2) - F.col("m") * p * (1 - p)
     return counts.join(variants, "variant_id").groupBy(*GROUP, "perm_id").agg(F.round(F.sum(term), 9).alias("stat"))
 
