@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cohort import Cohort
+from ..cohort import Cohort, dealt
 from .statistics import GROUP
 
 
@@ -19,8 +19,9 @@ def uniform_permutations(cohort: Cohort, first: int, last: int, seed: int = 1) -
     Counts of hash prefixes tell in which bin of a permutation the last case lies; only that bin's samples are ranked, one
     in BINS of them all.
     """
-    _, cases = cohort.sizes
-    each = cohort.samples.select("sample_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("perm_id"))
+    n, cases = cohort.sizes
+    samples = dealt(cohort.samples.select("sample_id"), n * (last - first + 1), "sample_id")  # a file of samples may be one task
+    each = samples.select("sample_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("perm_id"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample_id").cast("string")))
     keyed = each.withColumn("key", key).withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     upto = Window.partitionBy("perm_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows

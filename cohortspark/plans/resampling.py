@@ -225,11 +225,13 @@ def permuted_power(cohort: Cohort, config: AssocConfig, reps: int, n_cases: int,
     return ratios(tested, config.method, reps, n_cases, n_controls, alphas)
 
 
-def adjusted_carriers(cohort: Cohort, nperm: int, seed: int, odds: DataFrame, epsilon: float) -> DataFrame:
-    """(gene, transcript, all): cases among a group's carriers in permutations by odds(sample_id, odds), in order of size."""
+def adjusted_carriers(cohort: Cohort, nperm: int, seed: int, odds: DataFrame, epsilon: float, held: DataFrame | None = None) -> DataFrame:
+    """(gene, transcript, all): cases among a group's carriers in permutations by odds(sample_id, odds), in order of size;
+    held: carriers, if they are known."""
+    held = carriers(cohort) if held is None else held
     dealt, _, means = binned(odds, epsilon)
     layout = lay_out(cohort.samples.select("sample_id", "y", "trait").join(dealt, "sample_id"), cohort.sizes[1], seed, odds=means)
-    columns = layout.columns(carriers(cohort).select(*GROUP, "sample_id", F.lit(1.0).alias("value")), list(GROUP))
+    columns = layout.columns(held.select(*GROUP, "sample_id", F.lit(1.0).alias("value")), list(GROUP))
     spec = layout.base.part(1, nperm)
 
     def sums(s: SampleBlock, table: pa.Table) -> dict[str, np.ndarray]:
@@ -245,9 +247,11 @@ def adjusted_carriers(cohort: Cohort, nperm: int, seed: int, odds: DataFrame, ep
 
 def effect_sizes(cohort: Cohort, nperm: int, seed: int = 1, odds: DataFrame | None = None, epsilon: float = 1e-4) -> DataFrame:
     """Conditional odds ratio of carrying any variant, with its permutation percentiles and p-value; labels are permuted
-    uniformly, or by odds(sample_id, odds)."""
+    uniformly, or by odds(sample_id, odds).
+
+    A sample brings the permutations in which it is a case to each group that it carries, as one list."""
     n, cases = cohort.sizes
-    held = carriers(cohort).select(*GROUP, "sample_id", "y")
+    held = persist(carriers(cohort).select(*GROUP, "sample_id", "y"))
     seen = held.groupBy(*GROUP).agg(F.sum("y").alias("a"), F.count("*").alias("m"))
 
     @F.pandas_udf("double")
@@ -258,10 +262,13 @@ def effect_sizes(cohort: Cohort, nperm: int, seed: int = 1, odds: DataFrame | No
     own = seen.select(*GROUP, F.col("a").alias("own"), "m")
     if odds is None:
         labels = uniform_permutations(cohort, 1, nperm, seed)
-        permuted = held.drop("y").join(labels, "sample_id").groupBy(*GROUP, "perm_id").agg(F.sum("y").alias("a"))
-        spread = permuted.groupBy(*GROUP).agg(F.array_sort(F.collect_list("a")).alias("all"))
+        own_labels = cohort.dealt(labels.where("y = 1"), "sample_id").groupBy("sample_id").agg(F.collect_list("perm_id").alias("perms"))
+        permuted = held.join(own_labels, "sample_id").select(*GROUP, F.explode("perms").alias("perm_id")).groupBy(*GROUP, "perm_id").agg(F.count("*").alias("a"))
+        counts = permuted.groupBy(*GROUP).agg(F.array_sort(F.collect_list("a")).alias("some"))
+        none = F.array_repeat(F.lit(0).cast("long"), F.lit(nperm) - F.size("some"))  # permutations without a case among carriers
+        spread = seen.select(*GROUP).join(counts, list(GROUP), "left").select(*GROUP, F.coalesce(F.concat(none, "some"), F.array_repeat(F.lit(0).cast("long"), F.lit(nperm))).alias("all"))
     else:
-        spread = adjusted_carriers(cohort, nperm, seed, odds, epsilon)
+        spread = adjusted_carriers(cohort, nperm, seed, odds, epsilon, held)
     at = lambda q: F.element_at("all", F.lit(int(q * nperm) + 1))
     joined = own.join(spread, list(GROUP)).select(*GROUP, "own", "m", at(0.025).alias("low"), at(0.975).alias("high"), F.size(F.filter("all", lambda x: x >= F.col("own"))).alias("hits"))
     return joined.select(

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.cohort import from_tables
+from cohortspark.cohort import Cohort, from_tables
 from cohortspark.config import AssocConfig
+from cohortspark.functions.special import fisher_odds_ratio
 from cohortspark.plans import association
 from cohortspark.plans import permutation as perm
 from cohortspark.plans import reports as rp
@@ -112,3 +113,19 @@ def test_adjusted_labels_are_joined_with_nothing(spark, cohort):
     found = rs.adjusted_permutations(cohort, odds, 1, 3)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.groupBy("perm_id").agg(F.countDistinct("sample_id").alias("n"), F.sum("y").alias("y")).select("n", "y").distinct().collect() == [cohort.sizes]
+
+
+def test_effect_sizes_without_a_case_among_carriers(spark):
+    """Permutations in which no carrier is a case count as zero; equal to sums over all labels."""
+    samples = spark.createDataFrame([(k, int(k < 4), 0.0) for k in range(40)], "sample_id int, y int, trait double")
+    variants = spark.createDataFrame([(0, "g", "t", 1.0), (1, "h", "t", 1.0)], "variant_id int, gene string, transcript string, weight double")
+    calls = spark.createDataFrame([(1, 0, 1, False), (30, 0, 1, False), *((k, 1, 1, False) for k in range(2, 30))], "sample_id int, variant_id int, dosage int, missing boolean")
+    c = Cohort(samples, variants, calls)
+    labels = {(r.perm_id, r.sample_id): r.y for r in perm.uniform_permutations(c, 1, 20, 3).collect()}
+    got = {r.gene: r for r in rs.effect_sizes(c, 20, 3).collect()}
+    for gene, held, own in (("g", (1, 30), 1), ("h", range(2, 30), 2)):
+        sums = sorted(sum(labels[k, s] for s in held) for k in range(1, 21))
+        assert gene == "h" or sums[0] == 0
+        assert math.isclose(got[gene].p_value, (sum(v >= own for v in sums) + 1) / 21)
+        at = [fisher_odds_ratio(v, len(held) - v, 4 - v, 36 - len(held) + v) for v in (sums[0], sums[19])]
+        assert np.allclose([got[gene].or_ci_low, got[gene].or_ci_high], at, equal_nan=True)

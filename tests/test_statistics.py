@@ -1,6 +1,7 @@
 """Golden values of the four-sample cohort, and special functions."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -69,3 +70,19 @@ def test_special():
 def test_jvm_tails(spark):
     row = spark.range(1).select(special.chi2_sf_col(F.lit(3.841458820694124), 1).alias("c"), special.f_sf_col(F.lit(4.0), F.lit(1.0), F.lit(10.0)).alias("f")).first()
     assert math.isclose(row.c, 0.05, rel_tol=1e-9) and math.isclose(row.f, 0.07338803, rel_tol=1e-5)
+
+
+def test_odds_ratio_of_large_tables():
+    """Equal to sums over all cells, and bounded in memory however many cells the law has."""
+    lg = np.vectorize(math.lgamma)
+    for a, b, c, d in ((1, 40, 3, 2), (700, 300, 1200, 900), (2, 5, 820, 1785), (1, 3219, 898, 1)):
+        k = np.arange(max(0, a - d), min(a + b, a + c) + 1)
+        base = -(lg(k + 1.0) + lg(a + c - k + 1.0) + lg(a + b - k + 1.0) + lg(d - a + k + 1.0))
+        w = base + k * math.log(special.fisher_odds_ratio(a, b, c, d))
+        w = np.exp(w - w.max())
+        assert math.isclose((w * k).sum() / w.sum(), a, rel_tol=1e-8)
+    tracemalloc.start()
+    found = special.fisher_odds_ratio(128_000, 192_000, 32_400, 47_600)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert math.isclose(found, 128_000 * 47_600 / (192_000 * 32_400), rel_tol=1e-4) and peak < 2_000_000
