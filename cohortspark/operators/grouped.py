@@ -317,7 +317,10 @@ def hotelling_cohort(cohort: Cohort, rare: float = 0.005) -> Cohort:
 def hotelling(cohort: Cohort, rare: float = 0.005) -> DataFrame:
     """Two-sample T2 as an F statistic, with its p; a group's task holds a columns x columns matrix."""
     n, cases = cohort.sizes
-    one = hotelling_cohort(cohort, rare)
+    known = Cohort(cohort.samples, cohort.variants, persist(cohort.calls))  # made once: columns, their sums and their pairs read them
+    known.__dict__["sizes"] = n, cases
+    one = hotelling_cohort(known, rare)
+    one = Cohort(one.samples, persist(one.variants), persist(one.calls))
     sums = one.calls.join(cohort.samples.select("sample_id", "y"), "sample_id").groupBy("variant_id").agg(F.sum("dosage").alias("ac"), F.sum(F.col("dosage") * F.col("y")).alias("a"))
     columns = one.variants.select(*GROUP, "variant_id").join(sums, "variant_id")
 

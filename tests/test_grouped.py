@@ -311,3 +311,9 @@ def test_groups_stay_apart(spark):
     null = grouped.null_model(grouped.design(c.samples))
     for found in (grouped.vaast_grouped(c, penalty=0.5), grouped.score_tests(c, null, want=("skat_p",))):
         assert found.rdd.getNumPartitions() == grouped.SPREAD * spark.sparkContext.defaultParallelism
+
+
+def test_hotelling_makes_calls_once(spark):
+    """The plan of the test reads kept calls, not the tables that they are made from."""
+    found = grouped.hotelling(from_tables(spark, SF))
+    assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString()
