@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cohort import Cohort
+from ..streaming.blocks import persist
+from .products import numbered
 
 LOCUS = ("chrom", "start", "end", "ref", "alt")
 COLLAPSED = "Collapsed"
@@ -132,12 +134,15 @@ def whole_gene(variants: DataFrame, dedupe: str = "id") -> DataFrame:
     return keyed.dropDuplicates(["gene", *LOCUS] if dedupe == "physical" else ["variant_key"])
 
 
-def collapse_rare(cohort: Cohort, k: int) -> tuple[DataFrame, DataFrame]:
+def collapse_rare(cohort: Cohort, k: int, numbers: bool = False) -> tuple[DataFrame, DataFrame]:
     """Variants with at most k minor alleles become one variant of each transcript: whether a sample carries any.
 
     Returns variants (variant_key, locus, gene, transcript, type, function, weight, members) and calls (variant_key,
     sample_id, dosage, missing).  A collapsed variant spans its members and has no alleles of its own; variants without any
     allele are collapsed too; the weight is the mean.
+
+    numbers: variants get a number besides (variant_id), in order of their keys, which calls bear instead of the key; only
+    calls of merged variants are shuffled.
     """
     n, _ = cohort.sizes
     keyed = flipped(counted_variants(cohort), n).withColumn("rare", F.col("minor_ac") <= k)
@@ -147,11 +152,20 @@ def collapse_rare(cohort: Cohort, k: int) -> tuple[DataFrame, DataFrame]:
     own = variant_key() if set(LOCUS) <= set(cohort.variants.columns) else F.concat_ws(",", F.col("variant_id").cast("string"), "transcript")
     name = F.when(F.col("rare"), F.concat_ws(",", F.lit(COLLAPSED), "gene", "transcript")).otherwise(own)
     keyed = keyed.withColumn("variant_key", name)
+    keyed = persist(keyed) if numbers else keyed
     either = lambda c, merged: F.first(F.when(F.col("rare"), F.lit(merged)).otherwise(F.col(c))).alias(c)
     variants = keyed.groupBy("variant_key", "gene", "transcript").agg(
         F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"), either("ref", "-"), either("alt", "-"), either("type", COLLAPSED), either("function", COLLAPSED),
         F.avg("weight").alias("weight"), F.count("*").alias("members"),
     )
+    if numbers:
+        variants = persist(numbered(variants, "variant_key", name="variant_id"))
+        known = variants.select("variant_key", F.col("variant_id").alias("number"), (F.col("members") > 1).alias("several"))
+        member = persist(keyed.select("variant_id", "variant_key", "rare").join(known, "variant_key").drop("variant_key"))
+        dose = F.when(F.col("rare"), (F.col("dosage") > 0).cast("int")).otherwise(F.col("dosage")).alias("dosage")
+        held = lambda which: cohort.calls.join(member.where(which), "variant_id").select(F.col("number").alias("variant_id"), "sample_id", dose, "missing")
+        merged = held("several").groupBy("variant_id", "sample_id").agg(F.max("dosage").alias("dosage"), F.max("missing").alias("missing"))
+        return variants, held("not several").unionByName(merged)
     joined = cohort.calls.join(keyed.select("variant_id", "variant_key", "rare"), "variant_id")
     calls = joined.groupBy("variant_key", "sample_id").agg(
         F.max(F.when(F.col("rare"), (F.col("dosage") > 0).cast("int")).otherwise(F.col("dosage"))).alias("dosage"), F.max("missing").alias("missing")

@@ -57,7 +57,10 @@ def check(config: AssocConfig) -> None:
 
 def prepare(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = None, mask: DataFrame | None = None) -> Cohort:
     """The cohort after mask, whitelist, whole-gene union, imputation, minor-allele flip, collapsing, frequency filters, gate
-    and weights."""
+    and weights.
+
+    Calls are made once and kept: every step reads them twice, to count and to change them.
+    """
     variants = cohort.variants
     if mask is not None:
         variants = ops.bed_mask(variants, mask)
@@ -65,15 +68,15 @@ def prepare(cohort: Cohort, config: AssocConfig, allowed: DataFrame | None = Non
         variants = ops.whitelist(variants, allowed, config.method)
     if config.whole_gene:
         variants = ops.whole_gene(variants).drop("variant_key")
-    now = with_sizes(Cohort(cohort.samples, variants, cohort.calls), cohort)
+    now = with_sizes(Cohort(cohort.samples, variants, persist(cohort.calls)), cohort)
     if config.impute is not None:
         now = with_sizes(Cohort(now.samples, now.variants, persist(ops.impute(now, config.impute))), cohort)
     if config.ma_count:
-        now = with_sizes(ops.flip_calls(now), cohort)
+        flipped = ops.flip_calls(now)
+        now = with_sizes(Cohort(flipped.samples, flipped.variants, persist(flipped.calls)), cohort)
     if config.var_collapsing is not None:
-        merged, calls = ops.collapse_rare(now, config.var_collapsing)
-        named = merged.withColumnRenamed("variant_key", "variant_id")
-        now = with_sizes(Cohort(now.samples, named, calls.withColumnRenamed("variant_key", "variant_id")), cohort)
+        merged, calls = ops.collapse_rare(now, config.var_collapsing, numbers=True)
+        now = with_sizes(Cohort(now.samples, merged, persist(calls)), cohort)
     n, _ = cohort.sizes
     counted = ops.counted_variants(now)
     kept = ops.maf_filter(counted, n, config.mac, config.maf) if config.ma_count else ops.aaf_filter(counted, n, config.mac, config.maf)

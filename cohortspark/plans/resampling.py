@@ -300,7 +300,8 @@ def extreme_statistic(cohort: Cohort, config: AssocConfig) -> DataFrame:
     member = cohort.variants.select(*GROUP, "variant_id")
     both = cohort.calls.where("dosage > 0").join(member, "variant_id").join(labelled.select(*GROUP, "sample_id", "y"), [*GROUP, "sample_id"])
     sums = both.groupBy(*GROUP, "variant_id").agg(F.sum(F.col("dosage") * F.col("y")).cast("double").alias("a"), F.sum("y").cast("double").alias("c"))
-    counted = counted_variants(cohort).select(*GROUP, "variant_id", F.col("variant_id").cast("string").alias("key"), "type", *(F.col(c).cast("double").alias(c) for c in ("weight", "ac", "ac2", "carriers")))
+    name = "variant_key" if "variant_key" in cohort.variants.columns else "variant_id"  # collapsed variants are numbered
+    counted = counted_variants(cohort).select(*GROUP, "variant_id", F.col(name).cast("string").alias("key"), "type", *(F.col(c).cast("double").alias(c) for c in ("weight", "ac", "ac2", "carriers")))
     rows = counted.join(sums, [*GROUP, "variant_id"]).drop("variant_id").join(few, list(GROUP))
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:

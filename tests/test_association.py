@@ -6,6 +6,7 @@ from dataclasses import replace
 import numpy as np
 import plain_glm as glm
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.cohort import from_tables
 from cohortspark.config import AssocConfig
@@ -341,3 +342,17 @@ def test_whole_numbers_travel_narrow():
     rows = np.array([[0.0, 3.0], [255.0, 1.0]])
     assert [len(x) for x in products.narrow(rows).to_pylist()] == [3, 3]
     assert [len(x) for x in products.narrow(rows + 0.5).to_pylist()] == [17, 17] and [len(x) for x in products.narrow(-rows).to_pylist()] == [17, 17]
+
+
+def test_collapsed_calls_bear_numbers(spark, cohort):
+    """The scan's collapsed calls hold numbers, not keys as text, and equal those of the keyed form, merged ones too."""
+    variants, calls = ops.collapse_rare(cohort, 2)
+    want = sorted((r.variant_key, r.sample_id, r.dosage, r.missing) for r in calls.collect())
+    again = lambda df: df.unionByName(df.where("variant_id % 7 = 0").withColumn("variant_id", -F.col("variant_id")))
+    for c in (cohort, type(cohort)(cohort.samples, again(cohort.variants), again(cohort.calls))):
+        c.__dict__["sizes"] = cohort.sizes
+        numbered, got = ops.collapse_rare(c, 2, numbers=True)
+        assert dict(got.dtypes)["variant_id"] == "bigint" and numbered.count() == variants.count()
+        assert want == sorted((r.variant_key, r.sample_id, r.dosage, r.missing) for r in got.join(numbered.select("variant_id", "variant_key"), "variant_id").collect())
+    ready = a.prepare(cohort, AssocConfig(method="WSS", nperm=0, var_collapsing=2, ma_count=False))
+    assert dict(ready.calls.dtypes)["variant_id"] == "bigint" and "l_orderkey" not in ready.calls._jdf.queryExecution().optimizedPlan().toString()
