@@ -356,3 +356,18 @@ def test_collapsed_calls_bear_numbers(spark, cohort):
         assert want == sorted((r.variant_key, r.sample_id, r.dosage, r.missing) for r in got.join(numbered.select("variant_id", "variant_key"), "variant_id").collect())
     ready = a.prepare(cohort, AssocConfig(method="WSS", nperm=0, var_collapsing=2, ma_count=False))
     assert dict(ready.calls.dtypes)["variant_id"] == "bigint" and "l_orderkey" not in ready.calls._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_regressions_pack_their_columns_once(spark, cohort, monkeypatch):
+    """A regression packs no columns of variants or burdens, and its own once for all blocks of permutations."""
+    made, pack = [], products.Layout.columns
+
+    def counted(self, entries, keys):
+        made.append(tuple(keys))
+        return pack(self, entries, keys)
+
+    monkeypatch.setattr(products.Layout, "columns", counted)
+    monkeypatch.setattr(a, "block_size", lambda plan: 2)
+    config = AssocConfig(method="RVT1", nperm=4, successes=5, seed=3)
+    assert a.scan(cohort, config, categorical=("cov_cat",)).count() > 0
+    assert made == [tuple(grouped.KEYS)]
