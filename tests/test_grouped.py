@@ -2,14 +2,17 @@
 
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import plain_glm
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from cohortspark.cohort import Cohort, from_tables
 from cohortspark.config import OPTIMIZERS
-from cohortspark.functions import glm, kernels, tails
+from cohortspark.functions import glm, kernels, spectra, tails
 from cohortspark.functions.special import chi2_sf
 from cohortspark.operators import grouped
 from cohortspark.plans import statistics as st
@@ -317,3 +320,77 @@ def test_hotelling_makes_calls_once(spark):
     """The plan of the test reads kept calls, not the tables that they are made from."""
     found = grouped.hotelling(from_tables(spark, SF))
     assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_far_tails_of_many_weights():
+    """Chi-square of even degrees is a sum of Poisson terms; the smallest p keep their digits."""
+    for k in (40, 400, 3000):
+        q = k + np.array([1, 3, 6, 10, 20]) * math.sqrt(2 * k)
+        i = np.arange(k // 2)
+        logs = np.concatenate(([0.0], np.cumsum(np.log(i[1:]))))
+        want = [np.exp(i * math.log(x / 2) - logs - x / 2).sum() for x in q]
+        assert np.allclose(tails.positive_tail(q, np.ones(k)), want, rtol=1e-9, atol=0)
+        assert np.allclose(tails.positive_tail(q, np.ones(1), np.array([float(k)])), want, rtol=1e-9, atol=0)
+
+
+def sparse_covariance(n, families, seed=3):
+    """A covariance from calls of few samples, in families of variants that share none, as a matrix and sparse."""
+    rng = np.random.default_rng(seed)
+    samples = 12 * n
+    g = np.zeros((samples, n), np.float32)
+    family = np.arange(n) % families
+    at = rng.integers(0, samples // families, (n, 20)) * families + family[:, None]
+    np.add.at(g, (at.ravel(), np.repeat(np.arange(n), 20)), 1)
+    g[:, -1] = 0  # a variant without carriers
+    w = rng.uniform(0.5, 2, n)
+    x = np.column_stack((np.ones(samples), rng.integers(0, 2, samples)))
+    cross, xv, c = (g.T @ g).astype(float) * 0.2, (g.T @ x) * 0.2, np.linalg.inv(0.2 * x.T @ x)
+    one, two = np.nonzero(np.triu(cross))
+    y = xv * w[:, None]
+    return (cross - xv @ c @ xv.T) * np.outer(w, w), spectra.Covariance(one, two, cross[one, two] * w[one] * w[two], y, c)
+
+
+@pytest.mark.parametrize("families", (1, 5))
+def test_sparse_spectra(monkeypatch, families):
+    """p from pairs of variants alone, whether components are decomposed or not, against all eigenvalues, and far out."""
+    monkeypatch.setattr(spectra, "DENSE", 150)
+    r, sparse = sparse_covariance(600, families)
+    known = spectra.Spectra(sparse)
+    assert bool(known.large) == (families == 1) and math.isclose(known.sum(), r.sum(), rel_tol=1e-9)
+    lam = np.abs(np.linalg.eigvalsh(r))
+    rng = np.random.default_rng(5)
+    shape = rng.normal(size=len(r))
+    for sds in (-2, 0, 1, 3, 8):
+        z = shape * math.sqrt((lam.sum() + sds * math.sqrt(2 * (lam**2).sum())) / (shape @ shape))
+        want = kernels.skat_p(z, r)
+        assert math.isclose(kernels.skat_p(z, known), want, rel_tol=1e-6)
+        if sds in (0, 3):
+            assert math.isclose(kernels.skat_p(z, known, True), kernels.skat_p(z, r, True), rel_tol=1e-5)
+            for exact in (False, True):
+                assert math.isclose(kernels.skato_p(z, known, exact=exact), kernels.skato_p(z, r, exact=exact), rel_tol=2e-6)
+    assert known.sums(np.zeros(1))[0] == 1.0
+
+
+def test_large_groups_hold_no_matrix(monkeypatch):
+    """A group beyond the bound gets the same p from its pairs, and no task holds variants x variants cells."""
+    n, rng = 6_000, np.random.default_rng(2)
+    first = np.arange(n) // 3 * 3  # threes that share samples
+    one, two = np.concatenate((np.arange(n), first)), np.concatenate((np.arange(n), first + 1))
+    cross = np.concatenate((rng.uniform(3, 5, n), np.where(np.arange(n) % 3 == 0, 1.0, 0.0)))
+    keep = cross > 0
+    pairs = pa.table({"one": one[keep] + 10, "two": two[keep] + 10, "cross": cross[keep]})
+    xv, w = rng.uniform(0.5, 1, (n, 2)), rng.uniform(0.5, 2, n)
+    scores = pa.table({"variant_id": np.arange(n) + 10, "weight": w, "xv": pa.array(xv.tolist()), "z": rng.normal(size=n) * 2})
+    inverse, z = np.linalg.inv(xv.T @ xv), w * scores.column("z").to_numpy()
+    want = ("skat_p", "skato_p", "burden_p", "skatc_p")
+    tracemalloc.start()
+    got = grouped.score_row(z, grouped.covariance(scores, pairs, inverse), want, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n * 8 / 2
+    part = np.arange(1_200)  # small enough for all eigenvalues at once
+    some, linked = scores.take(part), pairs.filter(pc.less(pairs.column("two"), 1_210))
+    plain = grouped.score_row(z[part], grouped.covariance(some, linked, inverse), want, False)
+    monkeypatch.setattr(spectra, "DENSE", 100)
+    assert np.allclose(grouped.score_row(z[part], grouped.covariance(some, linked, inverse), want, False), plain, rtol=2e-6, atol=0)
+    assert all(0 < p < 1 for p in got)
