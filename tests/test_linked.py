@@ -8,6 +8,7 @@ import pytest
 from cohortspark.cohort import from_tables
 from cohortspark.functions import kernels, spectra
 from cohortspark.operators import grouped, linked, products
+from cohortspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,10 @@ def test_a_large_group_has_no_matrix():
     plain = (plain - xv @ inverse @ xv.T) * np.outer(w, w)
     z = rng.normal(size=n) * np.sqrt(np.diag(plain)) * 1.05
     assert math.isclose(kernels.skato_p(z, r), kernels.skato_p(z, plain), rel_tol=2e-6)
+
+
+def test_skato_is_permuted_as_often_as_other_scans(spark):
+    """Every group meets as many permutations as in the other adjusted scans, and its p can be small."""
+    rows = QUERIES["scan_skato_permuted"](spark, SF).collect()
+    assert rows and max(r.permutations for r in rows) == 20
+    assert all(r.permutations == 20 or r.mgit_successes >= 8 or r.successes >= 8 or any(o.gene == r.gene and o.successes >= 8 for o in rows) for r in rows)
