@@ -15,8 +15,8 @@ from ..operators.grouped import Null, design, hotelling, null_model, regression_
 from ..operators.grouped import vaast_grouped as grouped_vaast
 from ..operators.products import numbered
 from ..sources import sinks
-from ..sources.files import MATRIX, from_files, read_permutations, read_simple, repeated_variants, write_permutations
-from ..streaming.blocks import shared_path
+from ..sources.files import MATRIX, SPARSE, from_files, read_permutations, read_simple, repeated_variants, write_permutations
+from ..streaming.blocks import persist, shared_path
 from . import association
 from . import permutation as perm
 from . import reports as rp
@@ -894,13 +894,15 @@ def write_text(rows: DataFrame, path: str, *columns: F.Column | str) -> str:
 def cohort_by_files(spark: SparkSession, sf: str) -> Cohort:
     """The cohort as matrix, pedigree (six samples in seven), covariates, weights (a third) and mask (one variant in 50)."""
     c, path = from_tables(spark, sf), shared_path(spark, "files")
-    ids = [r.sample_id for r in c.samples.select("sample_id").orderBy("sample_id").collect()]
+    index = persist(numbered(c.samples.select("sample_id"), "sample_id"))
     code = F.when(F.col("missing"), 5).otherwise(F.col("dosage")).alias("code")
-    codes = tools.glued(c.calls.select("variant_id", "sample_id", code), numbered(c.samples.select("sample_id"), "sample_id"), len(ids), "variant_id")
-    glued = F.coalesce("gt", F.repeat(F.lit("0"), F.lit(len(ids))))
-    head = spark.createDataFrame([("\t".join(["Chr", *MATRIX[1:], *map(str, ids)]),)], "value string")
+    codes = tools.listed(c.calls.select("variant_id", "sample_id", code), index, "variant_id")
+    names = F.array_sort(F.collect_list(F.struct("at", F.col("sample_id").cast("string").alias("id"))))
+    start = F.lit("\t".join(["Chr", *MATRIX[1:]]))
+    head = index.agg(names.alias("s")).select(F.concat_ws("\t", start, F.array_join(F.transform("s", lambda x: x.id), "\t")).alias("value"))  # a line by its format
     texts = [F.col(k).cast("string") for k in ("chrom", "start", "end", "ref", "alt", "type", "gene", "transcript")]
-    body = c.variants.join(codes, "variant_id", "left").select(F.concat_ws("\t", *texts, F.lit("exonic"), "function", F.lit("."), glued).alias("value"))
+    genotypes = F.coalesce("gt", F.lit(SPARSE))
+    body = c.variants.join(codes, "variant_id", "left").select(F.concat_ws("\t", *texts, F.lit("exonic"), "function", F.lit("."), genotypes).alias("value"))
     body.unionByName(head).write.text(f"{path}/matrix")
     status = F.when(F.col("y") == 1, "2").otherwise("1")
     zero = F.lit("0")

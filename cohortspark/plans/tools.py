@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import poisson_ci
-from ..sources.files import MATRIX
+from ..sources.files import MATRIX, SPARSE
 from .reports import interval_join, variant_class
 from .statistics import GROUP
 
@@ -32,6 +32,15 @@ def glued(calls: DataFrame, index: DataFrame, number: int, *keys: str) -> DataFr
     return rows.select(*keys, F.concat(F.array_join(F.transform("c", run), ""), zeros(F.lit(number - 1) - before(F.size("c")))).alias("gt"))
 
 
+def listed(calls: DataFrame, index: DataFrame, *keys: str) -> DataFrame:
+    """(keys, gt): the calls (keys, sample_id, code) as the sparse genotype field of a matrix file, by the places of index
+    (sample_id, at)."""
+    cell = F.struct(F.col("at").cast("int").alias("at"), F.col("code").cast("string").alias("code"))
+    rows = calls.join(index.select("sample_id", "at"), "sample_id").groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    text = F.transform("c", lambda x: F.concat(x.at.cast("string"), F.lit(":"), x.code))
+    return rows.select(*keys, F.concat(F.lit(SPARSE), F.array_join(text, ",")).alias("gt"))
+
+
 def vcf_matrix(calls: DataFrame, models: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
     """Matrix rows of VCF calls (chrom, pos, ref, alt, sample_id, code) inside the transcripts of gene models.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cohort import TYPES, Cohort
-from ..streaming.blocks import shared_path
+from ..streaming.blocks import persist, shared_path
 
 MATRIX = ("chrom", "start", "end", "ref", "alt", "type", "gene", "transcript", "region", "function", "annotation")
 # The first bytes of compressed files and the endings that Spark knows them by.
@@ -52,23 +52,62 @@ def fields(line: str, pattern: str = "\t", limit: int = -1) -> Column:
     return F.split(F.col(line), pattern, limit)
 
 
-def read_matrix(spark: SparkSession, path: str, genes: list[str] | None = None) -> DataFrame:
-    """One row for each variant and transcript: its eleven columns, sample ids of the header and the glued genotypes.
+IS_HEAD = ("chr\t", "#chr")  # what a header line begins with, in lower case
+SPARSE = "*"  # begins a genotype field that lists calls only
 
-    The header is the line that starts with Chr; a list of genes is a filter on the split line before any genotype
-    is looked at.
-    """
-    raw = lines(spark, path)
-    head = raw.where(F.lower(F.substring("value", 1, 4)).isin("chr\t", "#chr")).head()
+
+def matrix_head(spark: SparkSession, path: str) -> tuple[Column, int]:
+    """Whether a line is the header of a matrix file, the line that starts with Chr, and how many samples it names."""
+    begins = F.lower(F.substring("value", 1, 4)).isin(*IS_HEAD)
+    head = lines(spark, path).where(begins).select(F.size(fields("value")).alias("size"), F.sha2("value", 256).alias("digest")).head()
     if head is None:
         raise ValueError(f"{path} has no header line")
-    ids = head.value.split("\t")[len(MATRIX) :]
-    body = raw.where(F.col("value") != head.value).withColumn("f", fields("value", "\t", 12))
+    return begins & (F.sha2("value", 256) == head.digest), max(0, head["size"] - len(MATRIX))
+
+
+def matrix_index(spark: SparkSession, path: str) -> DataFrame:
+    """(at, sample_id): the header's samples and their places; ids stay in Spark."""
+    is_head, _ = matrix_head(spark, path)
+    found = lines(spark, path).where(is_head).limit(1).select(F.posexplode(fields("value")).alias("at", "sample_id"))
+    return persist(found.where(F.col("at") >= len(MATRIX)).select((F.col("at") - len(MATRIX)).alias("at"), "sample_id"))
+
+
+def sparse_cells(gt: Column) -> Column:
+    """The calls of a sparse genotype field: (at, code as text)."""
+    cells = F.split(F.expr("substring(gt, 2)"), ",")
+    return F.transform(F.filter(cells, lambda x: x != ""), lambda x: F.struct(F.substring_index(x, ":", 1).try_cast("int").alias("at"), F.substring_index(x, ":", -1).alias("d")))
+
+
+def well_formed(gt: Column, samples: int) -> Column:
+    """Whether a genotype field is a digit for each sample, or lists calls in order of their places."""
+    cells = sparse_cells(gt)
+    places = F.transform(cells, lambda x: x.at)
+    entries = F.split(F.expr("substring(gt, 2)"), ",")
+    each = (gt == SPARSE) | F.forall(entries, lambda x: x.rlike("^[0-9]{1,9}:[0-9]$"))
+    ascending = (places == F.array_sort(F.array_distinct(places))) & (F.coalesce(F.array_max(places), F.lit(-1)) < samples)
+    return F.when(gt.startswith(SPARSE), each & ascending).otherwise((F.length(gt) == samples) & gt.rlike("^[0-9]*$"))
+
+
+def matrix_rows(spark: SparkSession, path: str, genes: list[str] | None = None) -> DataFrame:
+    """One row for each variant and transcript: its eleven columns and its genotypes.
+
+    Genotypes are a digit for each sample, glued, or, behind a star, the calls alone as place:digit in order, joined by commas.
+    A list of genes is a filter on the split line before any genotype is looked at.
+    """
+    is_head, samples = matrix_head(spark, path)
+    body = lines(spark, path).where(~is_head).withColumn("f", fields("value", "\t", 12))
     if genes is not None:
         body = body.where(F.get("f", F.lit(6)).isin(genes))
-    gt = F.get("f", F.lit(11))
-    ok = (F.size("f") == 12) & F.get("f", F.lit(5)).isin(*TYPES) & (F.length(gt) == len(ids)) & gt.rlike("^[0-9]*$")
-    return body.select(*(F.get("f", F.lit(k)).alias(c) for k, c in enumerate(MATRIX)), require(ok, gt, "bad matrix line").alias("gt")).withColumn("ids", F.split(F.lit("\t".join(ids)), "\t"))
+    body = body.withColumn("gt", F.get("f", F.lit(11)))
+    ok = (F.size("f") == 12) & F.get("f", F.lit(5)).isin(*TYPES) & F.coalesce(well_formed(F.col("gt"), samples), F.lit(False))
+    return body.select(*(F.get("f", F.lit(k)).alias(c) for k, c in enumerate(MATRIX)), require(ok, F.col("gt"), "bad matrix line").alias("gt"))
+
+
+def read_matrix(spark: SparkSession, path: str, genes: list[str] | None = None) -> DataFrame:
+    """matrix_rows, with the sample ids of the header in every row: for files of few samples."""
+    is_head, _ = matrix_head(spark, path)
+    ids = lines(spark, path).where(is_head).head().value.split("\t")[len(MATRIX) :]
+    return matrix_rows(spark, path, genes).withColumn("ids", F.split(F.lit("\t".join(ids)), "\t"))
 
 
 def check_sorted(spark: SparkSession, path: str) -> list[str]:
@@ -79,14 +118,21 @@ def check_sorted(spark: SparkSession, path: str) -> list[str]:
     return [r.gene for r in starts.groupBy("gene").count().where("count > 1").collect()]
 
 
-def matrix_calls(matrix: DataFrame) -> DataFrame:
-    """Sparse calls (variant columns, sample_id, dosage, missing): digits above 2 are missing, zeros are left out.
+def matrix_cells(matrix: DataFrame, *keep: Column | str) -> DataFrame:
+    """What is kept of each row, and its calls (at, dosage, missing): digits above 2 are missing, zeros are left out.
 
     Zeros leave inside the array, before anything is exploded.
     """
-    cell = F.transform(F.split("gt", ""), lambda d, i: F.when(d != "0", F.struct(i.alias("at"), d.cast("int").alias("code"))))
-    long = matrix.withColumn("x", F.explode(F.filter(cell, lambda c: c.isNotNull()))).select(*MATRIX, F.get("ids", F.col("x.at")).alias("sample_id"), F.col("x.code").alias("code"))
-    return long.select(*MATRIX, "sample_id", F.when(F.col("code") > 2, 0).otherwise(F.col("code")).alias("dosage"), (F.col("code") > 2).alias("missing"))
+    glued = F.transform(F.split("gt", ""), lambda d, i: F.struct(i.alias("at"), d.alias("d")))
+    cells = F.filter(F.when(F.col("gt").startswith(SPARSE), sparse_cells(F.col("gt"))).otherwise(glued), lambda c: c.d != "0")
+    code = F.col("x.d").cast("int")
+    long = matrix.select(*keep, F.explode(cells).alias("x"))
+    return long.select(*long.columns[:-1], F.col("x.at").alias("at"), F.when(code > 2, 0).otherwise(code).alias("dosage"), (code > 2).alias("missing"))
+
+
+def matrix_calls(matrix: DataFrame) -> DataFrame:
+    """Sparse calls (variant columns, sample_id, dosage, missing) of rows that have the sample ids."""
+    return matrix_cells(matrix, *MATRIX, "ids").select(*MATRIX, F.get("ids", F.col("at")).alias("sample_id"), "dosage", "missing")
 
 
 VARIANT = ("chrom", "start", "end", "ref", "alt", "transcript")
@@ -101,11 +147,15 @@ def repeated_variants(parts: list[DataFrame]) -> DataFrame:
     return whole.groupBy(*VARIANT).agg(F.count("*").alias("copies"), F.min("file").alias("first_file"))
 
 
-def merge_matrices(matrices: list[DataFrame]) -> DataFrame:
-    """Calls of several files; samples meet by id, so that column order does not matter; repeated variants raise."""
-    twice = repeated_variants(matrices).where("copies > 1").head()
+def refuse_repeated(parts: list[DataFrame]) -> None:
+    twice = repeated_variants(parts).where("copies > 1").head()
     if twice is not None:
         raise ValueError(f"variant in more than one file: {twice}")
+
+
+def merge_matrices(matrices: list[DataFrame]) -> DataFrame:
+    """Calls of several files; samples meet by id, so that column order does not matter; repeated variants raise."""
+    refuse_repeated(matrices)
     headers = {tuple(sorted(m.head().ids)) for m in matrices if m.head() is not None}
     if len(headers) > 1:
         raise ValueError("the files have different samples")
@@ -265,20 +315,28 @@ def from_files(
     With covariates the samples have a design x, which a scan takes as it is; samples without a covariate line raise.
     A whitelist and permutations from files go to the scan itself (read_whitelist, read_permutations).
     """
-    read = [read_matrix(spark, m, genes) for m in matrices]
+    from ..operators.filters import attach_weights, bed_mask, variant_key
+
+    read = [matrix_rows(spark, m, genes) for m in matrices]
+    indexes = [matrix_index(spark, m) for m in matrices]
     samples = read_ped(spark, ped, quantitative)
-    head = next((h for h in (r.head() for r in read) if h is not None), None)
-    ids = spark.createDataFrame([(i,) for i in (head.ids if head else [])], "sample_id string")
-    if missing := [r.sample_id for r in samples.join(ids, "sample_id", "left_anti").select("sample_id").limit(20).collect()]:
+    refuse_repeated(read)
+    used = [i for i, r in zip(indexes, read, strict=True) if len(read) == 1 or r.head(1)] or indexes
+    for other in used[1:]:
+        if used[0].join(other, "sample_id", "full").where(used[0].at.isNull() | other.at.isNull()).head(1):
+            raise ValueError("the files have different samples")
+    if missing := [r.sample_id for r in samples.join(used[0], "sample_id", "left_anti").select("sample_id").limit(20).collect()]:
         raise ValueError(f"samples without genotypes: {missing}")
-    calls = merge_matrices(read).join(samples.select("sample_id"), "sample_id", "left_semi")
+    known = [index.join(samples.select("sample_id"), "sample_id", "left_semi") for index in indexes]
+    parts = [matrix_cells(r, variant_key().alias("variant_id")).join(k, "at").select("variant_id", "sample_id", "dosage", "missing") for r, k in zip(read, known, strict=True)]
+    calls = parts[0]
+    for other in parts[1:]:
+        calls = calls.unionByName(other)
     if covariates:
         design = read_covariates(spark, covariates, max_levels)
         if missing := [r.sample_id for r in samples.join(design, "sample_id", "left_anti").select("sample_id").limit(20).collect()]:
             raise ValueError(f"samples without covariates: {missing}")
         samples = samples.join(design, "sample_id")
-    from ..operators.filters import attach_weights, bed_mask, variant_key
-
     variants = read[0].select(*MATRIX)
     for other in read[1:]:
         variants = variants.unionByName(other.select(*MATRIX))
@@ -286,4 +344,4 @@ def from_files(
     if mask:
         variants = bed_mask(variants, read_bed(spark, mask))
     key = variant_key()
-    return Cohort(samples, variants.withColumn("variant_id", key), calls.select(key.alias("variant_id"), "sample_id", "dosage", "missing"))
+    return Cohort(samples, variants.withColumn("variant_id", key), calls)

@@ -102,3 +102,42 @@ def test_scan_from_files(spark, study):
     assert {r.transcript for r in rows} == {"t1", "t2"} and all(r.permutations == 3 for r in rows)
     # The third line is the observed labels: a tie, which counts.
     assert all(r.successes >= 1 for r in rows)
+
+
+def test_sparse_genotypes(spark, study):
+    """A field that lists calls gives the same calls as one with a digit for each sample, in one file or in two."""
+    matrix, ped, weights, write = study
+    dense = files.from_files(spark, [matrix], ped, weights)
+    text = open(matrix).read().splitlines()
+
+    def sparse(line):
+        *rest, gt = line.split("\t")
+        return "\t".join([*rest, "*" + ",".join(f"{k}:{d}" for k, d in enumerate(gt) if d != "0")])
+
+    mixed = write("mixed.matrix", "\n".join([text[0], *(sparse(x) if k % 2 else x for k, x in enumerate(text[1:]))]))
+    other = files.from_files(spark, [mixed], ped, weights)
+    assert sorted(other.calls.collect()) == sorted(dense.calls.collect()) and other.calls.count() > 8
+    assert sorted(files.matrix_calls(files.read_matrix(spark, mixed)).collect()) == sorted(files.matrix_calls(files.read_matrix(spark, matrix)).collect())
+    half = [write("one.matrix", "\n".join([text[0], *map(sparse, text[1:5])])), write("two.matrix", "\n".join([HEAD + "\tcontrol2\tcase1\tcontrol1\tcase2", META.format(p=9, t="t1") + "\t*1:2,3:5"]))]
+    calls = files.from_files(spark, half, ped).calls.where("variant_id like '%,9,9,%'").collect()
+    assert {(r.sample_id, r.dosage, r.missing) for r in calls} == {("case1", 2, False), ("case2", 0, True)}
+    fewer = write("fewer.matrix", HEAD + "\tcase1\tcase2\tcontrol1\n" + META.format(p=9, t="t1") + "\t001\n")
+    with pytest.raises(ValueError, match="different samples"):
+        files.from_files(spark, [matrix, fewer], ped)
+
+
+@pytest.mark.parametrize("gt", ["*4:1", "*1:1,1:2", "*2:1,0:1", "*1:", "*1:1,", "*1:12", "*x:1", "*-1:1", "1:1"])
+def test_bad_sparse_genotypes(spark, study, gt):
+    bad = study[3]("bad.matrix", HEAD + "\ta\tb\tc\td\n" + META.format(p=1, t="t") + f"\t{gt}\n")
+    with pytest.raises(Exception, match="bad matrix line"):
+        files.read_matrix(spark, bad).collect()
+
+
+def test_study_files_do_not_grow_with_zeros(spark, tmp_path, monkeypatch):
+    """A study's matrix file has calls, not a digit for each sample and variant."""
+    from cohortspark.plans import queries
+
+    monkeypatch.setattr(queries, "shared_path", lambda _, kind: str(tmp_path / kind))
+    assert queries.cohort_by_files(spark, "/root/testdata/sf0.01").calls.count() > 50_000
+    size = sum(f.stat().st_size for f in (tmp_path / "files" / "matrix").glob("part-*"))
+    assert 0 < size < 2_971 * 1_500 / 2
