@@ -1,7 +1,10 @@
 """Conversions, lookups, stops and sinks."""
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.plans import reports as rp
 from cohortspark.plans import tools
@@ -74,3 +77,17 @@ def test_glued_codes(spark):
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 10_000
     with pytest.raises(Exception, match="two calls"):
         tools.glued(calls.unionByName(calls), index, len(ids), "v").collect()
+
+
+def test_vcf_genotypes_do_not_travel(spark):
+    """Genotypes are spelled out after the last exchange, or digested before the first one that they would pass."""
+    calls = spark.createDataFrame([("chr1", 5, "A", "C", "a", 1), ("chr1", 5, "A", "C", "b", 2), ("chr1", 9, "AT", "A", "b", 5)], "chrom string, pos long, ref string, alt string, sample_id string, code int")
+    models = spark.createDataFrame([("G", "T1", "chr1", 1, 5), ("G", "T2", "chr1", 5, 600)], "gene string, transcript string, chrom string, tx_start long, tx_end long")
+    plain, short = (tools.vcf_matrix(calls, models, ["a", "b", "c"], digest) for digest in (None, F.md5))
+    spelled = {(r.start, r.transcript): hashlib.md5(r.gt.encode()).hexdigest() for r in plain.collect()}
+    assert len(spelled) == 3 and spelled == {(r.start, r.transcript): r.gt for r in short.collect()}
+    for rows, mark in ((plain, "repeat("), (short, "md5(")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [k for k, line in enumerate(plan) if "Join" in line]
+        made = [k for k, line in enumerate(plan) if mark in line]
+        assert len(made) == 1 and (made[0] < joins[0] if rows is plain else joins[0] < made[0] < [k for k, line in enumerate(plan) if "Aggregate" in line][0])
