@@ -86,3 +86,34 @@ def test_skato_is_permuted_as_often_as_other_scans(spark):
     rows = QUERIES["scan_skato_permuted"](spark, SF).collect()
     assert rows and max(r.permutations for r in rows) == 20
     assert all(r.permutations == 20 or r.mgit_successes >= 8 or r.successes >= 8 or any(o.gene == r.gene and o.successes >= 8 for o in rows) for r in rows)
+
+
+def test_counts_by_gene(spark, monkeypatch):
+    """Counts of blocks, pieces of genes and tiles of labels add up to those of all calls, in a byte or two a cell."""
+    c = from_tables(spark, SF)
+    monkeypatch.setattr(products, "BLOCK", 40)
+    layout = products.lay_out(c.samples.select("sample_id", "y", "trait"), c.sizes[1], 1)
+    spec = layout.base.part(0, 8)
+    members, columns = grouped.gene_columns(c.variants.select("gene", "transcript", "variant_id", "weight"), c.calls, layout)
+
+    def sums(s, table):
+        return {"a": products.column_sums(table.column("pos"), table.column("value"), s.labels(spec), lambda v: v[None])[:, 0]}
+
+    rows, tasks = linked.gene_counts(columns, layout, sums, ["a"], 9, 4, 2)
+    rows = rows.toArrow()
+    assert tasks >= layout.number and set(rows.column("tile").to_pylist()) == set(range(5))
+    cells = sum(len(x) // 4 for x in rows.column("slot").to_pylist()) * 9 / 5
+    assert sum(len(x) - 1 for x in rows.column("a").to_pylist()) < 2.1 * cells
+    case_ac = {}
+    for r in c.calls.join(c.samples.select("sample_id", "y"), "sample_id").where("dosage > 0").collect():
+        case_ac[r.variant_id] = case_ac.get(r.variant_id, 0) + r.dosage * r.y
+    slots = {(r.gene, r.slot): r.variant_id for r in members.collect()}
+    seen = set()
+    for gene in set(rows.column("gene").to_pylist()):
+        mine = rows.filter((np.array(rows.column("gene").to_pylist()) == gene) & (np.array(rows.column("tile").to_pylist()) == 0))
+        known, found = linked.counts_of(mine, ["a"])
+        assert found["a"].dtype == np.uint32 and (np.diff(known) > 0).all()
+        for slot, a in zip(known, found["a"][:, 0], strict=True):  # the labels as observed
+            assert a == case_ac[slots[gene, slot]]
+            seen.add(slots[gene, slot])
+    assert seen == set(case_ac) & set(slots.values())
